@@ -1,12 +1,13 @@
 """The queries of this subpackage and their SQL."""
 
-from motionmill.llm import bpe, chat, pii, repair, sharding, simhash, urls
+from motionmill.llm import bpe, chat, pii, repair, sharding, simhash, toxicity, urls
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
     "op2_simhash": simhash.op2_simhash,
     "op4_bpe": bpe.op4_bpe,
     "op6_repair": repair.op6_repair,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_pii": pii.op8_pii,
     "op9_linkgraph": urls.op9_linkgraph,
     "op10_slots": sharding.op10_slots,
