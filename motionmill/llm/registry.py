@@ -1,10 +1,11 @@
 """The queries of this subpackage and their SQL."""
 
-from motionmill.llm import bpe, chat, decontaminate, pii, repair, sharding, simhash, toxicity, urls
+from motionmill.llm import bpe, chat, decontaminate, media, pii, repair, sharding, simhash, toxicity, urls
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
     "op2_simhash": simhash.op2_simhash,
+    "op3_jpeg": media.op3_jpeg,
     "op4_bpe": bpe.op4_bpe,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_repair": repair.op6_repair,
