@@ -220,25 +220,27 @@ def decode_ids(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     return df.withColumn("decoded", decoded(F.col(ids)))
 
 
-def round_trip(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256), with ids and decoded text made and digested in one pass."""
+def round_trip(df: DataFrame, path: str, text: str = "text", keep_ids: bool = False) -> DataFrame:
+    """``df`` without ``text`` and with n_tokens, ids_sha256, decoded_sha256 and, if asked, ids; all from one pass."""
     small_batches(df.sparkSession)
-    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    names = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids
+    kinds = [T.LongType(), T.StringType(), T.StringType(), T.ArrayType(T.IntegerType())]
 
-    @F.pandas_udf(T.StructType(fields))
+    @F.pandas_udf(T.StructType([T.StructField(n, k) for n, k in zip(names, kinds)]))
     def digest(texts: pd.Series) -> pd.DataFrame:
         bpe, rows = word_bpe(path), []
         for t in texts:
             ids, shown = bpe.encode(t or ""), hashlib.sha256()
             for piece in bpe.decode(ids):
                 shown.update(piece.encode())
-            rows.append((len(ids), hashlib.sha256(" ".join([bpe.number[i] for i in ids]).encode()).hexdigest(), shown.hexdigest()))
-        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            row = (len(ids), hashlib.sha256(" ".join([bpe.number[i] for i in ids]).encode()).hexdigest(), shown.hexdigest())
+            rows.append((*row, ids) if keep_ids else row)
+        return pd.DataFrame(rows, columns=names)
 
-    return df.select(F.col(doc_id).alias("doc_id"), digest(F.col(text)).alias("d")).select("doc_id", "d.*")
+    return df.withColumn("_bpe", digest(F.col(text))).drop(text).select("*", "_bpe.*").drop("_bpe")
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))

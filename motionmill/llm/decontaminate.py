@@ -226,18 +226,20 @@ def find_items(documents: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     return out
 
 
+def _clean(index):
+    @F.pandas_udf(T.BooleanType())
+    def clean(texts: pd.Series) -> pd.Series:
+        return pd.Series([not hits for hits in index().search(texts.tolist())], dtype=bool)
+
+    return clean
+
+
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """``documents`` without the rows in whose text any item is found."""
     small_batches(documents.sparkSession)
     kept = documents
     for items in _blocks(benchmark):
-        index = _searcher(documents.sparkSession, items, **how)
-
-        @F.pandas_udf(T.BooleanType())
-        def clean(texts: pd.Series, index=index) -> pd.Series:
-            return pd.Series([not hits for hits in index().search(texts.tolist())], dtype=bool)
-
-        kept = kept.where(clean("text"))
+        kept = kept.where(_clean(_searcher(documents.sparkSession, items, **how))("text"))
     return kept
 
 

@@ -23,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from motionmill.llm._shared import cut, small_batches, table
 from motionmill.llm.components import components
@@ -124,14 +124,17 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
 
 
 def drop_near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
-    """One row of each component, that of its least id; of rows without any id, one per fingerprint."""
-    kept = near_duplicates(df, doc_id, text, width).where("doc_id = component_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    named = df.join(kept, doc_id, "left_semi").dropDuplicates([doc_id])
-    if df.where(F.col(doc_id).isNull()).isEmpty():
-        return named
-    nameless = df.where(F.col(doc_id).isNull()).withColumn("_fp", fingerprints(df, text, width))
-    with_id = df.where(F.col(doc_id).isNotNull()).select(fingerprints(df, text, width).alias("_fp")).distinct()
-    return named.unionByName(nameless.join(with_id, "_fp", "left_anti").dropDuplicates(["_fp"]).drop("_fp"))
+    """One row of each component, that of its least id; of rows without any id, one per fingerprint.
+
+    Only ids and fingerprints take part in the choice. Of rows that repeat the chosen id and fingerprint, the one with
+    the least text stays.
+    """
+    found = near_duplicates(df, doc_id, text, width).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    alone = F.when(F.col("component_id").isNull(), F.col("fp"))
+    kept = found.groupBy(F.col("component_id").alias("_kept"), alone.alias("_alone")).agg(F.min("fp").alias("_kept_fp")).drop("_alone")
+    marked = df.withColumn("_fp", fingerprints(df, text, width))
+    chosen = marked.join(kept, F.col(doc_id).eqNullSafe(F.col("_kept")) & (F.col("_fp") == F.col("_kept_fp")), "left_semi")
+    return chosen.withColumn("_copy", F.row_number().over(W.partitionBy(doc_id, "_fp").orderBy(text))).where("_copy = 1").select(*df.columns)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
