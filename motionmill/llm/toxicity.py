@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,7 +55,7 @@ def gram_ids(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             ids.append((mixed >> np.uint64(40)).astype(np.int64)[same] % GRAM_BUCKETS)
             owners.append(owner[: h.size][same])
     order = np.argsort(np.concatenate(owners), kind="stable")
-    return np.concatenate(ids)[order], np.bincount(np.concatenate(owners), minlength=len(words))
+    return np.concatenate(ids)[order].astype(np.int32), np.bincount(np.concatenate(owners), minlength=len(words))
 
 
 def windows(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -167,35 +166,32 @@ class Network:
 
 def fit(texts: list[str], labels: list[int], rounds: int = 8, batch: int = 256, rate: float = 0.01, seed: int = 7) -> Network:
     """Trains on whole texts; grams and words start from how much oftener toxic texts hold them."""
-    docs = [words_of(t) for t in texts]
     y = np.array(labels, np.float32)
-    seen = Counter(w for d in docs for w in set(d))
-    vocab = {w: i + 1 for i, (w, n) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:WORDS]) if n >= 3}
+    number: dict[str, int] = {}
+    docs = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int32) for t in texts]
+    held = [np.unique(d) for d in docs]
+    distinct = list(number)
+    seen = np.bincount(np.concatenate([*held, np.empty(0, np.int32)]), minlength=len(distinct))
+    vocab = {distinct[w]: i + 1 for i, w in enumerate(np.argsort(-seen, kind="stable")[:WORDS].tolist()) if seen[w] >= 3}
     net = Network(vocab, seed)
     rng = np.random.default_rng(seed)
-    distinct = sorted(seen)
     if not distinct or not 0 < y.sum() < y.size:
         return net
-    number = {w: i for i, w in enumerate(distinct)}
-    ids, n = gram_ids(distinct)
+    some = [gram_ids(distinct[i : i + 10_000]) for i in range(0, len(distinct), 10_000)]
+    ids, n = (np.concatenate(x) for x in zip(*some))
     starts = np.cumsum(n) - n
-    places = np.fromiter((number[w] for d in docs for w in d), np.int64)
+    places = np.concatenate(docs)
     sizes = np.array([len(d) for d in docs], np.int64)
     _, first, size = windows(sizes)
+    own = np.array([vocab.get(w, 0) for w in distinct])
 
-    def odds(count_of, length: int) -> np.ndarray:
-        held = np.zeros((2, length))
-        for d, label in zip(docs, labels):
-            held[int(label), count_of(d)] += 1
-        share = (held + 0.5) / (np.array([[y.size - y.sum()], [y.sum()]]) + 1)
+    def odds(kinds_of, length: int) -> np.ndarray:
+        count = np.zeros((2, length))
+        for words, label in zip(held, labels):
+            count[int(label), kinds_of(words)] += 1
+        share = (count + 0.5) / (np.array([[y.size - y.sum()], [y.sum()]]) + 1)
         return np.clip(np.log(share[1] / share[0]), -2, 3).astype(np.float32)
 
-    net.p["word"][:, 0] = 0.5 * odds(lambda d: np.unique([vocab.get(w, 0) for w in d]), len(vocab) + 1)
-    net.p["word"][0] = 0
-    grams = lambda d: np.unique(np.concatenate([ids[starts[k] : starts[k] + n[k]] for k in {number[w] for w in d}])) if d else []
-    net.p["gram"][:, 0] = odds(grams, GRAM_BUCKETS)
-    own = np.array([vocab.get(w, 0) for w in distinct])
-
     def spread(words: np.ndarray) -> np.ndarray:
         """Places in ``ids`` of all grams of ``words``."""
         return np.repeat(starts[words] - (np.cumsum(n[words]) - n[words]), n[words]) + np.arange(n[words].sum())
@@ -204,10 +200,24 @@ def fit(texts: list[str], labels: list[int], rounds: int = 8, batch: int = 256,
         inner = np.cumsum(n[words]) - n[words]
         return net.p["word"][own[words]] + np.add.reduceat(net.p["gram"][ids[spread(words)]], inner, axis=0) / n[words, None].astype(np.float32)
 
+    def highest() -> np.ndarray:
+        """The highest window of each text, a few texts at a time."""
+        out, seen_windows = [], 0
+        for part in np.array_split(np.arange(sizes.size), sizes.size // 500 + 1):
+            words = np.concatenate([docs[i] for i in part])
+            mine, local = np.unique(words, return_inverse=True)
+            x = net.inputs(vectors(mine)) if mine.size else np.zeros((1, 2, 3 * HIDDEN), np.float32)
+            out.append(net.logits(x, local, sizes[part])[1] + seen_windows)
+            seen_windows += len(windows(sizes[part])[0])
+        return np.concatenate(out)
+
+    net.p["word"][:, 0] = 0.5 * odds(lambda w: np.unique(own[w]), len(vocab) + 1)
+    net.p["word"][0] = 0
+    net.p["gram"][:, 0] = odds(lambda w: np.unique(ids[spread(w)]), GRAM_BUCKETS)
     moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     step = 0
     for k in range(rounds):
-        _, top = net.logits(net.inputs(vectors(np.arange(len(distinct)))), places, sizes)
+        top = highest()
         for _ in range(2):
             for part in np.array_split(rng.permutation(y.size), max(y.size // batch, 1)):
                 used = top[part]
