@@ -13,6 +13,7 @@ components in 4:2:0 with unit quantisation, from given coefficients.
 from __future__ import annotations
 
 import struct
+from functools import lru_cache
 
 import numpy as np
 
@@ -43,8 +44,10 @@ def canonical(lengths: dict[int, int]) -> tuple[list[int], list[int], dict[int,
     return [sum(n == k for n in lengths.values()) for k in range(1, 17)], symbols, codes
 
 
-def _table(counts: list[int], symbols: list[int]) -> np.ndarray:
-    """For every 16 bits: symbol << 8 | length of the code they begin with."""
+@lru_cache(maxsize=64)
+def _table(spec: bytes) -> np.ndarray:
+    """For every 16 bits: symbol << 8 | length of the code they begin with. ``spec``: 16 counts, then the symbols."""
+    counts, symbols = spec[:16], spec[16:]
     out, code, at = np.zeros(1 << 16, np.int64), 0, 0
     for n, count in enumerate(counts, 1):
         for s in symbols[at : at + count]:
@@ -55,9 +58,12 @@ def _table(counts: list[int], symbols: list[int]) -> np.ndarray:
     return out
 
 
+_BITS = np.array([i.bit_length() for i in range(1 << 12)])
+
+
 def _size(a: np.ndarray) -> np.ndarray:
-    """Bits of each number; 0 has none."""
-    return np.where(a > 0, np.floor(np.log2(np.maximum(a, 1))).astype(np.int64) + 1, 0)
+    """Bits of each number up to 4095, the largest that a coefficient may have; 0 has none."""
+    return _BITS[a]
 
 
 def _codes(lengths: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -435,7 +441,6 @@ def _read_refining(coefs: np.ndarray, bits: _Bits, at: np.ndarray, block: np.nda
         one = bits.bit(place[hit] + inner) == 1
         old = coefs[rows[hit[one]], col[one]]
         coefs[rows[hit[one]], col[one]] = old + np.sign(old)
-    # bits are added at the scan's own ``low`` place: all scans read together refine to low = 0
 
 
 def _read_dc(coefs: np.ndarray, bits: _Bits, at: np.ndarray, unit: np.ndarray, n: np.ndarray, where: np.ndarray, comp: list[int], tables: np.ndarray, which: np.ndarray, high: int, low: int) -> None:
@@ -469,9 +474,33 @@ def coefficients(files: list[bytes]) -> list[tuple[_Image, list[np.ndarray]]]:
         for w, h in im.grid:
             base[-1].append(total)
             total += w * h
-    coefs = np.zeros((total, 64), np.int64)
+    coefs = np.zeros((total, 64), np.int32)
     data = np.frombuffer(b"".join(files), np.uint8)
     begin = np.cumsum([0] + [len(f) for f in files])
+    total_before = [b[0] for b in base]
+    seen: dict[tuple, np.ndarray] = {}
+
+    def places(picked: tuple[int, ...], im: _Image) -> np.ndarray:
+        """(units, blocks of a unit) of a scan, counted from the image's first block; images of one shape share it."""
+        key = (picked, im.height, im.width, tuple(im.comps))
+        if key in seen:
+            return seen[key]
+        first = np.cumsum([0] + [w * h for w, h in im.grid])
+        if len(picked) == 1:
+            c = picked[0]
+            w, h = im.own[c]
+            rows = (np.arange(h)[:, None] * im.grid[c][0] + np.arange(w)).reshape(-1, 1) + first[c]
+        else:
+            cells = []
+            for c in picked:
+                for dy in range(im.comps[c][2]):
+                    for dx in range(im.comps[c][1]):
+                        y0, x0 = np.arange(im.high)[:, None] * im.comps[c][2] + dy, np.arange(im.wide) * im.comps[c][1] + dx
+                        cells.append((y0 * im.grid[c][0] + x0).ravel() + first[c])
+            rows = np.stack(cells, axis=1)
+        seen[key] = rows
+        return rows
+
     for k in range(max((len(im.scans) for im in images), default=0)):
         groups: dict[tuple, list[int]] = {}
         for i, im in enumerate(images):
@@ -486,18 +515,7 @@ def coefficients(files: list[bytes]) -> list[tuple[_Image, list[np.ndarray]]]:
                 im = images[i]
                 picked, a, b, high, low, interval, huff, x, y = im.scans[k]
                 spans.append((begin[i] + x, begin[i] + y))
-                if len(picked) == 1:
-                    c = picked[0][0]
-                    w, h = im.own[c]
-                    rows = (np.arange(h)[:, None] * im.grid[c][0] + np.arange(w)).reshape(-1, 1) + base[i][c]
-                else:
-                    cells = []
-                    for c, _ in picked:
-                        for dy in range(im.comps[c][2]):
-                            for dx in range(im.comps[c][1]):
-                                y0, x0 = np.arange(im.high)[:, None] * im.comps[c][2] + dy, np.arange(im.wide) * im.comps[c][1] + dx
-                                cells.append((y0 * im.grid[c][0] + x0).ravel() + base[i][c])
-                    rows = np.stack(cells, axis=1)
+                rows = places(tuple(c for c, _ in picked), im) + total_before[i]
                 where.append(rows)
                 units.append(len(rows))
                 every.append(interval or len(rows))
@@ -510,7 +528,7 @@ def coefficients(files: list[bytes]) -> list[tuple[_Image, list[np.ndarray]]]:
             first = number * every[span]
             n = np.minimum(units[span] - first, every[span])
             first += (np.cumsum(units) - units)[span]
-            tables = np.stack([_table(list(h[:16]), list(h[16:])) for h in luts]) if luts else np.zeros((1, 1 << 16), np.int64)
+            tables = np.stack([_table(h) for h in luts]) if luts else np.zeros((1, 1 << 16), np.int64)
             which = np.array(which or [[0]] * len(members))[span]
             if key[0] == "ac":
                 full = np.full(at.size, 0)
@@ -545,13 +563,17 @@ def rgb(image: _Image, comps: list[np.ndarray]) -> np.ndarray:
     """The full-resolution (height, width, 3) tensor."""
     planes = []
     for (w, h), (_, _, _, q), (sx, sy), v in zip(image.grid, image.comps, image.scale, comps):
-        samples = np.floor(((v * image.quant[q]).astype(np.float64) @ BASIS + _SCALE / 2) / _SCALE) + 128
+        steps = image.quant[q]
+        exact = (v if (steps == 1).all() else v * steps).astype(np.float64) @ BASIS
+        samples = ((exact.astype(np.int64) + _SCALE // 2) >> 13) + 128
         plane = np.clip(samples, 0, 255).astype(np.int32).reshape(h, w, 8, 8).transpose(0, 2, 1, 3).reshape(8 * h, 8 * w)
         if sx > 1 or sy > 1:
             plane = plane.repeat(sy, axis=0).repeat(sx, axis=1)
         planes.append(plane[: image.height, : image.width])
     if len(planes) == 1:
         return np.repeat(planes[0].astype(np.uint8)[..., None], 3, axis=2)
-    y, cb, cr = planes[0] << 16, planes[1] - 128, planes[2] - 128
-    out = np.stack((y + 91881 * cr, y - 22554 * cb - 46802 * cr, y + 116130 * cb), axis=2)
-    return np.clip((out + 32768) >> 16, 0, 255).astype(np.uint8)
+    y, cb, cr = (planes[0] << 16) + 32768, planes[1] - 128, planes[2] - 128
+    out = np.empty((image.height, image.width, 3), np.uint8)
+    for c, x in enumerate((y + 91881 * cr, y - 22554 * cb - 46802 * cr, y + 116130 * cb)):
+        out[..., c] = np.clip(x >> 16, 0, 255)
+    return out
