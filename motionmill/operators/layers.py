@@ -16,22 +16,30 @@ from motionmill.functions.kernels import fft_convolve, weights, window_bounds
 
 SERIES = ["subject", "stimulus"]
 KEY = "subject long, stimulus int, "
-STATS = ("mean", "var", "cumul")
+#: Series whose rows are handed back together.
+AT_ONCE = 32
 
 
 def series_extractor(frames: DataFrame, extract: Callable[[np.ndarray], Iterator[tuple]], columns: str) -> DataFrame:
-    """Rows of ``extract(channels x frames)`` for every series; ``columns`` describes what follows the series' key."""
-    names = [c.strip().split(" ")[0] for c in columns.split(",")]
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("frame")
-        matrix = np.array(rows["values"].tolist(), dtype=float).T
-        out = pd.DataFrame(list(extract(matrix)), columns=names)
-        out.insert(0, "stimulus", key[1])
-        out.insert(0, "subject", key[0])
-        return out
-
-    return frames.select(*SERIES, "frame", "values").groupBy(*SERIES).applyInPandas(run, KEY + columns)
+    """Rows of ``extract(channels x frames)`` for every series; ``columns`` describes what follows the series' key.
+
+    A series becomes one row of arrays, sorted by frame, and batches of series go to numpy. Every frame must have its
+    array; values missing in it arrive as NaN.
+    """
+    names = ["subject", "stimulus"] + [c.strip().split(" ")[0] for c in columns.split(",")]
+    ordered = F.sort_array(F.collect_list(F.struct("frame", "values")))
+    series = frames.groupBy(*SERIES).agg(ordered.alias("s")).select(*SERIES, F.size("s").alias("n"), F.flatten("s.values").alias("flat"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i in range(0, len(batch), AT_ONCE):
+                rows = []
+                for r in batch.iloc[i : i + AT_ONCE].itertuples(index=False):
+                    matrix = np.asarray(r.flat, dtype=float).reshape(r.n, -1).T
+                    rows += [(r.subject, r.stimulus, *x) for x in extract(matrix)]
+                yield pd.DataFrame(rows, columns=names)
+
+    return series.mapInPandas(run, KEY + columns)
 
 
 def bank_of(matrix: np.ndarray, bank: list[tuple[str, float]], fps: float) -> Iterator[tuple[str, float, np.ndarray]]:
