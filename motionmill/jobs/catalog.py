@@ -361,8 +361,8 @@ def event_stats(spark, d):
 # ---------------------------------------------------------------- kernels, motion
 
 
-def _kernel_sql(name: str, scale: float, fps: float = 1.0) -> str:
-    w = kernels.weights(name, scale, fps)
+def _kernel_sql(name: str, scale: float, fps: float = 1.0, p: float = 1.0) -> str:
+    w = kernels.weights(name, scale, fps, p)
     h = len(w) // 2
     return "SELECT * FROM (VALUES " + ", ".join(f"({k - h}, CAST({float(x)!r} AS DOUBLE))" for k, x in enumerate(w)) + ") AS k(o, w)"
 

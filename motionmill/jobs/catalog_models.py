@@ -172,6 +172,24 @@ def dictionary_transform(spark, d):
     return rounded(dc.dictionary_transform(filled(spark, d), ad.CHANNELS, ["gaussian"], SCALES, ad.FPS), "value")
 
 
+@query("convolve_reflected")
+def convolve_reflected(spark, d):
+    return rounded(dc.convolve_reflected(filled(spark, d), ad.CHANNELS, "gaussian", SCALE, ad.FPS), "value")
+
+
+DOUBLE = ("twice", f"SELECT subject, stimulus, channel, frame, value FROM ({_conv_sql('long', 'value')})")
+
+
+@query("dictionary_inverse", f"SELECT subject, stimulus, channel, frame, {r('value')} FROM ({_conv_sql('twice')})", ("kern", _kernel_sql("gaussian", 8.0, 1.0, 2.0)), DOUBLE)
+def dictionary_inverse(spark, d):
+    return rounded(dc.dictionary_inverse(filled(spark, d), ad.CHANNELS, ["gaussian"], [8.0], ad.FPS), "value")
+
+
+@query("dictionary_inpaint")
+def dictionary_inpaint(spark, d):
+    return rounded(dc.dictionary_inpaint(with_channels(regular(spark, d)), ad.CHANNELS, ["gaussian"], SCALES, ad.FPS, 0.5), "value")
+
+
 @query("scale_space_maxima")
 def scale_space_maxima(spark, d):
     return rounded(dc.scale_space_maxima(filled(spark, d), ad.CHANNELS, "gaussian", SCALES, ad.FPS, 0.3), "value")

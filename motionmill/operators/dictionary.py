@@ -263,3 +263,62 @@ def mine_patterns(frames: DataFrame, channels: list[str], atom: str, scales: lis
                 yield c, float(scales[s]), int(t), float(table[s, t]), [float(v) for v in rescale(part, length)]
 
     return series_extractor(frames, extract, "channel string, scale double, pos int, amp double, pattern array<double>")
+
+
+def reflected(x: np.ndarray, kernel: np.ndarray) -> np.ndarray:
+    """Centred convolution of the series continued by odd reflection."""
+    h = len(kernel) // 2
+    padded, begin = odd_reflect(x, len(x) + 2 * h)
+    return fft_convolve(padded, kernel)[begin : begin + len(x)]
+
+
+def convolve_reflected(frames: DataFrame, channels: list[str], name: str, scale: float, fps: float) -> DataFrame:
+    def extract(m: np.ndarray) -> Iterator[tuple]:
+        for c, row in zip(channels, m):
+            yield from ((c, i, float(v)) for i, v in enumerate(reflected(row, weights(name, scale, fps))))
+
+    return series_extractor(frames, extract, "channel string, frame int, value double")
+
+
+def adjoint(space: dict[str, np.ndarray], scales: list[float], fps: float) -> np.ndarray:
+    """The sum of every atom at every scale and frame times its coefficient: the transform's adjoint."""
+    return sum(fft_convolve(line, weights(a, s, fps, p=2.0)) for a, table in space.items() for s, line in zip(scales, table))
+
+
+def dictionary_inverse(frames: DataFrame, channels: list[str], atoms: list[str], scales: list[float], fps: float) -> DataFrame:
+    """Each series through the transform and its adjoint."""
+
+    def extract(m: np.ndarray) -> Iterator[tuple]:
+        for c, row in zip(channels, m):
+            yield from ((c, i, float(v)) for i, v in enumerate(adjoint(scale_space(row, atoms, scales, fps), scales, fps)))
+
+    return series_extractor(frames, extract, "channel string, frame int, value double")
+
+
+def dictionary_fill(x: np.ndarray, atoms: list[str], scales: list[float], fps: float, t: float, rounds: int = 25, tol: float = 1e-3) -> np.ndarray:
+    """Missing places filled by coefficients that are moved along the residual of the known places and shrunk by ``t``."""
+    known = ~np.isnan(x)
+    goal = np.where(known, x, 0.0)
+    probe = np.ones(len(x))
+    for _ in range(10):  # the largest gain of transform and adjoint bounds the step
+        probe = adjoint(scale_space(probe, atoms, scales, fps), scales, fps)
+        gain = np.linalg.norm(probe)
+        probe = probe / max(gain, 1e-12)
+    space = {a: np.zeros((len(scales), len(x))) for a in atoms}
+    out = np.zeros(len(x))
+    for _ in range(rounds):
+        step = scale_space(np.where(known, goal - out, 0.0), atoms, scales, fps)
+        space = {a: shrink_array(space[a] + step[a] / (1.05 * gain), t) for a in atoms}
+        new = adjoint(space, scales, fps)
+        moved, out = np.linalg.norm(new - out), new
+        if moved <= tol * max(np.linalg.norm(out), 1e-12):
+            break
+    return np.where(known, x, out)
+
+
+def dictionary_inpaint(frames: DataFrame, channels: list[str], atoms: list[str], scales: list[float], fps: float, t: float) -> DataFrame:
+    def extract(m: np.ndarray) -> Iterator[tuple]:
+        for c, row in zip(channels, m):
+            yield from ((c, i, float(v)) for i, v in enumerate(dictionary_fill(row, atoms, scales, fps, t)))
+
+    return series_extractor(frames, extract, "channel string, frame int, value double")
