@@ -61,7 +61,7 @@ def inverse_wavelet(levels: list[np.ndarray], n: int) -> np.ndarray:
         size = 2 * len(d)
         up = np.zeros(size)
         for k in range(4):
-            np.add.at(up, (2 * np.arange(len(d)) + k) % size, LOW[k] * a + HIGH[k] * d)
+            up[(2 * np.arange(len(d)) + k) % size] += LOW[k] * a + HIGH[k] * d
         a = up
     begin = (len(a) - n) // 2
     return a[begin : begin + n]
@@ -73,7 +73,7 @@ def wavelet_transform(frames: DataFrame, channels: list[str]) -> DataFrame:
     def extract(m: np.ndarray) -> Iterator[tuple]:
         for c, row in zip(channels, m):
             for level, d in enumerate(wavelet(row)):
-                yield from ((c, level, i, float(v)) for i, v in enumerate(d))
+                yield c, level, np.arange(len(d)), d
 
     return series_extractor(frames, extract, "channel string, level int, place int, coef double")
 
@@ -85,7 +85,7 @@ def wavelet_round_trip(frames: DataFrame, channels: list[str], t: float = 0.0, s
         for c, row in zip(channels, m):
             levels = wavelet(row)
             kept = [shrink_array(d, t, soft) if t else d for d in levels[:-1]] + levels[-1:]
-            yield from ((c, i, float(v)) for i, v in enumerate(inverse_wavelet(kept, len(row))))
+            yield c, np.arange(len(row)), inverse_wavelet(kept, len(row))
 
     return series_extractor(frames, extract, "channel string, frame int, value double")
 
@@ -109,7 +109,7 @@ def wavelet_inpaint(frames: DataFrame, channels: list[str], t: float) -> DataFra
 
     def extract(m: np.ndarray) -> Iterator[tuple]:
         for c, row in zip(channels, m):
-            yield from ((c, i, float(v)) for i, v in enumerate(inpaint(row, t)))
+            yield c, np.arange(len(row)), inpaint(row, t)
 
     return series_extractor(frames, extract, "channel string, frame int, value double")
 
@@ -132,7 +132,7 @@ def dictionary_transform(frames: DataFrame, channels: list[str], atoms: list[str
         for c, row in zip(channels, m):
             for atom, table in scale_space(row, atoms, scales, fps).items():
                 for k, line in enumerate(table):
-                    yield from ((c, atom, k, float(scales[k]), i, float(v)) for i, v in enumerate(line))
+                    yield c, atom, k, float(scales[k]), np.arange(len(line)), line
 
     return series_extractor(frames, extract, "channel string, atom string, scale_idx int, scale double, frame int, value double")
 
@@ -275,7 +275,7 @@ def reflected(x: np.ndarray, kernel: np.ndarray) -> np.ndarray:
 def convolve_reflected(frames: DataFrame, channels: list[str], name: str, scale: float, fps: float) -> DataFrame:
     def extract(m: np.ndarray) -> Iterator[tuple]:
         for c, row in zip(channels, m):
-            yield from ((c, i, float(v)) for i, v in enumerate(reflected(row, weights(name, scale, fps))))
+            yield c, np.arange(len(row)), reflected(row, weights(name, scale, fps))
 
     return series_extractor(frames, extract, "channel string, frame int, value double")
 
@@ -290,7 +290,7 @@ def dictionary_inverse(frames: DataFrame, channels: list[str], atoms: list[str],
 
     def extract(m: np.ndarray) -> Iterator[tuple]:
         for c, row in zip(channels, m):
-            yield from ((c, i, float(v)) for i, v in enumerate(adjoint(scale_space(row, atoms, scales, fps), scales, fps)))
+            yield c, np.arange(len(row)), adjoint(scale_space(row, atoms, scales, fps), scales, fps)
 
     return series_extractor(frames, extract, "channel string, frame int, value double")
 
@@ -319,6 +319,6 @@ def dictionary_fill(x: np.ndarray, atoms: list[str], scales: list[float], fps: f
 def dictionary_inpaint(frames: DataFrame, channels: list[str], atoms: list[str], scales: list[float], fps: float, t: float) -> DataFrame:
     def extract(m: np.ndarray) -> Iterator[tuple]:
         for c, row in zip(channels, m):
-            yield from ((c, i, float(v)) for i, v in enumerate(dictionary_fill(row, atoms, scales, fps, t)))
+            yield c, np.arange(len(row)), dictionary_fill(row, atoms, scales, fps, t)
 
     return series_extractor(frames, extract, "channel string, frame int, value double")

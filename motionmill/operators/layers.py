@@ -24,7 +24,8 @@ def series_extractor(frames: DataFrame, extract: Callable[[np.ndarray], Iterator
     """Rows of ``extract(channels x frames)`` for every series; ``columns`` describes what follows the series' key.
 
     A series becomes one row of arrays, sorted by frame, and batches of series go to numpy. Every frame must have its
-    array; values missing in it arrive as NaN.
+    array; values missing in it arrive as NaN. ``extract`` yields blocks of rows: tuples of single values and of arrays of
+    one length.
     """
     names = ["subject", "stimulus"] + [c.strip().split(" ")[0] for c in columns.split(",")]
     ordered = F.sort_array(F.collect_list(F.struct("frame", "values")))
@@ -33,15 +34,29 @@ def series_extractor(frames: DataFrame, extract: Callable[[np.ndarray], Iterator
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for i in range(0, len(batch), AT_ONCE):
-                rows = []
+                blocks = []
                 for r in batch.iloc[i : i + AT_ONCE].itertuples(index=False):
                     matrix = np.asarray(r.flat, dtype=float).reshape(r.n, -1).T
-                    rows += [(r.subject, r.stimulus, *x) for x in extract(matrix)]
-                yield pd.DataFrame(rows, columns=names)
+                    blocks += [(r.subject, r.stimulus, *x) for x in extract(matrix)]
+                yield _unfold(blocks, names)
 
     return series.mapInPandas(run, KEY + columns)
 
 
+def _unfold(blocks: list[tuple], names: list[str]) -> pd.DataFrame:
+    sizes = [max([len(x) for x in b if isinstance(x, np.ndarray)], default=1) for b in blocks]
+    out = {}
+    for name, column in zip(names, zip(*blocks) if blocks else [()] * len(names)):
+        if any(isinstance(x, np.ndarray) for x in column):
+            out[name] = np.concatenate([np.atleast_1d(x) for x in column])
+            continue
+        single = np.empty(len(column), object)
+        for k, x in enumerate(column):
+            single[k] = x
+        out[name] = pd.Series(np.repeat(single, sizes)).infer_objects()
+    return pd.DataFrame(out, columns=names)
+
+
 def bank_of(matrix: np.ndarray, bank: list[tuple[str, float]], fps: float) -> Iterator[tuple[str, float, np.ndarray]]:
     for name, scale in bank:
         yield name, scale, fft_convolve(matrix, weights(name, scale, fps))
@@ -51,7 +66,7 @@ def filter_bank(frames: DataFrame, channels: list[str], bank: list[tuple[str, fl
     def extract(m: np.ndarray) -> Iterator[tuple]:
         for name, scale, out in bank_of(m, bank, fps):
             for c, row in zip(channels, out):
-                yield from ((c, name, float(scale), i, float(v)) for i, v in enumerate(row))
+                yield c, name, float(scale), np.arange(len(row)), row
 
     return series_extractor(frames, extract, "channel string, filter string, scale double, frame int, value double")
 
@@ -71,7 +86,7 @@ def second_layer(frames: DataFrame, channels: list[str], bank: list[tuple[str, f
                 bounds = window_bounds(m.shape[1], wide, fps)
                 for stat, values in stats_of(out, wide, fps).items():
                     for c, row in zip(channels, values):
-                        yield from ((c, name, float(scale), stat, float(wide), k, float(pool(row[a:b]))) for k, (a, b) in enumerate(bounds))
+                        yield c, name, float(scale), stat, float(wide), np.arange(len(bounds)), np.array([pool(row[a:b]) for a, b in bounds])
 
     return series_extractor(frames, extract, "channel string, filter string, scale double, stat string, wide double, window int, value double")
 
@@ -86,7 +101,8 @@ def local_histogram(frames: DataFrame, channels: list[str], bins: dict[str, list
                 hot = (place == b).astype(float)
                 for wide in scales:
                     share = fft_convolve(hot, weights("average", wide, fps))
-                    yield from ((c, b, float(wide), k, float(share[x:y].max())) for k, (x, y) in enumerate(window_bounds(m.shape[1], wide, fps)))
+                    bounds = window_bounds(m.shape[1], wide, fps)
+                    yield c, b, float(wide), np.arange(len(bounds)), np.array([share[x:y].max() for x, y in bounds])
 
     return series_extractor(frames, extract, "channel string, bin int, wide double, window int, value double")
 
