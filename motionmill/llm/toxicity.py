@@ -14,6 +14,7 @@ label every score is 0. Other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 import re
 import uuid
 from collections.abc import Iterator
@@ -282,19 +283,28 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS
 
 
-def training_rows(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> pd.DataFrame:
-    """At most ``sample`` labelled texts outside the held-out fold, gathered on the driver for the numpy training."""
+def training_rows(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, text, toxic): at most ``sample`` labelled texts outside the held-out fold."""
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT))
     picked = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
-    return rows.toPandas().sort_values("doc_id")
+    return documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
 
 
 def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network | None:
-    rows = training_rows(documents, labels, sample)
-    if rows["toxic"].nunique() < 2:
-        return None
-    return fit(rows["text"].tolist(), rows["toxic"].astype(int).tolist())
+    """The network fitted on the bounded sample, in one task; only its weights reach the driver. None without both labels."""
+    small_batches(documents.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = list(batches)
+        if not parts:
+            return
+        rows = pd.concat(parts, ignore_index=True).sort_values("doc_id")
+        if rows["toxic"].nunique() == 2:
+            labels, texts = rows["toxic"].astype(int).tolist(), rows.pop("text").tolist()
+            yield pd.DataFrame({"model": [pickle.dumps(fit(texts, labels))]})
+
+    got = training_rows(documents, labels, sample).repartition(1).mapInPandas(run, "model binary").collect()
+    return pickle.loads(got[0]["model"]) if got else None
 
 
 def score_texts(df: DataFrame, net: Network | None, text: str = "text") -> Column:
