@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-#: Score ranges that a global curve is cut into; their bounds are the only numbers that reach the driver.
+#: Score ranges that a global curve is cut into; their bounds and totals are all that reaches the driver.
 RANGES = 64
 
 
@@ -40,22 +40,22 @@ def running_counts(scores: DataFrame) -> DataFrame:
     """Adds tp, fp, n_pos, n_neg: counts down to each row by descending score, then descending subject.
 
     Scores are cut into ranges at approximate quantiles, rows are counted within a range, and the ranges' totals, at
-    most ``RANGES`` + 1 rows, are added: no window holds all rows.
+    most ``RANGES`` + 1 pairs of numbers, are added: no window holds all rows.
     """
     bounds = scores.agg(F.percentile_approx("score", [i / RANGES for i in range(1, RANGES)], 1000)).first()[0] or []
     above = F.size(F.filter(F.array(*[F.lit(float(b)) for b in sorted(set(bounds))]), lambda b: b > F.col("score"))) if bounds else F.lit(0)
     marked = scores.withColumns({"range": above, "pos": (F.col("label") == 1).cast("long"), "neg": (F.col("label") != 1).cast("long")})
     order = W.partitionBy("range").orderBy(F.desc("score"), F.desc("subject")).rowsBetween(W.unboundedPreceding, 0)
     inner = marked.withColumns({"tp": F.sum("pos").over(order), "fp": F.sum("neg").over(order)})
-    totals = marked.groupBy("range").agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"))
-    before = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
-    every = W.partitionBy()
-    base = totals.select(
-        "range", F.coalesce(F.sum("p").over(before), F.lit(0)).alias("bp"), F.coalesce(F.sum("q").over(before), F.lit(0)).alias("bq"),
-        F.sum("p").over(every).alias("n_pos"), F.sum("q").over(every).alias("n_neg"),
-    )
-    joined = inner.join(F.broadcast(base), "range")
-    return joined.withColumns({"tp": F.col("tp") + F.col("bp"), "fp": F.col("fp") + F.col("bq")}).drop("range", "pos", "neg", "bp", "bq")
+    sums = {t["range"]: (t["p"], t["q"]) for t in marked.groupBy("range").agg(F.sum("pos").alias("p"), F.sum("neg").alias("q")).collect()}
+    bp, bq, p, q = [], [], 0, 0
+    for k in range(RANGES + 1):
+        bp.append(p)
+        bq.append(q)
+        p, q = p + sums.get(k, (0, 0))[0], q + sums.get(k, (0, 0))[1]
+    at = lambda values: F.get(F.array(*[F.lit(int(v)) for v in values]), F.col("range"))
+    counted = inner.withColumns({"tp": F.col("tp") + at(bp), "fp": F.col("fp") + at(bq), "n_pos": F.lit(int(p)).cast("long"), "n_neg": F.lit(int(q)).cast("long")})
+    return counted.drop("range", "pos", "neg")
 
 
 def roc_curve(scores: DataFrame) -> DataFrame:

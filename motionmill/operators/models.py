@@ -74,20 +74,28 @@ def knn_score(queries: DataFrame, rows: DataFrame, k: int, measure: Callable[[Co
     return ranked.groupBy("query").agg(F.avg("label").alias("score"))
 
 
-def margin_triplets(anchors: DataFrame, rows: DataFrame) -> DataFrame:
-    """(query, n, loss): active triplets of each anchor, 1 + d(own class) - d(other class) > 0, and the sum of their excess.
+def ranked_pairs(anchors: DataFrame, rows: DataFrame, measure: Callable[[Column, Column], Column] = squared_distance) -> DataFrame:
+    """(query, subject, same, value, active, excess) for every anchor and other row.
 
-    No triplet is made: distances of one anchor are ordered, and each row of its own class adds the count and sum of the
-    other class's distances below its own plus one.
+    ``active`` counts the triplets of the anchor that hold the row and have 1 + d(own class) - d(other class) > 0, and
+    ``excess``, for rows of the anchor's class, sums what they exceed 0 by. No triplet is made: an anchor's distances,
+    those of its own class raised by one, are ordered, and running counts and sums tell what lies below.
     """
-    d = pairwise(anchors, rows).where("query <> subject")
     own = anchors.select(F.col("subject").alias("query"), F.col("label").alias("own"))
-    d = d.join(F.broadcast(own), "query").withColumn("same", F.col("label") == F.col("own"))
+    d = pairwise(anchors, rows, measure).where("query <> subject").join(own, "query").withColumn("same", F.col("label") == F.col("own"))
     at = F.when(F.col("same"), F.col("value") + 1).otherwise(F.col("value"))
     order = W.partitionBy("query").orderBy("at", F.desc("same")).rowsBetween(W.unboundedPreceding, 0)
-    other = F.when(~F.col("same"), F.col("value"))
-    below = d.withColumn("at", at).withColumns({"n": F.count(other).over(order), "total": F.coalesce(F.sum(other).over(order), F.lit(0.0))})
-    return below.where("same").groupBy("query").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("at") - F.col("total")).alias("loss"))
+    other, mine = F.when(~F.col("same"), F.col("value")), F.when(F.col("same"), 1)
+    run = d.withColumn("at", at).withColumns(
+        {"below": F.count(other).over(order), "total": F.coalesce(F.sum(other).over(order), F.lit(0.0)), "before": F.count(mine).over(order), "all": F.count(mine).over(W.partitionBy("query"))}
+    )
+    active = F.when(F.col("same"), F.col("below")).otherwise(F.col("all") - F.col("before"))
+    return run.select("query", "subject", "same", "value", active.alias("active"), F.when(F.col("same"), F.col("below") * F.col("at") - F.col("total")).alias("excess"))
+
+
+def margin_triplets(anchors: DataFrame, rows: DataFrame, measure: Callable[[Column, Column], Column] = squared_distance) -> DataFrame:
+    """(query, n, loss): active triplets of each anchor and the sum of their excess."""
+    return ranked_pairs(anchors, rows, measure).where("same").groupBy("query").agg(F.sum("active").alias("n"), F.sum("excess").alias("loss"))
 
 
 def gram(vectors: DataFrame, columns: list[str] = ()) -> tuple[np.ndarray, np.ndarray, int]:
@@ -244,37 +252,58 @@ def generative_score(design: DataFrame, model: DataFrame, points: int = 100) ->
     return looked.groupBy("subject").agg(F.sum("density").alias("score"))
 
 
-def metric_learning(vectors: DataFrame, dims: int, rounds: int = 5, alpha: float = 1e-3, gamma: float = 1.0) -> tuple[np.ndarray, list[float]]:
-    """A d x d metric S: within-class scatter plus gamma times the active margin of class means, projected to the PSD cone.
+def _triplet_gradient(anchors: DataFrame, rows: DataFrame, s: np.ndarray) -> tuple[np.ndarray, float]:
+    """Gradient and loss of all active triplets of the anchors: each pair counts as often as it is in one, pairs of the other class against."""
+    pairs = ranked_pairs(anchors, rows, lambda a, b: mahalanobis(a, b, s.tolist())).where("active > 0").persist()
+    loss = pairs.agg(F.coalesce(F.sum("excess"), F.lit(0.0))).first()[0]
+    vectors = pairs.join(rows.select("subject", "vector"), "subject").join(anchors.select(F.col("subject").alias("query"), F.col("vector").alias("q")), "query")
+    apart = vectors.select("same", F.zip_with("vector", "q", lambda x, y: x - y).alias("gap"), F.sqrt(F.col("active").cast("double")).alias("k"))
+    scaled = apart.select("same", F.transform("gap", lambda x: x * F.col("k")).alias("vector"))
+    g = np.zeros_like(s)
+    if loss > 0:
+        g = gram(scaled.where("same"))[0] - gram(scaled.where("not same"))[0]
+    pairs.unpersist()
+    return g, float(loss)
+
+
+def metric_learning(vectors: DataFrame, anchors: DataFrame, rounds: int = 5, alpha: float | None = None, gamma: float = 1.0) -> tuple[np.ndarray, list[float]]:
+    """A d x d metric S by projected gradient steps: pull of pairs within a class plus gamma times the active triplets.
 
-    Each round the gradient is an aggregate over rows and only d x d numbers reach the driver. The margin term keeps
-    every row by the class means: row to own mean plus one, less row to the other mean, where that is positive.
+    The pull's matrix is fixed and comes from sums of products; triplets are those of the anchors, a stated query set.
+    The step grows by 1 % when the loss fell, else halves; S stays in the positive semidefinite cone. Only d x d numbers
+    reach the driver.
     """
-    v = vectors.withColumn("vector", F.slice("vector", 1, dims))
-    means = {r["label"]: np.array(r["m"]) for r in v.groupBy("label").agg(F.array(*[F.avg(F.get("vector", F.lit(i))) for i in range(dims)]).alias("m")).collect()}
-    a, b = means[1], means[-1]
-    s, losses = np.eye(dims), []
+    cells = dz.within_class_scatter(vectors).toPandas()
+    d = int(cells["i"].max()) + 1
+    pull = np.zeros((d, d))
+    pull[cells["i"], cells["j"]] = cells["value"]
+    pull /= max(vectors.count(), 1)
+    s, losses = np.eye(d), []
+    alpha = alpha or 0.1 / max(np.linalg.norm(pull), 1e-12)
+    least = 1e-4 * alpha
     for _ in range(rounds):
-        own = F.when(F.col("label") == 1, F.array(*[F.lit(float(x)) for x in a])).otherwise(F.array(*[F.lit(float(x)) for x in b]))
-        far = F.when(F.col("label") == 1, F.array(*[F.lit(float(x)) for x in b])).otherwise(F.array(*[F.lit(float(x)) for x in a]))
-        m = v.withColumns({"own": own, "far": far})
-        margin = 1 + mahalanobis(F.col("vector"), F.col("own"), s.tolist()) - mahalanobis(F.col("vector"), F.col("far"), s.tolist())
-        m = m.withColumn("margin", margin)
-        near, _, n = gram(m.select(F.zip_with("vector", "own", lambda x, y: x - y).alias("vector")))
-        live = m.where("margin > 0")
-        hinge = live.agg(F.coalesce(F.sum("margin"), F.lit(0.0))).first()[0]
-        g = near / n
-        if hinge > 0:
-            g1, _, k = gram(live.select(F.zip_with("vector", "own", lambda x, y: x - y).alias("vector")))
-            g2, _, _ = gram(live.select(F.zip_with("vector", "far", lambda x, y: x - y).alias("vector")))
-            g = g + gamma * (g1 - g2) / n
-        losses.append(float((near * s).sum() / n + gamma * hinge / n))
-        alpha = alpha * 1.01 if len(losses) < 2 or losses[-1] <= losses[-2] else alpha * 0.5
-        values, axes = np.linalg.eigh(s - alpha * g)
+        g, hinge = _triplet_gradient(anchors, vectors, s)
+        losses.append(float((pull * s).sum()) + gamma * hinge)
+        alpha = alpha * (1.01 if len(losses) < 2 or losses[-1] <= losses[-2] else 0.5)
+        if alpha <= least:
+            break
+        step = pull + gamma * g
+        values, axes = np.linalg.eigh(s - alpha * step / max(np.linalg.norm(step) / np.linalg.norm(pull), 1.0))
         s = (axes * np.maximum(values, 0)) @ axes.T
     return s, losses
 
 
+def metric_score(queries: DataFrame, rows: DataFrame, s: np.ndarray, gamma: float = 1.0) -> DataFrame:
+    """(query, score): loss with the point labelled -1, over the sum of its losses labelled 1 and -1."""
+    measure = lambda a, b: mahalanobis(a, b, s.tolist())
+    out = None
+    for label, name in ((1, "plus"), (-1, "minus")):
+        pairs = ranked_pairs(queries.withColumn("label", F.lit(label)), rows, measure).where("same")
+        loss = pairs.groupBy("query").agg(F.sum(F.col("value") + gamma * F.col("excess")).alias(name))
+        out = loss if out is None else out.join(loss, "query")
+    return out.select("query", (F.col("minus") / (F.col("plus") + F.col("minus"))).alias("score"))
+
+
 def purity_tree(design: DataFrame, depth: int = 3, thres: float = 0.2, least: int = 8) -> list[dict]:
     """Nodes (node, feature_id, cut, side) of a tree that splits on the purest feature at its gap; level by level.
 

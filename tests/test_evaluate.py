@@ -96,3 +96,29 @@ def test_planted_feature_ranks_first(spark):
     rows = [(s, f, float(rng.normal() + (3 * (s % 2) if f == 7 else 0)), 1 if s % 2 else -1) for s in range(80) for f in range(12)]
     design = spark.createDataFrame(rows, "subject long, feature_id long, value double, label int")
     assert dz.top_features(dz.extreme_purity(design), 1).first()["feature_id"] == 7
+
+
+def test_triplet_gradient_equals_the_triple_loop(spark):
+    rng = np.random.default_rng(5)
+    x, y, s = rng.normal(size=(12, 3)), rng.choice([1, -1], 12), np.diag([1.0, 2.0, 0.5])
+    v = spark.createDataFrame([(i, [float(a) for a in r], int(l)) for i, (r, l) in enumerate(zip(x, y))], "subject long, vector array<double>, label int")
+    g, loss = md._triplet_gradient(v, v, s)
+    d = np.einsum("ijk,kl,ijl->ij", x[:, None] - x[None], s, x[:, None] - x[None])
+    want, total = np.zeros((3, 3)), 0.0
+    for i in range(12):
+        for j in range(12):
+            for k in range(12):
+                if j != i and y[j] == y[i] and y[k] != y[i] and (e := 1 + d[i, j] - d[i, k]) > 0:
+                    total += e
+                    want += np.outer(x[i] - x[j], x[i] - x[j]) - np.outer(x[i] - x[k], x[i] - x[k])
+    assert np.allclose(g, want) and np.isclose(loss, total)
+
+
+def test_learned_metric_tells_classes_apart(spark):
+    rng = np.random.default_rng(6)
+    y = rng.choice([1, -1], 60)
+    x = rng.normal(size=(60, 3)) * [0.3, 3, 3] + np.outer(y, [1, 0, 0])
+    v = spark.createDataFrame([(i, [float(a) for a in r], int(l)) for i, (r, l) in enumerate(zip(x, y))], "subject long, vector array<double>, label int")
+    s, losses = md.metric_learning(v, v, rounds=6)
+    out = {r["query"]: r["score"] for r in md.metric_score(v, v, s).collect()}
+    assert losses[-1] < losses[0] and np.mean([(out[i] > 0.5) == (y[i] == 1) for i in range(60)]) > 0.8
