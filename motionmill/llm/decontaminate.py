@@ -11,7 +11,8 @@ A window that shares a key with an item is verified: with Myers' bit-vectors, th
 the whole item and the stretch around the window. The item is found where it is at most ``EDITS`` of the item's words.
 
 The benchmark is the stated query set. It is taken in blocks of about ``BLOCK_CHARS`` characters, one pass over the
-documents each. Items of fewer than ``MIN_WORDS`` words are too short to tell from ordinary text and are not sought.
+documents each. Items of fewer than ``MIN_WORDS`` words are found where they stand word for word. In scripts without
+blanks every character is a word. Items without any word can't be sought.
 Null texts count as empty; null ids stay null; repeated rows each get their matches. Only the columns named are read.
 """
 
@@ -36,7 +37,9 @@ STEPS = 20
 MIN_WORDS = 8
 BLOCK_CHARS = 4_000_000
 PIECE = 1 << 16
-_WORD = re.compile(r"\w+")
+#: Scripts without blanks: Thai to Myanmar, Khmer, kana, Han and their extensions.
+_DENSE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_WORD = re.compile(rf"(?=[{_DENSE}])\w|(?:(?![{_DENSE}])\w)+")
 MATCH = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("edits", T.IntegerType()),
      T.StructField("item_words", T.IntegerType()), T.StructField("first_word", T.LongType()), T.StructField("last_word", T.LongType())]
@@ -73,10 +76,10 @@ class Index:
     """Items by the LSH keys of their walks, as one trie of sampled words for each repeat and class of lengths."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], repeats: int = REPEATS, samples: int = SAMPLES, steps: int = STEPS, edits: float = EDITS, seed: int = 11):
-        self.items = [(k, w) for k, t in items if len(w := words_of(t)) >= MIN_WORDS]
+        self.items = [(k, w) for k, t in items if (w := words_of(t))]
         self.vocab = {w: i + 1 for i, w in enumerate(sorted({w for _, ws in self.items for w in ws}))}
         self.ids = [[self.vocab[w] for w in ws] for _, ws in self.items]
-        self.most = [int(edits * len(ws)) for ws in self.ids]
+        self.most = [int(edits * len(ws)) if len(ws) >= MIN_WORDS else 0 for ws in self.ids]
         self.width = len(self.vocab) + 1
         rng = np.random.default_rng(seed)
         self.tries = []
@@ -89,6 +92,10 @@ class Index:
                 sampled += sorted(rng.choice(np.arange(sampled[0] + 1, span), min(samples, span - 2) - 1, replace=False).tolist())
                 if mine:
                     self.tries.append(self._trie(moves, sampled, mine, span))
+        for n in range(1, MIN_WORDS):  # whole short items, entered at their start only
+            mine = [i for i, ws in enumerate(self.ids) if len(ws) == n]
+            if mine:
+                self.tries.append(self._trie(np.ones((n, self.width), np.int32), list(range(n)), mine, 2 * n))
 
     def _trie(self, moves: np.ndarray, sampled: list[int], mine: list[int], span: int) -> dict:
         levels: list[dict[int, int]] = [{} for _ in sampled]

@@ -6,10 +6,11 @@ is an entity. Words that stand within ``REACH`` characters of its mentions are c
 
     disclosure = log2(n_ct * N / (n_t * n_c)) / log2(N / n_c)
 
-is the share of the entity's information that the term gives away: 1 for a term that stands nowhere else. A term with
-at least ``SUPPORT`` such occurrences and a disclosure of ``DISCLOSURE`` or more is a ``term`` span wherever it stands
-beside that entity. ``sanitise`` replaces base spans by their kind, generalises capitalised terms to ``[NAME]`` and
-removes other terms.
+is the share of the entity's information that the term gives away: 1 for a term that stands nowhere else. The same is
+counted by whole texts: ``n_ct`` texts with both, of ``n_t`` with the term and ``n_c`` with the entity among ``N``
+texts. A term with at least ``SUPPORT`` such occurrences, or different texts, and a disclosure of ``DISCLOSURE`` or more
+is telling, and is a ``term`` span wherever it stands in any text. ``sanitise`` replaces base spans by their kind,
+generalises capitalised terms to ``[NAME]`` and removes other terms.
 
 Null texts count as empty, offsets are code points, ends are exclusive. Spans of one text depend on that text and the
 corpus counts only, so repeated rows agree; a null id stays null. Other columns are kept by ``sanitise`` and ignored
@@ -34,13 +35,16 @@ PATTERNS = {
 }
 #: What a text must contain for a pattern to match at all.
 HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-WORD = r"(?<![^\s\"'(\[])\p{L}{3,}(?=[.,;:!?)\]\"']*+(?:\s|$))"
+BEFORE, AFTER = r"(?<![^\s\"'(\[])", r"(?=[.,;:!?)\]\"']*+(?:\s|$))"
+WORD = BEFORE + r"\p{L}{3,}" + AFTER
 REACH = 80
 SUPPORT = 3
 DISCLOSURE = 0.9
+#: Telling terms up to this number are sent to every task, more meet the texts' words by an exchange.
+BROADCAST_TERMS = 500_000
 
 
-def _places(text: Column, hits: Column, pattern: str) -> Column:
+def _places(text: Column, hits: Column, pattern: str | Column) -> Column:
     """Array of (value, start, end) of ``hits``, all matches of ``pattern`` in ``text``: lengths of what lies between them."""
     gaps = F.split(text, pattern, -1)
     sized = F.transform(hits, lambda h, i: F.struct(h.alias("v"), F.length(F.get(gaps, i)).alias("gap"), F.length(h).alias("n")))
@@ -126,31 +130,72 @@ def _mentions(text: Column, base: Column) -> Column:
     return F.transform(base, around)
 
 
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+
+
+def _digest(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
 def term_counts(df: DataFrame, text: str = "text") -> DataFrame:
-    """(term, n_t) over all texts."""
-    words = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(WORD), F.lit(0))
-    return df.select(F.explode(words).alias("word")).groupBy(F.lower("word").alias("term")).agg(F.count(F.lit(1)).alias("n_t"))
+    """(term, n_t, texts) over all texts: occurrences, and texts with the term."""
+    words = F.array_sort(F.transform(_words(F.coalesce(F.col(text), F.lit(""))), F.lower))
+    sized = df.select(words.alias("words")).select(F.explode(F.transform("words", lambda w, i: F.struct(w.alias("term"), ((i == 0) | (w != F.get("words", i - 1))).cast("int").alias("first")))).alias("w"))
+    return sized.groupBy(F.col("w.term").alias("term")).agg(F.count(F.lit(1)).alias("n_t"), F.sum("w.first").alias("texts"))
+
+
+def _telling(counts: DataFrame, disclosure: float) -> DataFrame:
+    """Terms of ``counts`` (term, n_ct, n_t, n_c, total) with the disclosure asked for."""
+    share = F.log2(F.col("n_ct") * F.col("total") / (F.col("n_t") * F.col("n_c"))) / F.log2(F.greatest(F.col("total") / F.col("n_c"), F.lit(2.0)))
+    return counts.where(F.round(share, 9) >= disclosure).select("term")
+
+
+def _telling_terms(rows: DataFrame, n_t: DataFrame, support: int, disclosure: float) -> DataFrame:
+    """(term): what tells of an entity by what stands beside it, or by the texts that hold both; a row per term."""
+    mentions = rows.select(F.explode("mentions").alias("m")).select("m.entity", "m.words")
+    n_c = mentions.groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
+    n_ct = mentions.select("entity", F.inline("words")).groupBy("entity", F.col("value").alias("term")).agg(F.count(F.lit(1)).alias("n_ct")).where(F.col("n_ct") >= support)
+    total = n_t.agg(F.coalesce(F.sum("n_t"), F.lit(0)).cast("double").alias("total"))  # one row
+    beside = _telling(n_ct.join(n_t, "term").join(n_c, "entity").crossJoin(F.broadcast(total)), disclosure)
+
+    # copies of a text are counted, but are no support of their own
+    texts = rows.where(F.size("base") > 0).groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.first("mentions.entity").alias("entities"), F.first("words").alias("words"))
+    holds = texts.select("key", "copies", F.explode(F.array_distinct("entities")).alias("entity"))
+    n_c = written(holds.groupBy("entity").agg(F.sum("copies").alias("n_c"), F.count(F.lit(1)).alias("support")).where(F.col("support") >= support).drop("support"), "pii-entities")
+    pairs = holds.join(n_c.select("entity"), "entity").join(texts.select("key", "words"), "key").select("entity", "copies", F.explode("words").alias("term"))
+    n_ct = pairs.groupBy("entity", "term").agg(F.sum("copies").alias("n_ct"), F.count(F.lit(1)).alias("support")).where(F.col("support") >= support)
+    total = rows.agg(F.count(F.lit(1)).cast("double").alias("total"))  # one row
+    within = _telling(n_ct.join(n_t.select("term", F.col("texts").alias("n_t")), "term").join(n_c, "entity").crossJoin(F.broadcast(total)), disclosure)
+    return beside.unionByName(within).distinct()
 
 
 def find_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> tuple[DataFrame, DataFrame]:
     """Two tables: (doc_id, key, base) for every row of ``df``; (key, terms) for texts with disclosing terms.
 
-    ``key`` is the text's digest, null for texts without base spans; ``terms`` is a sorted array of (start, end).
+    ``key`` is the text's digest; ``terms`` is a sorted array of (start, end).
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    found = with_base_spans(df.select(F.col(doc_id).alias("doc_id"), body.alias("pii_text")), "pii_text")
-    key = F.when(F.size("pii_base") > 0, F.md5(F.col("pii_text").cast("binary")))
-    rows = written(found.select("doc_id", key.alias("key"), F.col("pii_base").alias("base"), _mentions(F.col("pii_text"), F.col("pii_base")).alias("mentions")), "pii-base")
-    mentions = rows.select("key", F.explode("mentions").alias("m")).select("key", "m.entity", "m.words")
-    beside = mentions.select("key", "entity", F.inline("words")).withColumnRenamed("value", "term")
-    n_c = mentions.groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
-    n_ct = beside.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_ct")).where(F.col("n_ct") >= support)
-    n_t = written(term_counts(df, text), "pii-terms")
-    total = n_t.agg(F.coalesce(F.sum("n_t"), F.lit(0)).cast("double").alias("total"))  # one row
-    known = n_ct.join(n_t, "term").join(n_c, "entity").crossJoin(F.broadcast(total))
-    share = F.log2(F.col("n_ct") * F.col("total") / (F.col("n_t") * F.col("n_c"))) / F.log2(F.greatest(F.col("total") / F.col("n_c"), F.lit(2.0)))
-    telling = known.where(F.round(share, 9) >= disclosure).select("entity", "term")
-    spans = beside.join(telling, ["entity", "term"]).groupBy("key", "start", "end").agg(F.lit(1).alias("one"))
+    texts = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("pii_text")).withColumn("key", _digest(F.col("pii_text")))
+    found = with_base_spans(texts, "pii_text")
+    words = F.when(F.size("pii_base") > 0, F.array_distinct(F.transform(_words(F.col("pii_text")), F.lower)))
+    rows = written(found.select("doc_id", "key", F.col("pii_base").alias("base"), _mentions(F.col("pii_text"), F.col("pii_base")).alias("mentions"), words.alias("words")), "pii-base")
+    telling = written(_telling_terms(rows, written(term_counts(df, text), "pii-terms"), support, disclosure), "pii-telling")
+    few = telling.count() <= BROADCAST_TERMS
+    telling = F.broadcast(telling) if few else telling
+    # a match ends where its run of letters ends, so the order of the forms does not matter
+    pattern = lambda form: F.concat(F.lit(BEFORE + "(?:"), form, F.lit(")" + AFTER))
+    if few:  # texts stay where they are read
+        shown = texts.select("key", "pii_text", F.explode(F.array_distinct(_words(F.col("pii_text")))).alias("form"))
+        shown = shown.withColumn("term", F.lower("form")).join(telling, "term").withColumn("pattern", pattern(F.col("form")))
+    else:
+        forms = texts.select("key", F.explode(F.array_distinct(_words(F.col("pii_text")))).alias("form")).withColumn("term", F.lower("form")).join(telling, "term")
+        held = written(forms.groupBy("key").agg(F.collect_set("form").alias("forms")), "pii-forms")
+        shown = texts.select("key", "pii_text").join(held, "key").withColumn("pattern", pattern(F.array_join("forms", "|")))
+    shown = shown.withColumn("hits", F.regexp_extract_all("pii_text", F.col("pattern"), F.lit(0)))
+    spans = shown.select("key", F.inline(_places(F.col("pii_text"), F.col("hits"), F.col("pattern")))).select("key", "start", "end")
+    # a word that touches a base span ends there
+    beside = rows.select("key", F.explode("mentions.words").alias("words")).select("key", F.inline("words")).withColumnRenamed("value", "term")
+    spans = spans.unionByName(beside.join(telling, "term").select("key", "start", "end")).groupBy("key", "start", "end").agg(F.lit(1).alias("one"))
     terms = spans.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("terms"))
     return rows.select("doc_id", "key", "base"), terms
 
@@ -160,9 +205,7 @@ def sanitise(df: DataFrame, doc_id: str = "doc_id", text: str = "text", support:
     _, terms = find_spans(df, doc_id, text, support, disclosure)
     terms = written(terms, "pii-spans").withColumnsRenamed({"key": "pii_key", "terms": "pii_terms"})
     named = with_base_spans(df, text)
-    named = named.withColumn("pii_key", F.when(F.size("pii_base") > 0, F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))))
-    bare = named.where("pii_key is null").withColumn("pii_terms", F.lit(None).cast("array<struct<start:int,end:int>>"))
-    joined = named.where("pii_key is not null").join(terms, "pii_key", "left").unionByName(bare)
+    joined = named.withColumn("pii_key", _digest(F.col(text))).join(terms, "pii_key", "left")
     body = F.col(text)
     shown = F.transform("pii_base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("label")))
     named_term = lambda s: F.when(F.substr(body, s["start"] + 1, F.lit(1)).rlike(r"^\p{Lu}"), F.lit("[NAME]")).otherwise(F.lit(""))
@@ -177,7 +220,7 @@ def sanitise(df: DataFrame, doc_id: str = "doc_id", text: str = "text", support:
         ),
         lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(body, acc["at"] + 1)),
     )
-    clean = F.when(F.size("pii_base") > 0, folded).otherwise(body)
+    clean = F.when(F.size(spans) > 0, folded).otherwise(body)
     return joined.withColumn(text, clean).select(*df.columns)
 
 
@@ -189,9 +232,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, terms = find_spans(table(spark, sf_dir, "documents"))
     n = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     none = F.expr("cast(array() as array<string>)")
-    # rows without a key have no spans of either sort, and would all meet in one task of the join
-    bare = rows.where("key is null").withColumn("terms", F.lit(None).cast("array<struct<start:int,end:int>>"))
-    return rows.where("key is not null").join(terms, "key", "left").unionByName(bare).select(
+    return rows.join(terms, "key", "left").select(
         "doc_id", *[n(k) for k in PATTERNS], F.sha2(F.array_join(_listed(F.col("base")), ","), 256).alias("base_sha256"),
         F.array_join(F.concat(_listed(F.col("base")), F.coalesce(_listed(F.col("terms"), "term"), none)), ",").alias("spans"),
     )

@@ -103,14 +103,16 @@ def place(rows: DataFrame, slot_map: DataFrame, key: str = "doc_id") -> DataFram
 
 
 def op10_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places by the first map; owners by the grown map, and by that map with the bytes of all documents levelled."""
     from motionmill.llm._shared import table, written
 
     n = 16
     rows = sized_rows(table(spark, sf_dir, "documents"))
     first = initial_map(spark, n)
     maps = written(first.unionByName(grow_map(first, n)), "slot-map")
+    level = written(rebalance_map(maps.where("version = 2"), written(slot_sizes(rows), "slot-sizes"), n + 1), "slot-map")
     placed = place(rows, maps.where("version = 1"))
-    grown = maps.where("version = 2").select("vslot", F.col("shard").alias("grown_shard"))
-    return placed.join(F.broadcast(grown), "vslot").select(
-        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard"
+    later = maps.where("version = 2").select("vslot", F.col("shard").alias("grown_shard")).join(level.select("vslot", F.col("shard").alias("level_shard")), "vslot")
+    return placed.join(F.broadcast(later), "vslot").select(
+        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", "level_shard"
     )

@@ -312,6 +312,16 @@ def test_blocks_of_the_benchmark_give_the_same(spark, monkeypatch):
     assert sorted(map(tuple, dec.find_items(df, bench).collect())) == whole and len(whole) == 12
 
 
+def test_short_items_and_scripts_without_blanks_are_found(spark):
+    rng = random.Random(15)
+    han = "".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(60))
+    bench = spark.createDataFrame([(1, "one Red fox."), (2, "zebra"), (3, f"{han[:20]}，{han[20:45]}。{han[45:]}"), (4, "..."), (5, "seven plain words stand in this item")], "item_id long, text string")
+    rows = [(1, f"{passage(rng, 30)} ONE red, fox"), (2, "one red old fox"), (3, "zebras"), (4, "the zebra"), (5, f"前{han[:30]}猫{han[31:]}後"), (6, passage(rng, 40)), (7, "one red"), (8, "fox"), (9, "so seven plain words stand in this item")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert {(r["doc_id"], r["item_id"], r["edits"]) for r in dec.find_items(df, bench).collect()} == {(1, 1, 0), (4, 2, 0), (5, 3, 1), (9, 5, 0)}
+    assert {r["doc_id"] for r in dec.drop_contaminated(df, bench).collect()} == {2, 3, 6, 7, 8}
+
+
 # ---------------------------------------------------------------- 7
 
 
@@ -412,6 +422,26 @@ def test_telling_terms(spark, none):
     assert pii.sanitise(df).columns == df.columns and pii.sanitise(df).count() == len(rows) and pii.sanitise(none).count() == 0
 
 
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_telling_terms_go_everywhere(spark, monkeypatch, most):
+    monkeypatch.setattr(pii, "BROADCAST_TERMS", most)
+    rng = random.Random(14)
+    far = prose(rng, 60)
+    rows = [(i, prose(rng, 60)) for i in range(400)]
+    rows += [(500 + i, f"{prose(rng, 20)} Zarquonix bob@ex.org {far} ZARQUONIX, {prose(rng, 5)}") for i in range(4)]
+    rows += [(600 + i, f"Quilby {prose(rng, 60)} ann@ex.org {prose(rng, 10)}") for i in range(4)]
+    rows += [(700, f"{far} (Zarquonix) said"), (701, "Zarquonixes and Quilby. "), (702, "nothing")] + [(710, "Sorrel jim@ex.org " + "umber " * 3)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
+    assert all("zarquonix" not in clean[i].lower() and "[EMAIL]" in clean[i] for i in range(500, 504))
+    assert all("Quilby" not in clean[i] for i in range(600, 604))
+    assert clean[700] == f"{far} ([NAME]) said" and clean[701] == "Zarquonixes and [NAME]. " and clean[702] == "nothing"
+    base, terms = pii.find_spans(df)
+    found = {r["doc_id"]: [tuple(s) for s in r["terms"]] for r in base.join(terms, "key").collect()}
+    text = dict(rows)
+    assert found[700] == [(text[700].index("Zarquonix"), text[700].index("Zarquonix") + 9)] and 702 not in found
+
+
 # ---------------------------------------------------------------- 9 and 10
 
 
@@ -476,3 +506,23 @@ def test_rebalancing_levels_bytes_and_moves_little(spark):
     before, after = loads(first), loads(new)
     assert max(after) - min(after) < 0.25 * (max(before) - min(before)) + 3000 and new.count() == 512
     assert first.join(new.withColumnRenamed("shard", "s2"), "vslot").where("shard <> s2").count() < 200
+
+
+def test_distrust_far_off_is_kept_at_any_size(spark):
+    links = [(f"h{i:02}", f"h{i + 1:02}", 1) for i in range(26)] + [(f"h{i:02}", f"x{i:02}", 49) for i in range(3, 6)]
+    seeds = [("h26", 0, 1), ("else", 0, 10**9)]
+    got = {r["host"]: r["distrust"] for r in urls.propagate(spark.createDataFrame(links, "src string, dst string, n long"), spark.createDataFrame(seeds, "host string, trust long, distrust long")).collect()}
+    want = 0.15 / (1e9 + 1)
+    for i in range(26, -1, -1):
+        assert got[f"h{i:02}"] == pytest.approx(want, rel=1e-5), i
+        want *= 0.85
+
+
+def test_the_query_levels_the_bytes(spark, tmp_path):
+    rng = random.Random(16)
+    df = spark.createDataFrame([(i, "x" * int(rng.paretovariate(1.2) * 20)) for i in range(3000)], "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    out = sharding.op10_slots(spark, str(tmp_path)).toPandas()
+    grown, level = (out.groupby(c)["size"].sum() for c in ("grown_shard", "level_shard"))
+    assert len(out) == 3000 and level.max() < grown.max() and level.std() < 0.5 * grown.std()
+    assert out.groupby("shard")["slot"].apply(lambda s: sorted(s) == list(range(len(s)))).all()
