@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from motionmill.operators.evaluate import running
 
 BLOCK = 1024
 
@@ -42,20 +44,96 @@ def density_at_points(design: DataFrame, bandwidth: str = "variance") -> DataFra
     return each.groupBy("subject", "feature_id").agg((F.sum("part") / F.first("n")).alias("density"))
 
 
-def density_on_grid(design: DataFrame, points: int = 20, tail: float = 0.05) -> DataFrame:
-    """(feature_id, point, x, density): Gaussian density on an even grid between the ``tail`` quantiles of each feature.
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _grid_sums(values: pd.Series, x0: pd.Series, dx: pd.Series, points: pd.Series, h: pd.Series) -> pd.Series:
+    """For each point of an even grid, the sum of Gaussian kernels of width h around the values."""
+    out = []
+    for v, a, d, n, w in zip(values, x0, dx, points, h):
+        z = (a + d * np.arange(n)[:, None] - np.asarray(v)[None]) / w
+        out.append(np.exp(-z * z / 2).sum(axis=1) / (w * np.sqrt(2 * np.pi)))
+    return pd.Series(out)
+
+
+def grid_sums(values: DataFrame, grids: DataFrame, by: list[str]) -> DataFrame:
+    """(by, point, total): kernel sums on the grid of each group; ``grids``: by, n, x0, dx, points, h, a row per group.
 
-    Discrete quantiles; each value adds to all points of its feature's grid, in partial sums.
+    About ``BLOCK`` values of a group go to numpy at once and give one sum per grid point, so neither a value nor a group
+    is multiplied by its grid in an exchange.
     """
-    q = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY value)")
-    stats = design.groupBy("feature_id").agg(F.count(F.lit(1)).alias("n"), F.var_pop("value").alias("var"), q(tail).alias("lo"), q(1 - tail).alias("hi")).where("var > 0")
+    block = F.pmod(F.xxhash64("subject"), F.ceil(F.col("n") / BLOCK)).cast("int")
+    blocks = values.join(grids.select(*by, "n"), by).groupBy(*by, block.alias("block")).agg(F.collect_list("value").alias("values"))
+    met = blocks.join(grids, by).select(*by, _grid_sums("values", "x0", "dx", "points", "h").alias("sums"))
+    return met.select(*by, F.posexplode("sums").alias("point", "part")).groupBy(*by, "point").agg(F.sum("part").alias("total"))
+
+
+def exact_quantiles(values: DataFrame, by: list[str], levels: list[float], tie: str = "value") -> DataFrame:
+    """(by, q): discrete quantiles, the least values that at least the share of ``levels`` of their group doesn't exceed.
+
+    From ranks by ranges, so no task holds a group.
+    """
+    ranked = running(values.where("value is not null"), by, "value", tie, {"rn": F.lit(1).cast("long")})
+    at = lambda p: F.greatest(F.ceil(F.round(p * F.col("all_rn"), 9)), F.lit(1))
+    return ranked.groupBy(*by).agg(F.array(*[F.min(F.when(F.col("rn") >= at(p), F.col("value"))) for p in levels]).alias("q"))
+
+
+def density_on_grid(design: DataFrame, points: int = 20, tail: float = 0.05) -> DataFrame:
+    """(feature_id, point, x, density): Gaussian density on an even grid between the ``tail`` quantiles of each feature."""
+    stats = design.groupBy("feature_id").agg(F.count(F.lit(1)).alias("n"), F.var_pop("value").alias("var")).where("var > 0")
     h = F.col("var") * F.pow(F.col("n").cast("double"), F.lit(-0.2))
-    grid = stats.withColumn("h", h).select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
-    grid = grid.withColumn("x", F.col("lo") + F.col("point") * (F.col("hi") - F.col("lo")) / (points - 1))
-    z = (F.col("x") - F.col("value")) / F.col("h")
-    met = design.select("feature_id", "value").join(grid.select("feature_id", "point", "x", "h", "n"), "feature_id")
-    return met.groupBy("feature_id", "point", "x", "n", "h").agg(F.sum(F.exp(-z * z / 2)).alias("total")).select(
-        "feature_id", "point", "x", (F.col("total") / (F.col("n") * F.col("h") * F.sqrt(F.lit(2 * np.pi)))).alias("density")
+    grids = stats.join(exact_quantiles(design, ["feature_id"], [tail, 1 - tail], "subject"), "feature_id").select(
+        "feature_id", "n", F.col("q")[0].alias("x0"), ((F.col("q")[1] - F.col("q")[0]) / (points - 1)).alias("dx"), F.lit(points).alias("points"), h.alias("h")
+    )
+    sums = grid_sums(design, grids, ["feature_id"]).join(grids, "feature_id")
+    return sums.select("feature_id", "point", (F.col("x0") + F.col("point") * F.col("dx")).alias("x"), (F.col("total") / F.col("n")).alias("density"))
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _plane_sums(values: pd.Series, x0: pd.Series, dx: pd.Series, points: pd.Series, h: pd.Series) -> pd.Series:
+    """For each point of an even grid of two axes, first axis first, the sum of products of Gaussian kernels."""
+    out = []
+    for v, a, d, n, w in zip(values, x0, dx, points, h):
+        flat = np.array([list(x) for x in v])
+        sides = []
+        for i in range(2):
+            z = (a[i] + d[i] * np.arange(n)[:, None] - flat[None, :, i]) / w[i]
+            sides.append(np.exp(-z * z / 2) / (w[i] * np.sqrt(2 * np.pi)))
+        out.append((sides[0] @ sides[1].T).ravel())
+    return pd.Series(out)
+
+
+def principal_turn(xx: Column, xy: Column, yy: Column) -> Column:
+    """The angle from the first axis to the axis of the largest uncentred second moment."""
+    return F.atan2(2 * xy, xx - yy) / 2
+
+
+def density_on_plane(design: DataFrame, pairs: DataFrame, points: int = 10, tail: float = 0.05) -> DataFrame:
+    """(first, second, i, j, x, y, density) on an even grid of the two principal axes of each pair of features.
+
+    ``pairs``: first, second, a short list of features that are looked at together. Values are turned to their principal
+    axes, uncentred; each axis has its own bandwidth, its variance times n^(-1/6), and runs between its ``tail`` quantiles.
+    """
+    by = ["first", "second"]
+    side = lambda f, v: design.select("subject", F.col("feature_id").alias(f), F.col("value").alias(v)).join(F.broadcast(pairs), f)
+    both = side("first", "u").join(side("second", "v"), ["subject", *by])
+    turn = both.groupBy(*by).agg(principal_turn(F.sum(F.col("u") * F.col("u")), F.sum(F.col("u") * F.col("v")), F.sum(F.col("v") * F.col("v"))).alias("turn"))
+    turned = both.join(F.broadcast(turn), by).select(
+        "subject", *by, (F.col("u") * F.cos("turn") + F.col("v") * F.sin("turn")).alias("x"), (F.col("v") * F.cos("turn") - F.col("u") * F.sin("turn")).alias("y")
+    )
+    axes = []
+    for axis in ("x", "y"):
+        one = turned.select("subject", *by, F.col(axis).alias("value"))
+        q = exact_quantiles(one, by, [tail, 1 - tail], "subject")
+        stats = one.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), (F.var_pop("value") * F.pow(F.count(F.lit(1)).cast("double"), F.lit(-1 / 6))).alias(f"h{axis}"))
+        axes.append(q.join(stats, by).select(*by, *(["n"] if axis == "x" else []), f"h{axis}", F.col("q")[0].alias(f"{axis}0"), ((F.col("q")[1] - F.col("q")[0]) / (points - 1)).alias(f"d{axis}")))
+    grids = axes[0].join(axes[1], by).where("hx > 0 and hy > 0")
+    block = F.pmod(F.xxhash64("subject"), F.ceil(F.col("n") / BLOCK)).cast("int")
+    blocks = turned.join(F.broadcast(grids), by).groupBy(*by, block.alias("block")).agg(F.collect_list(F.array("x", "y")).alias("values"))
+    two = lambda a, b: F.array(a, b)
+    met = blocks.join(F.broadcast(grids), by).select(*by, _plane_sums("values", two("x0", "y0"), two("dx", "dy"), F.lit(points), two("hx", "hy")).alias("sums"))
+    total = met.select(*by, F.posexplode("sums").alias("at", "part")).groupBy(*by, "at").agg(F.sum("part").alias("total")).join(F.broadcast(grids), by)
+    i, j = F.floor(F.col("at") / points), F.col("at") % points
+    return total.select(
+        *by, i.cast("int").alias("i"), j.cast("int").alias("j"), (F.col("x0") + i * F.col("dx")).alias("x"), (F.col("y0") + j * F.col("dy")).alias("y"), (F.col("total") / F.col("n")).alias("density")
     )
 
 
@@ -69,9 +147,7 @@ def density_lookup(design: DataFrame, grid: DataFrame, points: int) -> DataFrame
 
 
 def quantile_bins(values: DataFrame, key: str, levels: list[float], exact: bool = False) -> DataFrame:
-    """(key, bins): quantiles of the values of each key; a mergeable sketch, or exact for small sets."""
+    """(key, bins): quantiles of the values of each key; a mergeable sketch, or exact from ranks."""
     if exact:
-        cut = F.array(*[F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY value)") for p in levels])
-    else:
-        cut = F.percentile_approx("value", levels, 10_000)
-    return values.groupBy(key).agg(cut.alias("bins"))
+        return exact_quantiles(values, [key], levels).withColumnRenamed("q", "bins")
+    return values.groupBy(key).agg(F.percentile_approx("value", levels, 10_000).alias("bins"))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
+
+from motionmill.operators.evaluate import running
 
 
 def concat_designs(parts: list[DataFrame]) -> DataFrame:
@@ -64,14 +68,23 @@ def weight_labels(subjects: DataFrame) -> DataFrame:
     )
 
 
-def extreme_purity(design: DataFrame) -> DataFrame:
-    """(feature_id, score): share of positives among the lowest and the highest tenth of values, the larger of both."""
-    order = W.partitionBy("feature_id").orderBy("value", "subject")
-    ranked = design.withColumns({"rn": F.row_number().over(order), "n": F.count(F.lit(1)).over(W.partitionBy("feature_id"))})
+def ranked_values(design: DataFrame, by: list[str]) -> DataFrame:
+    """``design`` with rn (from 1), n and the value before, in the order of value, then subject, of each group."""
+    ranked = running(design, by, "value", "subject", {"rn": F.lit(1).cast("long")}, previous="before")
+    return ranked.withColumnRenamed("all_rn", "n")
+
+
+def purity(ranked: DataFrame, by: list[str]) -> DataFrame:
+    """(by, score, share, n): share of positives among the lowest and the highest tenth of values, the larger of both; and of all."""
     k = F.greatest(F.floor(F.col("n") / 10), F.lit(1))
     positive = (F.col("label") == 1).cast("double")
     low, high = F.avg(F.when(F.col("rn") <= k, positive)), F.avg(F.when(F.col("rn") > F.col("n") - k, positive))
-    return ranked.groupBy("feature_id").agg(F.greatest(low, high).alias("score"))
+    return ranked.groupBy(*by).agg(F.greatest(low, high).alias("score"), F.avg(positive).alias("share"), F.first("n").alias("n"))
+
+
+def extreme_purity(design: DataFrame) -> DataFrame:
+    """(feature_id, score)."""
+    return purity(ranked_values(design, ["feature_id"]), ["feature_id"]).select("feature_id", "score")
 
 
 def rank_features(scores: DataFrame) -> DataFrame:
@@ -89,15 +102,18 @@ def select_by_deviation(scores: DataFrame, thres: float = 0.21) -> DataFrame:
     return scores.crossJoin(F.broadcast(middle)).select("feature_id", off.alias("deviation")).where(F.col("deviation") >= thres).orderBy(F.desc("deviation"), "feature_id")
 
 
+def gap_cuts(ranked: DataFrame, by: list[str], thres: float) -> DataFrame:
+    """(by, cut): the value above a gap of at least ``thres`` of the group's largest, nearest to the middle rank."""
+    gap = F.col("value") - F.col("before")
+    widest = ranked.groupBy(*by).agg(F.max(gap).alias("widest"))
+    wide = ranked.join(widest, by).where(gap >= thres * F.col("widest"))
+    return wide.groupBy(*by).agg(F.min_by("value", F.struct(F.abs(F.col("rn") - 1 - F.col("n") / 2), "rn")).alias("cut"))
+
+
 def gap_split(design: DataFrame, scores: DataFrame, thres: float) -> DataFrame:
-    """(feature_id, cut): the best feature, cut above a gap of at least ``thres`` of its largest, the nearest to the middle rank."""
+    """(feature_id, cut) of the best feature."""
     best = scores.orderBy(F.desc("score"), "feature_id").limit(1).select("feature_id")  # one row
-    order = W.partitionBy("feature_id").orderBy("value", "subject")
-    ranked = design.join(F.broadcast(best), "feature_id").withColumns(
-        {"gap": F.col("value") - F.lag("value").over(order), "rn": F.row_number().over(order) - 1, "n": F.count(F.lit(1)).over(W.partitionBy("feature_id"))}
-    )
-    wide = ranked.withColumn("widest", F.max("gap").over(W.partitionBy("feature_id"))).where(F.col("gap") >= thres * F.col("widest"))
-    return wide.groupBy("feature_id").agg(F.min_by("value", F.struct(F.abs(F.col("rn") - F.col("n") / 2), "rn")).alias("cut"))
+    return gap_cuts(ranked_values(design.join(F.broadcast(best), "feature_id"), ["feature_id"]), ["feature_id"], thres)
 
 
 def class_log_ratio(design: DataFrame, phi) -> DataFrame:
@@ -112,9 +128,35 @@ def detection_score(design: DataFrame, weights: DataFrame, psi) -> DataFrame:
     return design.join(weights, "feature_id").groupBy("subject").agg(F.avg(psi(F.col("value")) * F.col("weight")).alias("score"))
 
 
+def product_sums(vectors: DataFrame, by: list[str], columns: list[str] = ()) -> DataFrame:
+    """(by, i, j, value): sums of products of the entries i of (vector, 1) and j of (vector, 1, columns), for each group.
+
+    Partitions hand on one matrix for each of their groups; its cells are summed with partial aggregates. The last
+    entries hold the sums and the number of rows.
+    """
+    names, kinds = list(columns), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in vectors.schema.fields if f.name in by)
+
+    def partial(batches):
+        sums: dict[tuple, np.ndarray] = {}
+        for b in batches:
+            for key, rows in b.groupby(list(by), dropna=False) if by else [((), b)]:
+                if len(rows):
+                    x = np.c_[np.stack(rows["vector"].tolist()), np.ones(len(rows))]
+                    m = x.T @ np.c_[x, rows[names].to_numpy(float)]
+                    sums[key] = sums[key] + m if key in sums else m
+        for key, m in sums.items():
+            yield pd.DataFrame([[*key, m.shape[1], m.ravel().tolist()]], columns=[*by, "width", "m"])
+
+    rows = vectors.select(*by, "vector", *names).mapInPandas(partial, ", ".join(filter(None, [kinds, "width long, m array<double>"])))
+    cells = rows.select(*by, "width", F.posexplode("m").alias("at", "v")).groupBy(*by, "width", "at").agg(F.sum("v").alias("value"))
+    return cells.select(*by, F.floor(F.col("at") / F.col("width")).cast("int").alias("i"), (F.col("at") % F.col("width")).cast("int").alias("j"), "value")
+
+
 def within_class_scatter(vectors: DataFrame) -> DataFrame:
     """(i, j, value): sum over pairs within a class of (x - y)(x - y)^T, from sums of products: 2 (n sum xx^T - s s^T)."""
-    cells = vectors.select("label", "vector", F.posexplode("vector").alias("i", "a"))
-    cells = cells.select("label", "i", "a", F.posexplode("vector").alias("j", "b"))
-    sums = cells.groupBy("label", "i", "j").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("a") * F.col("b")).alias("ab"), F.sum("a").alias("sa"), F.sum("b").alias("sb"))
-    return sums.groupBy("i", "j").agg(F.sum(2 * (F.col("n") * F.col("ab") - F.col("sa") * F.col("sb"))).alias("value"))
+    cells = product_sums(vectors, ["label"])
+    last = cells.groupBy("label").agg(F.max("i").alias("last"), F.max_by("value", F.struct("i", "j")).alias("n"))
+    cells = cells.join(last, "label")
+    sums = cells.where("j = last").select("label", "i", F.col("value").alias("s"))
+    met = cells.where("i < last and j < last").join(sums, ["label", "i"]).join(sums.withColumnsRenamed({"i": "j", "s": "t"}), ["label", "j"])
+    return met.groupBy("i", "j").agg(F.sum(2 * (F.col("n") * F.col("value") - F.col("s") * F.col("t"))).alias("value"))

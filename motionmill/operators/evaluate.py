@@ -4,31 +4,73 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-#: Score ranges that a global curve is cut into; their bounds and totals are all that reaches the driver.
+#: Value ranges that a group's rows are cut into before they are ranked.
 RANGES = 64
+#: A fixed shuffled order has so many places; ids that share one follow each other.
+HASHES = 10007
 
 
 def order_hash(key: str = "subject", seed: int = 0) -> Column:
     """A fixed shuffled order."""
-    return (F.col(key) * 7919 + seed) % 10007
+    return (F.col(key) * 7919 + seed) % HASHES
+
+
+def running(df: DataFrame, by: list[str], value: str, tie: str, sums: dict[str, Column], descending: bool = False, previous: str | None = None, ranges: int = RANGES) -> DataFrame:
+    """``df`` with running sums over each group's rows by ``value``, then ``tie``, and with the groups' totals as ``all_<name>``.
+
+    Groups are cut into ranges at approximate quantiles, a mergeable sketch; rows are summed within a range, and what
+    the ranges before add is joined on, ``ranges`` + 1 rows a group at most. So no window holds a whole group.
+    ``previous`` names a column for the value of the row before. Null values come first, or last when descending.
+    """
+    one = df.withColumn("_one", F.lit(0)) if not by else df
+    keys = list(by) or ["_one"]
+    levels = [i / ranges for i in range(1, ranges)]
+    bounds = one.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(F.col(value).cast("double"), levels, 1000)).alias("_bounds"))
+    below = F.size(F.filter(F.coalesce("_bounds", F.expr("cast(array() as array<double>)")), lambda b: b < F.col(value)))
+    placed = one.join(bounds.withColumnsRenamed({k: f"_b{k}" for k in keys}), _same(keys, "_b")).withColumn("_range", F.when(F.col(value).isNull(), -1).otherwise(below))
+    placed = placed.withColumns({f"_of_{n}": c for n, c in sums.items()}).drop("_bounds", *[f"_b{k}" for k in keys])
+    totals = placed.groupBy(*keys, "_range").agg(*[F.sum(f"_of_{n}").alias(f"_sum_{n}") for n in sums], F.max(value).alias("_last"), F.min(value).alias("_first"))
+    step = F.desc("_range") if descending else F.asc("_range")
+    upto, every = W.partitionBy(*keys).orderBy(step).rowsBetween(W.unboundedPreceding, -1), W.partitionBy(*keys)
+    before = {f"_before_{n}": F.coalesce(F.sum(f"_sum_{n}").over(upto), F.lit(0)) for n in sums} | {f"all_{n}": F.sum(f"_sum_{n}").over(every) for n in sums}
+    edge = F.lag("_first" if descending else "_last").over(W.partitionBy(*keys).orderBy(step))
+    table = totals.withColumns(before | {"_edge": edge}).drop("_last", "_first", *[f"_sum_{n}" for n in sums])
+    table = table.withColumnsRenamed({k: f"_b{k}" for k in [*keys, "_range"]})
+    order = W.partitionBy(*keys, "_range").orderBy(*([F.desc(value), F.desc(tie)] if descending else [F.asc(value), F.asc(tie)]))
+    inner = placed.withColumns({f"_in_{n}": F.sum(f"_of_{n}").over(order.rowsBetween(W.unboundedPreceding, 0)) for n in sums} | {"_lag": F.lag(value).over(order), "_no": F.row_number().over(order)})
+    met = inner.join(table, _same([*keys, "_range"], "_b"))
+    out = {n: F.col(f"_in_{n}") + F.col(f"_before_{n}") for n in sums} | ({previous: F.when(F.col("_no") == 1, F.col("_edge")).otherwise(F.col("_lag"))} if previous else {})
+    kept = [*df.columns, *out, *[f"all_{n}" for n in sums]]
+    return met.withColumns(out).select(*kept)
+
+
+def _same(keys: list[str], prefix: str) -> Column:
+    """Equal keys, nulls included."""
+    out = F.lit(True)
+    for k in keys:
+        out = out & F.col(k).eqNullSafe(F.col(f"{prefix}{k}"))
+    return out
+
+
+def shuffled(subjects: DataFrame, seed: int = 0) -> DataFrame:
+    """``subjects`` with ``rn``, the place from 0 in the shuffled order of their label, and ``n``, the label's rows."""
+    hashed = subjects.withColumn("_hash", order_hash(seed=seed))
+    ranked = running(hashed, ["label"], "_hash", "subject", {"rn": F.lit(1).cast("long")})
+    return ranked.withColumn("rn", F.col("rn") - 1).withColumnRenamed("all_rn", "n").drop("_hash")
 
 
 def train_test_split(subjects: DataFrame, percentage: float = 0.3, seed: int = 0) -> DataFrame:
     """(subject, label, part): the first share of each class in shuffled order is the test; others than +-1 are train."""
     known = subjects.where(F.abs("label") == 1)
-    order = W.partitionBy("label").orderBy(order_hash(seed=seed), "subject")
-    size = F.count(F.lit(1)).over(W.partitionBy("label"))
-    test = known.withColumns({"rn": F.row_number().over(order), "n": size}).where(F.col("rn") <= F.floor(percentage * F.col("n"))).select("subject")
+    test = shuffled(known, seed).where(F.col("rn") + 1 <= F.floor(percentage * F.col("n"))).select("subject")
     tested = subjects.join(test, "subject", "left_semi").withColumn("part", F.lit("test"))
     return tested.unionByName(subjects.join(test, "subject", "left_anti").withColumn("part", F.lit("train")))
 
 
 def stratified_folds(subjects: DataFrame, k: int = 8, seed: int = 0) -> DataFrame:
     """(subject, label, fold): cuts at floor(j n / k) of each class in shuffled order."""
-    order = W.partitionBy("label").orderBy(order_hash(seed=seed), "subject")
-    ranked = subjects.withColumns({"rn": F.row_number().over(order) - 1, "n": F.count(F.lit(1)).over(W.partitionBy("label"))})
     cuts = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.floor(j * F.col("n") / k) <= F.col("rn"))
-    return ranked.select("subject", "label", F.array_max(cuts).alias("fold"))
+    return shuffled(subjects, seed).select("subject", "label", F.array_max(cuts).alias("fold"))
 
 
 def loso_folds(subjects: DataFrame) -> DataFrame:
@@ -36,26 +78,11 @@ def loso_folds(subjects: DataFrame) -> DataFrame:
     return subjects.select("subject", "label", F.col("subject").alias("fold"))
 
 
-def running_counts(scores: DataFrame) -> DataFrame:
-    """Adds tp, fp, n_pos, n_neg: counts down to each row by descending score, then descending subject.
-
-    Scores are cut into ranges at approximate quantiles, rows are counted within a range, and the ranges' totals, at
-    most ``RANGES`` + 1 pairs of numbers, are added: no window holds all rows.
-    """
-    bounds = scores.agg(F.percentile_approx("score", [i / RANGES for i in range(1, RANGES)], 1000)).first()[0] or []
-    above = F.size(F.filter(F.array(*[F.lit(float(b)) for b in sorted(set(bounds))]), lambda b: b > F.col("score"))) if bounds else F.lit(0)
-    marked = scores.withColumns({"range": above, "pos": (F.col("label") == 1).cast("long"), "neg": (F.col("label") != 1).cast("long")})
-    order = W.partitionBy("range").orderBy(F.desc("score"), F.desc("subject")).rowsBetween(W.unboundedPreceding, 0)
-    inner = marked.withColumns({"tp": F.sum("pos").over(order), "fp": F.sum("neg").over(order)})
-    sums = {t["range"]: (t["p"], t["q"]) for t in marked.groupBy("range").agg(F.sum("pos").alias("p"), F.sum("neg").alias("q")).collect()}
-    bp, bq, p, q = [], [], 0, 0
-    for k in range(RANGES + 1):
-        bp.append(p)
-        bq.append(q)
-        p, q = p + sums.get(k, (0, 0))[0], q + sums.get(k, (0, 0))[1]
-    at = lambda values: F.get(F.array(*[F.lit(int(v)) for v in values]), F.col("range"))
-    counted = inner.withColumns({"tp": F.col("tp") + at(bp), "fp": F.col("fp") + at(bq), "n_pos": F.lit(int(p)).cast("long"), "n_neg": F.lit(int(q)).cast("long")})
-    return counted.drop("range", "pos", "neg")
+def running_counts(scores: DataFrame, by: list[str] = ()) -> DataFrame:
+    """Adds tp, fp, n_pos, n_neg: counts down to each row by descending score, then descending subject."""
+    pos = (F.col("label") == 1).cast("long")
+    counted = running(scores, list(by), "score", "subject", {"tp": F.coalesce(pos, F.lit(0)), "fp": F.coalesce(1 - pos, F.lit(1))}, descending=True)
+    return counted.withColumnsRenamed({"all_tp": "n_pos", "all_fp": "n_neg"})
 
 
 def roc_curve(scores: DataFrame) -> DataFrame:
@@ -77,18 +104,13 @@ def best_precision(curve: DataFrame, recall: float) -> DataFrame:
 
 
 def auc(scores: DataFrame, by: list[str] = ()) -> DataFrame:
-    """Area under the curve that ranks rows one by one; ties in the order of running_counts.
+    """Area under the curve that ranks rows one by one; ties in the order of running_counts. With ``by``, one for each group.
 
-    Each negative adds the positives above it. With ``by``, one curve for each group, which then is one window.
+    Each negative adds the positives above it. Groups of one class only have none.
     """
-    if not by:
-        c = running_counts(scores)
-        return c.agg((F.sum(F.when(F.col("label") != 1, F.col("tp"))) / F.first(F.col("n_pos") * F.col("n_neg"))).alias("auc"))
-    order = W.partitionBy(*by).orderBy(F.desc("score"), F.desc("subject")).rowsBetween(W.unboundedPreceding, 0)
-    pos = (F.col("label") == 1).cast("long")
-    c = scores.withColumn("tp", F.sum(pos).over(order))
-    n_pos, n_neg = F.sum(pos), F.sum(1 - pos)
-    return c.groupBy(*by).agg((F.sum(F.when(F.col("label") != 1, F.col("tp"))) / F.when(n_pos * n_neg > 0, n_pos * n_neg)).alias("auc"))
+    c = running_counts(scores, list(by))
+    pairs = F.first(F.col("n_pos") * F.col("n_neg"))
+    return c.groupBy(*by).agg((F.coalesce(F.sum(F.when(F.col("label") != 1, F.col("tp"))), F.lit(0)) / F.when(pairs > 0, pairs)).alias("auc"))
 
 
 def pair_score(scores: DataFrame) -> DataFrame:
@@ -106,17 +128,25 @@ def pair_score(scores: DataFrame) -> DataFrame:
     return each.select((F.col("won") / (F.col("every") - F.col("tied"))).alias("accuracy"), (F.col("tied") / F.col("every")).alias("ties"))
 
 
-def opposite_pairs(subjects: DataFrame, per_positive: int = 1, seed: int = 0) -> DataFrame:
-    """(pos, neg): each positive with ``per_positive`` negatives, dealt in turn from the shuffled negatives.
+def opposite_pairs(subjects: DataFrame, tries: int, seed: int = 0) -> DataFrame:
+    """(pos, neg): ``tries`` pairs drawn from all pairs of a positive and a negative, repeated draws once.
 
-    Ranks meet by an equi-join, so no cross product is made.
+    Draw k takes two places in the shuffled orders of the classes; places meet rows by equi-joins, so no product is made.
     """
-    ranked = lambda v: subjects.where(F.col("label") == v).select("subject", (F.row_number().over(W.partitionBy("label").orderBy(order_hash(seed=seed), "subject")) - 1).alias("rn"))
-    pos, neg = ranked(1), ranked(-1)
-    n = neg.agg(F.count(F.lit(1)).alias("n"))  # one row
-    wanted = pos.select(F.col("subject").alias("pos"), "rn", F.explode(F.sequence(F.lit(0), F.lit(per_positive - 1))).alias("k")).crossJoin(F.broadcast(n))
-    wanted = wanted.where("n > 0").select("pos", ((F.col("rn") * per_positive + F.col("k")) % F.col("n")).alias("rn")).distinct()
-    return wanted.join(neg.select(F.col("subject").alias("neg"), "rn"), "rn").select("pos", "neg")
+    ranked = shuffled(subjects.where(F.abs("label") == 1), seed)
+    sizes = ranked.agg(F.max(F.when(F.col("label") == 1, F.col("n"))).alias("p"), F.max(F.when(F.col("label") == -1, F.col("n"))).alias("q"))  # one row
+    k = F.col("id")
+    drawn = subjects.sparkSession.range(tries).crossJoin(F.broadcast(sizes)).where("p > 0 and q > 0")
+    drawn = drawn.select(((k * 7919 + seed) % F.col("p")).alias("a"), ((k * 104729 + seed) % F.col("q")).alias("b")).distinct()
+    of = lambda label, name, at: ranked.where(F.col("label") == label).select(F.col("subject").alias(name), F.col("rn").alias(at))
+    return drawn.join(of(1, "pos", "a"), "a").join(of(-1, "neg", "b"), "b").select("pos", "neg")
+
+
+def pair_results(pairs: DataFrame, by: list[str] = ()) -> DataFrame:
+    """(accuracy, ties) of pairs with their scores ``s_pos`` and ``s_neg``."""
+    won, tied = F.sum((F.col("s_pos") > F.col("s_neg")).cast("long")), F.sum((F.col("s_pos") == F.col("s_neg")).cast("long"))
+    n = F.count(F.lit(1))
+    return pairs.groupBy(*by).agg((won / F.when(n > tied, n - tied)).alias("accuracy"), (tied / n).alias("ties"))
 
 
 def best_parameter(results: DataFrame) -> DataFrame:
