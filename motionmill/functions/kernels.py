@@ -110,3 +110,21 @@ def fft_convolve(values: np.ndarray, kernel: np.ndarray) -> np.ndarray:
     size = 1 << math.ceil(math.log2(max(n + len(kernel) - 1, 1)))
     out = np.fft.irfft(np.fft.rfft(values, size) * np.fft.rfft(kernel, size), size)
     return out[..., h : h + n]
+
+
+def fft_convolve_all(values: np.ndarray, kernels: list[np.ndarray]) -> list[np.ndarray]:
+    """``fft_convolve`` with several kernels; the values are transformed once."""
+    n = values.shape[-1]
+    cut = [k[len(k) // 2 - n + 1 : len(k) // 2 + n] if len(k) // 2 >= n else k for k in kernels]
+    size = 1 << math.ceil(math.log2(max(n + max(map(len, cut)) - 1, 1)))
+    spectrum = np.fft.rfft(values, size)
+    out = []
+    for k in cut:
+        h = len(k) // 2
+        out.append(np.fft.irfft(spectrum * np.fft.rfft(k, size), size)[..., h : h + n])
+    return out
+
+
+def pool_last(values: np.ndarray, bounds: list[tuple[int, int]], pool=np.max) -> np.ndarray:
+    """``pool`` over windows of the last axis."""
+    return np.stack([pool(values[..., a:b], axis=-1) for a, b in bounds], axis=-1)

@@ -7,8 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from motionmill.functions.kernels import fft_convolve, weights
-from motionmill.operators.layers import series_extractor
+from motionmill.functions.kernels import fft_convolve, fft_convolve_all, weights
+from motionmill.operators.layers import cube_extractor, found_extractor, series_extractor
 
 R3, R2 = np.sqrt(3.0), np.sqrt(2.0)
 #: Fixed value: the low-pass filter of four taps; the high-pass one is it reversed with alternating signs.
@@ -28,28 +28,32 @@ def shrink_array(x: np.ndarray, t: float, soft: bool = True) -> np.ndarray:
 
 
 def odd_reflect(x: np.ndarray, size: int) -> tuple[np.ndarray, int]:
-    """x in the middle of ``size`` places, continued on both sides by odd reflection about its end values; and where it begins."""
-    begin = (size - len(x)) // 2
-    if len(x) == 1:
-        return np.full(size, x[0]), begin
+    """x, along its last axis, in the middle of ``size`` places, continued on both sides by odd reflection about its end values; and where it begins."""
+    n = x.shape[-1]
+    begin = (size - n) // 2
+    if n == 1:
+        return np.repeat(x, size, axis=-1), begin
     out = x
-    while len(out) < 3 * size:
-        out = np.concatenate((2 * out[0] - out[:0:-1], out, 2 * out[-1] - out[-2::-1]))
-    middle = (len(out) - len(x)) // 2
-    return out[middle - begin : middle - begin + size], begin
+    while out.shape[-1] < 3 * size:
+        out = np.concatenate((2 * out[..., :1] - out[..., :0:-1], out, 2 * out[..., -1:] - out[..., -2::-1]), axis=-1)
+    middle = (out.shape[-1] - n) // 2
+    return out[..., middle - begin : middle - begin + size], begin
 
 
 def _analyse(a: np.ndarray, taps: np.ndarray) -> np.ndarray:
-    n = len(a)
-    return sum(t * a[(2 * np.arange(n // 2) + k) % n] for k, t in enumerate(taps))
+    n = a.shape[-1]
+    return sum(t * a[..., (2 * np.arange(n // 2) + k) % n] for k, t in enumerate(taps))
+
+
+def _padded(n: int) -> int:
+    return 1 << max(int(np.ceil(np.log2(max(n, 2)))), 1)
 
 
 def wavelet(x: np.ndarray) -> list[np.ndarray]:
-    """Details from fine to coarse, then the last mean, of the series padded to a power of two; periodic, hence invertible."""
-    size = 1 << max(int(np.ceil(np.log2(max(len(x), 2)))), 1)
-    a, _ = odd_reflect(x, size)
+    """Details from fine to coarse, then the last mean, of series padded to a power of two; periodic, hence invertible."""
+    a, _ = odd_reflect(x, _padded(x.shape[-1]))
     out = []
-    while len(a) > 1:
+    while a.shape[-1] > 1:
         out.append(_analyse(a, HIGH))
         a = _analyse(a, LOW)
     return [*out, a]
@@ -58,24 +62,26 @@ def wavelet(x: np.ndarray) -> list[np.ndarray]:
 def inverse_wavelet(levels: list[np.ndarray], n: int) -> np.ndarray:
     a = levels[-1]
     for d in reversed(levels[:-1]):
-        size = 2 * len(d)
-        up = np.zeros(size)
+        half = d.shape[-1]
+        up = np.zeros((*d.shape[:-1], 2 * half))
         for k in range(4):
-            up[(2 * np.arange(len(d)) + k) % size] += LOW[k] * a + HIGH[k] * d
+            up[..., (2 * np.arange(half) + k) % (2 * half)] += LOW[k] * a + HIGH[k] * d
         a = up
-    begin = (len(a) - n) // 2
-    return a[begin : begin + n]
+    begin = (a.shape[-1] - n) // 2
+    return a[..., begin : begin + n]
 
 
 def wavelet_transform(frames: DataFrame, channels: list[str]) -> DataFrame:
-    """(.., channel, level, place, coef); the last level is the mean."""
+    """(.., channel, level, place, coef); the last level is the mean.
 
-    def extract(m: np.ndarray) -> Iterator[tuple]:
-        for c, row in zip(channels, m):
-            for level, d in enumerate(wavelet(row)):
-                yield c, level, np.arange(len(d)), d
+    A missing value is missing in every coefficient whose taps reach it, through reflection too.
+    """
+
+    def extract(cube: np.ndarray) -> Iterator[tuple]:
+        for level, d in enumerate(wavelet(cube)):
+            yield level, np.arange(d.shape[-1]), d
 
-    return series_extractor(frames, extract, "channel string, level int, place int, coef double")
+    return cube_extractor(frames, channels, extract, "level int, place int, coef double").withColumn("coef", F.nanvl("coef", F.lit(None).cast("double")))
 
 
 def wavelet_round_trip(frames: DataFrame, channels: list[str], t: float = 0.0, soft: bool = True) -> DataFrame:
@@ -124,55 +130,66 @@ def time_frequency(coefs: DataFrame) -> DataFrame:
 
 def scale_space(x: np.ndarray, atoms: list[str], scales: list[float], fps: float) -> dict[str, np.ndarray]:
     """For each atom, correlation with its unit-norm kernel: (scales, frames)."""
-    return {a: np.stack([fft_convolve(x, weights(a, s, fps, p=2.0)[::-1]) for s in scales]) for a in atoms}
+    return {a: np.stack(fft_convolve_all(x, [weights(a, s, fps, p=2.0)[::-1] for s in scales])) for a in atoms}
 
 
 def dictionary_transform(frames: DataFrame, channels: list[str], atoms: list[str], scales: list[float], fps: float) -> DataFrame:
-    def extract(m: np.ndarray) -> Iterator[tuple]:
-        for c, row in zip(channels, m):
-            for atom, table in scale_space(row, atoms, scales, fps).items():
-                for k, line in enumerate(table):
-                    yield c, atom, k, float(scales[k]), np.arange(len(line)), line
+    def extract(cube: np.ndarray) -> Iterator[tuple]:
+        for atom in atoms:
+            for k, out in enumerate(fft_convolve_all(cube, [weights(atom, s, fps, p=2.0)[::-1] for s in scales])):
+                yield atom, k, float(scales[k]), np.arange(cube.shape[2]), out
 
-    return series_extractor(frames, extract, "channel string, atom string, scale_idx int, scale double, frame int, value double")
+    return cube_extractor(frames, channels, extract, "atom string, scale_idx int, scale double, frame int, value double")
 
 
 def maxima(table: np.ndarray, thres: float, full: bool = True) -> np.ndarray:
-    """(scale, frame) of two-dimensional maxima of the size of ``table``, at least ``thres`` of the largest.
+    """Mask of two-dimensional maxima of the size of ``table`` over its last axes, scale and frame, at least ``thres`` of the largest.
 
     Above the one before and at least the one after, in time, in scale and on the main diagonal; on the other diagonal
-    above the lower left and at least the upper right.
+    above the lower left and at least the upper right. Sizes are compared to nine decimals.
     """
-    a = np.abs(table)
-    big = np.pad(a, 1, constant_values=-np.inf)
-    at = lambda ds, dt: big[1 + ds : 1 + ds + a.shape[0], 1 + dt : 1 + dt + a.shape[1]]
+    a = np.abs(table).round(9)
+    scales, n = a.shape[-2:]
+    big = np.pad(a, [(0, 0)] * (a.ndim - 2) + [(1, 1), (1, 1)], constant_values=-np.inf)
+    at = lambda ds, dt: big[..., 1 + ds : 1 + ds + scales, 1 + dt : 1 + dt + n]
     ok = (a > at(0, -1)) & (a >= at(0, 1)) & (a > at(-1, 0)) & (a >= at(1, 0))
     if full:
         ok &= (a > at(-1, -1)) & (a >= at(1, 1)) & (a > at(1, -1)) & (a >= at(-1, 1))
-    return np.argwhere(ok & (a >= thres * a.max()) & (a > 0)) if a.size else np.empty((0, 2), int)
+    return ok & (a >= thres * a.max(axis=(-2, -1), keepdims=True, initial=0)) & (a > 0)
+
+
+def separate(mask: np.ndarray, table: np.ndarray, scales: list[float], fps: float) -> np.ndarray:
+    """In order of scale, then frame, a maximum nearer than its scale to the last run of maxima, of any scale, joins the run; each run keeps its largest, the first of equals, and lies where it began."""
+    kept = np.zeros_like(mask)
+    begun, best = None, None
+    for s, t in np.argwhere(mask).tolist():
+        if begun is not None and abs(t - begun) < fps * scales[s]:
+            if abs(table[s, t]) > abs(table[best]):
+                kept[best] = False
+                best = (s, t)
+                kept[best] = True
+            continue
+        begun, best = t, (s, t)
+        kept[best] = True
+    return kept
 
 
-def separate(found: np.ndarray, table: np.ndarray, scales: list[float], fps: float) -> np.ndarray:
-    """In order of scale, then frame, a maximum nearer than its scale to the last one kept stays only if it is larger."""
-    kept: list[tuple[int, int]] = []
-    for s, t in found.tolist():
-        if kept and kept[-1][0] == s and t - kept[-1][1] < fps * scales[s]:
-            if abs(table[s, t]) > abs(table[kept[-1]]):
-                kept[-1] = (s, t)
-            continue
-        kept.append((s, t))
-    return np.array(kept, int).reshape(-1, 2)
+def _tables(cube: np.ndarray, atom: str, scales: list[float], fps: float) -> np.ndarray:
+    """(series, channels, scales, frames)."""
+    return np.stack(fft_convolve_all(cube, [weights(atom, s, fps, p=2.0)[::-1] for s in scales]), axis=2)
 
 
 def scale_space_maxima(frames: DataFrame, channels: list[str], atom: str, scales: list[float], fps: float, thres: float, apart: bool = False) -> DataFrame:
-    def extract(m: np.ndarray) -> Iterator[tuple]:
-        for c, row in zip(channels, m):
-            table = scale_space(row, [atom], scales, fps)[atom]
-            found = maxima(table, thres)
-            for s, t in separate(found, table, scales, fps) if apart else found:
-                yield c, int(s), float(scales[s]), int(t), float(table[s, t])
+    def extract(cube: np.ndarray) -> tuple:
+        table = _tables(cube, atom, scales, fps)
+        mask = maxima(table, thres)
+        if apart:
+            for i in np.ndindex(mask.shape[:2]):
+                mask[i] = separate(mask[i], table[i], scales, fps)
+        i, c, s, t = np.nonzero(mask)
+        return i, c, s, np.asarray(scales, float)[s], t, table[mask]
 
-    return series_extractor(frames, extract, "channel string, scale_idx int, scale double, frame int, value double")
+    return found_extractor(frames, channels, extract, "scale_idx int, scale double, frame int, value double")
 
 
 def rescale(x: np.ndarray, n: int) -> np.ndarray:
@@ -193,40 +210,51 @@ def atom_at(name: str, scale: float, pos: int, n: int, fps: float) -> np.ndarray
     return out
 
 
-def pursue(x: np.ndarray, atoms: list[str], scales: list[float], fps: float, tol: float = 0.1, rounds: int = 10, method: str = "max", thres: float = 0.8) -> list[tuple[str, int, int, float]]:
-    """Matching pursuit: each round adds the atoms at the maximum, or at all (separated) maxima, and refits all by least squares."""
-    chosen: list[tuple[str, int, int]] = []
-    rest, coef = x.copy(), np.empty(0)
+def pursue(rows: np.ndarray, atoms: list[str], scales: list[float], fps: float, tol: float = 0.1, rounds: int = 10, method: str = "max", thres: float = 0.8) -> list[list[tuple[str, int, int, float]]]:
+    """Matching pursuit of each row: each round adds the atoms at the maximum, or at all (separated) maxima, and refits all by least squares.
+
+    The rest of all rows that are not done is transformed at once.
+    """
+    n = rows.shape[1]
+    chosen: list[dict[tuple[str, int, int], np.ndarray]] = [{} for _ in rows]
+    coef: list[np.ndarray] = [np.empty(0) for _ in rows]
+    rest, open_rows = rows.astype(float), np.arange(len(rows))
+    size = np.maximum(np.linalg.norm(rows, axis=1), 1e-12)
     for _ in range(rounds):
-        if np.linalg.norm(rest) <= tol * max(np.linalg.norm(x), 1e-12):
+        open_rows = open_rows[np.linalg.norm(rest[open_rows], axis=1) > tol * size[open_rows]]
+        if not open_rows.size:
             break
-        new = []
-        for atom, table in scale_space(rest, atoms, scales, fps).items():
-            if method == "max":
-                s, t = np.unravel_index(np.abs(table).argmax(), table.shape)
-                new.append((abs(table[s, t]), (atom, int(s), int(t))))
-            else:
-                found = maxima(table, thres)
-                found = separate(found, table, scales, fps) if method == "separated" else found
-                new += [(abs(table[s, t]), (atom, int(s), int(t))) for s, t in found]
-        picked = [max(new)[1]] if method == "max" and new else [k for _, k in new]
-        fresh = [k for k in dict.fromkeys(picked) if k not in chosen]
-        if not fresh:
-            break
-        chosen += fresh
-        basis = np.stack([atom_at(a, scales[s], t, len(x), fps) for a, s, t in chosen], axis=1)
-        coef = np.linalg.lstsq(basis, x, rcond=None)[0]
-        rest = x - basis @ coef
-    return [(a, s, t, float(v)) for (a, s, t), v in zip(chosen, coef)]
+        tables = np.stack([_tables(rest[open_rows][:, None], a, scales, fps)[:, 0] for a in atoms], axis=1)  # rows, atoms, scales, frames
+        if method == "max":
+            flat = np.abs(tables).reshape(len(open_rows), -1).argmax(axis=1)
+            new = [[np.unravel_index(k, tables.shape[1:])] for k in flat]
+        else:
+            masks = maxima(tables, thres)
+            if method == "separated":
+                for i in np.ndindex(masks.shape[:2]):
+                    masks[i] = separate(masks[i], tables[i], scales, fps)
+            new = [list(map(tuple, np.argwhere(m))) for m in masks]
+        going = []
+        for row, places in zip(open_rows.tolist(), new):
+            fresh = [k for a, s, t in places if (k := (atoms[a], int(s), int(t))) not in chosen[row]]
+            if not fresh:
+                continue
+            chosen[row].update({k: atom_at(k[0], scales[k[1]], k[2], n, fps) for k in fresh})
+            basis = np.stack(list(chosen[row].values()), axis=1)
+            coef[row] = np.linalg.lstsq(basis, rows[row], rcond=None)[0]
+            rest[row] = rows[row] - basis @ coef[row]
+            going.append(row)
+        open_rows = np.array(going, int)
+    return [[(a, s, t, float(v)) for (a, s, t), v in zip(c, w)] for c, w in zip(chosen, coef)]
 
 
 def pursuit(frames: DataFrame, channels: list[str], atoms: list[str], scales: list[float], fps: float, **how) -> DataFrame:
-    def extract(m: np.ndarray) -> Iterator[tuple]:
-        for c, row in zip(channels, m):
-            for a, s, t, v in pursue(row, atoms, scales, fps, **how):
-                yield c, a, s, float(scales[s]), t, v
+    def extract(cube: np.ndarray) -> tuple:
+        found = pursue(cube.reshape(-1, cube.shape[2]), atoms, scales, fps, **how)
+        flat = [(i // len(channels), i % len(channels), a, s, float(scales[s]), t, v) for i, row in enumerate(found) for a, s, t, v in row]
+        return tuple(zip(*flat)) if flat else ((),) * 7
 
-    return series_extractor(frames, extract, "channel string, atom string, scale_idx int, scale double, pos int, amp double")
+    return found_extractor(frames, channels, extract, "atom string, scale_idx int, scale double, pos int, amp double")
 
 
 def distinct_atoms(chosen: DataFrame) -> DataFrame:
@@ -252,32 +280,32 @@ def rebuild_signal(chosen: DataFrame, lengths: DataFrame, fps: float) -> DataFra
 def mine_patterns(frames: DataFrame, channels: list[str], atom: str, scales: list[float], fps: float, thres: float, length: int = 16) -> DataFrame:
     """(.., channel, scale, pos, amp, pattern): the signal around each scale-space maximum, over its coefficient, at one length."""
 
-    def extract(m: np.ndarray) -> Iterator[tuple]:
-        for c, row in zip(channels, m):
-            table = scale_space(row, [atom], scales, fps)[atom]
-            for s, t in maxima(table, thres):
-                h = len(weights(atom, scales[s], fps)) // 2
-                part = np.full(2 * h + 1, np.nan)
-                a, b = max(t - h, 0), min(t + h + 1, len(row))
-                part[a - t + h : b - t + h] = row[a:b] / table[s, t]
-                yield c, float(scales[s]), int(t), float(table[s, t]), [float(v) for v in rescale(part, length)]
+    def extract(cube: np.ndarray) -> tuple:
+        table, n = _tables(cube, atom, scales, fps), cube.shape[2]
+        out: list[tuple] = []
+        for i, c, s, t in np.argwhere(maxima(table, thres)).tolist():
+            h, amp = len(weights(atom, scales[s], fps)) // 2, table[i, c, s, t]
+            part = np.full(2 * h + 1, np.nan)
+            a, b = max(t - h, 0), min(t + h + 1, n)
+            part[a - t + h : b - t + h] = cube[i, c, a:b] / amp
+            out.append((i, c, float(scales[s]), t, float(amp), rescale(part, length)))
+        return tuple(zip(*out)) if out else ((),) * 6
 
-    return series_extractor(frames, extract, "channel string, scale double, pos int, amp double, pattern array<double>")
+    return found_extractor(frames, channels, extract, "scale double, pos int, amp double, pattern array<double>")
 
 
 def reflected(x: np.ndarray, kernel: np.ndarray) -> np.ndarray:
     """Centred convolution of the series continued by odd reflection."""
-    h = len(kernel) // 2
-    padded, begin = odd_reflect(x, len(x) + 2 * h)
-    return fft_convolve(padded, kernel)[begin : begin + len(x)]
+    h, n = len(kernel) // 2, x.shape[-1]
+    padded, begin = odd_reflect(x, n + 2 * h)
+    return fft_convolve(padded, kernel)[..., begin : begin + n]
 
 
 def convolve_reflected(frames: DataFrame, channels: list[str], name: str, scale: float, fps: float) -> DataFrame:
-    def extract(m: np.ndarray) -> Iterator[tuple]:
-        for c, row in zip(channels, m):
-            yield c, np.arange(len(row)), reflected(row, weights(name, scale, fps))
+    def extract(cube: np.ndarray) -> Iterator[tuple]:
+        yield np.arange(cube.shape[2]), reflected(cube, weights(name, scale, fps))
 
-    return series_extractor(frames, extract, "channel string, frame int, value double")
+    return cube_extractor(frames, channels, extract, "frame int, value double")
 
 
 def adjoint(space: dict[str, np.ndarray], scales: list[float], fps: float) -> np.ndarray:

@@ -10,9 +10,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from motionmill.functions.kernels import fft_convolve, weights, window_bounds
+from motionmill.functions.kernels import fft_convolve_all, pool_last, weights, window_bounds
 
 SERIES = ["subject", "stimulus"]
 KEY = "subject long, stimulus int, "
@@ -20,6 +21,12 @@ KEY = "subject long, stimulus int, "
 AT_ONCE = 32
 
 
+def packed(frames: DataFrame) -> DataFrame:
+    """(subject, stimulus, n, flat): the frames of a series in one row, sorted, frame after frame."""
+    ordered = F.sort_array(F.collect_list(F.struct("frame", "values")))
+    return frames.groupBy(*SERIES).agg(ordered.alias("s")).select(*SERIES, F.size("s").alias("n"), F.flatten("s.values").alias("flat"))
+
+
 def series_extractor(frames: DataFrame, extract: Callable[[np.ndarray], Iterator[tuple]], columns: str) -> DataFrame:
     """Rows of ``extract(channels x frames)`` for every series; ``columns`` describes what follows the series' key.
 
@@ -28,8 +35,7 @@ def series_extractor(frames: DataFrame, extract: Callable[[np.ndarray], Iterator
     one length.
     """
     names = ["subject", "stimulus"] + [c.strip().split(" ")[0] for c in columns.split(",")]
-    ordered = F.sort_array(F.collect_list(F.struct("frame", "values")))
-    series = frames.groupBy(*SERIES).agg(ordered.alias("s")).select(*SERIES, F.size("s").alias("n"), F.flatten("s.values").alias("flat"))
+    series = packed(frames)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -57,57 +63,97 @@ def _unfold(blocks: list[tuple], names: list[str]) -> pd.DataFrame:
     return pd.DataFrame(out, columns=names)
 
 
-def bank_of(matrix: np.ndarray, bank: list[tuple[str, float]], fps: float) -> Iterator[tuple[str, float, np.ndarray]]:
-    for name, scale in bank:
-        yield name, scale, fft_convolve(matrix, weights(name, scale, fps))
+def _cubes(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(subjects, stimuli, series x channels x frames) of the series of one length in a batch, ``AT_ONCE`` at a time."""
+    n, flat = batch.column("n").to_numpy(), batch.column("flat")
+    subject, stimulus = batch.column("subject").to_numpy(), batch.column("stimulus").to_numpy()
+    for length in sorted(set(n.tolist())):
+        alike = np.flatnonzero(n == length)
+        for i in range(0, alike.size, AT_ONCE):
+            part = alike[i : i + AT_ONCE]
+            cube = np.stack([np.asarray(flat[int(k)].values.to_numpy(zero_copy_only=False), float).reshape(length, -1).T for k in part])
+            yield subject[part], stimulus[part], cube
 
 
-def filter_bank(frames: DataFrame, channels: list[str], bank: list[tuple[str, float]], fps: float) -> DataFrame:
-    def extract(m: np.ndarray) -> Iterator[tuple]:
-        for name, scale, out in bank_of(m, bank, fps):
-            for c, row in zip(channels, out):
-                yield c, name, float(scale), np.arange(len(row)), row
+def cube_extractor(frames: DataFrame, channels: list[str], extract: Callable[[np.ndarray], Iterator[tuple]], columns: str) -> DataFrame:
+    """Rows (subject, stimulus, channel, labels, place, value) of ``extract(series x channels x frames)``.
+
+    Series of one length that come in one batch are handled together. ``extract`` yields tuples of labels, a place for
+    each entry and values (series x channels x entries); ``columns`` describes labels, place and value.
+    """
+    names = ["subject", "stimulus", "channel"] + [c.strip().split(" ")[0] for c in columns.split(",")]
+    kind = lambda x: pa.float64() if isinstance(x, float) else pa.int32() if isinstance(x, int) else pa.string()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for subject, stimulus, cube in _cubes(batch):
+                for *labels, places, values in extract(cube):
+                    rows, each = values.size, values.shape[1] * values.shape[2]
+                    code = np.tile(np.repeat(np.arange(len(channels), dtype=np.int32), len(places)), len(subject))
+                    out = [
+                        pa.array(np.repeat(subject, each)), pa.array(np.repeat(stimulus, each)), pa.DictionaryArray.from_arrays(pa.array(code), pa.array(channels)).cast(pa.string()),
+                        *[pa.repeat(pa.scalar(x, kind(x)), rows) for x in labels],
+                        pa.array(np.tile(np.asarray(places, np.int32), rows // max(len(places), 1))), pa.array(np.ascontiguousarray(values, dtype=float).ravel()),
+                    ]
+                    yield pa.RecordBatch.from_arrays(out, names=names)
+
+    return packed(frames).mapInArrow(run, KEY + "channel string, " + columns)
+
+
+def found_extractor(frames: DataFrame, channels: list[str], extract: Callable[[np.ndarray], tuple], columns: str) -> DataFrame:
+    """Rows of what ``extract(series x channels x frames)`` finds: arrays of series, of channels and of the values of ``columns``."""
+    names = ["subject", "stimulus", "channel"] + [c.strip().split(" ")[0] for c in columns.split(",")]
+    kinds = {"int": pa.int32(), "double": pa.float64(), "string": pa.string(), "array<double>": pa.list_(pa.float64())}
+    types = [kinds[c.strip().split(" ")[1]] for c in columns.split(",")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for subject, stimulus, cube in _cubes(batch):
+                series, channel, *found = extract(cube)
+                series, channel = np.asarray(series, int), np.asarray(channel, np.int32)
+                out = [pa.array(subject[series]), pa.array(stimulus[series]), pa.DictionaryArray.from_arrays(pa.array(channel), pa.array(channels)).cast(pa.string())]
+                yield pa.RecordBatch.from_arrays(out + [pa.array(x, t) for x, t in zip(found, types)], names=names)
+
+    return packed(frames).mapInArrow(run, KEY + "channel string, " + columns)
 
-    return series_extractor(frames, extract, "channel string, filter string, scale double, frame int, value double")
 
+def filter_bank(frames: DataFrame, channels: list[str], bank: list[tuple[str, float]], fps: float) -> DataFrame:
+    def extract(cube: np.ndarray) -> Iterator[tuple]:
+        for (name, scale), out in zip(bank, fft_convolve_all(cube, [weights(n, s, fps) for n, s in bank])):
+            yield name, float(scale), np.arange(cube.shape[2]), out
 
-def stats_of(m: np.ndarray, scale: float, fps: float) -> dict[str, np.ndarray]:
-    w = weights("average", scale, fps)
-    mean = fft_convolve(m, w)
-    return {"mean": mean, "var": fft_convolve(m * m, w) - mean * mean, "cumul": fft_convolve(np.abs(m), w)}
+    return cube_extractor(frames, channels, extract, "filter string, scale double, frame int, value double")
 
 
 def second_layer(frames: DataFrame, channels: list[str], bank: list[tuple[str, float]], scales: list[float], fps: float, pool: Callable = np.max) -> DataFrame:
     """Filter bank, local statistics at every scale, pooled over half-overlapping windows of that scale."""
 
-    def extract(m: np.ndarray) -> Iterator[tuple]:
-        for name, scale, out in bank_of(m, bank, fps):
-            for wide in scales:
-                bounds = window_bounds(m.shape[1], wide, fps)
-                for stat, values in stats_of(out, wide, fps).items():
-                    for c, row in zip(channels, values):
-                        yield c, name, float(scale), stat, float(wide), np.arange(len(bounds)), np.array([pool(row[a:b]) for a, b in bounds])
+    def extract(cube: np.ndarray) -> Iterator[tuple]:
+        bounds = {wide: window_bounds(cube.shape[2], wide, fps) for wide in scales}
+        averages = [weights("average", wide, fps) for wide in scales]
+        for (name, scale), out in zip(bank, fft_convolve_all(cube, [weights(n, s, fps) for n, s in bank])):
+            means, squares, sizes = (fft_convolve_all(x, averages) for x in (out, out * out, np.abs(out)))
+            for wide, mean, square, size in zip(scales, means, squares, sizes):
+                for stat, values in (("mean", mean), ("var", square - mean * mean), ("cumul", size)):
+                    yield name, float(scale), stat, float(wide), np.arange(len(bounds[wide])), pool_last(values, bounds[wide], pool)
 
-    return series_extractor(frames, extract, "channel string, filter string, scale double, stat string, wide double, window int, value double")
+    return cube_extractor(frames, channels, extract, "filter string, scale double, stat string, wide double, window int, value double")
 
 
 def local_histogram(frames: DataFrame, channels: list[str], bins: dict[str, list[float]], scales: list[float], fps: float) -> DataFrame:
     """For each channel and bin, the share of frames in the bin around a frame, max-pooled; ``bins`` has a few numbers per channel."""
 
-    def extract(m: np.ndarray) -> Iterator[tuple]:
-        for c, row in zip(channels, m):
-            place = np.searchsorted(bins[c], row, side="left")
-            for b in range(len(bins[c]) + 1):
-                hot = (place == b).astype(float)
-                for wide in scales:
-                    share = fft_convolve(hot, weights("average", wide, fps))
-                    bounds = window_bounds(m.shape[1], wide, fps)
-                    yield c, b, float(wide), np.arange(len(bounds)), np.array([share[x:y].max() for x, y in bounds])
+    def extract(cube: np.ndarray) -> Iterator[tuple]:
+        bounds = {wide: window_bounds(cube.shape[2], wide, fps) for wide in scales}
+        place = np.stack([np.searchsorted(bins[c], cube[:, i], side="left") for i, c in enumerate(channels)], axis=1)
+        for b in range(max(len(bins[c]) for c in channels) + 1):
+            for wide, share in zip(scales, fft_convolve_all((place == b).astype(float), [weights("average", wide, fps) for wide in scales])):
+                yield b, float(wide), np.arange(len(bounds[wide])), pool_last(share, bounds[wide])
 
-    return series_extractor(frames, extract, "channel string, bin int, wide double, window int, value double")
+    return cube_extractor(frames, channels, extract, "bin int, wide double, window int, value double")
 
 
-REGISTRY: dict[str, Callable[..., DataFrame]] = {"filter_bank": filter_bank, "second_layer": second_layer, "local_histogram": local_histogram}
+REGISTRY: dict[str, Callable[..., DataFrame]] = {"first_layer": filter_bank, "second_layer": second_layer, "histogram": local_histogram}
 
 
 def layer(name: str, frames: DataFrame, *args, **kwargs) -> DataFrame:

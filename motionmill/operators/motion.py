@@ -70,17 +70,31 @@ def local_maxima(long: DataFrame, thres: float) -> DataFrame:
     return marked.where(peak & (F.col("size") >= thres * F.col("top"))).select(*CHAN, "frame", "value")
 
 
-def motor_behaviors(long: DataFrame, fps: float, lag: int = 30) -> DataFrame:
-    """All motion features in long form: (subject, stimulus, feature, value)."""
-    named = lambda df, name: df.select(*SERIES, F.concat_ws(":", F.lit(name), "channel").alias("feature"), F.col("value").cast("double").alias("value"))
-    amount = motion_amount(long, fps)
-    parts = [
-        named(asymmetric_movement(long), "asymmetry"), named(micromovement(long, fps), "micro"), named(lag_autocorrelation(long, lag), "lag"),
-        named(amount.withColumnRenamed("cumulative", "value"), "cumulative"), named(amount.withColumnRenamed("variability", "value"), "variability"),
-        named(blink_rate(long, fps).withColumnRenamed("blinks", "value"), "blinks"),
-        channel_correlation(long).select(*SERIES, F.concat_ws(":", F.lit("corr"), "c1", "c2").alias("feature"), "value"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def motor_behaviors(long: DataFrame, fps: float, lag: int = 30, small: float = 10, large: float = 5, closed: float = 0.3) -> DataFrame:
+    """All motion features in long form: (subject, stimulus, feature, value).
+
+    Values, centred values and the mask of closed frames are smoothed in one pass, both scales together, and all features
+    of a channel come from one aggregate of it.
+    """
+    flat = long.withColumns({"mean": F.avg("value").over(W.partitionBy(*CHAN))})
+    kernel = kernel_table(long.sparkSession, [("gaussian", small), ("gaussian", large)], fps)
+    v, w = F.col("value") - F.col("mean"), F.col("weight")
+    at = lambda s, x: F.sum(F.when(F.col("scale") == float(s), x * w))
+    own = (F.col("offset") == 0) & (F.col("scale") == float(large))
+    spread = flat.join(F.broadcast(kernel)).select("*", (F.col("frame") + F.col("offset")).alias("at"))
+    met = spread.groupBy(*CHAN, F.col("at").alias("frame")).agg(
+        F.max(F.when(own, F.col("value"))).alias("value"), F.max(F.when(own, v)).alias("flat"), at(small, v).alias("soft"), at(large, v).alias("softer"),
+        at(large, (F.col("value") < closed).cast("double")).alias("mask"),
+    ).where("flat is not null")
+    order = W.partitionBy(*CHAN).orderBy("frame")
+    on = (F.col("mask") > 0.01).cast("int")
+    told = met.withColumns({"later": F.lead("value", lag).over(order), "edge": on - F.lag(on).over(order)})
+    stats = told.groupBy(*CHAN).agg(
+        F.avg(F.abs("value")).alias("asymmetry"), F.avg(F.abs(F.col("flat") - F.col("soft"))).alias("micro"),
+        (F.covar_pop("later", "value") / F.when(F.var_pop("value") > 0, F.var_pop("value"))).alias("lag"),
+        F.avg(F.abs("softer")).alias("cumulative"), F.var_pop("softer").alias("variability"), F.count(F.when(F.col("edge") > 0.5, 1)).cast("double").alias("blinks"),
+    )
+    names = ["asymmetry", "micro", "lag", "cumulative", "variability", "blinks"]
+    each = F.explode(F.array(*[F.struct(F.concat_ws(":", F.lit(n), "channel").alias("feature"), F.col(n).alias("value")) for n in names]))
+    pairs = channel_correlation(long).select(*SERIES, F.concat_ws(":", F.lit("corr"), "c1", "c2").alias("feature"), "value")
+    return stats.select(*SERIES, each.alias("f")).select(*SERIES, "f.*").unionByName(pairs)
