@@ -13,7 +13,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from motionmill.operators import design as dz, evaluate as ev
+from motionmill.operators import density as dn, design as dz, evaluate as ev
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -83,13 +83,12 @@ def ranked_pairs(anchors: DataFrame, rows: DataFrame, measure: Callable[[Column,
     """
     own = anchors.select(F.col("subject").alias("query"), F.col("label").alias("own"))
     d = pairwise(anchors, rows, measure).where("query <> subject").join(own, "query").withColumn("same", F.col("label") == F.col("own"))
-    at = F.when(F.col("same"), F.col("value") + 1).otherwise(F.col("value"))
-    order = W.partitionBy("query").orderBy("at", F.desc("same")).rowsBetween(W.unboundedPreceding, 0)
-    other, mine = F.when(~F.col("same"), F.col("value")), F.when(F.col("same"), 1)
-    run = d.withColumn("at", at).withColumns(
-        {"below": F.count(other).over(order), "total": F.coalesce(F.sum(other).over(order), F.lit(0.0)), "before": F.count(mine).over(order), "all": F.count(mine).over(W.partitionBy("query"))}
-    )
-    active = F.when(F.col("same"), F.col("below")).otherwise(F.col("all") - F.col("before"))
+    # rows of the anchor's class come after others at the same place
+    placed = d.withColumns({"at": F.when(F.col("same"), F.col("value") + 1).otherwise(F.col("value")), "after": F.col("same").cast("int")})
+    other = ~F.col("same")
+    sums = {"below": other.cast("long"), "total": F.when(other, F.col("value")).otherwise(0.0), "before": F.col("same").cast("long")}
+    run = ev.running(placed, ["query"], "at", "after", sums)
+    active = F.when(F.col("same"), F.col("below")).otherwise(F.col("all_before") - F.col("before"))
     return run.select("query", "subject", "same", "value", active.alias("active"), F.when(F.col("same"), F.col("below") * F.col("at") - F.col("total")).alias("excess"))
 
 
@@ -99,28 +98,12 @@ def margin_triplets(anchors: DataFrame, rows: DataFrame, measure: Callable[[Colu
 
 
 def gram(vectors: DataFrame, columns: list[str] = ()) -> tuple[np.ndarray, np.ndarray, int]:
-    """(X^T X, X^T columns, rows), uncentred, from partial sums of blocks; d x d numbers reach the driver."""
-    names = list(columns)
-
-    def partial(batches):
-        total, n = None, 0
-        for b in batches:
-            x = np.stack(b["vector"].tolist()) if len(b) else None
-            if x is None:
-                continue
-            y = b[names].to_numpy(float) if names else np.empty((len(x), 0))
-            part = x.T @ np.concatenate((x, y), axis=1)
-            total = part if total is None else total + part
-            n += len(x)
-        if total is not None:
-            yield pd.DataFrame({"n": [n], "m": [total.ravel().tolist()]})
-
-    rows = vectors.select("vector", *names).mapInPandas(partial, "n long, m array<double>").repartition(1)
-    summed = rows.agg(F.sum("n").alias("n")).first()["n"]
-    cells = rows.select(F.posexplode("m").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").toPandas()["v"].to_numpy()
-    d = int((-len(names) + math.sqrt(len(names) ** 2 + 4 * cells.size)) / 2)
-    m = cells.reshape(d, d + len(names))
-    return m[:, :d], m[:, d:], int(summed)
+    """(X^T X, X^T columns, rows), uncentred; d x d numbers reach the driver."""
+    cells = dz.product_sums(vectors, [], columns).toPandas()  # d x d
+    d, width = (int(cells["i"].max()), int(cells["j"].max()) + 1) if len(cells) else (0, len(columns) + 1)
+    m = np.zeros((d + 1, width))
+    m[cells["i"], cells["j"]] = cells["value"]
+    return m[:d, :d], m[:d, d + 1 :], int(m[d, d])
 
 
 def least_squares(vectors: DataFrame, target: str, ridge: float = 0.0) -> np.ndarray:
@@ -133,19 +116,30 @@ def linear_score(vectors: DataFrame, w: np.ndarray) -> DataFrame:
     return vectors.select("subject", "label", _dot(F.col("vector"), F.array(*[F.lit(float(v)) for v in w])).alias("score"))
 
 
-def matching_pursuit(vectors: DataFrame, target: str, m: int) -> tuple[list[int], np.ndarray]:
-    """Orthogonal pursuit on the Gram matrix: the feature with the largest correlation to the rest, then a refit, m times."""
-    xx, xy, _ = gram(vectors, [target])
-    y, chosen, w = xy[:, 0], [], np.empty(0)
-    size = np.sqrt(np.maximum(np.diag(xx), 1e-300))
-    for _ in range(min(m, len(y))):
-        rest = np.abs(y - xx[:, chosen] @ w) / size if chosen else np.abs(y) / size
+def gram_pursuit(xx: np.ndarray, xy: np.ndarray, m: int, normed: bool = False, enough: Callable[[list[int], np.ndarray], bool] | None = None) -> tuple[list[int], np.ndarray]:
+    """Orthogonal pursuit on a Gram matrix: the feature with the largest correlation to the rest, then a refit, m times or until ``enough``.
+
+    Correlations are plain products; ``normed`` divides them by the columns' norms.
+    """
+    chosen, w = [], np.empty(0)
+    size = np.sqrt(np.maximum(np.diag(xx), 1e-300)) if normed else 1.0
+    for _ in range(min(m, len(xy))):
+        rest = np.abs(xy - xx[:, chosen] @ w) / size
         rest[chosen] = -1
         chosen.append(int(rest.argmax()))
-        w = np.linalg.lstsq(xx[np.ix_(chosen, chosen)], y[chosen], rcond=None)[0]
+        w = np.linalg.lstsq(xx[np.ix_(chosen, chosen)], xy[chosen], rcond=None)[0]
+        if enough is not None and enough(chosen, w):
+            break
     return chosen, w
 
 
+def matching_pursuit(vectors: DataFrame, target: str, m: int, normed: bool = False, stop: float | None = None) -> tuple[list[int], np.ndarray]:
+    """Features and weights; with ``stop``, no more are taken once the area under the curve of the fitted rows exceeds it."""
+    xx, xy, _ = gram(vectors, [target])
+    above = lambda chosen, w: ev.auc(linear_score(pick(vectors, chosen), w)).first()["auc"] > stop
+    return gram_pursuit(xx, xy[:, 0], m, normed, above if stop is not None else None)
+
+
 def pca(vectors: DataFrame, dims: int) -> tuple[np.ndarray, DataFrame]:
     """Uncentred principal axes, signs fixed by the largest entry, and (subject, projected)."""
     xx, _, _ = gram(vectors)
@@ -159,15 +153,16 @@ def pca(vectors: DataFrame, dims: int) -> tuple[np.ndarray, DataFrame]:
 def select_independent(vectors: DataFrame, order: list[int], thres: float = 0.5, least: float = 1e-4) -> list[int]:
     """Features in ``order`` that correlate at most ``thres`` with those kept and aren't spanned by them.
 
-    Works on the K x K Gram matrix of centred columns, so ``order`` should be the best few thousand.
+    Works on the K x K Gram matrix of the listed columns, centred, so ``order`` should be the best few thousand.
     """
-    one = vectors.select(F.concat("vector", F.array(F.lit(1.0))).alias("vector"))
+    listed = list(dict.fromkeys(order))
+    one = pick(vectors, listed).select(F.concat("vector", F.array(F.lit(1.0))).alias("vector"))
     xx, _, n = gram(one)
     mean = xx[-1, :-1] / n
     c = xx[:-1, :-1] - n * np.outer(mean, mean)
     size = np.sqrt(np.maximum(np.diag(c), 0))
     kept: list[int] = []
-    for f in order:
+    for f in range(len(listed)):
         if size[f] <= 0:
             continue
         r = c[f, kept] / (size[f] * size[kept]) if kept else np.empty(0)
@@ -178,7 +173,7 @@ def select_independent(vectors: DataFrame, order: list[int], thres: float = 0.5,
             if 1 - r @ np.linalg.lstsq(g, r, rcond=None)[0] < least**2:
                 continue
         kept.append(f)
-    return kept
+    return [listed[f] for f in kept]
 
 
 def eliminate_features(fit: Callable[[list[int]], np.ndarray], features: list[int], keep: int) -> list[int]:
@@ -229,39 +224,50 @@ def kmeans(vectors: DataFrame, k: int, tries: int = 3, rounds: int = 20, tol: fl
 def generative_model(design: DataFrame, points: int = 100, thres: float = 0.1) -> DataFrame:
     """(feature_id, point, x, ratio): log ratio of the classes' densities on a grid, of features whose densities differ by ``thres``.
 
-    Each class has its own bandwidth, its variance times n^(-1/5); densities are summed over values grid point by grid point.
+    Each class has its own bandwidth, its variance times n^(-1/5); the grid goes half the range beyond the values.
     """
+    by = ["feature_id", "label"]
     ends = design.groupBy("feature_id").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    grid = ends.withColumn("d", F.col("hi") - F.col("lo")).where("d > 0").select(
-        "feature_id", (F.col("lo") - F.col("d") / 2).alias("x0"), (2 * F.col("d") / (points - 1)).alias("dx"), F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point")
-    )
-    stats = design.groupBy("feature_id", "label").agg((F.greatest(F.var_pop("value"), F.lit(1e-12)) * F.pow(F.count(F.lit(1)).cast("double"), F.lit(-0.2))).alias("h"), F.count(F.lit(1)).alias("n"))
-    x = F.col("x0") + F.col("point") * F.col("dx")
-    z = (F.col("x") - F.col("value")) / F.col("h")
-    met = design.join(stats, ["feature_id", "label"]).join(grid.withColumn("x", x), "feature_id")
-    p = met.groupBy("feature_id", "point", "x", "dx", "label").agg(F.sum(F.exp(-z * z / 2) / (F.col("h") * F.col("n") * math.sqrt(2 * math.pi))).alias("p"))
-    both = p.groupBy("feature_id", "point", "x", "dx").agg(F.coalesce(F.sum(F.when(F.col("label") == 1, F.col("p"))), F.lit(0.0)).alias("p1"), F.coalesce(F.sum(F.when(F.col("label") != 1, F.col("p"))), F.lit(0.0)).alias("p0"))
+    d = F.col("hi") - F.col("lo")
+    grid = ends.where(d > 0).select("feature_id", (F.col("lo") - d / 2).alias("x0"), (2 * d / (points - 1)).alias("dx"), F.lit(points).alias("points"))
+    n = F.count(F.lit(1))
+    stats = design.groupBy(*by).agg((F.greatest(F.var_pop("value"), F.lit(1e-12)) * F.pow(n.cast("double"), F.lit(-0.2))).alias("h"), n.alias("n"))
+    grids = stats.join(grid, "feature_id")
+    p = dn.grid_sums(design, grids, by).join(grids, by).select(*by, "point", "dx", (F.col("x0") + F.col("point") * F.col("dx")).alias("x"), (F.col("total") / F.col("n")).alias("p"))
+    of = lambda c: F.coalesce(F.sum(F.when(c, F.col("p"))), F.lit(0.0))
+    both = p.groupBy("feature_id", "point", "x", "dx").agg(of(F.col("label") == 1).alias("p1"), of(F.col("label") != 1).alias("p0"))
     gap = both.groupBy("feature_id").agg(F.sum(F.when(F.col("point") > 0, F.col("dx") * F.abs(F.col("p1") - F.col("p0")))).alias("gap")).where(F.col("gap") > thres)
     return both.join(gap, "feature_id").select("feature_id", "point", "x", F.log((F.col("p1") + 1e-9) / (F.col("p0") + 1e-9)).alias("ratio"))
 
 
 def generative_score(design: DataFrame, model: DataFrame, points: int = 100) -> DataFrame:
-    from motionmill.operators.density import density_lookup
-
-    looked = density_lookup(design, model.withColumnRenamed("ratio", "density"), points)
+    looked = dn.density_lookup(design, model.withColumnRenamed("ratio", "density"), points)
     return looked.groupBy("subject").agg(F.sum("density").alias("score"))
 
 
+def in_metric(vectors: DataFrame, s: np.ndarray) -> DataFrame:
+    """Vectors turned so that their squared distances are those under the metric S: (x - y)^T S (x - y)."""
+    values, axes = np.linalg.eigh(s)
+    root = (axes * np.sqrt(np.maximum(values, 0))).T
+
+    @F.pandas_udf("array<double>")
+    def turned(v: pd.Series) -> pd.Series:
+        return pd.Series(list(np.stack(v.tolist()) @ root.T)) if len(v) else v
+
+    return vectors.withColumn("vector", turned("vector"))
+
+
 def _triplet_gradient(anchors: DataFrame, rows: DataFrame, s: np.ndarray) -> tuple[np.ndarray, float]:
     """Gradient and loss of all active triplets of the anchors: each pair counts as often as it is in one, pairs of the other class against."""
-    pairs = ranked_pairs(anchors, rows, lambda a, b: mahalanobis(a, b, s.tolist())).where("active > 0").persist()
+    pairs = ranked_pairs(in_metric(anchors, s), in_metric(rows, s)).where("active > 0").persist()
     loss = pairs.agg(F.coalesce(F.sum("excess"), F.lit(0.0))).first()[0]
     vectors = pairs.join(rows.select("subject", "vector"), "subject").join(anchors.select(F.col("subject").alias("query"), F.col("vector").alias("q")), "query")
     apart = vectors.select("same", F.zip_with("vector", "q", lambda x, y: x - y).alias("gap"), F.sqrt(F.col("active").cast("double")).alias("k"))
     scaled = apart.select("same", F.transform("gap", lambda x: x * F.col("k")).alias("vector"))
     g = np.zeros_like(s)
     if loss > 0:
-        g = gram(scaled.where("same"))[0] - gram(scaled.where("not same"))[0]
+        cells = dz.product_sums(scaled, ["same"]).where(f"i < {len(s)} and j < {len(s)}").toPandas()  # two of d x d
+        np.add.at(g, (cells["i"].to_numpy(), cells["j"].to_numpy()), np.where(cells["same"], cells["value"], -cells["value"]))
     pairs.unpersist()
     return g, float(loss)
 
@@ -295,137 +301,85 @@ def metric_learning(vectors: DataFrame, anchors: DataFrame, rounds: int = 5, alp
 
 def metric_score(queries: DataFrame, rows: DataFrame, s: np.ndarray, gamma: float = 1.0) -> DataFrame:
     """(query, score): loss with the point labelled -1, over the sum of its losses labelled 1 and -1."""
-    measure = lambda a, b: mahalanobis(a, b, s.tolist())
-    out = None
+    asked, known, out = in_metric(queries, s), in_metric(rows, s), None
     for label, name in ((1, "plus"), (-1, "minus")):
-        pairs = ranked_pairs(queries.withColumn("label", F.lit(label)), rows, measure).where("same")
+        pairs = ranked_pairs(asked.withColumn("label", F.lit(label)), known).where("same")
         loss = pairs.groupBy("query").agg(F.sum(F.col("value") + gamma * F.col("excess")).alias(name))
         out = loss if out is None else out.join(loss, "query")
     return out.select("query", (F.col("minus") / (F.col("plus") + F.col("minus"))).alias("score"))
 
 
-def purity_tree(design: DataFrame, depth: int = 3, thres: float = 0.2, least: int = 8) -> list[dict]:
-    """Nodes (node, feature_id, cut, side) of a tree that splits on the purest feature at its gap; level by level.
+def purest_gap(rows: DataFrame, thres: float) -> DataFrame:
+    """(node, feature_id, cut): of each node the purest feature, ties to the lowest, cut at its gap nearest to the middle."""
+    by = ["node", "feature_id"]
+    ranked = dz.ranked_values(rows, by)
+    best = dz.purity(ranked, by).groupBy("node").agg(F.max_by("feature_id", F.struct("score", -F.col("feature_id"))).alias("feature_id"))
+    return dz.gap_cuts(ranked.join(F.broadcast(best), by), by, thres)
 
-    All nodes of a level are split in one pass: purity and gaps are windows over (node, feature).
+
+def purity_tree(design: DataFrame, depth: int = 3, thres: float = 0.2, least: int = 8, split: Callable[[DataFrame, float], DataFrame] = purest_gap) -> list[dict]:
+    """Nodes of a tree, level by level; all nodes of a level are split in one pass.
+
+    A node is {node, feature_id, cut}, a linear one {node, w} or a leaf {node, side}. Pure nodes are leaves, nodes of fewer
+    than ``least`` rows are told apart by a linear fit, the others by ``split(rows, thres)``, which gives (node,
+    feature_id, cut). Nodes of the last level, and such that no cut parts, are leaves of their majority.
     """
-    rows = design.withColumn("node", F.lit(1))
-    nodes: list[dict] = []
-    for _ in range(depth):
-        w = W.partitionBy("node", "feature_id").orderBy("value", "subject")
-        every = W.partitionBy("node", "feature_id")
-        ranked = rows.withColumns({"rn": F.row_number().over(w), "n": F.count(F.lit(1)).over(every), "gap": F.col("value") - F.lag("value").over(w)})
-        k = F.greatest(F.floor(F.col("n") / 10), F.lit(1))
+    spark, rows, nodes = design.sparkSession, design.withColumn("node", F.lit(1)), []
+    for level in range(depth + 1):
         pos = (F.col("label") == 1).cast("double")
-        widest = F.max("gap").over(every)
-        ranked = ranked.withColumns({"k": k, "widest": widest})
-        score = F.greatest(F.avg(F.when(F.col("rn") <= F.col("k"), pos)), F.avg(F.when(F.col("rn") > F.col("n") - F.col("k"), pos)))
-        at = F.min_by(F.when(F.col("gap") >= thres * F.col("widest"), F.col("value")), F.when(F.col("gap") >= thres * F.col("widest"), F.abs(F.col("rn") - 1 - F.col("n") / 2)))
-        split = ranked.groupBy("node", "feature_id").agg(score.alias("score"), at.alias("cut"), F.avg(pos).alias("share"), F.max("n").alias("n"))
-        best = split.where((F.col("n") >= least) & (F.col("share") > 0) & (F.col("share") < 1)).groupBy("node").agg(F.max_by(F.struct("feature_id", "cut"), F.struct("score", -F.col("feature_id"))).alias("best"))
-        found = [{"node": r["node"], "feature_id": r["best"]["feature_id"], "cut": r["best"]["cut"]} for r in best.collect()]  # a row per node
-        nodes += found
+        told = rows.groupBy("node", "subject").agg(F.first("label").alias("label")).groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.avg(pos).alias("share"))
+        sizes = {r["node"]: (r["n"], r["share"]) for r in told.collect()}  # a row per node
+        pure = {k: 1 if s == 1 else -1 for k, (_, s) in sizes.items() if s in (0, 1)}
+        if level == depth:
+            pure = {k: 1 if s >= 0.5 else -1 for k, (_, s) in sizes.items()}
+        small = [k for k, (n, _) in sizes.items() if k not in pure and n < least]
+        wide = [k for k in sizes if k not in pure and k not in small]
+        nodes += [{"node": k, "side": v} for k, v in sorted(pure.items())]
+        if small:
+            few = rows.where(F.col("node").isin(small)).select("node", "subject", "feature_id", "value", "label").toPandas()  # fewer than ``least`` subjects each
+            for k, part in few.groupby("node"):
+                x = part.pivot(index="subject", columns="feature_id", values="value").fillna(0.0)
+                y = part.groupby("subject")["label"].first().loc[x.index].to_numpy(float)
+                a = np.c_[x.to_numpy(), np.ones(len(x))]
+                chosen, w = gram_pursuit(a.T @ a, a.T @ y, min(4, len(y)))
+                nodes.append({"node": int(k), "w": {(int(x.columns[c]) if c < x.shape[1] else -1): float(v) for c, v in zip(chosen, w)}})
+        if not wide:
+            break
+        found = {r["node"]: (int(r["feature_id"]), float(r["cut"])) for r in split(rows.where(F.col("node").isin(wide)), thres).collect()}  # a row per node
+        nodes += [{"node": k, "feature_id": found[k][0], "cut": found[k][1]} for k in wide if k in found]
+        nodes += [{"node": k, "side": 1 if sizes[k][1] >= 0.5 else -1} for k in wide if k not in found]
         if not found:
             break
-        side = design.sparkSession.createDataFrame([(f["node"], int(f["feature_id"]), float(f["cut"])) for f in found], "node int, best int, cut double")
+        side = spark.createDataFrame([(k, f, c) for k, (f, c) in found.items()], "node int, best int, cut double")
         goes = rows.join(F.broadcast(side), "node").where("feature_id = best").select("subject", "node", (F.col("value") >= F.col("cut")).cast("int").alias("up"))
         rows = rows.join(goes, ["subject", "node"]).withColumn("node", F.col("node") * 2 + F.col("up")).drop("up")
+        if level + 1 < depth:
+            rows = rows.checkpoint() if spark.sparkContext.getCheckpointDir() else rows
     return nodes
 
 
-def tree_score(vectors: DataFrame, nodes: list[dict], shares: dict[int, float]) -> DataFrame:
-    """(subject, label, node, score): the leaf of each row and its share of positives, less one half."""
-    node = F.lit(1)
-    for level in range(1 + max((n["node"].bit_length() for n in nodes), default=0)):
-        step = node
-        for n in nodes:
-            if n["node"].bit_length() == level + 1:
-                step = F.when(node == n["node"], node * 2 + (F.get("vector", F.lit(int(n["feature_id"]))) >= n["cut"]).cast("int")).otherwise(step)
-        node = step
-    leaf = vectors.select("subject", "label", node.alias("node"))
-    table = vectors.sparkSession.createDataFrame([(int(k), float(v) - 0.5) for k, v in shares.items()], "node int, score double") if shares else None
-    return leaf if table is None else leaf.join(F.broadcast(table), "node", "left")
+def tree_score(vectors: DataFrame, nodes: list[dict]) -> DataFrame:
+    """(subject, label, node, score): the leaf of each row, and its side times the leaf's depth over the tree's.
 
-
-# ---------------------------------------------------------------- evaluation by refits
-
-
-class RidgeModel:
-    """The protocol that refits use: set_parameter, fit, predict."""
-
-    def __init__(self, gamma: float = 1.0):
-        self.gamma = gamma
-
-    def set_parameter(self, **p) -> RidgeModel:
-        self.__dict__.update(p)
-        return self
-
-    def fit(self, x: np.ndarray, y: np.ndarray) -> RidgeModel:
-        one = np.c_[x, np.ones(len(x))]
-        pos = max((y == 1).mean(), 1e-9)
-        target = np.where(y == 1, 2 * (1 - pos), -2 * pos)
-        self.w = np.linalg.solve(one.T @ one + self.gamma * np.eye(one.shape[1]), one.T @ target)
-        return self
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        return np.c_[x, np.ones(len(x))] @ self.w
-
-
-class KnnModel:
-    def __init__(self, k: int = 4):
-        self.k = k
-
-    def set_parameter(self, **p) -> KnnModel:
-        self.__dict__.update(p)
-        return self
-
-    def fit(self, x: np.ndarray, y: np.ndarray) -> KnnModel:
-        self.x, self.y = x, y
-        return self
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        d = ((x[:, None] - self.x[None]) ** 2).sum(axis=2)
-        return self.y[np.argsort(d, axis=1, kind="stable")[:, : self.k]].mean(axis=1)
-
-
-MODELS = {"ridge": RidgeModel, "knn": KnnModel}
-#: Rows of a pruned design that one refit may hold.
-MAX_ROWS = 100_000
-
-
-def cross_evaluate(vectors: DataFrame, folds: DataFrame, grid: list[tuple[str, str, float]], selection: Callable | None = None) -> DataFrame:
-    """(model, params, fold, subject, label, score): every model of ``grid`` (model, parameter, value) fitted outside each fold.
-
-    The unit of work is (model, value, fold). The pruned design is broadcast to it, and must have at most ``MAX_ROWS``
-    rows; larger ones are for the distributed fits. ``selection(x, y)`` picks features inside the fold.
+    Features beyond the vector can't be asked; the constant is feature -1.
     """
-    rows = vectors.join(folds.select("subject", "fold"), "subject")
-    n = rows.count()
-    if n > MAX_ROWS:
-        raise ValueError(f"{n} rows; refits hold at most {MAX_ROWS}")
-    data = rows.select("subject", "label", "fold", "vector").orderBy("subject").toPandas()
-    x, y, f, who = np.stack(data["vector"].tolist()), data["label"].to_numpy(), data["fold"].to_numpy(), data["subject"].to_numpy()
-    spark = vectors.sparkSession
-    sent = spark.sparkContext.broadcast((x, y, f, who))
-    tasks = [(m, p, float(v), int(k)) for m, p, v in grid for k in sorted(set(f.tolist()))]
-    work = spark.createDataFrame(tasks, "model string, parameter string, v double, fold long").repartition(min(len(tasks), 64), "model", "v", "fold")
-
-    def run(key: tuple, _: pd.DataFrame) -> pd.DataFrame:
-        name, parameter, value, fold = key
-        x, y, f, who = sent.value
-        inside = f == fold
-        columns = selection(x[~inside], y[~inside]) if selection else slice(None)
-        model = MODELS[name]().set_parameter(**{parameter: int(value) if parameter == "k" else value}).fit(x[~inside][:, columns], y[~inside])
-        return pd.DataFrame({"model": name, "params": f"{parameter}={value:g}", "fold": fold, "subject": who[inside], "label": y[inside], "score": model.predict(x[inside][:, columns])})
-
-    return work.groupBy("model", "parameter", "v", "fold").applyInPandas(run, "model string, params string, fold long, subject long, label int, score double")
-
-
-def fold_scores(predicted: DataFrame) -> DataFrame:
-    """(model, params, fold, score): area under the curve of each fold."""
-    return ev.auc(predicted, ["model", "params", "fold"]).withColumnRenamed("auc", "score")
-
-
-def model_sweep(vectors: DataFrame, folds: DataFrame, grid: list[tuple[str, str, float]], keep: float = 0.0) -> DataFrame:
-    """(model, params, mean): the best parameters of each model whose mean fold score exceeds ``keep``."""
-    return ev.best_parameter(fold_scores(cross_evaluate(vectors, folds, grid))).where(F.col("mean") > keep)
+    leaves = {n["node"]: F.lit(n["side"]) for n in nodes if "side" in n}
+    for n in nodes:
+        if "w" in n:
+            total = F.lit(0.0)
+            for f, v in n["w"].items():
+                total = total + (F.get("vector", F.lit(f)) if f >= 0 else F.lit(1.0)) * v
+            leaves[2 * n["node"]], leaves[2 * n["node"] + 1] = F.lit(-1), F.lit(1)
+            n["up"] = (total >= 0).cast("int")
+    cuts = {n["node"]: n["up"] if "w" in n else (F.get("vector", F.lit(n["feature_id"])) >= n["cut"]).cast("int") for n in nodes if "side" not in n}
+    node, depth = F.lit(1), max((k.bit_length() for k in leaves), default=1)
+    for level in range(1, depth):
+        step = node
+        for k, up in cuts.items():
+            if k.bit_length() == level:
+                step = F.when(node == k, node * 2 + up).otherwise(step)
+        node = step
+    score = F.lit(None).cast("double")
+    for k, side in leaves.items():
+        score = F.when(F.col("node") == k, side * k.bit_length() / depth).otherwise(score)
+    return vectors.select("subject", "label", node.alias("node")).withColumn("score", score)
