@@ -45,6 +45,8 @@ def r(*names: str) -> str:
 def scratch(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="spark-layers-")
         spark.sparkContext.setCheckpointDir(named)
     return f"{named}/{uuid.uuid4().hex}"
@@ -367,8 +369,8 @@ def _kernel_sql(name: str, scale: float, fps: float = 1.0, p: float = 1.0) -> st
     return "SELECT * FROM (VALUES " + ", ".join(f"({k - h}, CAST({float(x)!r} AS DOUBLE))" for k, x in enumerate(w)) + ") AS k(o, w)"
 
 
-def _conv_sql(source: str, value: str = "value") -> str:
-    return f"""SELECT a.subject, a.stimulus, a.channel, a.frame, sum(b.{value} * w) AS value FROM {source} a JOIN kern ON true
+def _conv_sql(source: str, value: str = "value", kern: str = "kern") -> str:
+    return f"""SELECT a.subject, a.stimulus, a.channel, a.frame, sum(b.{value} * w) AS value FROM {source} a JOIN {kern} ON true
       JOIN {source} b ON a.subject = b.subject AND a.stimulus = b.stimulus AND a.channel = b.channel AND b.frame = a.frame - o GROUP BY ALL"""
 
 
@@ -414,11 +416,14 @@ def pool_windows(spark, d):
     return rounded(out, "max", "mean", "var").withColumn("window", F.col("window").cast("long"))
 
 
+CORR = """SELECT a.subject, a.stimulus, a.channel AS c1, b.channel AS c2,
+    CASE WHEN a.channel = b.channel THEN 1 ELSE coalesce(CASE WHEN stddev_pop(a.value) * stddev_pop(b.value) > 0 THEN corr(a.value, b.value) END, 0) END AS value
+    FROM long a JOIN long b ON a.subject = b.subject AND a.stimulus = b.stimulus AND a.frame = b.frame GROUP BY a.subject, a.stimulus, a.channel, b.channel"""
+
+
 @query(
     "channel_correlation",
-    f"""SELECT subject, stimulus, c1, c2, {r('value')} FROM (SELECT a.subject, a.stimulus, a.channel AS c1, b.channel AS c2,
-    CASE WHEN a.channel = b.channel THEN 1 ELSE coalesce(CASE WHEN stddev_pop(a.value) * stddev_pop(b.value) > 0 THEN corr(a.value, b.value) END, 0) END AS value
-    FROM long a JOIN long b ON a.subject = b.subject AND a.stimulus = b.stimulus AND a.frame = b.frame GROUP BY a.subject, a.stimulus, a.channel, b.channel)""",
+    f"SELECT subject, stimulus, c1, c2, {r('value')} FROM ({CORR})",
 )
 def channel_correlation(spark, d):
     return rounded(motion.channel_correlation(long(spark, d)), "value")
@@ -467,9 +472,32 @@ def local_maxima(spark, d):
     return rounded(motion.local_maxima(long(spark, d), 0.5), "value")
 
 
-@query("motor_behaviors")
+def _feature_sql(name: str, value: str, source: str) -> str:
+    return f"SELECT subject, stimulus, '{name}:' || channel AS feature, CAST({value} AS DOUBLE) AS value FROM {source} GROUP BY subject, stimulus, channel"
+
+
+MOTOR = " UNION ALL ".join([
+    _feature_sql("asymmetry", "avg(abs(value))", "long"),
+    _feature_sql("micro", "avg(abs(f.value - s.value))", "flat f JOIN s10 s USING (subject, stimulus, channel, frame)"),
+    _feature_sql("lag", "covar_pop(later, value) / nullif(var_pop(value), 0)", "(SELECT *, lead(value, 6) OVER (PARTITION BY subject, stimulus, channel ORDER BY frame) AS later FROM long)"),
+    _feature_sql("cumulative", "avg(abs(value))", "s5"), _feature_sql("variability", "var_pop(value)", "s5"),
+    _feature_sql("blinks", "count(*) FILTER (on1 - before > 0.5)", "(SELECT *, lag(on1) OVER (PARTITION BY subject, stimulus, channel ORDER BY frame) AS before FROM (SELECT *, CAST(value > 0.01 AS INT) AS on1 FROM m5))"),
+    f"SELECT subject, stimulus, 'corr:' || c1 || ':' || c2, value FROM ({CORR})",
+])
+MOTOR_CTES = (
+    FLAT, ("k10", _kernel_sql("gaussian", 10.0)), ("k5", _kernel_sql("gaussian", 5.0)), ("s10", _conv_sql("flat", kern="k10")), ("s5", _conv_sql("flat", kern="k5")),
+    ("shut", "SELECT subject, stimulus, channel, frame, CAST(value < 0.3 AS DOUBLE) AS value FROM long"), ("m5", _conv_sql("shut", kern="k5")), ("motor", MOTOR),
+)
+
+
+def motor_table(spark, d) -> DataFrame:
+    stored = tables.materialize(spark, scratch(spark), lambda: long(spark, d))
+    return motion.motor_behaviors(stored, ad.FPS, 6)
+
+
+@query("motor_behaviors", f"SELECT subject, stimulus, feature, {r('value')} FROM motor", *MOTOR_CTES)
 def motor_behaviors(spark, d):
-    return rounded(motion.motor_behaviors(long(spark, d), ad.FPS, 6), "value")
+    return rounded(motor_table(spark, d), "value")
 
 
 BIN_LEVELS = [0.2, 0.4, 0.6, 0.8]
@@ -657,10 +685,39 @@ def pair_score(spark, d):
     return rounded(ev.pair_score(ad.scores(spark, d)), "accuracy", "ties")
 
 
+PAIR_CTES = (
+    ("ranked", "SELECT subject, label, row_number() OVER (PARTITION BY label ORDER BY subject * 7919 % 10007, subject) - 1 AS rn FROM {source}"),
+    ("opposite", """SELECT p.subject AS pos, q.subject AS neg FROM (SELECT DISTINCT k * 7919 % np AS a, k * 104729 % nq AS b FROM range({tries}) g(k),
+      (SELECT count(*) FILTER (label = 1) AS np, count(*) FILTER (label = -1) AS nq FROM {source})) JOIN ranked p ON p.label = 1 AND p.rn = a JOIN ranked q ON q.label = -1 AND q.rn = b"""),
+)
+
+
+def pair_ctes(source: str, tries: int) -> tuple:
+    return tuple((n, t.format(source=source, tries=tries)) for n, t in PAIR_CTES)
+
+
+@query("opposite_pairs", "SELECT pos, neg FROM opposite", *pair_ctes("scores", 500))
+def opposite_pairs(spark, d):
+    return ev.opposite_pairs(ad.scores(spark, d).select("subject", "label"), 500)
+
+
+PLANE = [(0, 1), (2, 5), (7, 3)]
+PLANE_CTES = (
+    ("plane_pairs", "SELECT * FROM (VALUES " + ", ".join(f"({a}, {b})" for a, b in PLANE) + ") AS p(f1, f2)"),
+    ("plane_uv", "SELECT f1, f2, a.subject, a.value AS u, b.value AS v FROM plane_pairs JOIN design a ON a.feature_id = f1 JOIN design b ON b.feature_id = f2 AND b.subject = a.subject"),
+    ("plane_xy", """SELECT f1, f2, u * cos(t) + v * sin(t) AS x, v * cos(t) - u * sin(t) AS y FROM plane_uv JOIN (SELECT f1, f2, atan2(2 * sum(u * v), sum(u * u) - sum(v * v)) / 2 AS t FROM plane_uv GROUP BY f1, f2) USING (f1, f2)"""),
+    ("plane_grid", """SELECT f1, f2, count(*) AS n, var_pop(x) * pow(CAST(count(*) AS DOUBLE), -1 / 6.0::DOUBLE) AS hx, var_pop(y) * pow(CAST(count(*) AS DOUBLE), -1 / 6.0::DOUBLE) AS hy,
+      quantile_disc(x, 0.05) AS x0, quantile_disc(x, 0.95) AS x1, quantile_disc(y, 0.05) AS y0, quantile_disc(y, 0.95) AS y1 FROM plane_xy GROUP BY f1, f2"""),
+)
+
+
 @query(
-    "opposite_pairs",
-    "SELECT p.subject AS pos, q.subject AS neg FROM (SELECT DISTINCT subject, (rn * 2 + k) % (SELECT count(*) FROM scores WHERE label = -1) AS m FROM ranked, range(2) g(k) WHERE label = 1) p JOIN ranked q ON q.label = -1 AND q.rn = p.m",
-    ("ranked", "SELECT subject, label, row_number() OVER (PARTITION BY label ORDER BY subject * 7919 % 10007, subject) - 1 AS rn FROM scores"),
+    "density_on_plane",
+    """SELECT f1 AS first, f2 AS second, i, j, round(gx, 6) + 0.0 AS x, round(gy, 6) + 0.0 AS y, round(sum(exp(-0.5 * pow((gx - x) / hx, 2)) * exp(-0.5 * pow((gy - y) / hy, 2))) / (max(n) * max(hx) * max(hy) * 2 * pi()), 6) + 0.0 AS density
+    FROM (SELECT *, x0 + i * (x1 - x0) / 9 AS gx, y0 + j * (y1 - y0) / 9 AS gy FROM plane_grid, range(10) a(i), range(10) b(j)) JOIN plane_xy USING (f1, f2) GROUP BY f1, f2, i, j, gx, gy""",
+    *PLANE_CTES,
 )
-def opposite_pairs(spark, d):
-    return ev.opposite_pairs(ad.scores(spark, d).select("subject", "label"), 2)
+def density_on_plane(spark, d):
+    pairs = spark.createDataFrame(PLANE, "first int, second int")
+    out = rounded(density.density_on_plane(ad.design(spark, d), pairs), "x", "y", "density")
+    return out.withColumns({"i": F.col("i").cast("long"), "j": F.col("j").cast("long")})

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from motionmill import schema
 from motionmill.functions import kernels
-from motionmill.jobs.catalog import AVERAGE, SCALE, _conv_sql, _kernel_sql, cut, filled, ids, labels, long, purity, query, r, regular, rounded, scratch, windows, with_channels
-from motionmill.operators import design as dz, dictionary as dc, evaluate as ev, frames as fr, layers as ly, models as md
+from motionmill.jobs.catalog import BIN, BINS_SQL, GAUSS, KDE, SCALE, _conv_sql, _kernel_sql, bins, cut, filled, ids, long, pair_ctes, purity, query, r, regular, rounded, scratch, with_channels
+from motionmill.operators import density, design as dz, dictionary as dc, evaluate as ev, frames as fr, layers as ly, models as md, motion, refits as rf
 from motionmill.sources import adapters as ad, tables
 
 BANK = [("gaussian", 8.0), ("derivative", 8.0), ("gaussian", 40.0)]
@@ -23,50 +23,64 @@ def long_ids(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("long") for n in names})
 
 
+SAME = "a.subject = b.subject AND a.stimulus = b.stimulus AND a.channel = b.channel"
 BANK_SQL = " UNION ALL ".join(f"SELECT '{n}' AS filter, CAST({s} AS DOUBLE) AS scale, o, w FROM ({_kernel_sql(n, s)})" for n, s in BANK)
+BANKED = ("banked", f"SELECT a.subject, a.stimulus, a.channel, filter, scale, a.frame, sum(b.value * w) AS value FROM long a CROSS JOIN bank JOIN long b ON {SAME} AND b.frame = a.frame - o GROUP BY ALL")
 
 
-@query(
-    "filter_bank",
-    f"""SELECT a.subject, a.stimulus, a.channel, filter, scale, a.frame, round(sum(b.value * w), 6) + 0.0 AS value FROM long a CROSS JOIN bank JOIN long b ON a.subject = b.subject AND a.stimulus = b.stimulus
-    AND a.channel = b.channel AND b.frame = a.frame - o GROUP BY a.subject, a.stimulus, a.channel, filter, scale, a.frame""",
-    ("bank", BANK_SQL),
-)
+@query("filter_bank", f"SELECT subject, stimulus, channel, filter, scale, frame, {r('value')} FROM banked", ("bank", BANK_SQL), BANKED)
 def filter_bank(spark, d):
     return rounded(ly.filter_bank(filled(spark, d), ad.CHANNELS, BANK, ad.FPS), "value")
 
 
-@query("second_layer")
+def wide_ctes(scales: list[float]) -> tuple:
+    """Averaging kernels and half-overlapping windows of some scales."""
+    kern = " UNION ALL ".join(f"SELECT CAST({w} AS DOUBLE) AS wide, o, w FROM ({_kernel_sql('average', w)})" for w in scales)
+    bounds = " UNION ALL ".join(
+        f"SELECT CAST({w} AS DOUBLE) AS wide, stimulus AS s, i, i * {int(w)} // 2 AS w_begin, least(i * {int(w)} // 2 + {int(w)}, n_frames) AS w_end FROM (SELECT *, unnest(range(greatest(2 * n_frames // {int(w)} - 1, 1))) AS i FROM stimuli)" for w in scales
+    )
+    return ("wide_k", kern), ("wide_b", bounds)
+
+
+def second_ctes(scales: list[float], pool: str, source: str = "banked") -> tuple:
+    stats = f"""SELECT a.subject, a.stimulus, a.channel, a.filter, a.scale, wide, a.frame, sum(b.value * w) AS mean, sum(b.value * b.value * w) AS square, sum(abs(b.value) * w) AS cumul
+      FROM {source} a CROSS JOIN wide_k JOIN {source} b ON {SAME} AND a.filter = b.filter AND a.scale = b.scale AND b.frame = a.frame - o GROUP BY ALL"""
+    long_stats = " UNION ALL ".join(f"SELECT subject, stimulus, channel, filter, scale, '{n}' AS stat, wide, frame, {e} AS value FROM wide_s" for n, e in (("mean", "mean"), ("var", "square - mean * mean"), ("cumul", "cumul")))
+    pooled = f"""SELECT subject, stimulus, channel, filter, scale, stat, l.wide, CAST(i AS INT) AS "window", {pool}(value) AS value FROM ({long_stats}) l
+      JOIN wide_b b ON l.stimulus = b.s AND l.wide = b.wide AND frame >= w_begin AND frame < w_end GROUP BY ALL"""
+    return *wide_ctes(scales), ("wide_s", stats), ("second", pooled)
+
+
+SECOND = f'SELECT subject, stimulus, channel, filter, scale, stat, wide, "window", {r("value")} FROM second'
+
+
+@query("second_layer", SECOND, ("bank", BANK_SQL), BANKED, *second_ctes([8.0, 16.0], "max"))
 def second_layer(spark, d):
     return rounded(ly.second_layer(filled(spark, d), ad.CHANNELS, BANK, [8.0, 16.0], ad.FPS), "value")
 
 
-@query("local_histogram")
-def local_histogram(spark, d):
-    from motionmill.jobs.catalog import bins
+HIST_CTES = (
+    BINS_SQL, *wide_ctes([8.0, 16.0]),
+    ("hot", f"SELECT subject, stimulus, channel, frame, CAST(k AS INT) AS bin, CAST(({BIN}) = k AS DOUBLE) AS value FROM long JOIN bins_t USING (channel), range(5) g(k)"),
+    ("hist", f"""SELECT l.subject, l.stimulus, l.channel, bin, l.wide, CAST(i AS INT) AS "window", max(value) AS value FROM (
+      SELECT a.subject, a.stimulus, a.channel, a.bin, wide, a.frame, sum(b.value * w) AS value FROM hot a CROSS JOIN wide_k JOIN hot b ON {SAME} AND a.bin = b.bin AND b.frame = a.frame - o GROUP BY ALL) l
+      JOIN wide_b b ON l.stimulus = b.s AND l.wide = b.wide AND frame >= w_begin AND frame < w_end GROUP BY ALL"""),
+)
+
 
+def histogram(spark, d) -> DataFrame:
     edges = {x["channel"]: list(x["bins"]) for x in bins(spark, d).collect()}  # four numbers per channel
-    return rounded(ly.local_histogram(filled(spark, d), ad.CHANNELS, edges, [8.0, 16.0], ad.FPS), "value")
+    return ly.local_histogram(filled(spark, d), ad.CHANNELS, edges, [8.0, 16.0], ad.FPS)
 
 
-@query("layer")
+@query("local_histogram", f'SELECT subject, stimulus, channel, bin, wide, "window", {r("value")} FROM hist', *HIST_CTES)
+def local_histogram(spark, d):
+    return rounded(histogram(spark, d), "value")
+
+
+@query("layer", f"SELECT subject, stimulus, channel, 'still' AS filter, 6.0::DOUBLE AS scale, frame, {r('value')} FROM ({_conv_sql('long')})", ("kern", _kernel_sql("still", 6.0)))
 def layer(spark, d):
-    return rounded(ly.layer("filter_bank", filled(spark, d), ad.CHANNELS, [("still", 6.0)], ad.FPS), "value")
-
-
-@query("build_all_layers")
-def build_all_layers(spark, d):
-    f = tables.materialize(spark, scratch(spark), lambda: filled(spark, d))
-    made = tables.build_all(spark, scratch(spark), {
-        "filter_bank": lambda: ly.filter_bank(f, ad.CHANNELS, BANK, ad.FPS),
-        "second_layer": lambda: ly.second_layer(f, ad.CHANNELS, BANK, [8.0], ad.FPS),
-        "wavelet": lambda: dc.wavelet_transform(f, ad.CHANNELS),
-    })
-    out = None
-    for name, df in made.items():
-        one = df.agg(F.lit(name).alias("layer"), F.count(F.lit(1)).alias("n"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return rounded(ly.layer("first_layer", filled(spark, d), ad.CHANNELS, [("still", 6.0)], ad.FPS), "value")
 
 
 MODEL = """SELECT event, k AS cluster, channel, (CASE WHEN channel = 'c1' THEN 0.5 ELSE -0.25 END) * (k + 1) AS centre, m AS mean, s AS std FROM estats, range(2) g(k)"""
@@ -130,28 +144,62 @@ def cluster_occupancy(spark, d):
 
 @query("kmeans")
 def kmeans(spark, d):
-    v = event_vectors(spark, d)
+    v = event_vectors(spark, d).persist()
     parts = None
     for event in sorted({e for _, e, _, _ in ad.EVENTS}):
-        one = md.kmeans(v.where(F.col("event") == event), 3, tries=1).withColumn("event", F.lit(event))
+        one = md.kmeans(v.where(F.col("event") == event), 3).withColumn("event", F.lit(event))
         parts = one if parts is None else parts.unionByName(one)
+    v.unpersist()
     return parts.select("event", "cluster", F.transform("centre", lambda x: F.round(x, 6)).alias("centre"))
 
 
 # ---------------------------------------------------------------- dictionary
 
 
-@query("wavelet_transform")
+LEVELS = 6  # of the padded series, 64 places
+REFLECTED = """SELECT subject, stimulus, channel, CAST(place AS INT) AS place, CASE WHEN t < 0 THEN 2 * x0 - v WHEN t >= n THEN 2 * x1 - v ELSE v END AS value FROM (
+  SELECT e.*, l.value AS v FROM (SELECT subject, stimulus, channel, n, x0, x1, place, place - {begin} AS t, CASE WHEN place - {begin} < 0 THEN {begin} - place WHEN place - {begin} >= n THEN 2 * (n - 1) - place + {begin} ELSE place - {begin} END AS src
+    FROM (SELECT subject, stimulus, channel, count(*) AS n, arg_min(value, frame) AS x0, arg_max(value, frame) AS x1 FROM long GROUP BY subject, stimulus, channel), range({size}) g(place)) e
+  JOIN long l ON l.subject = e.subject AND l.stimulus = e.stimulus AND l.channel = e.channel AND l.frame = e.src)"""
+PADDED = ("padded", REFLECTED.format(begin="((64 - n) // 2)", size="64"))
+
+
+def wavelet_ctes() -> tuple:
+    """One table of means and details for each level; ``levels`` holds all coefficients."""
+    taps = ("taps", "SELECT * FROM (VALUES " + ", ".join(f"({k}, CAST({float(dc.LOW[k])!r} AS DOUBLE), CAST({float(dc.HIGH[k])!r} AS DOUBLE))" for k in range(4)) + ") AS t(k, low, high)")
+    out, source, n = [PADDED, taps], "SELECT subject, stimulus, channel, place, value AS mean FROM padded", 64
+    for level in range(LEVELS):
+        at = f"((place - k + 4 * {n}) % {n})"
+        out.append((f"level{level}", f"SELECT subject, stimulus, channel, CAST({at} // 2 AS INT) AS place, sum(low * mean) AS mean, sum(high * mean) AS detail FROM ({source}), taps WHERE {at} % 2 = 0 GROUP BY ALL"))
+        source, n = f"SELECT subject, stimulus, channel, place, mean FROM level{level}", n // 2
+    parts = [f"SELECT subject, stimulus, channel, {k} AS level, place, detail AS coef FROM level{k}" for k in range(LEVELS)]
+    return *out, ("levels", " UNION ALL ".join([*parts, f"SELECT subject, stimulus, channel, {LEVELS}, place, mean FROM level{LEVELS - 1}"]))
+
+
+@query("wavelet_transform", f"SELECT subject, stimulus, channel, level, place, {r('coef')} FROM levels", *wavelet_ctes())
 def wavelet_transform(spark, d):
     return rounded(dc.wavelet_transform(filled(spark, d), ad.CHANNELS), "coef")
 
 
+@query(
+    "wavelet_blinded",
+    "SELECT subject, stimulus, channel, level, count(*) AS n, count(*) FILTER (known) AS known FROM seen GROUP BY subject, stimulus, channel, level",
+    *((n, t.replace("FROM long", "FROM gaps").replace("JOIN long", "JOIN gaps").replace("arg_min(value, frame)", "arg_min(value, frame) FILTER (frame = 0)").replace("arg_max(value, frame)", "arg_max(value, frame) FILTER (frame = n_frames - 1)").replace("FROM gaps GROUP BY subject, stimulus, channel)", "FROM gaps JOIN stimuli USING (stimulus) GROUP BY subject, stimulus, channel)")
+       .replace("sum(low * mean) AS mean, sum(high * mean) AS detail", "CASE WHEN count(mean) = 4 THEN sum(low * mean) END AS mean, CASE WHEN count(mean) = 4 THEN sum(high * mean) END AS detail")) for n, t in wavelet_ctes()),
+    ("seen", "SELECT subject, stimulus, channel, level, coef IS NOT NULL AS known FROM levels"),
+)
+def wavelet_blinded(spark, d):
+    """Missing frames stay missing: coefficients of each level, and how many of them no gap reaches."""
+    coefs = dc.wavelet_transform(with_channels(regular(spark, d)), ad.CHANNELS)
+    return coefs.groupBy("subject", "stimulus", "channel", "level").agg(F.count(F.lit(1)).alias("n"), F.count("coef").alias("known"))
+
+
 @query("inverse_wavelet", f"SELECT subject, stimulus, channel, frame, {r('value')} FROM long")
 def inverse_wavelet(spark, d):
     return rounded(dc.wavelet_round_trip(filled(spark, d), ad.CHANNELS), "value")
 
 
-@query("time_frequency")
+@query("time_frequency", f"SELECT subject, stimulus, channel, level, CAST(place * pow(2, level + 1) + i AS INT) AS frame, {r('coef')} FROM levels, range(64) g(i) WHERE level < {LEVELS} AND i < pow(2, level + 1)", *wavelet_ctes())
 def time_frequency(spark, d):
     return rounded(dc.time_frequency(dc.wavelet_transform(filled(spark, d), ad.CHANNELS)), "coef")
 
@@ -167,12 +215,20 @@ def wavelet_inpaint(spark, d):
     return rounded(dc.wavelet_inpaint(with_channels(regular(spark, d)), ad.CHANNELS, 1.0), "value")
 
 
-@query("dictionary_transform")
+ATOM_SQL = " UNION ALL ".join(f"SELECT 'gaussian' AS atom, {k} AS scale_idx, CAST({s} AS DOUBLE) AS scale, o, w FROM ({_kernel_sql('gaussian', s, 1.0, 2.0)})" for k, s in enumerate(SCALES))
+SPACE_CTES = (("atoms", ATOM_SQL), ("space", f"SELECT a.subject, a.stimulus, a.channel, atom, scale_idx, scale, a.frame, sum(b.value * w) AS value FROM long a CROSS JOIN atoms JOIN long b ON {SAME} AND b.frame = a.frame + o GROUP BY ALL"))
+
+
+@query("dictionary_transform", f"SELECT subject, stimulus, channel, atom, scale_idx, scale, frame, {r('value')} FROM space", *SPACE_CTES)
 def dictionary_transform(spark, d):
     return rounded(dc.dictionary_transform(filled(spark, d), ad.CHANNELS, ["gaussian"], SCALES, ad.FPS), "value")
 
 
-@query("convolve_reflected")
+@query(
+    "convolve_reflected",
+    f"""SELECT a.subject, a.stimulus, a.channel, a.frame, round(sum(b.value * w), 6) + 0.0 AS value FROM long a CROSS JOIN kern JOIN padded b ON {SAME} AND b.place - 4 = a.frame - o GROUP BY a.subject, a.stimulus, a.channel, a.frame""",
+    GAUSS, ("padded", REFLECTED.format(begin="4", size="58").replace("e.*, l.value", "e.*, l.value").replace("range(58) g(place)) e", "range(58) g(place) WHERE place < n + 8) e")),
+)
 def convolve_reflected(spark, d):
     return rounded(dc.convolve_reflected(filled(spark, d), ad.CHANNELS, "gaussian", SCALE, ad.FPS), "value")
 
@@ -190,7 +246,17 @@ def dictionary_inpaint(spark, d):
     return rounded(dc.dictionary_inpaint(with_channels(regular(spark, d)), ad.CHANNELS, ["gaussian"], SCALES, ad.FPS, 0.5), "value")
 
 
-@query("scale_space_maxima")
+AROUND = """SELECT *, lag(a) OVER k AS up, lead(a) OVER k AS down, lag(l) OVER k AS up_l, lead(r) OVER k AS down_r, lead(l) OVER k AS down_l, lag(r) OVER k AS up_r, max(a) OVER (PARTITION BY subject, stimulus, channel) AS top FROM (
+  SELECT *, lag(a) OVER t AS l, lead(a) OVER t AS r FROM (SELECT *, abs(round(value, 9)) AS a FROM space) WINDOW t AS (PARTITION BY subject, stimulus, channel, scale_idx ORDER BY frame))
+  WINDOW k AS (PARTITION BY subject, stimulus, channel, frame ORDER BY scale_idx)"""
+
+
+@query(
+    "scale_space_maxima",
+    f"""SELECT subject, stimulus, channel, scale_idx, scale, frame, {r('value')} FROM around WHERE a > 0 AND a >= 0.3 * top AND coalesce(a > l, true) AND coalesce(a >= r, true) AND coalesce(a > up, true) AND coalesce(a >= down, true)
+    AND coalesce(a > up_l, true) AND coalesce(a >= down_r, true) AND coalesce(a > down_l, true) AND coalesce(a >= up_r, true)""",
+    *SPACE_CTES, ("around", AROUND),
+)
 def scale_space_maxima(spark, d):
     return rounded(dc.scale_space_maxima(filled(spark, d), ad.CHANNELS, "gaussian", SCALES, ad.FPS, 0.3), "value")
 
@@ -200,24 +266,34 @@ def separate_maxima(spark, d):
     return rounded(dc.scale_space_maxima(filled(spark, d), ad.CHANNELS, "gaussian", SCALES, ad.FPS, 0.3, apart=True), "value")
 
 
-def chosen(spark, d) -> DataFrame:
-    return dc.pursuit(filled(spark, d), ad.CHANNELS, ["gaussian"], SCALES, ad.FPS, rounds=4)
-
-
 @query("pursuit")
 def pursuit(spark, d):
-    return rounded(chosen(spark, d), "amp")
+    return rounded(dc.pursuit(filled(spark, d), ad.CHANNELS, ["gaussian"], SCALES, ad.FPS, rounds=4), "amp")
 
 
-@query("distinct_atoms")
+PLACED = """SELECT subject, stimulus, channel, 'gaussian' AS atom, frame % 3 AS scale_idx, CASE frame % 3 WHEN 0 THEN 4.0::DOUBLE WHEN 1 THEN 8.0::DOUBLE ELSE 16.0::DOUBLE END AS scale, frame AS pos, value AS amp FROM (
+  SELECT *, abs(value) AS a, lag(abs(value)) OVER o AS b, lead(abs(value)) OVER o AS c, max(abs(value)) OVER (PARTITION BY subject, stimulus, channel) AS top FROM long
+  WINDOW o AS (PARTITION BY subject, stimulus, channel ORDER BY frame)) WHERE (b IS NULL OR a >= b) AND (c IS NULL OR a > c) AND a >= 0.5 * top"""
+SPREAD = """SELECT p.subject, p.stimulus, p.channel, p.scale_idx, pos, pos + o AS frame, amp, w FROM spots p JOIN atoms USING (atom, scale_idx) JOIN stimuli USING (stimulus) WHERE pos + o >= 0 AND pos + o < n_frames"""
+PLACED_CTES = (("atoms", ATOM_SQL), ("spots", PLACED), ("spread", SPREAD))
+
+
+def placed(spark, d) -> DataFrame:
+    """An atom at each local maximum, its scale dealt by the frame."""
+    top = motion.local_maxima(long(spark, d), 0.5)
+    k = (F.col("frame") % 3).cast("int")
+    return top.select("subject", "stimulus", "channel", F.lit("gaussian").alias("atom"), k.alias("scale_idx"), F.get(F.array(*[F.lit(s) for s in SCALES]), k).alias("scale"), F.col("frame").alias("pos"), F.col("value").alias("amp"))
+
+
+@query("distinct_atoms", "SELECT subject, stimulus, channel, atom, scale_idx, pos FROM spots", *PLACED_CTES[:2])
 def distinct_atoms(spark, d):
-    both = chosen(spark, d)
+    both = placed(spark, d)
     return dc.distinct_atoms(both.unionByName(both)).select("subject", "stimulus", "channel", "atom", "scale_idx", "pos")
 
 
-@query("rebuild_signal")
+@query("rebuild_signal", f"SELECT subject, stimulus, channel, frame, {r('sum(amp * w) AS value')} FROM spread GROUP BY subject, stimulus, channel, frame", *PLACED_CTES)
 def rebuild_signal(spark, d):
-    return rounded(dc.rebuild_signal(chosen(spark, d), lengths(spark), ad.FPS), "value")
+    return rounded(dc.rebuild_signal(placed(spark, d), lengths(spark), ad.FPS), "value")
 
 
 @query("mine_patterns")
@@ -227,8 +303,10 @@ def mine_patterns(spark, d):
 
 @query("cluster_patterns")
 def cluster_patterns(spark, d):
-    found = dc.mine_patterns(filled(spark, d), ad.CHANNELS, "gaussian", SCALES, ad.FPS, 0.5).withColumnRenamed("pattern", "vector")
-    return ly.assign_cluster(found, md.kmeans(found, 4, tries=1)).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    found = dc.mine_patterns(filled(spark, d), ad.CHANNELS, "gaussian", SCALES, ad.FPS, 0.5).withColumnRenamed("pattern", "vector").persist()
+    out = ly.assign_cluster(found, md.kmeans(found, 4)).select("subject", "stimulus", "channel", "scale", "pos", "cluster")
+    found.unpersist()
+    return out
 
 
 # ---------------------------------------------------------------- models
@@ -335,7 +413,21 @@ def eliminate_features(spark, d):
     return spark.createDataFrame([(int(f),) for f in kept], "feature_id long")
 
 
-@query("generative_model")
+GENERATIVE_CTES = (
+    ("gm_grid", "SELECT feature_id, lo - (hi - lo) / 2 + point * 2 * (hi - lo) / 49 AS x, 2 * (hi - lo) / 49 AS dx, point FROM (SELECT feature_id, min(value) AS lo, max(value) AS hi FROM design GROUP BY feature_id), range(50) g(point) WHERE hi > lo"),
+    ("gm_width", "SELECT feature_id, label, greatest(var_pop(value), 1e-12) * pow(CAST(count(*) AS DOUBLE), -0.2::DOUBLE) AS h, count(*) AS n FROM design GROUP BY feature_id, label"),
+    ("gm_p", """SELECT feature_id, label, point, max(x) AS x, max(dx) AS dx, sum(exp(-0.5 * pow((x - value) / h, 2))) / (max(h) * max(n) * sqrt(2 * pi())) AS p FROM design JOIN gm_width USING (feature_id, label) JOIN gm_grid USING (feature_id) GROUP BY feature_id, label, point"""),
+    ("gm_both", "SELECT feature_id, point, max(x) AS x, max(dx) AS dx, coalesce(sum(p) FILTER (label = 1), 0) AS p1, coalesce(sum(p) FILTER (label <> 1), 0) AS p0 FROM gm_p GROUP BY feature_id, point"),
+    ("gm", "SELECT feature_id, point, x, ln((p1 + 1e-9) / (p0 + 1e-9)) AS ratio FROM gm_both WHERE feature_id IN (SELECT feature_id FROM gm_both WHERE point > 0 GROUP BY feature_id HAVING sum(dx * abs(p1 - p0)) > 0.1)"),
+)
+
+
+@query(
+    "generative_model",
+    """SELECT subject, round(sum(ratio), 6) + 0.0 AS score FROM (SELECT subject, feature_id, greatest(least(CAST(ceil((value - lo) / ((hi - lo) / 49)) AS BIGINT) - 1, 49), 0) AS point FROM design
+    JOIN (SELECT feature_id, min(x) AS lo, max(x) AS hi FROM gm GROUP BY feature_id) USING (feature_id)) JOIN gm USING (feature_id, point) GROUP BY subject""",
+    *GENERATIVE_CTES,
+)
 def generative_model(spark, d):
     base = ad.design(spark, d)
     return rounded(md.generative_score(base, md.generative_model(base, 50, 0.1), 50), "score")
@@ -343,74 +435,134 @@ def generative_model(spark, d):
 
 @query("metric_learning")
 def metric_learning(spark, d):
-    v = ad.vectors(spark, d).withColumn("vector", F.slice("vector", 1, 8))
+    v = ad.vectors(spark, d).persist()
     q = v.where(F.col("subject") % 20 == 0)
-    s, _ = md.metric_learning(v, q, rounds=3)
+    s, _ = md.metric_learning(v, q)
+    v.unpersist()
     return rounded(md.metric_score(q, v, s), "score")
 
 
 @query("purity_tree")
 def purity_tree(spark, d):
-    base, v = ad.design(spark, d), ad.vectors(spark, d)
-    nodes = md.purity_tree(base)
-    leaf = md.tree_score(v, nodes, {})
-    return leaf.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("label") == 1).cast("double")), 6).alias("share"))
+    return rounded(md.tree_score(ad.vectors(spark, d), md.purity_tree(ad.design(spark, d))), "score")
+
 
+# ---------------------------------------------------------------- evaluation by refits
 
-GRID = [("ridge", "gamma", 0.1), ("ridge", "gamma", 10.0), ("knn", "k", 8.0)]
+GRID = [("ridge", "gamma", 0.1), ("ridge", "gamma", 10.0), ("pursuit", "m", 8.0), ("lasso", "gamma", 0.01), ("elimination", "keep", 20.0), ("least_squares", "gamma", 0.0)]
 
 
-def folded(spark, d, k: int = 4) -> DataFrame:
-    return md.cross_evaluate(ad.vectors(spark, d), ev.stratified_folds(ids(spark, d), k), GRID)
+def folds(spark, d, k: int = 4) -> DataFrame:
+    return ev.stratified_folds(ids(spark, d), k)
+
+
+def folded(spark, d) -> DataFrame:
+    """All classifiers of the grid and the nearest neighbours, by fold."""
+    v = ad.vectors(spark, d)
+    return rf.cross_evaluate(v, folds(spark, d), GRID).unionByName(rf.neighbours_in_folds(v, folds(spark, d), [2, 8]))
 
 
 @query("cross_evaluate")
 def cross_evaluate(spark, d):
-    return rounded(md.fold_scores(folded(spark, d)), "score")
+    return rounded(rf.fold_scores(folded(spark, d)), "score")
 
 
 @query("grid_search")
 def grid_search(spark, d):
-    return rounded(ev.best_parameter(md.fold_scores(folded(spark, d))), "mean")
+    return rounded(ev.best_parameter(rf.fold_scores(folded(spark, d))), "mean")
+
+
+RESULTS = "SELECT lang AS model, source AS params, doc_id % 4 AS fold, CAST(count(*) AS DOUBLE) AS score FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY ALL"
 
 
-@query("best_parameter")
+def results(spark, d) -> DataFrame:
+    """Documents counted by language, source and fold, in the shape of fold scores."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").where("lang is not null and source is not null")
+    return docs.groupBy(F.col("lang").alias("model"), F.col("source").alias("params"), (F.col("doc_id") % 4).alias("fold")).agg(F.count(F.lit(1)).cast("double").alias("score"))
+
+
+@query("best_parameter", "SELECT model, params, round(mean, 6) + 0.0 AS mean FROM (SELECT model, params, avg(score) AS mean FROM results GROUP BY model, params) QUALIFY row_number() OVER (PARTITION BY model ORDER BY mean DESC, params) = 1", ("results", RESULTS))
 def best_parameter(spark, d):
-    return rounded(ev.best_parameter(md.fold_scores(folded(spark, d, 3))), "mean")
+    return rounded(ev.best_parameter(results(spark, d)), "mean")
 
 
 @query("loso_score")
 def loso_score(spark, d):
-    one = md.cross_evaluate(ad.vectors(spark, d), ev.loso_folds(ids(spark, d)), GRID[:1])
-    return rounded(ev.auc(one.select("subject", "label", "score")), "auc")
+    one = rf.leave_one_out(ad.vectors(spark, d), GRID[:1]).select("subject", "label", "score")
+    return rounded(ev.auc(one), "auc")
+
+
+@query("pair_refits")
+def pair_refits(spark, d):
+    """Two rows left out, 50 times, for every classifier of the grid."""
+    told = rf.pair_refits(ad.vectors(spark, d), ev.opposite_pairs(ids(spark, d), 50), GRID)
+    return rounded(ev.pair_results(told, ["model", "params"]), "accuracy", "ties")
 
 
 @query("model_sweep")
 def model_sweep(spark, d):
     path = scratch(spark)
-    tables.write_results(md.model_sweep(ad.vectors(spark, d), ev.stratified_folds(ids(spark, d), 4), GRID), path)
-    return rounded(spark.read.parquet(path), "mean")
+    tables.write_results(rf.model_sweep(ad.vectors(spark, d), folds(spark, d), ev.opposite_pairs(ids(spark, d), 50), GRID, keep=0.4), path)
+    return rounded(spark.read.parquet(path), "auc", "accuracy", "ties", "score")
 
 
-@query("write_results")
+@query("write_results", "SELECT model, params, round(avg(score), 6) + 0.0 AS mean FROM results GROUP BY model, params", ("results", RESULTS))
 def write_results(spark, d):
     path = scratch(spark)
-    tables.write_results(md.fold_scores(folded(spark, d)), path)
+    tables.write_results(results(spark, d), path)
     return rounded(spark.read.parquet(path).groupBy("model", "params").agg(F.avg("score").alias("mean")), "mean")
 
 
-@query("detection_cross_evaluate")
+def inverse(v):
+    return 1 / (0.1 + v)
+
+
+def densities(spark, d) -> DataFrame:
+    """(subject, feature_id, density, label)."""
+    stored = tables.materialize(spark, scratch(spark), lambda: density.density_at_points(ad.design(spark, d)))
+    return stored.join(ids(spark, d), "subject")
+
+
+FOLD_SQL = """SELECT subject, label, CAST((SELECT max(j) FROM range(4) g(j) WHERE floor(j * n / 4.0) <= rn) AS INT) AS fold FROM (
+  SELECT *, row_number() OVER (PARTITION BY label ORDER BY subject * 7919 % 10007, subject) - 1 AS rn, count(*) OVER (PARTITION BY label) AS n FROM ids)"""
+REST = "sum(n1) OVER f - n1 AS n1, sum(n0) OVER f - n0 AS n0, sum(s1) OVER f - s1 AS s1, sum(s0) OVER f - s0 AS s0"
+DETECT_CTES = (
+    ("dens", KDE), ("fold_t", FOLD_SQL),
+    ("d_gap", f"""SELECT feature_id, fold, round(abs(s1 / n1 - s0 / n0) / nullif(sqrt(q / (n1 + n0) - pow((s1 + s0) / (n1 + n0), 2)), 0), 9) AS gap FROM (SELECT feature_id, fold, {REST}, sum(q) OVER f - q AS q FROM (
+      SELECT feature_id, fold, count(*) FILTER (d.label = 1) AS n1, count(*) FILTER (d.label <> 1) AS n0, coalesce(sum(value) FILTER (d.label = 1), 0) AS s1, coalesce(sum(value) FILTER (d.label <> 1), 0) AS s0, sum(value * value) AS q
+      FROM design d JOIN fold_t USING (subject) GROUP BY feature_id, fold) WINDOW f AS (PARTITION BY feature_id))"""),
+    ("d_chosen", "SELECT fold, feature_id FROM d_gap QUALIFY row_number() OVER (PARTITION BY fold ORDER BY gap DESC, feature_id) <= 16"),
+    ("d_weight", f"""SELECT feature_id, fold, ln(s1 / n1) - ln(s0 / n0) AS weight FROM (SELECT feature_id, fold, {REST} FROM (
+      SELECT feature_id, fold, count(*) FILTER (label = 1) AS n1, count(*) FILTER (label <> 1) AS n0, coalesce(sum(1 / (0.1::DOUBLE + density)) FILTER (label = 1), 0) AS s1, coalesce(sum(1 / (0.1::DOUBLE + density)) FILTER (label <> 1), 0) AS s0
+      FROM dens JOIN fold_t USING (subject) GROUP BY feature_id, fold) WINDOW f AS (PARTITION BY feature_id)) JOIN d_chosen USING (fold, feature_id)"""),
+    ("d_score", "SELECT fold, subject, max(label) AS label, avg(weight / (0.1::DOUBLE + density)) AS score FROM dens JOIN fold_t USING (subject) JOIN d_weight USING (fold, feature_id) GROUP BY fold, subject"),
+)
+
+
+@query(
+    "detection_cross_evaluate",
+    """SELECT fold, round(sum(CASE WHEN label <> 1 THEN tp END) / max(n_pos * n_neg), 6) + 0.0 AS auc FROM (SELECT *, sum(CAST(label = 1 AS INT)) OVER (PARTITION BY fold ORDER BY score DESC, subject DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tp,
+    count(*) FILTER (label = 1) OVER (PARTITION BY fold) AS n_pos, count(*) FILTER (label <> 1) OVER (PARTITION BY fold) AS n_neg FROM d_score) GROUP BY fold""",
+    *DETECT_CTES,
+)
 def detection_cross_evaluate(spark, d):
-    """Selection on values inside each fold, then fits."""
-    best = lambda x, y: np.argsort(-np.abs(np.array([np.corrcoef(c, y)[0, 1] for c in x.T])))[:16]
-    predicted = md.cross_evaluate(ad.vectors(spark, d), ev.stratified_folds(ids(spark, d), 4), GRID, best)
-    scores = md.fold_scores(predicted).groupBy("model", "params").agg(F.avg("score").alias("mean"))
-    return rounded(scores, "mean")
+    """Selection on values outside each fold, weights from densities there, scores inside."""
+    of = folds(spark, d).select("subject", "fold")
+    chosen = rf.gap_features(ad.design(spark, d).join(of, "subject"), 16)
+    scored = rf.detect_in_folds(densities(spark, d).join(of, "subject"), chosen, inverse, inverse)
+    return rounded(ev.auc(scored, ["fold"]), "auc")
 
 
-@query("detection_pair_score")
+@query(
+    "detection_pair_score",
+    """SELECT round(count(*) FILTER (a > b) / CAST(count(*) FILTER (a <> b) AS DOUBLE), 6) + 0.0 AS accuracy, round(count(*) FILTER (a = b) / CAST(count(*) AS DOUBLE), 6) + 0.0 AS ties FROM (
+    SELECT pos, neg, avg(w / (0.1::DOUBLE + x)) AS a, avg(w / (0.1::DOUBLE + y)) AS b FROM (SELECT pos, neg, p.density AS x, q.density AS y,
+      ln((s1 - 1 / (0.1::DOUBLE + p.density)) / (n1 - 1)) - ln((s0 - 1 / (0.1::DOUBLE + q.density)) / (n0 - 1)) AS w
+      FROM opposite JOIN dens p ON p.subject = pos JOIN dens q ON q.subject = neg AND q.feature_id = p.feature_id JOIN d_sums s ON s.feature_id = p.feature_id) GROUP BY pos, neg)""",
+    ("dens", KDE), *pair_ctes("ids", 200),
+    ("d_sums", "SELECT feature_id, count(*) FILTER (label = 1) AS n1, count(*) FILTER (label <> 1) AS n0, sum(1 / (0.1::DOUBLE + density)) FILTER (label = 1) AS s1, sum(1 / (0.1::DOUBLE + density)) FILTER (label <> 1) AS s0 FROM dens JOIN ids USING (subject) GROUP BY feature_id"),
+)
 def detection_pair_score(spark, d):
-    base = ad.design(spark, d)
-    phi = lambda v: 1 / (0.1 + F.abs(v))
-    scored = dz.detection_score(base, dz.class_log_ratio(base, phi), phi).join(ids(spark, d), "subject")
-    return rounded(ev.pair_score(scored), "accuracy", "ties")
+    """Weights from the densities of all but the two rows that are scored."""
+    told = rf.detect_pairs(densities(spark, d), ev.opposite_pairs(ids(spark, d), 200), inverse, inverse)
+    return rounded(ev.pair_results(told), "accuracy", "ties")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from motionmill.functions import geometry, kernels
 from motionmill.jobs.catalog import FLAT, GAUSS, SCALE, SOFT, _dist, _proj, filled, long, query, r, rounded
-from motionmill.jobs.catalog_models import BANK, chosen, lengths
+from motionmill.jobs.catalog_models import BANK, BANK_SQL, BANKED, PADDED, PLACED_CTES, SECOND, lengths, placed, second_ctes
 from motionmill.operators import dictionary as dc, layers as ly, motion
 from motionmill.sources import adapters as ad
 
@@ -29,7 +29,7 @@ def motion_variability(spark, d):
     return rounded(motion.motion_amount(long(spark, d), ad.FPS, SCALE).drop("cumulative"), "variability")
 
 
-@query("pool")
+@query("pool", SECOND.replace("FROM second", "FROM second WHERE filter = 'gaussian' AND scale = 8"), ("bank", BANK_SQL), BANKED, *second_ctes([8.0], "min"))
 def pool(spark, d):
     """The pooling function is the caller's."""
     return rounded(ly.second_layer(filled(spark, d), ad.CHANNELS, BANK[:1], [8.0], ad.FPS, pool=np.min), "value")
@@ -56,16 +56,21 @@ def series_extractor(spark, d):
     return rounded(ly.series_extractor(filled(spark, d), extract, "channel string, mean double, top double"), "mean", "top")
 
 
-@query("odd_reflect")
+@query("odd_reflect", f"SELECT {CHAN}, place, {r('value')} FROM padded", PADDED)
 def odd_reflect(spark, d):
-    def extract(m: np.ndarray):
-        for c, row in zip(ad.CHANNELS, m):
-            yield c, np.arange(64), dc.odd_reflect(row, 64)[0]
+    """Series padded to the next power of two, 64 places."""
 
-    return rounded(ly.series_extractor(filled(spark, d), extract, "channel string, place int, value double"), "value")
+    def extract(cube: np.ndarray):
+        yield np.arange(64), dc.odd_reflect(cube, 64)[0]
 
+    return rounded(ly.cube_extractor(filled(spark, d), ad.CHANNELS, extract, "place int, value double"), "value")
 
-@query("resample_pattern")
+
+@query(
+    "resample_pattern",
+    f"""SELECT a.subject, a.stimulus, a.channel, place, round(a.value + coalesce(b.value - a.value, 0) * (p_at - floor(p_at)), 6) + 0.0 AS value FROM (SELECT stimulus, CAST(place AS INT) AS place, place * (n_frames - 1) / 15.0::DOUBLE AS p_at FROM stimuli, range(16) g(place)) s
+    JOIN long a ON a.stimulus = s.stimulus AND a.frame = floor(p_at) LEFT JOIN long b ON b.subject = a.subject AND b.stimulus = a.stimulus AND b.channel = a.channel AND b.frame = floor(p_at) + 1""",
+)
 def resample_pattern(spark, d):
     def extract(m: np.ndarray):
         for c, row in zip(ad.CHANNELS, m):
@@ -74,10 +79,10 @@ def resample_pattern(spark, d):
     return rounded(ly.series_extractor(filled(spark, d), extract, "channel string, place int, value double"), "value")
 
 
-@query("atom_at")
+@query("atom_at", f"SELECT subject, stimulus, channel || '|gaussian|' || CAST(scale_idx AS VARCHAR) || '|' || CAST(pos AS VARCHAR) AS channel, {r('sum(w * w) AS energy')} FROM spread GROUP BY ALL", *PLACED_CTES)
 def atom_at(spark, d):
-    """Energy of each chosen atom inside its series, summed over the atoms' frames."""
-    alone = chosen(spark, d).withColumn("channel", F.concat_ws("|", "channel", "atom", "scale_idx", "pos")).withColumn("amp", F.lit(1.0))
+    """Energy of each atom inside its series, summed over the atoms' frames."""
+    alone = placed(spark, d).withColumn("channel", F.concat_ws("|", "channel", "atom", "scale_idx", "pos")).withColumn("amp", F.lit(1.0))
     return rounded(dc.rebuild_signal(alone, lengths(spark), ad.FPS).groupBy(*kernels.CHAN).agg(F.sum(F.col("value") * F.col("value")).alias("energy")), "energy")
 
 

@@ -66,5 +66,5 @@ def sql(body: str, *extra: tuple[str, str]) -> str:
             if name not in needed and re.search(rf"\b{name}\b", text):
                 needed.add(name)
                 todo.append(texts[name])
-    listed = ", ".join(f"{n} AS ({t})" for n, t in texts.items() if n in needed)
+    listed = ", ".join(f"{n} AS MATERIALIZED ({t})" for n, t in texts.items() if n in needed)
     return (f"WITH {listed} " if listed else "") + body
