@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 POINTS = 49
 
-#: Fixed value: where the mirrored point i is taken from.
-MIRROR = (
-    [9 - i for i in range(10)] + list(range(10, 14)) + [32 - i for i in range(14, 19)] + [47 - i for i in range(19, 23)]
-    + [53 - i for i in (23, 24)] + [47 - i for i in range(25, 29)] + [53 - i for i in (29, 30)] + [68 - i for i in range(31, 38)]
-    + [80 - i for i in range(38, 43)] + [88 - i for i in range(43, 46)] + [94 - i for i in range(46, 49)]
-)
+#: The point that takes the place of point 0, 1, .. 48 in the mirror.
+MIRROR = [
+    9, 8, 7, 6, 5, 4, 3, 2, 1, 0,
+    10, 11, 12, 13, 18, 17, 16, 15, 14, 28,
+    27, 26, 25, 30, 29, 22, 21, 20, 19, 24,
+    23, 37, 36, 35, 34, 33, 32, 31, 42, 41,
+    40, 39, 38, 45, 44, 43, 48, 47, 46,
+]
 
 
 class Point:
@@ -118,6 +120,7 @@ def median_normalize(value: Column, series: list[str], log: bool = True) -> Colu
 
 def face_channels(df: DataFrame, series: list[str], landmarks: str = "landmarks", compat: bool = False) -> DataFrame:
     """13 channels per row. ``compat`` keeps one projection for both eyes in yaw."""
+    # the point numbers are fixed values
     l = F.col(landmarks)
     d = lambda i, j: point_distance(l, i, j)
     n = lambda c, log=True: median_normalize(c, series, log)
@@ -138,6 +141,7 @@ def face_channels(df: DataFrame, series: list[str], landmarks: str = "landmarks"
 
 def asymmetry_channels(df: DataFrame, series: list[str], landmarks: str = "landmarks") -> DataFrame:
     """Four left-minus-right channels per row."""
+    # the point numbers are fixed values
     l = F.col(landmarks)
     d = lambda i, j: point_distance(l, i, j)
     n = lambda c, log=True: median_normalize(c, series, log)

@@ -46,34 +46,37 @@ def kernel_table(spark: SparkSession, bank: list[tuple[str, float]], fps: float,
     return spark.createDataFrame(rows, "filter string, scale double, offset int, weight double")
 
 
+def _dealt(long: DataFrame, kernel: DataFrame, by: list[str], **sums) -> DataFrame:
+    """Each frame dealt to the frames that it weighs in on and summed there, partly before the exchange; frames of the series alone.
+
+    Every kernel has an offset 0, so a frame of the series is one that dealt to itself.
+    """
+    spread = long.join(F.broadcast(kernel)).select("*", (F.col("frame") + F.col("offset")).alias("at"))
+    own = F.max(F.col("offset") == 0).alias("own")
+    total = spread.groupBy(*CHAN, *by, F.col("at").alias("frame")).agg(own, *[F.sum(c).alias(n) for n, c in sums.items()])
+    return total.where("own").drop("own")
+
+
 def convolve(long: DataFrame, kernel: DataFrame, value: str = "value") -> DataFrame:
     """Centred convolution, zero outside the series: (subject, stimulus, channel, filter, scale, frame, value).
 
-    Each frame is dealt to the frames that it weighs in on and summed there, partly before the exchange. Meant for
-    kernels of tens of frames; wide ones go through ``layers``.
+    Meant for kernels of tens of frames; wide ones go through ``layers``.
     """
-    spread = long.join(F.broadcast(kernel)).select(
-        *CHAN, "filter", "scale", (F.col("frame") + F.col("offset")).alias("frame"), (F.col(value) * F.col("weight")).alias("part")
-    )
-    total = spread.groupBy(*CHAN, "filter", "scale", "frame").agg(F.sum("part").alias("value"))
-    return total.join(long.select(*CHAN, "frame"), [*CHAN, "frame"], "left_semi")
+    return _dealt(long, kernel, ["filter", "scale"], value=F.col(value) * F.col("weight"))
 
 
 def local_stats(long: DataFrame, scale: float, fps: float) -> DataFrame:
     """mean, var and cumul (mean size) around each frame, by the averaging kernel."""
-    kernel = kernel_table(long.sparkSession, [("average", scale)], fps)
-    spread = long.join(F.broadcast(kernel)).select(*CHAN, (F.col("frame") + F.col("offset")).alias("frame"), F.col("weight").alias("w"), F.col("value").alias("v"))
-    total = spread.groupBy(*CHAN, "frame").agg(F.sum(F.col("w") * F.col("v")).alias("mean"), F.sum(F.col("w") * F.col("v") * F.col("v")).alias("square"), F.sum(F.col("w") * F.abs("v")).alias("cumul"))
-    own = total.join(long.select(*CHAN, "frame"), [*CHAN, "frame"], "left_semi")
+    v, w = F.col("value"), F.col("weight")
+    own = _dealt(long, kernel_table(long.sparkSession, [("average", scale)], fps), [], mean=w * v, square=w * v * v, cumul=w * F.abs(v))
     return own.select(*CHAN, "frame", "mean", (F.col("square") - F.col("mean") * F.col("mean")).alias("var"), "cumul")
 
 
 def convolve_weighted(long: DataFrame, kernel: DataFrame) -> DataFrame:
     """Convolution of known frames over the convolution of their mask; ``value`` is null where unknown."""
-    known = convolve(long.withColumn("value", F.coalesce("value", F.lit(0.0))), kernel)
-    mask = convolve(long.withColumn("value", F.col("value").isNotNull().cast("double")), kernel).withColumnRenamed("value", "mass")
-    joined = known.join(mask, [*CHAN, "filter", "scale", "frame"])
-    return joined.select(*CHAN, "filter", "scale", "frame", (F.col("value") / F.when(F.col("mass") < 0.01, 1.0).otherwise(F.col("mass"))).alias("value"))
+    v, w = F.col("value"), F.col("weight")
+    both = _dealt(long, kernel, ["filter", "scale"], known=F.coalesce(v, F.lit(0.0)) * w, mass=v.isNotNull().cast("double") * w)
+    return both.select(*CHAN, "filter", "scale", "frame", (F.col("known") / F.when(F.col("mass") < 0.01, 1.0).otherwise(F.col("mass"))).alias("value"))
 
 
 def window_bounds(n: int, scale: float, fps: float) -> list[tuple[int, int]]:

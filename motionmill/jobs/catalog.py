@@ -71,6 +71,11 @@ def long(spark, d) -> DataFrame:
     return fr.long_frames(filled(spark, d), ad.CHANNELS)
 
 
+def stored(spark, build) -> DataFrame:
+    """What ``build`` gives, as a table, for work that reads it more than once."""
+    return tables.materialize(spark, scratch(spark), build)
+
+
 def labels(spark, d) -> DataFrame:
     return ad.subjects(spark, d).select("subject", tables.encode_label(F.col("raw_label")).alias("label"))
 
@@ -341,7 +346,7 @@ def subsample(spark, d):
 
 @query("control_zscore", f"SELECT subject, stimulus, channel, frame, {r('value')} FROM z")
 def control_zscore(spark, d):
-    return rounded(fr.control_zscore(long(spark, d), labels(spark, d)), "value")
+    return rounded(fr.control_zscore(stored(spark, lambda: long(spark, d)), labels(spark, d)), "value")
 
 
 @query("event_frames", f"SELECT subject, event, channel, count(*) AS n, {r('sum(value) AS total')} FROM cut GROUP BY subject, event, channel")
@@ -351,7 +356,7 @@ def event_frames(spark, d):
 
 @query("event_means", f"SELECT subject, event, channel, {r('avg(value) AS mean')} FROM cutz GROUP BY subject, event, channel")
 def event_means(spark, d):
-    z = fr.control_zscore(long(spark, d), labels(spark, d))
+    z = fr.control_zscore(stored(spark, lambda: long(spark, d)), labels(spark, d))
     return rounded(fr.event_frames(z, windows(spark)).groupBy("subject", "event", "channel").agg(F.avg("value").alias("mean")), "mean")
 
 
@@ -491,8 +496,7 @@ MOTOR_CTES = (
 
 
 def motor_table(spark, d) -> DataFrame:
-    stored = tables.materialize(spark, scratch(spark), lambda: long(spark, d))
-    return motion.motor_behaviors(stored, ad.FPS, 6)
+    return motion.motor_behaviors(stored(spark, lambda: long(spark, d)), ad.FPS, 6)
 
 
 @query("motor_behaviors", f"SELECT subject, stimulus, feature, {r('value')} FROM motor", *MOTOR_CTES)
@@ -504,8 +508,8 @@ BIN_LEVELS = [0.2, 0.4, 0.6, 0.8]
 BINS_SQL = ("bins_t", "SELECT channel, " + ", ".join(f"quantile_disc(value, {p}) AS b{i}" for i, p in enumerate(BIN_LEVELS)) + " FROM long GROUP BY channel")
 
 
-def bins(spark, d) -> DataFrame:
-    return density.quantile_bins(long(spark, d), "channel", BIN_LEVELS, exact=True)
+def bins(spark, d, source: DataFrame | None = None) -> DataFrame:
+    return density.quantile_bins(source or stored(spark, lambda: long(spark, d)), "channel", BIN_LEVELS, exact=True)
 
 
 @query("quantile_bins", f"SELECT channel, {r('b0', 'b1', 'b2', 'b3')} FROM bins_t", BINS_SQL)
@@ -517,7 +521,8 @@ BIN = "CAST(b0 < value AS INT) + CAST(b1 < value AS INT) + CAST(b2 < value AS IN
 
 
 def binned(spark, d) -> DataFrame:
-    return long(spark, d).join(F.broadcast(bins(spark, d)), "channel").select("subject", "stimulus", "channel", "frame", kernels.bin_assign(F.col("value"), F.col("bins")).alias("bin"))
+    source = stored(spark, lambda: long(spark, d))
+    return source.join(F.broadcast(bins(spark, d, source)), "channel").select("subject", "stimulus", "channel", "frame", kernels.bin_assign(F.col("value"), F.col("bins")).alias("bin"))
 
 
 @query("bin_assign", f"SELECT subject, stimulus, channel, frame, {BIN} AS bin FROM long JOIN bins_t USING (channel)", BINS_SQL)
@@ -624,6 +629,23 @@ def density_at_points(spark, d):
     return _ids(rounded(density.density_at_points(ad.design(spark, d)), "density"))
 
 
+BINNED_CTES = (
+    ("bn_stats", "SELECT feature_id, count(*) AS n, var_pop(value) * pow(CAST(count(*) AS DOUBLE), CAST(-0.2 AS DOUBLE)) AS h, min(value) AS x0, (max(value) - min(value)) / 255 AS dx FROM design GROUP BY feature_id HAVING var_pop(value) > 0"),
+    ("bn_at", "SELECT subject, feature_id, (value - x0) / dx AS t, least(CAST(floor((value - x0) / dx) AS INT), 254) AS cell FROM design JOIN bn_stats USING (feature_id)"),
+    ("bn_w", "SELECT feature_id, cell, sum(w) AS w FROM (SELECT feature_id, cell, 1 - (t - cell) AS w FROM bn_at UNION ALL SELECT feature_id, cell + 1, t - cell FROM bn_at) GROUP BY feature_id, cell"),
+    ("bn_d", "SELECT feature_id, node, sum(w * exp(-0.5 * pow((node - cell) * dx / h, 2))) / (max(n) * max(h) * sqrt(2 * pi())) AS d FROM bn_w JOIN bn_stats USING (feature_id), range(256) g(node) GROUP BY feature_id, node"),
+)
+
+
+@query(
+    "density_binned",
+    "SELECT a.subject, a.feature_id, round(p.d + (t - cell) * (q.d - p.d), 6) + 0.0 AS density FROM bn_at a JOIN bn_d p ON p.feature_id = a.feature_id AND p.node = cell JOIN bn_d q ON q.feature_id = a.feature_id AND q.node = cell + 1",
+    *BINNED_CTES,
+)
+def density_binned(spark, d):
+    return _ids(rounded(density.density_binned(ad.design(spark, d), 256), "density"))
+
+
 GRID = (
     "g",
     """SELECT feature_id, point, x, sum(exp(-0.5 * pow((x - value) / h, 2))) / (max(n) * max(h) * sqrt(2 * pi())) AS density FROM design JOIN (SELECT *, lo + point * (hi - lo) / 19 AS x FROM (

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
-from motionmill.jobs.catalog import BIN, BINS_SQL, MOTOR_CTES, bins, binned, filled, labels, long, motor_table, query, regular, scratch, with_channels
+from motionmill.jobs.catalog import BIN, BINS_SQL, MOTOR_CTES, bins, binned, filled, labels, long, motor_table, query, regular, scratch, stored, with_channels
 from motionmill.jobs.catalog_models import BANK, BANK_SQL, BANKED, CENTRE_CTES, CENTRES, HIST_CTES, MODEL, assigned, histogram, model, second_ctes
 from motionmill.operators import density, design as dz, frames as fr, layers as ly
 from motionmill.sources import adapters as ad, tables
@@ -25,7 +25,7 @@ def videos(spark, d) -> DataFrame:
     """Share of each stimulus that a subject spends nearest to each centre."""
     from motionmill import schema
 
-    c = fr.event_frames(long(spark, d), schema.event_windows(spark, VIDEOS))
+    c = stored(spark, lambda: fr.event_frames(long(spark, d), schema.event_windows(spark, VIDEOS)))
     z = fr.event_zscore(c, fr.event_stats(c))
     v = z.groupBy("subject", "event", "frame").agg(F.array(*[F.max(F.when(F.col("channel") == x, F.col("value"))) for x in ad.CHANNELS]).alias("vector"))
     near = ly.assign_cluster(v, spark.createDataFrame(CENTRES, "cluster int, centre array<double>"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from motionmill import schema
 from motionmill.functions import kernels
-from motionmill.jobs.catalog import BIN, BINS_SQL, GAUSS, KDE, SCALE, _conv_sql, _kernel_sql, bins, cut, filled, ids, long, pair_ctes, purity, query, r, regular, rounded, scratch, with_channels
+from motionmill.jobs.catalog import BIN, BINS_SQL, GAUSS, KDE, SCALE, _conv_sql, _kernel_sql, bins, cut, filled, ids, long, pair_ctes, purity, query, r, regular, rounded, scratch, stored, with_channels
 from motionmill.operators import density, design as dz, dictionary as dc, evaluate as ev, frames as fr, layers as ly, models as md, motion, refits as rf
 from motionmill.sources import adapters as ad, tables
 
@@ -69,8 +69,9 @@ HIST_CTES = (
 
 
 def histogram(spark, d) -> DataFrame:
-    edges = {x["channel"]: list(x["bins"]) for x in bins(spark, d).collect()}  # four numbers per channel
-    return ly.local_histogram(filled(spark, d), ad.CHANNELS, edges, [8.0, 16.0], ad.FPS)
+    frames = stored(spark, lambda: filled(spark, d))
+    edges = {x["channel"]: list(x["bins"]) for x in bins(spark, d, fr.long_frames(frames, ad.CHANNELS)).collect()}  # four numbers per channel
+    return ly.local_histogram(frames, ad.CHANNELS, edges, [8.0, 16.0], ad.FPS)
 
 
 @query("local_histogram", f'SELECT subject, stimulus, channel, bin, wide, "window", {r("value")} FROM hist', *HIST_CTES)
@@ -118,7 +119,7 @@ CENTRE_CTES = (("centres", CENTRES_SQL), ("assigned", ASSIGNED))
 
 
 def event_vectors(spark, d) -> DataFrame:
-    c = cut(spark, d)
+    c = stored(spark, lambda: cut(spark, d))
     z = fr.event_zscore(c, fr.event_stats(c))
     return z.groupBy("subject", "event", "frame").agg(F.array(*[F.max(F.when(F.col("channel") == x, F.col("value"))) for x in ad.CHANNELS]).alias("vector"))
 
@@ -519,8 +520,7 @@ def inverse(v):
 
 def densities(spark, d) -> DataFrame:
     """(subject, feature_id, density, label)."""
-    stored = tables.materialize(spark, scratch(spark), lambda: density.density_at_points(ad.design(spark, d)))
-    return stored.join(ids(spark, d), "subject")
+    return stored(spark, lambda: density.density_at_points(ad.design(spark, d))).join(ids(spark, d), "subject")
 
 
 FOLD_SQL = """SELECT subject, label, CAST((SELECT max(j) FROM range(4) g(j) WHERE floor(j * n / 4.0) <= rn) AS INT) AS fold FROM (

@@ -33,7 +33,8 @@ def density_at_points(design: DataFrame, bandwidth: str = "variance") -> DataFra
     """(subject, feature_id, density): each value's density among all values of its feature.
 
     The bandwidth is the population variance (or ``"std"``, its root) times n^(-1/5). Blocks of points meet blocks of
-    values of the same feature, so no task holds a whole feature. Constant features have no density and go.
+    values of the same feature, so no task holds a whole feature; the work is the square of the subjects, for many of
+    which ``density_binned`` is meant. Constant features have no density and go.
     """
     blocks = _blocks(design)
     width = (F.col("var") if bandwidth == "variance" else F.sqrt("var")) * F.pow(F.col("n").cast("double"), F.lit(-0.2))
@@ -44,6 +45,38 @@ def density_at_points(design: DataFrame, bandwidth: str = "variance") -> DataFra
     return each.groupBy("subject", "feature_id").agg((F.sum("part") / F.first("n")).alias("density"))
 
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _smooth_cells(cells: pd.Series, many: pd.Series, step: pd.Series) -> pd.Series:
+    """Kernel sums at the nodes of an even grid that carry weights; ``step`` in bandwidths."""
+    out = []
+    for c, n, d in zip(cells, many, step):
+        weight = np.zeros(n)
+        weight[[x["cell"] for x in c]] = [x["w"] for x in c]
+        z = np.arange(1 - n, n) * d
+        out.append(np.fft.irfft(np.fft.rfft(weight, 4 * n) * np.fft.rfft(np.exp(-z * z / 2), 4 * n), 4 * n)[n - 1 : 2 * n - 1])
+    return pd.Series(out)
+
+
+def density_binned(design: DataFrame, cells: int = 1024, bandwidth: str = "variance") -> DataFrame:
+    """``density_at_points`` in time proportional to the values: each is shared between the two nodes of an even grid of
+    ``cells`` around it, the nodes' weights are smoothed, and densities are interpolated between nodes.
+
+    The error is of the order of (d / h)^2 / 4 of the density's peak, for nodes d apart and bandwidth h.
+    """
+    stats = design.groupBy("feature_id").agg(F.count(F.lit(1)).alias("n"), F.var_pop("value").alias("var"), F.min("value").alias("x0"), ((F.max("value") - F.min("value")) / (cells - 1)).alias("dx")).where("var > 0")
+    h = (F.col("var") if bandwidth == "variance" else F.sqrt("var")) * F.pow(F.col("n").cast("double"), F.lit(-0.2))
+    at = (F.col("value") - F.col("x0")) / F.col("dx")
+    placed = design.join(stats.select("feature_id", "x0", "dx"), "feature_id").select("subject", "feature_id", at.alias("at"), F.least(F.floor(at), F.lit(cells - 2)).cast("int").alias("cell"))
+    part = F.col("at") - F.col("cell")
+    shared = placed.select("feature_id", F.inline(F.array(F.struct(F.col("cell"), (1 - part).alias("w")), F.struct((F.col("cell") + 1).alias("cell"), part.alias("w")))))
+    weights = shared.groupBy("feature_id", "cell").agg(F.sum("w").alias("w"))
+    packed = weights.groupBy("feature_id").agg(F.collect_list(F.struct("cell", "w")).alias("cells")).join(stats, "feature_id")  # ``cells`` numbers a feature
+    smooth = packed.select("feature_id", (F.col("n") * h * F.sqrt(F.lit(2 * np.pi))).alias("norm"), _smooth_cells("cells", F.lit(cells), F.col("dx") / h).alias("d"))
+    nodes = smooth.select("feature_id", "norm", "d", F.posexplode(F.slice("d", 1, cells - 1)).alias("cell", "d0"))
+    nodes = nodes.select("feature_id", "cell", (F.col("d0") / F.col("norm")).alias("d0"), (F.get("d", F.col("cell") + 1) / F.col("norm")).alias("d1"))
+    return placed.join(nodes, ["feature_id", "cell"]).select("subject", "feature_id", (F.col("d0") + part * (F.col("d1") - F.col("d0"))).alias("density"))
+
+
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _grid_sums(values: pd.Series, x0: pd.Series, dx: pd.Series, points: pd.Series, h: pd.Series) -> pd.Series:
     """For each point of an even grid, the sum of Gaussian kernels of width h around the values."""

@@ -187,3 +187,11 @@ def test_pursuit_takes_plain_or_normed_correlations(spark):
     v = spark.createDataFrame([(i, [float(a) for a in r], int(l), float(l)) for i, (r, l) in enumerate(zip(x, y))], "subject long, vector array<double>, label int, target double")
     assert md.matching_pursuit(v, "target", 1)[0] == [1] and md.matching_pursuit(v, "target", 1, normed=True)[0] == [0]
     assert len(md.matching_pursuit(v, "target", 2, normed=True, stop=0.95)[0]) == 1
+
+
+def test_binned_densities_are_near_exact_ones(spark):
+    rng = np.random.default_rng(7)
+    design = spark.createDataFrame([(i, f, float(v), 1) for f in range(3) for i, v in enumerate(rng.normal(0, 1 + f, 200))] + [(i, 9, 1.0, 1) for i in range(5)], "subject long, feature_id long, value double, label int")
+    exact = {(r["subject"], r["feature_id"]): r["density"] for r in dn.density_at_points(design).collect()}
+    binned = {(r["subject"], r["feature_id"]): r["density"] for r in dn.density_binned(design).collect()}
+    assert exact.keys() == binned.keys() and all(abs(exact[k] - binned[k]) < 1e-3 * max(exact.values()) for k in exact)
