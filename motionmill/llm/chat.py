@@ -1,8 +1,9 @@
 """Reply trees as formatted conversations, in DataFrame functions only.
 
-Messages carry a tree, their own id, their parent's id, role, text and score. Root-to-leaf paths come from iterative
-self-joins that double their reach, so a chain of n messages takes log2(n) rounds. Each tree's leaves are ranked by
-the summed score of their path, ties by leaf id, and the chosen paths are written with one template:
+Messages carry a tree, their own id, their parent's id, role, text and score. Iterative self-joins that double their
+reach sum the score from each message to its root, so a chain of n messages takes log2(n) rounds. Each tree's leaves are
+ranked by the summed score of their path, ties by leaf id; the same joins then enumerate the chosen paths alone, which
+are written with one template:
 
     ### role: text</turn>\\n
 
@@ -46,40 +47,45 @@ def _keyed(messages: DataFrame) -> DataFrame:
     return named.withColumn("copy", first).where("copy = 1").drop("copy")
 
 
-def leaf_paths(nodes: DataFrame) -> DataFrame:
-    """(tree, leaf, node, up): every ancestor of every leaf, ``up`` steps above it; ids only.
+def root_scores(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(tree, node, score) summed from each node to its root, and the ancestors (tree, node, to) 1, 2, 4, .. steps above.
 
-    Round k joins the paths of up to 2^k nodes with the 2^k-th ancestors, and those with themselves.
+    In each round a node adds what its furthest known ancestor has summed and takes over that one's furthest.
     """
-    ids = nodes.select("tree", "node", "parent")
-    known = ids.select("tree", F.col("node").alias("parent"))
-    jump = cut(ids.where("parent is not null").join(known, ["tree", "parent"], "left_semi").select("tree", "node", F.col("parent").alias("to")))
-    leaves = ids.select("tree", "node").join(jump.select("tree", F.col("to").alias("node")), ["tree", "node"], "left_anti")
-    paths = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).alias("up"))
-    n, step = nodes.count(), 1
-    while not jump.isEmpty():
-        if step > n:
+    known = nodes.select("tree", F.col("node").alias("to"))
+    kept = nodes.select("tree", "node", F.col("parent").alias("to")).where("to is not null").join(known, ["tree", "to"], "left_semi")
+    state = cut(nodes.select("tree", "node", "score").join(kept, ["tree", "node"], "left"))
+    n, levels = state.count(), []
+    while not state.where("to is not null").isEmpty():
+        if 2 ** len(levels) > n:
             raise ValueError("a chain of parents runs in a circle")
-        further = paths.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("to").alias("node"), (F.col("up") + step).alias("up"))
-        paths = cut(paths.unionByName(further))
-        above = jump.select("tree", F.col("node").alias("to"), F.col("to").alias("top"))
-        jump = cut(jump.join(above, ["tree", "to"]).select("tree", "node", F.col("top").alias("to")))
-        step *= 2
-    return paths
+        levels.append(state.where("to is not null").select("tree", "node", "to"))
+        above = state.select("tree", F.col("node").alias("to"), F.col("score").alias("more"), F.col("to").alias("top"))
+        state = cut(state.join(above, ["tree", "to"], "left").select("tree", "node", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"), F.col("top").alias("to")))
+    return state.select("tree", "node", "score"), levels
 
 
-def rank_paths(paths: DataFrame, nodes: DataFrame, top: int = 1) -> DataFrame:
+def best_leaves(scores: DataFrame, levels: list[DataFrame], top: int = 1) -> DataFrame:
     """(tree, leaf, rank): the ``top`` best leaves of each tree."""
-    scored = paths.join(nodes.select("tree", "node", "score"), ["tree", "node"]).groupBy("tree", "leaf").agg(F.sum("score").alias("score"))
-    rank = F.row_number().over(W.partitionBy("tree").orderBy(F.desc("score"), "leaf"))
-    return scored.select("tree", "leaf", rank.alias("rank")).where(F.col("rank") <= top)
+    leaves = scores.join(levels[0].select("tree", F.col("to").alias("node")), ["tree", "node"], "left_anti") if levels else scores
+    rank = F.row_number().over(W.partitionBy("tree").orderBy(F.desc(F.round("score", 9)), "node"))
+    return leaves.select("tree", F.col("node").alias("leaf"), rank.alias("rank")).where(F.col("rank") <= top)
+
+
+def leaf_paths(leaves: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """(tree, leaf, rank, node, up): every ancestor of every given leaf, ``up`` steps above it; ids only."""
+    paths = leaves.select("tree", "leaf", "rank", F.col("leaf").alias("node"), F.lit(0).alias("up"))
+    for k, level in enumerate(levels):
+        further = paths.join(level, ["tree", "node"]).select("tree", "leaf", "rank", F.col("to").alias("node"), (F.col("up") + 2**k).alias("up"))
+        paths = cut(paths.unionByName(further))
+    return paths
 
 
 def format_trees(messages: DataFrame, top: int = 1, trained_role: str = TRAINED_ROLE) -> DataFrame:
     """(tree_id, leaf, rank, n_turns, formatted, loss): ``loss`` lists [begin, end) of trained text in ``formatted``."""
-    nodes = _keyed(messages)
-    paths = leaf_paths(nodes)
-    chosen = paths.join(rank_paths(paths, nodes, top), ["tree", "leaf"])
+    nodes = cut(_keyed(messages))
+    scores, levels = root_scores(nodes)
+    chosen = leaf_paths(best_leaves(scores, levels, top), levels)
     head = F.concat(F.lit("### "), escape(F.col("role"), role=True), F.lit(": "))
     body = escape(F.col("text"))
     lines = chosen.join(nodes, ["tree", "node"]).select(
