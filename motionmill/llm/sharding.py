@@ -3,7 +3,7 @@
 Each row hashes to one of ``N_SLOTS`` virtual slots by its key, and a small versioned map says which shard owns a
 slot. Rows never move on their own: growing or rebalancing edits the map. Two edits are offered: ``grow_map`` adds a
 shard that takes slots from all others and moves none between them, ``rebalance_map`` moves the fewest slots that
-level the bytes.
+level the bytes. ``save_map`` adds a version to those stored at a path, ``load_map`` reads the last or an earlier one.
 
 Nulls: a null key hashes like any other value, a null text has size 1 (no bytes plus one). Empty tables give empty
 results. Other columns of the input are not touched or read, so their names cannot clash.
@@ -11,10 +11,12 @@ results. Other columns of the input are not touched or read, so their names cann
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 N_SLOTS = 4096
-#: A slot's rows are numbered in this many parts, so that one key with many rows is not one task.
+#: A slot's rows are numbered in this many parts, so that one slot with many keys is not one task.
 PARTS = 16
 
 
@@ -42,6 +44,19 @@ def grow_map(slot_map: DataFrame, n_shards: int) -> DataFrame:
     )
 
 
+def save_map(slot_map: DataFrame, path: str) -> None:
+    """Stores the version of ``slot_map`` beside those at ``path``; a version that is there already is an error."""
+    version = slot_map.agg(F.max("version")).first()[0]
+    slot_map.drop("version").write.parquet(f"{path}/version={version}")
+
+
+def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The map at ``path``, of the last version or the one asked for."""
+    every = spark.read.parquet(path)
+    at = every.agg(F.max("version")).first()[0] if version is None else version
+    return every.where(F.col("version") == at).select("version", "vslot", "shard")
+
+
 def slot_sizes(rows: DataFrame, size: str = "size") -> DataFrame:
     """Rows and bytes of each virtual slot: columns vslot, n_rows, n_bytes."""
     return rows.groupBy("vslot").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(size).alias("n_bytes"))
@@ -89,30 +104,33 @@ def sized_rows(df: DataFrame, key: str = "doc_id", text: str = "text", n_slots:
 def place(rows: DataFrame, slot_map: DataFrame, key: str = "doc_id") -> DataFrame:
     """Adds shard and ``slot``, the row's gapless place within its shard, from 0.
 
-    Places are counted in two steps, so that no task sees a whole shard: rows are numbered within parts of a virtual
-    slot, and the parts' counts, at most ``N_SLOTS * PARTS`` rows and so small enough to broadcast, give each part's
-    first place.
+    Equal rows are counted before the exchange and dealt out again after it, so a row that repeats is one row in
+    between. Places are counted in two steps, so that no task sees a whole shard: rows are numbered within parts of a
+    virtual slot, and the parts' counts, at most ``N_SLOTS * PARTS`` rows and so small enough to broadcast, give each
+    part's first place.
     """
-    part = rows.withColumn("part", F.pmod(F.xxhash64("text_crc32", "size"), F.lit(PARTS)).cast("int"))
-    counts = part.groupBy("vslot", "part").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(slot_map.select("vslot", "shard")), "vslot")
+    part = F.pmod(F.xxhash64(key, "text_crc32", "size"), F.lit(PARTS)).cast("int")
+    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("copies")).withColumn("part", part)
+    counts = counted.groupBy("vslot", "part").agg(F.sum("copies").alias("n")).join(F.broadcast(slot_map.select("vslot", "shard")), "vslot")
     before = F.sum("n").over(W.partitionBy("shard").orderBy("vslot", "part")) - F.col("n")
     starts = counts.select("vslot", "part", "shard", before.alias("first"))
-    order = W.partitionBy("vslot", "part").orderBy(key, "text_crc32", "size")
-    numbered = part.withColumn("rn", F.row_number().over(order).cast("long"))
-    return numbered.join(F.broadcast(starts), ["vslot", "part"]).withColumn("slot", F.col("first") + F.col("rn") - 1).drop("part", "rn", "first")
+    order = W.partitionBy("vslot", "part").orderBy(key, "text_crc32", "size").rowsBetween(W.unboundedPreceding, 0)
+    numbered = counted.withColumn("inner", F.sum("copies").over(order) - F.col("copies")).join(F.broadcast(starts), ["vslot", "part"])
+    first = F.col("first") + F.col("inner")
+    return numbered.select(*rows.columns, "shard", F.explode(F.sequence(first, first + F.col("copies") - 1)).alias("slot"))
 
 
-def op10_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places by the first map; owners by the grown map, and by that map with the bytes of all documents levelled."""
-    from motionmill.llm._shared import table, written
+def op10_slots(spark: SparkSession, sf_dir: str, map_path: str | None = None) -> DataFrame:
+    """Places by the first version of the map at ``map_path``; owners by the second, grown by a shard, and by the third, that with the bytes of all documents levelled."""
+    from motionmill.llm._shared import shared_dir, table, written
 
-    n = 16
+    n, path = 16, map_path or f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}"
     rows = sized_rows(table(spark, sf_dir, "documents"))
-    first = initial_map(spark, n)
-    maps = written(first.unionByName(grow_map(first, n)), "slot-map")
-    level = written(rebalance_map(maps.where("version = 2"), written(slot_sizes(rows), "slot-sizes"), n + 1), "slot-map")
-    placed = place(rows, maps.where("version = 1"))
-    later = maps.where("version = 2").select("vslot", F.col("shard").alias("grown_shard")).join(level.select("vslot", F.col("shard").alias("level_shard")), "vslot")
-    return placed.join(F.broadcast(later), "vslot").select(
+    save_map(initial_map(spark, n), path)
+    save_map(grow_map(load_map(spark, path), n), path)
+    save_map(rebalance_map(load_map(spark, path), written(slot_sizes(rows), "slot-sizes"), n + 1), path)
+    owner = lambda version, name: load_map(spark, path, version).select("vslot", F.col("shard").alias(name))
+    later = owner(2, "grown_shard").join(owner(3, "level_shard"), "vslot")
+    return place(rows, load_map(spark, path, 1)).join(F.broadcast(later), "vslot").select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", "level_shard"
     )
