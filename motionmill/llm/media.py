@@ -24,6 +24,8 @@ from motionmill.llm import jpeg
 from motionmill.llm._shared import small_batches, table
 
 UNITS_A_ROW = 64
+#: Rows of units that the format's 16-bit height has room for; longer texts (over 100 MB) make wider rows.
+MOST_ROWS = 65_535 // 16
 BYTES_AT_ONCE = 1 << 21
 TENSOR = T.StructType([T.StructField("height", T.IntegerType()), T.StructField("width", T.IntegerType()), T.StructField("rgb", T.BinaryType())])
 DIGEST = T.StructType(
@@ -39,7 +41,7 @@ def pad(raw: bytes) -> bytes:
 def shape(blocks: int) -> tuple[int, int]:
     """Units per row and rows for so many blocks."""
     units = -(-blocks // 6)
-    wide = min(units, UNITS_A_ROW)
+    wide = max(min(units, UNITS_A_ROW), -(-units // MOST_ROWS))
     return wide, -(-units // wide)
 
 
