@@ -138,6 +138,8 @@ def test_dedup_keeps_one_of_each_group(docs, none, texts):
     assert kept.columns == docs.columns
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == sorted([(False, i) for i in set(root.values())] + [(True, 0)])
     assert simhash.drop_near_duplicates(none).count() == 0
+    same = docs.limit(3).unionByName(docs.limit(3)).withColumn("tags", F.create_map(F.lit("a"), F.lit(1)))
+    assert simhash.drop_near_duplicates(same).count() <= 3
 
 
 # ---------------------------------------------------------------- 3
@@ -162,6 +164,12 @@ def naive_idct(c):
     return out
 
 
+@pytest.mark.parametrize("blocks", [1, 6, 7, 64 * 6, 64 * 6 + 1, 4095 * 64 * 6, 4095 * 64 * 6 + 1, 30_000_000])
+def test_shapes_fit_the_format(blocks):
+    wide, high = media.shape(blocks)
+    assert 16 * wide <= 65_535 and 16 * high <= 65_535 and wide * high * 6 >= blocks > (wide * high - wide) * 6 - 6
+
+
 def test_samples_and_chroma():
     rng = np.random.default_rng(0)
     blocks = rng.integers(0, 30, (6, 64))
@@ -219,9 +227,52 @@ def test_stream_equals_whole_words_in_any_pieces(library):
         assert list(own.merges.stream(pieces)) == lib.encode(word, add_special_tokens=False).ids
 
 
+def test_every_word_passes_the_transducer(library, texts, monkeypatch):
+    own, met = bpe.WordBpe(public_tokenizers.path("word_bpe_49k.json")), []
+    feed = bpe.WordStream.feed
+    monkeypatch.setattr(bpe.WordStream, "feed", lambda self, piece: met.append(piece) or feed(self, piece))
+    for t in texts:
+        own.encode(t or "")
+    words = {w for t in texts for w, _, _ in own.words_in(own.normalizer.normalize_str((t or "").replace("<|endoftext|>", " ")))}
+    assert words and {w for w in words if len(w) <= 1000} <= {m.decode() for m in met} and all(w.encode() in b"".join(met) for w in words)
+
+
+SIGNS = ["a", "b", "É", "漢", "가", "ᄀ", "ᅡ", "ᆨ", "\u0301", "\u0323", "が", "か", "\u3099", "'s", "'ll", "'", "!", "1", "<|endoftext|>", "<|", "|>", "\n", "\t", "İ", "Σ", "ﬁ", "😀", "the", " ", "\u200d"]
+
+
+@pytest.mark.parametrize("size", [7, 333, 1 << 16])
+def test_texts_in_pieces_equal_whole_texts(library, size):
+    lib, own = library["word_bpe_49k.json"], bpe.WordBpe(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(size)
+    for k in range(40):
+        t = "".join(rng.choice(SIGNS) for _ in range(rng.randrange(1, 400 if k % 8 else 9000)))
+        t = t + "x" * 9000 + "!" * 9000 + t if k % 20 == 0 else t
+        ids = lib.encode(t, add_special_tokens=False).ids
+        assert [i for part in own.encode_pieces(t[i : i + size] for i in range(0, len(t), size)) for i in part] == ids
+        assert "".join(own.decode(ids, 5)) == lib.decode(ids, skip_special_tokens=False)
+
+
+@pytest.mark.parametrize("unit", ["word and ", "x", "漢字", "a,b;"])
+def test_memory_does_not_grow_with_the_text(unit):
+    own = bpe.WordBpe(public_tokenizers.path("word_bpe_49k.json"))
+    coder, most = bpe.Transducer(own), 0
+    for _ in range(10):
+        coder.feed(unit * 5_000)
+        run = coder.run
+        most = max(most, len(coder.held) + (len(run.raw) + len(run.tail) + (len(run.word.held) if run.word else 0) if run else 0))
+    assert most < 3 * own.merges.lookahead + 2 * bpe.LONG and len(own.known) <= bpe.CACHE_WORDS
+
+
 def test_bytes_to_text_waits_for_whole_characters():
     raw = "é漢😀".encode() + b"\xff" + "z".encode() + b"\xe6\xbc"
-    assert "".join(bpe.bytes_to_text(raw[i : i + 1] for i in range(len(raw)))) == raw.decode("utf-8", "replace")
+    for size in (1, 2, 3, 5):
+        assert "".join(bpe.bytes_to_text(raw[i : i + size] for i in range(0, len(raw), size))) == raw.decode("utf-8", "replace")
+    machine = bpe.ByteMachine()
+    assert [machine.feed(bytes([b])) for b in "漢".encode()] == ["", "", "漢"]
+    rng = random.Random(2)
+    for _ in range(300):
+        raw = bytes(rng.choice([0x41, 0xC3, 0xA9, 0xE6, 0xBC, 0xF0, 0x9F, 0x98, 0x80, 0xED, 0xA0, 0xFF]) for _ in range(30))
+        assert "".join(bpe.bytes_to_text(raw[i : i + 4] for i in range(0, 30, 4))) == raw.decode("utf-8", "replace")
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -277,6 +328,53 @@ def test_bit_vectors_equal_the_table():
         assert dec.best_match(a, b)[0] == edit_distance(a, b)
 
 
+def edited(rng, words, k, kind, vocab):
+    words = list(words)
+    for _ in range(k):
+        at, how = rng.randrange(len(words)), kind if kind != "mixed" else rng.choice(["changed", "added", "left out"])
+        if how == "changed":
+            words[at] = rng.choice(vocab)
+        elif how == "added":
+            words.insert(at, rng.choice(vocab))
+        else:
+            del words[at]
+    return words
+
+
+@pytest.mark.parametrize("kind", ["changed", "added", "left out", "mixed"])
+@pytest.mark.parametrize("n", [8, 15, 16, 31, 32, 59])
+def test_recall_by_length_and_kind_of_edit(n, kind):
+    rng = random.Random(f"{n}{kind}")
+    vocab = [f"w{i}" for i in range(2500)]
+    items = [[rng.choice(vocab) for _ in range(n)] for _ in range(100)]
+    index = dec.Index([(i, " ".join(w)) for i, w in enumerate(items)])
+    docs = [[rng.choice(vocab) for _ in range(25)] + edited(rng, w, int(dec.EDITS * n), kind, vocab) + [rng.choice(vocab) for _ in range(25)] for w in items]
+    found = index.search([" ".join(d) for d in docs])
+    assert np.mean([i in f for i, f in enumerate(found)]) >= 0.9
+
+
+def test_places_equal_the_table():
+    rng = random.Random(9)
+    vocab = [f"w{i}" for i in range(400)]
+    for _ in range(25):
+        item = [rng.choice(vocab) for _ in range(rng.randrange(8, 40))]
+        doc = [rng.choice(vocab) for _ in range(20)] + edited(rng, item, rng.randrange(0, int(0.2 * len(item)) + 1), "mixed", vocab) + [rng.choice(vocab) for _ in range(20)]
+        found = dec.Index([(0, " ".join(item))]).search([" ".join(doc)])[0]
+        if 0 in found:
+            spans = {}
+            for begin in range(len(doc)):
+                row = list(range(len(item) + 1))
+                for end, w in enumerate(doc[begin:], begin):
+                    new = [row[0] + 1]
+                    for i, x in enumerate(item, 1):
+                        new.append(min(row[i] + 1, new[-1] + 1, row[i - 1] + (x != w)))
+                    row = new
+                    spans[begin, end] = row[-1]
+            least = min(spans.values())
+            end = min(e for (_, e), v in spans.items() if v == least)
+            assert found[0] == (least, max(b for (b, e), v in spans.items() if v == least and e == end), end)
+
+
 def passage(rng, n):
     return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 6))) for _ in range(n))
 
@@ -371,6 +469,12 @@ def test_windows_cover_every_word():
         assert set().union(*mine) == set(range(n))
 
 
+def test_one_text_of_a_repeated_id_trains(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, None), (3, "c"), (None, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0, 1), (1, 0, 0), (3, 1, 0), (None, 0, 1), (4, 0, 1)], "doc_id long, quality int, toxic int")
+    assert {tuple(r) for r in toxicity.training_rows(docs, labels).collect()} <= {(1, "", 1), (3, "c", 0)}
+
+
 def test_training_without_labels(spark, docs):
     labels = spark.createDataFrame([(1, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
     net = toxicity.train(docs, labels)
