@@ -8,8 +8,8 @@ highest window of each.
 
 Training takes the labelled texts of fold 0, 1 and 3 (crc32 of the id as text, modulo 4), at most ``SAMPLE`` of them,
 the least by a hash of the id. Nothing but the text enters a score. Null texts and texts without words are one window
-of padding. Rows with a null label or id do not train; all rows are scored, repeated ones alike. Without any usable
-label every score is 0. Other columns are ignored.
+of padding. Rows with a null label or id do not train; of rows that repeat an id the least text trains, with the largest
+label; all rows are scored, equal texts alike. Without any usable label every score is 0. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from motionmill.llm._shared import small_batches, table
+from motionmill.llm._shared import kept, small_batches, table
 
 SAMPLE = 8000
 SPAN, STEP = 32, 16
@@ -32,7 +32,8 @@ GRAM_BUCKETS = 1 << 15
 WORDS = 20_000
 CUTOFF = 0.3
 FOLDS, HELD_OUT = 4, 2
-CACHE_WORDS = 150_000
+#: Words whose inputs a worker keeps.
+CACHE_WORDS = 60_000
 _WORD = re.compile(r"\w+")
 
 
@@ -276,9 +277,6 @@ class Scorer:
         return _sigmoid(self.net.logits(x, places, sizes)[0].astype(np.float64)) if len(docs) else np.empty(0)
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS
 
@@ -287,7 +285,8 @@ def training_rows(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE)
     """(doc_id, text, toxic): at most ``sample`` labelled texts outside the held-out fold."""
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT))
     picked = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
+    met = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    return met.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
 
 
 def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network | None:
@@ -316,11 +315,9 @@ def score_texts(df: DataFrame, net: Network | None, text: str = "text") -> Colum
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        if token not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[token] = Scorer(sent.value)
+        scorer = kept(f"toxicity {token}", lambda: Scorer(sent.value))
         for texts in batches:
-            yield pd.Series(_SCORERS[token].score(texts.tolist()))
+            yield pd.Series(scorer.score(texts.tolist()))
 
     return score(F.col(text))
 
