@@ -23,9 +23,9 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from motionmill.llm._shared import cut, small_batches, table
+from motionmill.llm._shared import cut, small_batches, table, written
 from motionmill.llm.components import components
 
 WIDTH = 3
@@ -114,27 +114,36 @@ def fingerprint_links(distinct: DataFrame, n_blocks: int = N_BLOCKS, max_bits: i
     return near.unionByName(star).distinct()
 
 
+def _classes(prints: DataFrame) -> DataFrame:
+    """(fp, component_id) of every fingerprint of ``prints`` (doc_id, fp)."""
+    ids = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("id")))
+    roots = components(fingerprint_links(ids.where("id is not null")))
+    return ids.join(roots.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("root", "id").alias("component_id"))
+
+
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """(doc_id, fp, component_id), one row per row of ``df``."""
     prints = cut(df.select(F.col(doc_id).alias("doc_id"), fingerprints(df, text, width).alias("fp")))
-    ids = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("id")))
-    roots = components(fingerprint_links(ids.where("id is not null")))
-    of_print = ids.join(roots.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("root", "id").alias("component_id"))
-    return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(_classes(prints), "fp").select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """One row of each component, that of its least id; of rows without any id, one per fingerprint.
 
     Only ids and fingerprints take part in the choice. Of rows that repeat the chosen id and fingerprint, the one with
-    the least text stays.
+    the least hash of its text stays, then of all its columns but maps.
+
+    Texts are fingerprinted once, into a table where each row has a number; the choice is made on small columns, and
+    texts are exchanged once, unsorted, to meet the numbers chosen.
     """
-    found = near_duplicates(df, doc_id, text, width).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    of_row = F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if "map" not in f.dataType.simpleString()])
+    columns = [F.struct("*").alias("row"), F.col(doc_id).alias("doc_id"), fingerprints(df, text, width).alias("fp"), F.xxhash64(text).alias("of_text"), of_row.alias("of_row")]
+    named = written(df.select(*columns).withColumn("number", F.monotonically_increasing_id()), "fingerprints")
+    prints = named.drop("row")
+    found = prints.join(_classes(prints), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     alone = F.when(F.col("component_id").isNull(), F.col("fp"))
-    kept = found.groupBy(F.col("component_id").alias("_kept"), alone.alias("_alone")).agg(F.min("fp").alias("_kept_fp")).drop("_alone")
-    marked = df.withColumn("_fp", fingerprints(df, text, width))
-    chosen = marked.join(kept, F.col(doc_id).eqNullSafe(F.col("_kept")) & (F.col("_fp") == F.col("_kept_fp")), "left_semi")
-    return chosen.withColumn("_copy", F.row_number().over(W.partitionBy(doc_id, "_fp").orderBy(text))).where("_copy = 1").select(*df.columns)
+    chosen = found.groupBy("component_id", alone.alias("alone")).agg(F.min(F.struct("fp", "of_text", "of_row", "number")).alias("c")).select("c.number")
+    return named.join(chosen.hint("shuffle_hash"), "number", "left_semi").select("row.*")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
