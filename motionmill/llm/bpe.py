@@ -11,30 +11,43 @@ higher. The longest such chain of rules, weighed by len(a), bounds how far any t
 Tokens that end further back than the largest S, and the last symbol with its word-end mark, are final: they are
 emitted and forgotten, since text right of a final boundary is merged as if it stood alone.
 
+A text comes in pieces. No word spans a blank, so what stands before the last one is cut into words, and every word goes
+through ``WordStream``; a bounded store of words met before is a shortcut to what came out of it. Within a chunk that
+goes on for over ``LONG`` signs without a blank, text is normalised up to a place where no later sign can combine, and a word that does not end is
+emitted while it comes. So memory does not grow with the text, unless it is one letter under endless accents.
+
+Decoding is a machine over bytes: blocks of any size go in, text comes out, an unfinished character waits.
+
 The merge loop needs every rule to come after the rules that made its parts, which is checked at loading.
 """
 
 from __future__ import annotations
 
-import codecs
 import hashlib
 import json
 import re
+import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from motionmill.llm._shared import small_batches, table
+from motionmill.llm._shared import kept, small_batches, table
 
 _SHIFT = 20
 _NONE = 1 << 60
 #: Words kept with their ids in a Python worker; the store is emptied when full.
 CACHE_WORDS = 200_000
+#: Signs of a text taken in at once; signs of a chunk or word beyond which it is not awaited whole.
+PIECE, LONG = 1 << 16, 1 << 12
+#: Bytes that the decoder takes at once.
+BLOCK = 1 << 12
 #: Texts in these signs need no Unicode tables to normalise and split.
-_PLAIN = re.compile(r"[\t\n\r\x21-\x7e\xa1-\xac\xae-\xff]*")
+_PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-\xff]*")
 
 
 def _byte_signs() -> dict[int, str]:
@@ -73,6 +86,8 @@ class Merges:
 
     def merge(self, ids: list[int]) -> list[int]:
         """All merges of ``ids``, lowest rank first, leftmost first."""
+        if len(ids) > 128:
+            return self._merge_many(ids)
         get = self.pairs.get
         keys = [get(a << _SHIFT | b, _NONE) for a, b in zip(ids, ids[1:])]
         while keys:
@@ -88,28 +103,63 @@ class Merges:
                 keys[i] = get(ids[i] << _SHIFT | ids[i + 1], _NONE)
         return ids
 
+    def _merge_many(self, ids: list[int]) -> list[int]:
+        """The same with a heap of pairs, for long words; a pair that changed meanwhile is passed over."""
+        get, n = self.pairs.get, len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(key, i) for i in range(n - 1) if (key := get(ids[i] << _SHIFT | ids[i + 1]))]
+        heapify(heap)
+        while heap:
+            key, i = heappop(heap)
+            j = after[i]
+            if j >= n or ids[i] < 0 or get(ids[i] << _SHIFT | ids[j]) != key:
+                continue
+            ids[i], ids[j], after[i] = key & ((1 << _SHIFT) - 1), -1, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+                if key := get(ids[i] << _SHIFT | ids[after[i]]):
+                    heappush(heap, (key, i))
+            if before[i] >= 0 and (key := get(ids[before[i]] << _SHIFT | ids[i])):
+                heappush(heap, (key, before[i]))
+        return [i for i in ids if i >= 0]
+
     def stream(self, pieces: Iterable[bytes]) -> Iterator[int]:
-        """Ids of one word that comes in pieces; holds a few times ``lookahead`` bytes however long the word is."""
-        held = b""
+        """Ids of one word that comes in pieces."""
+        word = WordStream(self)
         for piece in pieces:
-            for at in range(0, len(piece), 2 * self.lookahead):
-                held += piece[at : at + 2 * self.lookahead]
-                if len(held) < 3 * self.lookahead:
-                    continue
-                done, stable = 0, len(held) - self.lookahead
-                for i in self.merge([self.first[b] for b in held]):
-                    if done + self.size[i] > stable:
-                        break
-                    done += self.size[i]
-                    yield i
-                held = held[done:]
-        if held:
-            yield from self.merge([self.first[b] for b in held[:-1]] + [self.final[held[-1]]])
+            yield from word.feed(piece)
+        yield from word.finish()
 
     def word(self, word: bytes) -> list[int]:
-        if len(word) > 3 * self.lookahead:
-            return list(self.stream([word]))
-        return self.merge([self.first[b] for b in word[:-1]] + [self.final[word[-1]]]) if word else []
+        stream = WordStream(self)
+        return stream.feed(word) + stream.finish()
+
+
+class WordStream:
+    """One word whose bytes come in pieces; holds a few times ``lookahead`` bytes however long the word is."""
+
+    def __init__(self, merges: Merges):
+        self.merges, self.held = merges, b""
+
+    def feed(self, piece: bytes) -> list[int]:
+        """Ids that no bytes to come can change."""
+        ids, look = [], self.merges.lookahead
+        for at in range(0, len(piece), 2 * look):
+            self.held += piece[at : at + 2 * look]
+            if len(self.held) < 3 * look:
+                continue
+            done, stable = 0, len(self.held) - look
+            for i in self.merges.merge([self.merges.first[b] for b in self.held]):
+                if done + self.merges.size[i] > stable:
+                    break
+                done += self.merges.size[i]
+                ids.append(i)
+            self.held = self.held[done:]
+        return ids
+
+    def finish(self) -> list[int]:
+        held, self.held = self.held, b""
+        return self.merges.merge([self.merges.first[b] for b in held[:-1]] + [self.merges.final[held[-1]]]) if held else []
 
 
 class WordBpe:
@@ -130,70 +180,239 @@ class WordBpe:
         surface = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
         self.surface = [surface[i].encode() for i in range(len(surface))]
         self.number = [str(i) for i in range(len(surface))]
-        self.chunks: dict[str, list[int]] = {}
-        self.known: dict[bytes, list[int]] = {}
+        self.id = list(range(len(surface)))  # one number object for each id, shared by all stores
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def words_in(self, normal: str) -> list[tuple[str, int, int]]:
+        """(word, begin, end) in a normalised text, by the library's own Unicode tables."""
+        return [(bytes(map(self.byte.__getitem__, w)).decode(), a, b) for w, (a, b) in self.pre.pre_tokenize_str(normal)]
 
-    def _pieces(self, text: str) -> list[bytes]:
+    def _split(self, text: str) -> list[str]:
         if _PLAIN.fullmatch(text):
-            return [w.encode() for w in self.words.findall(text.lower())]
-        # else the library's own Unicode tables decide
-        return [bytes(map(self.byte.__getitem__, w)) for w, _ in self.pre.pre_tokenize_str(self.normalizer.normalize_str(text))]
-
-    def _plain(self, text: str) -> list[int]:
-        out: list[int] = []
-        for w in self._pieces(text):
-            ids = self.known.get(w)
-            if ids is None:
-                ids = self.merges.word(w)
-                if len(w) <= 64:
-                    if len(self.known) >= CACHE_WORDS:
-                        self.known.clear()
-                    self.known[w] = ids
-            out += ids
-        return out
-
-    def _chunk(self, chunk: str) -> list[int]:
-        if "<|" in chunk:
-            parts = self.split_special.split(chunk)
-            ids = [t for i, part in enumerate(parts) for t in ([self.special[part]] if i % 2 else self._plain(part))]
-        else:
-            ids = self._plain(chunk)
-        if len(chunk) <= 64:
-            if len(self.chunks) >= CACHE_WORDS:
-                self.chunks.clear()
-            self.chunks[chunk] = ids
+            return self.words.findall(text.lower())
+        return [w for w, _, _ in self.words_in(self.normalizer.normalize_str(text))]
+
+    def word(self, word: str) -> tuple[int, ...]:
+        ids = self.known.get(word)
+        if ids is None:
+            ids = tuple(map(self.id.__getitem__, self.merges.word(word.encode())))
+            if len(word) <= 64:
+                if len(self.known) >= CACHE_WORDS:
+                    self.known.clear()
+                self.known[word] = ids
+        return ids
+
+    def whole(self, text: str) -> list[int]:
+        """Ids of a text that a blank or the end follows."""
+        ids: list[int] = []
+        for i, part in enumerate(self.split_special.split(text) if "<|" in text else [text]):
+            if i % 2:
+                ids.append(self.special[part])
+                continue
+            words = self._split(part)
+            got = list(map(self.known.get, words))
+            if None in got:
+                got = [self.word(words[k]) if g is None else g for k, g in enumerate(got)]
+            ids += chain.from_iterable(got)
         return ids
 
+    def encode_pieces(self, pieces: Iterable[str]) -> Iterator[list[int]]:
+        coder = Transducer(self)
+        for piece in pieces:
+            yield coder.feed(piece)
+        yield coder.finish()
+
     def encode(self, text: str) -> list[int]:
-        """Blank-separated chunks are encoded one by one: no word spans a blank, and a sign after one composes with none before it."""
-        get, ids = self.chunks.get, []
-        for chunk in text.split(" "):
-            known = get(chunk)
-            ids += self._chunk(chunk) if known is None else known
+        return list(chain.from_iterable(self.encode_pieces(pieces_of(text))))
+
+    def decode(self, ids: Iterable[int], at_once: int = 4096) -> Iterator[str]:
+        """Text of ``ids``, tokens parted by one blank, in pieces."""
+        decoder, ids = Decoder(self.surface), list(ids)
+        for at in range(0, len(ids), at_once):
+            yield decoder.feed(ids[at : at + at_once])
+        yield decoder.finish()
+
+    def digest(self, text: str, every: list[int] | None = None) -> tuple[int, str, str]:
+        """Number of ids, digest of the ids and of what they decode to; ids are hashed, decoded and dropped as they come, or added to ``every``."""
+        n, said, shown, decoder = 0, hashlib.sha256(), hashlib.sha256(), Decoder(self.surface)
+        for ids in self.encode_pieces(pieces_of(text)):
+            if ids:
+                said.update(((" " if n else "") + " ".join(map(self.number.__getitem__, ids))).encode())
+                shown.update(decoder.feed(ids).encode())
+                n += len(ids)
+                if every is not None:
+                    every += ids
+        shown.update(decoder.finish().encode())
+        return n, said.hexdigest(), shown.hexdigest()
+
+
+def pieces_of(text: str) -> Iterator[str]:
+    return (text[i : i + PIECE] for i in range(0, len(text), PIECE))
+
+
+class Transducer:
+    """A text's ids while it comes in pieces: ``feed`` gives those that no text to come can change, ``finish`` the rest."""
+
+    def __init__(self, bpe: WordBpe):
+        self.bpe, self.held = bpe, ""
+        self.run: LongChunk | None = None
+
+    def feed(self, piece: str) -> list[int]:
+        ids: list[int] = []
+        if self.run is not None:
+            at = piece.find(" ")
+            if at < 0:
+                return self.run.feed(piece)
+            ids, piece, run, self.run = self.run.feed(piece[:at]), piece[at + 1 :], self.run, None
+            ids += run.finish()
+        whole, _, self.held = (self.held + piece).rpartition(" ")
+        ids += self.bpe.whole(whole)
+        if len(self.held) > LONG:
+            self.run, text, self.held = LongChunk(self.bpe), self.held, ""
+            ids += self.run.feed(text)
+        return ids
+
+    def finish(self) -> list[int]:
+        held, run, self.held, self.run = self.held, self.run, "", None
+        return run.finish() if run is not None else self.bpe.whole(held)
+
+
+class LongChunk:
+    """A chunk without blanks that does not end soon: normalised, cut into words and encoded while it comes."""
+
+    HOLD = 24  # more than a special token's signs
+
+    def __init__(self, bpe: WordBpe):
+        self.bpe, self.raw, self.tail = bpe, "", ""
+        self.word: WordStream | None = None
+        self.lead = ""
+
+    def feed(self, text: str) -> list[int]:
+        raw = self.raw + text
+        at = len(raw) - self.HOLD
+        while at > 0 and not begins_anew(raw[at]):
+            at -= 1
+        at = max(at, 0)
+        for m in self.bpe.split_special.finditer(raw):
+            if m.start() < at < m.end():
+                at = m.start()
+        self.raw = raw[at:]
+        return self._sections(raw[:at])
+
+    def finish(self) -> list[int]:
+        raw, self.raw = self.raw, ""
+        return self._sections(raw) + self._close()
+
+    def _sections(self, text: str) -> list[int]:
+        ids: list[int] = []
+        for i, part in enumerate(self.bpe.split_special.split(text)):
+            ids += [*self._close(), self.bpe.special[part]] if i % 2 else self._words(self.bpe.normalizer.normalize_str(part))
         return ids
 
-    def decode(self, ids: Iterable[int], block: int = 4096) -> Iterator[str]:
-        """Text of ``ids``, tokens parted by one blank, in pieces: an unfinished UTF-8 sequence waits for its rest."""
-        machine, ids = codecs.getincrementaldecoder("utf-8")("replace"), list(ids)
-        for at in range(0, len(ids), block):
-            yield machine.decode((b" " if at else b"") + b" ".join([self.surface[i] for i in ids[at : at + block]]))
-        yield machine.decode(b"", final=True)
+    def _words(self, normal: str) -> list[int]:
+        """Words that are certain: those that end before the text does and leave room for the longest ending of the split pattern, three signs."""
+        ids: list[int] = []
+        if self.word is not None:
+            goes_on = self.bpe.words_in(self.lead + normal)[0][2] - 1
+            ids += self.word.feed(normal[:goes_on].encode())
+            if goes_on == len(normal):
+                return ids
+            ids += self.word.finish()
+            self.word, normal = None, normal[goes_on:]
+        text, self.tail = self.tail + normal, ""
+        for word, begin, end in self.bpe.words_in(text):
+            if begin > len(text) - 3 or end == len(text):
+                self.tail = text[begin:]
+                break
+            ids += self.bpe.word(word)
+        if len(self.tail) > LONG:  # one word, of letters or of other signs
+            self.lead = "a" if len(self.bpe.words_in("a" + self.tail[0])) == 1 else "!"
+            self.word = WordStream(self.bpe.merges)
+            ids += self.word.feed(self.tail.encode())
+            self.tail = ""
+        return ids
+
+    def _close(self) -> list[int]:
+        ids = self.word.finish() if self.word is not None else []
+        for word, _, _ in self.bpe.words_in(self.tail):
+            ids += self.bpe.word(word)
+        self.word, self.tail = None, ""
+        return ids
+
+
+@lru_cache(maxsize=1)
+def _seconds() -> set[str]:
+    """Signs that can combine with the one before them though they are no accents: second parts of decompositions, vowels and finals of Hangul."""
+    parts = (unicodedata.decomposition(chr(c)) for c in range(0x110000))
+    return {chr(int(d.split()[-1], 16)) for d in parts if d and d[0] != "<"} | {chr(c) for c in [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)]}
+
+
+def begins_anew(sign: str) -> bool:
+    """Whether text may be cut before ``sign`` and both sides be normalised alone."""
+    if sign.isascii():
+        return True
+    first = unicodedata.normalize("NFD", sign)[0]
+    return unicodedata.combining(first) == 0 and first not in _seconds()
+
+
+class ByteMachine:
+    """UTF-8 bytes in blocks of any size to text as it becomes certain; bytes that are no UTF-8 give U+FFFD."""
+
+    def __init__(self):
+        self.held = b""
+
+    def feed(self, block: bytes) -> str:
+        data = self.held + block
+        end = len(data) - self._unfinished(data)
+        self.held = data[end:]
+        return data[:end].decode("utf-8", "replace")
+
+    def finish(self) -> str:
+        held, self.held = self.held, b""
+        return held.decode("utf-8", "replace")
+
+    @staticmethod
+    def _unfinished(data: bytes) -> int:
+        """How many of the last bytes begin a character that needs more."""
+        for back in range(1, min(3, len(data)) + 1):
+            byte = data[-back]
+            if byte < 0x80:
+                return 0
+            if byte >= 0xC0:
+                return back if back < (2 if byte < 0xE0 else 3 if byte < 0xF0 else 4) else 0
+        return 0
+
+
+class Decoder:
+    """Ids to text: the tokens' bytes, parted by blanks, pass the byte machine in blocks."""
+
+    def __init__(self, surface: list[bytes], between: bytes = b" "):
+        self.surface, self.between, self.begun, self.machine = surface, between, False, ByteMachine()
+
+    def feed(self, ids: list[int]) -> str:
+        data = self.between.join(map(self.surface.__getitem__, ids))
+        if self.begun and ids:
+            data = self.between + data
+        self.begun = self.begun or bool(ids)
+        return "".join([self.machine.feed(data[i : i + BLOCK]) for i in range(0, len(data), BLOCK)])
+
+    def finish(self) -> str:
+        return self.machine.finish()
 
 
 def bytes_to_text(pieces: Iterable[bytes]) -> Iterator[str]:
-    """Text of a byte stream as it becomes certain; bytes that are no UTF-8 give U+FFFD."""
-    machine = codecs.getincrementaldecoder("utf-8")("replace")
+    """Text of a byte stream as it becomes certain."""
+    machine = ByteMachine()
     for piece in pieces:
-        if text := machine.decode(piece):
+        if text := machine.feed(piece):
             yield text
-    if text := machine.decode(b"", final=True):
+    if text := machine.finish():
         yield text
 
 
-@lru_cache(maxsize=2)
 def word_bpe(path: str) -> WordBpe:
     """One per Python worker."""
-    return WordBpe(path)
+    return kept(f"word-bpe {path}", lambda: WordBpe(path))
 
 
 def encode_texts(df: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -230,10 +449,8 @@ def round_trip(df: DataFrame, path: str, text: str = "text", keep_ids: bool = Fa
     def digest(texts: pd.Series) -> pd.DataFrame:
         bpe, rows = word_bpe(path), []
         for t in texts:
-            ids, shown = bpe.encode(t or ""), hashlib.sha256()
-            for piece in bpe.decode(ids):
-                shown.update(piece.encode())
-            row = (len(ids), hashlib.sha256(" ".join([bpe.number[i] for i in ids]).encode()).hexdigest(), shown.hexdigest())
+            ids: list[int] | None = [] if keep_ids else None
+            row = bpe.digest(t or "", ids)
             rows.append((*row, ids) if keep_ids else row)
         return pd.DataFrame(rows, columns=names)
 
