@@ -1,9 +1,10 @@
 """Token ids as Re-Pair grammars, one file per stretch of documents, with random access.
 
 Documents are range-partitioned by id; partition p is shard p. Within a shard, documents in ascending order (nulls
-first; rows of one id by a hash of the text, so that they may span shards) fill files of about ``FILE_TOKENS`` ids. Each file is a grammar: in rounds, the most
-frequent pairs of neighbouring ids that stand at least ``MIN_COUNT`` times are replaced by new nonterminals, until no
-such pair is left or ``ROUNDS`` rounds are done. No pair spans two documents, so every document is a run of symbols of
+first; rows of one id by a hash of the text, so that they may span shards) fill files of about ``FILE_TOKENS`` ids, so
+that a task holds one file at a time. Each file is a grammar of its own: in rounds, the most frequent pairs of
+neighbouring ids that stand at least ``MIN_COUNT`` times, up to ``PAIRS_A_ROUND``, are replaced by new nonterminals,
+until no such pair is left. No pair spans two documents, so every document is a run of symbols of
 its own, and with the expansion length of each symbol any document, or any place in one, is decoded alone.
 
 A file is a row of a Parquet table in the shared folder: shard, file, doc_ids, ends (symbols up to each document's
@@ -19,35 +20,34 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from motionmill.llm._shared import small_batches, table, written
+from motionmill.llm._shared import kept, small_batches, table, written
 
 FILE_TOKENS = 1 << 19
 MIN_COUNT = 16
-ROUNDS = 6
-PAIRS_A_ROUND = 4096
+PAIRS_A_ROUND = 1 << 14
 END_ID = 2
-CACHE_WORDS = 300_000
+#: Chunks that a Python worker keeps; the store is emptied when full.
+CACHE_CHUNKS = 300_000
+_BLANK_INSIDE = re.compile(r" (?<=\S )(?=\S)")
 _OTHER_SPACE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 FILES = "shard int, file int, doc_ids array<bigint>, ends binary, tokens binary, rules binary, lengths binary, symbols binary, first_id int, n_tokens bigint"
 
 
-def repair(ids: np.ndarray, closes: np.ndarray, first_id: int, rounds: int = ROUNDS, min_count: int = MIN_COUNT, width: int = PAIRS_A_ROUND) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def repair(ids: np.ndarray, closes: np.ndarray, first_id: int, min_count: int = MIN_COUNT, width: int = PAIRS_A_ROUND) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, closes, rules, lengths) of ``ids``; ``closes`` marks the last id of each document.
 
     Where chosen pairs overlap, every second one from the left is taken.
     """
     seq, closes = ids.astype(np.int64), closes.copy()
     rules, lengths = np.empty((0, 2), np.int64), np.empty(0, np.int64)
-    for _ in range(rounds):
-        if seq.size < 2:
-            break
+    while seq.size > 1:
         pairs = seq[:-1] << 32 | seq[1:]
         pairs[closes[:-1]] = -1
         ordered = np.sort(pairs)
@@ -109,61 +109,65 @@ class ChunkEncoder:
     """The library's encoder with a bounded store of what it gave for blank-separated chunks.
 
     A blank between two other signs always begins a piece of the vocabulary's split pattern, so a text may be cut there.
+    The store holds ids end to end, so that those of a batch are gathered at once.
     """
 
+    FIRST = "\udfff"  # marks a text's first chunk, which no blank precedes; no text holds this sign
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.size = np.empty(0, np.int32), np.empty(0, np.int64)
 
     def _cut(self, text: str) -> list[str]:
+        if not text:
+            return []
         parts = text.split(" ")
-        if not ("" in parts or "\n " in text or " \n" in text or _OTHER_SPACE.search(text)):
-            return parts[:1] + [" " + p for p in parts[1:]]
-        out, held = [], parts[0]
-        for p in parts[1:]:
-            if p and held and not held[-1].isspace() and not p[0].isspace():
-                out.append(held)
-                held = " " + p
-            else:
-                held += " " + p
-        return [*out, held]
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        cut = [self._cut(t) if t else [] for t in texts]
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        new = list({c for chunks in cut for c in chunks if c not in known})
-        fresh = {}
-        for c, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            (known if len(c) <= 64 else fresh)[c] = e.ids
-        out = []
-        for chunks in cut:
-            ids: list[int] = []
-            for c in chunks:
-                got = known.get(c)
-                ids += fresh[c] if got is None else got
-            out.append(ids)
-        return out
-
-
-@lru_cache(maxsize=2)
+        if "" in parts or "\n " in text or " \n" in text or _OTHER_SPACE.search(text):
+            parts = _BLANK_INSIDE.split(text)
+        parts[0] = self.FIRST + parts[0]
+        return parts
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts end to end, number of ids of each)."""
+        if len(self.known) > CACHE_CHUNKS or self.ids.size > 8 * CACHE_CHUNKS:
+            self._clear()
+        cut = [self._cut(t) for t in texts]
+        chunks = list(chain.from_iterable(cut))
+        places = list(map(self.known.get, chunks))
+        if None in places:
+            new = list(dict.fromkeys([c for c, p in zip(chunks, places) if p is None]))
+            got = self.library.encode_batch_fast([c[1:] if c[0] == self.FIRST else " " + c for c in new], add_special_tokens=False)
+            lists = [e.ids for e in got]
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+            self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(lists), np.int32)))
+            self.size = np.concatenate((self.size, np.fromiter(map(len, lists), np.int64)))
+            places = list(map(self.known.__getitem__, chunks))
+        place, of_text = np.array(places, np.int64), np.cumsum([0, *map(len, cut)])
+        n = self.size[place]
+        source = np.repeat((np.cumsum(self.size) - self.size)[place] - (np.cumsum(n) - n), n)
+        source += np.arange(source.size)
+        upto = np.concatenate(([0], np.cumsum(n)))[of_text]
+        return self.ids[source], np.diff(upto)
+
+
 def chunk_encoder(path: str) -> ChunkEncoder:
-    return ChunkEncoder(path)
+    return kept(f"chunks {path}", lambda: ChunkEncoder(path))
 
 
-def _file(shard: int, number: int, docs: list, ids: list[list[int]], first_id: int) -> dict:
-    tokens = np.array([len(x) for x in ids], np.int64)
-    flat = np.fromiter((t for x in ids for t in x), np.int64, count=int(tokens.sum()))
-    closes = np.zeros(flat.size, bool)
+def _file(shard: int, number: int, docs: list, ids: np.ndarray, tokens: np.ndarray, first_id: int) -> dict:
+    closes = np.zeros(ids.size, bool)
     closes[np.cumsum(tokens) - 1] = True
-    symbols, closed, rules, lengths = repair(flat, closes, first_id)
+    symbols, closed, rules, lengths = repair(ids, closes, first_id)
     pack = lambda x: x.astype("<i4").tobytes()
     return {
         "shard": shard, "file": number, "doc_ids": docs, "ends": pack(np.flatnonzero(closed) + 1), "tokens": pack(tokens),
-        "rules": pack(rules), "lengths": pack(lengths), "symbols": pack(symbols), "first_id": first_id, "n_tokens": int(flat.size),
+        "rules": pack(rules), "lengths": pack(lengths), "symbols": pack(symbols), "first_id": first_id, "n_tokens": int(ids.size),
     }
 
 
@@ -174,18 +178,24 @@ def write_grammars(df: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     def shard_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = chunk_encoder(path)
         first_id = encoder.library.get_vocab_size()
-        shard, number, docs, ids, held = TaskContext.get().partitionId(), 0, [], [], 0
+        shard, number, docs, ids, tokens = TaskContext.get().partitionId(), 0, [], [], []
         for batch in batches:
-            for doc, got in zip(batch["doc_id"].array, encoder.encode(batch["text"].tolist())):
-                got = [*got, end_id]
-                docs.append(None if pd.isna(doc) else int(doc))
-                ids.append(got)
-                held += len(got)
-                if held >= file_tokens:
-                    yield pd.DataFrame([_file(shard, number, docs, ids, first_id)])
-                    number, docs, ids, held = number + 1, [], [], 0
+            flat, n = encoder.encode(batch["text"].tolist())
+            flat, n, stop = np.insert(flat, np.cumsum(n), end_id), n + 1, np.cumsum(n + 1)
+            named = [None if pd.isna(d) else int(d) for d in batch["doc_id"].array]
+            begin = 0
+            while begin < n.size:  # a file ends with the document that fills it
+                room = file_tokens - sum(map(len, ids)) + (stop[begin - 1] if begin else 0)
+                end = min(int(np.searchsorted(stop, room)) + 1, n.size)
+                docs += named[begin:end]
+                ids.append(flat[(stop[begin - 1] if begin else 0) : stop[end - 1]])
+                tokens.append(n[begin:end])
+                if sum(map(len, ids)) >= file_tokens:
+                    yield pd.DataFrame([_file(shard, number, docs, np.concatenate(ids), np.concatenate(tokens), first_id)])
+                    number, docs, ids, tokens = number + 1, [], [], []
+                begin = end
         if docs:
-            yield pd.DataFrame([_file(shard, number, docs, ids, first_id)])
+            yield pd.DataFrame([_file(shard, number, docs, np.concatenate(ids), np.concatenate(tokens), first_id)])
 
     rows = df.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(doc_id).cast("bigint").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.xxhash64(text).alias("h"))
     ordered = rows.repartitionByRange("k", "h").sortWithinPartitions("k", "h", "text").select("doc_id", "text")
