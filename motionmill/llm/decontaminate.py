@@ -15,8 +15,9 @@ the whole item and the stretch around the window. The item is found where it is
 Its place is the first end of a stretch with the least edits found, and of the stretches that end there the shortest.
 
 The benchmark is the stated query set. It is taken in blocks of about ``BLOCK_CHARS`` characters, one pass over the
-documents each. Items of fewer than ``MIN_WORDS`` words are found where they stand word for word. In scripts without
-blanks every character is a word. Items without any word can't be sought.
+documents each. Items of fewer than ``MIN_WORDS`` words are sought exactly: k edits leave one of k + 1 parts of an item
+as it is, so every part is sought word for word and what stands around it is verified. In scripts without blanks every
+character is a word. Items without any word can't be sought.
 Null texts count as empty; null ids, and ids that are no numbers, are null in the result; repeated rows each get their
 matches. Only the columns named are read.
 """
@@ -90,7 +91,7 @@ class Index:
         self.items = [(k, w) for k, t in items if (w := words_of(t))]
         self.vocab = {w: i + 1 for i, w in enumerate(sorted({w for _, ws in self.items for w in ws}))}
         self.ids = [[self.vocab[w] for w in ws] for _, ws in self.items]
-        self.most = [int(edits * len(ws)) if len(ws) >= MIN_WORDS else 0 for ws in self.ids]
+        self.most = [int(edits * len(ws)) for ws in self.ids]
         self.width = len(self.vocab) + 1
         size = np.array([len(ws) for ws in self.ids], np.int64)
         self.size, self.longest, self.sets = size, int(size.max(initial=0)), [set(ws) for ws in self.ids]
@@ -106,15 +107,20 @@ class Index:
                 sampled = [first, *sorted(rng.choice(np.arange(first + 1, steps), min(samples, steps - 1) - 1, replace=False).tolist())]
                 if mine.size:
                     self.tries.append(self._trie(moves, sampled, mine, size, stride))
-        for n in range(1, MIN_WORDS):  # whole short items, entered at their start only
-            mine = np.flatnonzero(size == n)
-            if mine.size:
-                self.tries.append(self._trie(np.ones((n, self.width), np.int32), list(range(n)), mine, size, n))
-
-    def _trie(self, moves: np.ndarray, sampled: list[int], mine: np.ndarray, size: np.ndarray, stride: int) -> dict:
-        per_item = (size[mine] - 1) // stride + 1
+        most = np.array(self.most, np.int64)
+        for n in range(1, MIN_WORDS):  # k edits leave one of k + 1 parts of a short item as it is: each part is sought word for word
+            for k in range(n):
+                mine = np.flatnonzero((size == n) & (most == k))
+                cuts = [n * i // (k + 1) for i in range(k + 2)]
+                for begin, end in zip(cuts, cuts[1:]):
+                    if mine.size:
+                        part = np.ones((end - begin, self.width), np.int32), list(range(end - begin))
+                        self.tries.append(self._trie(*part, mine, size, n, begin))
+
+    def _trie(self, moves: np.ndarray, sampled: list[int], mine: np.ndarray, size: np.ndarray, stride: int, begin: int = 0) -> dict:
+        per_item = (size[mine] - 1 - begin) // stride + 1
         item = np.repeat(mine, per_item)
-        offset = (np.arange(item.size) - np.repeat(np.cumsum(per_item) - per_item, per_item)) * stride
+        offset = (np.arange(item.size) - np.repeat(np.cumsum(per_item) - per_item, per_item)) * stride + begin
         start = (np.cumsum(size) - size)[item]
         at, end, state = start + offset, start + size[item], np.zeros(item.size, np.int64)
         tables, first = [], np.full(self.width, -1, np.int32)
@@ -181,7 +187,7 @@ class Index:
         flat = np.zeros(n + 2 * CLASSES[-1] + MIN_WORDS, np.int32)
         flat[:n] = list(map(self.vocab.get, chain.from_iterable(docs), repeat(0)))
         opens = np.cumsum(sizes) - sizes
-        known = np.flatnonzero(flat).astype(np.int32)
+        known = np.flatnonzero(flat)  # places stay 64 bits wide: a pair is place x items
         pairs = [np.empty(0, np.int64)]
         for begin in range(0, known.size, PIECE):
             start = known[begin : begin + PIECE]

@@ -420,6 +420,44 @@ def test_short_items_and_scripts_without_blanks_are_found(spark):
     assert {r["doc_id"] for r in dec.drop_contaminated(df, bench).collect()} == {2, 3, 6, 7, 8}
 
 
+def passages(rng, rows, n):
+    """Random words in bulk: ``rows`` texts of ``n`` words out of 40,000."""
+    return [" ".join(f"w{x}" for x in row) for row in rng.integers(0, 40_000, (rows, n)).tolist()]
+
+
+@pytest.mark.parametrize("n_items,words,n_texts,length", [(10_000, 30, 256, 2030), (600, 40, 64, 20_000)])
+def test_many_items_and_long_texts_lose_nothing(n_items, words, n_texts, length):
+    rng = np.random.default_rng(5)
+    items, texts = list(enumerate(passages(rng, n_items, words))), passages(rng, n_texts, length)
+    index = dec.Index(items)
+    planted = rng.choice(n_items, n_texts, replace=False).tolist()
+    found = index.search([f"{t} {items[i][1]}" for t, i in zip(texts, planted)])
+    assert [set(f) for f in found] == [{i} for i in planted]
+    assert all(f[i] == (0, length, length + words - 1) for f, i in zip(found, planted))
+
+
+def test_an_item_on_each_side_of_a_block_border_is_found(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    items = list(enumerate(passages(rng, 40, 20)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame([(0, " ".join(t for _, t in items)), (1, passages(rng, 1, 500)[0])], "doc_id long, text string")
+    monkeypatch.setattr(dec, "BLOCK_CHARS", sum(len(t) for _, t in items) // 3)
+    assert {(r["doc_id"], r["item_id"]) for r in dec.find_items(df, bench).collect()} == {(0, i) for i, _ in items}
+
+
+@pytest.mark.parametrize("n", [5, 6, 7])
+def test_short_items_are_found_with_their_one_edit(n):
+    rng = random.Random(n)
+    words = [f"w{i}" for i in range(n)]
+    index = dec.Index([(1, " ".join(words))])
+    for k in range(n):
+        for text in (words[:k] + ["new"] + words[k + 1 :], words[:k] + words[k + 1 :], words[:k] + ["new"] + words[k:]):
+            for pad in (0, 3):
+                around = [f"p{rng.randrange(50)}" for _ in range(pad)]
+                assert index.search([" ".join(around + text + around)])[0].get(0, (9,))[0] <= 1
+    assert index.search([" ".join(["new", *words[1:-1], "new"])]) == [{}]
+
+
 # ---------------------------------------------------------------- 7
 
 
