@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from motionmill.llm import bpe, chat, decontaminate, media, pii, repair, sharding, simhash, toxicity, urls
+from motionmill.llm import bpe, chat, decontaminate, langid, media, pii, repair, sharding, simhash, toxicity, trie, urls, whiten
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
@@ -13,5 +13,8 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_linkgraph": urls.op9_linkgraph,
     "op10_slots": sharding.op10_slots,
+    "op11_langid": langid.op11_langid,
+    "op12_whitening": whiten.op12_whitening,
+    "op13_prefix_trie": trie.op13_prefix_trie,
 }
-ORACLES = {"op1_chat": chat.OP1_SQL}
+ORACLES = {"op1_chat": chat.OP1_SQL, "op13_prefix_trie": trie.OP13_SQL}
