@@ -42,6 +42,14 @@ def r(*names: str) -> str:
     return ", ".join(f"round({e}, {DIGITS}) + 0.0 AS {n}" for e, n in pairs)
 
 
+#: Added before rounding where many values are multiples of 1/128 and the like, whose last bits would else decide a tie.
+NUDGE = 3e-10
+
+
+def nudged(df: DataFrame, *names: str) -> DataFrame:
+    return rounded(df.withColumns({n: F.col(n) + NUDGE for n in names}), *names)
+
+
 def scratch(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from motionmill import schema
 from motionmill.functions import kernels
-from motionmill.jobs.catalog import BIN, BINS_SQL, GAUSS, KDE, SCALE, _conv_sql, _kernel_sql, bins, cut, filled, ids, long, pair_ctes, purity, query, r, regular, rounded, scratch, stored, with_channels
+from motionmill.jobs.catalog import BIN, BINS_SQL, GAUSS, KDE, NUDGE, SCALE, _conv_sql, _kernel_sql, bins, cut, filled, ids, long, nudged, pair_ctes, purity, query, r, regular, rounded, scratch, stored, with_channels
 from motionmill.operators import density, design as dz, dictionary as dc, evaluate as ev, frames as fr, layers as ly, models as md, motion, refits as rf
 from motionmill.sources import adapters as ad, tables
 
@@ -177,9 +177,9 @@ def wavelet_ctes() -> tuple:
     return *out, ("levels", " UNION ALL ".join([*parts, f"SELECT subject, stimulus, channel, {LEVELS}, place, mean FROM level{LEVELS - 1}"]))
 
 
-@query("wavelet_transform", f"SELECT subject, stimulus, channel, level, place, {r('coef')} FROM levels", *wavelet_ctes())
+@query("wavelet_transform", f"SELECT subject, stimulus, channel, level, place, {r(f'coef + {NUDGE} AS coef')} FROM levels", *wavelet_ctes())
 def wavelet_transform(spark, d):
-    return rounded(dc.wavelet_transform(filled(spark, d), ad.CHANNELS), "coef")
+    return nudged(dc.wavelet_transform(filled(spark, d), ad.CHANNELS), "coef")
 
 
 @query(
@@ -200,9 +200,9 @@ def inverse_wavelet(spark, d):
     return rounded(dc.wavelet_round_trip(filled(spark, d), ad.CHANNELS), "value")
 
 
-@query("time_frequency", f"SELECT subject, stimulus, channel, level, CAST(place * pow(2, level + 1) + i AS INT) AS frame, {r('coef')} FROM levels, range(64) g(i) WHERE level < {LEVELS} AND i < pow(2, level + 1)", *wavelet_ctes())
+@query("time_frequency", f"SELECT subject, stimulus, channel, level, CAST(place * pow(2, level + 1) + i AS INT) AS frame, {r(f'coef + {NUDGE} AS coef')} FROM levels, range(64) g(i) WHERE level < {LEVELS} AND i < pow(2, level + 1)", *wavelet_ctes())
 def time_frequency(spark, d):
-    return rounded(dc.time_frequency(dc.wavelet_transform(filled(spark, d), ad.CHANNELS)), "coef")
+    return nudged(dc.time_frequency(dc.wavelet_transform(filled(spark, d), ad.CHANNELS)), "coef")
 
 
 @query("shrink", "SELECT subject, stimulus, channel, frame, round(value * greatest(1 - 5 / greatest(abs(value), 1e-7), 0), 6) + 0.0 AS soft, round(CASE WHEN abs(value) > 5 THEN value ELSE 0 END, 6) + 0.0 AS hard FROM long")

@@ -68,8 +68,9 @@ def odd_reflect(spark, d):
 
 @query(
     "resample_pattern",
-    f"""SELECT a.subject, a.stimulus, a.channel, place, round(a.value + coalesce(b.value - a.value, 0) * (p_at - floor(p_at)), 6) + 0.0 AS value FROM (SELECT stimulus, CAST(place AS INT) AS place, place * (n_frames - 1) / 15.0::DOUBLE AS p_at FROM stimuli, range(16) g(place)) s
-    JOIN long a ON a.stimulus = s.stimulus AND a.frame = floor(p_at) LEFT JOIN long b ON b.subject = a.subject AND b.stimulus = a.stimulus AND b.channel = a.channel AND b.frame = floor(p_at) + 1""",
+    """SELECT subject, stimulus, channel, place, round(value + coalesce(further - value, 0) * (spot - frame), 6) + 0.0 AS value
+    FROM (SELECT *, lead(value) OVER (PARTITION BY subject, stimulus, channel ORDER BY frame) AS further FROM long)
+    JOIN (SELECT stimulus, CAST(place AS INT) AS place, place * (n_frames - 1) / 15.0::DOUBLE AS spot, CAST(floor(place * (n_frames - 1) / 15.0::DOUBLE) AS INT) AS frame FROM stimuli, range(16) g(place)) USING (stimulus, frame)""",
 )
 def resample_pattern(spark, d):
     def extract(m: np.ndarray):
