@@ -97,8 +97,20 @@ def margin_triplets(anchors: DataFrame, rows: DataFrame, measure: Callable[[Colu
     return ranked_pairs(anchors, rows, measure).where("same").groupBy("query").agg(F.sum("active").alias("n"), F.sum("excess").alias("loss"))
 
 
+#: Entries of a vector up to which sums of products, d x d numbers, go to the driver.
+MAX_WIDTH = 4096
+
+
+def check_width(vectors: DataFrame, most: int = MAX_WIDTH) -> None:
+    """Raises where vectors are wider than ``most``: choose features first (``top_features``, ``select_by_deviation``)."""
+    wide = vectors.agg(F.max(F.size("vector"))).first()[0] or 0
+    if wide > most:
+        raise ValueError(f"vectors of {wide} entries; fits from sums of products take at most {most}, so choose features first")
+
+
 def gram(vectors: DataFrame, columns: list[str] = ()) -> tuple[np.ndarray, np.ndarray, int]:
-    """(X^T X, X^T columns, rows), uncentred; d x d numbers reach the driver."""
+    """(X^T X, X^T columns, rows), uncentred; d x d numbers reach the driver, d at most ``MAX_WIDTH``."""
+    check_width(vectors)
     cells = dz.product_sums(vectors, [], columns).toPandas()  # d x d
     d, width = (int(cells["i"].max()), int(cells["j"].max()) + 1) if len(cells) else (0, len(columns) + 1)
     m = np.zeros((d + 1, width))

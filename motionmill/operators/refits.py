@@ -17,8 +17,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from motionmill.operators import design as dz, evaluate as ev
-from motionmill.operators.models import _dot, eliminate_features, gram_pursuit
+from motionmill.operators import design as dz, evaluate as ev, leave_out as lo
+from motionmill.operators.models import _dot, check_width, eliminate_features, gram_pursuit
 
 #: Rows of a block of neighbours.
 BLOCK = 1024
@@ -96,8 +96,16 @@ def elimination(s: Sums, keep: float, gamma: float = 0.1) -> np.ndarray:
     return out
 
 
+def sparse(s: Sums, gamma: float, thres: float = 0.1, again: float = 0.1) -> np.ndarray:
+    """Ridge on the features whose lasso weight exceeds ``thres`` of the largest."""
+    size, out = np.abs(lasso(s, gamma)[:-1]), np.zeros(len(s.xy))
+    columns = np.flatnonzero(size > thres * size.max()).tolist() or [int(size.argmax())]
+    out[[*columns, len(out) - 1]] = ridge(s.of(columns), again)
+    return out
+
+
 #: The classifiers that need no more than Sums; callers may add their own.
-FITS: dict[str, Fit] = {"ridge": ridge, "least_squares": least_squares, "pursuit": pursuit, "lasso": lasso, "elimination": elimination}
+FITS: dict[str, Fit] = {"ridge": ridge, "least_squares": least_squares, "pursuit": pursuit, "lasso": lasso, "elimination": elimination, "sparse": sparse}
 Grid = list[tuple[str, str, float]]  # model, parameter's name, value
 
 
@@ -113,19 +121,28 @@ def _fitted(fit: Fit, sums: Sums, value: float, select: Callable[[Sums], list[in
     return out
 
 
-def class_sums(vectors: DataFrame, by: str | None = None) -> dict[int | None, Sums]:
-    """Sums of each value of ``by``, a few, or of all rows."""
+def class_products(vectors: DataFrame, by: str | None = None) -> dict[tuple[int | None, int], np.ndarray]:
+    """Products of (vector, 1) by (value of ``by``, label); the last row holds the sums and the number of rows."""
+    check_width(vectors)
     keys = ["label"] if by is None else [by, "label"]
-    cells = dz.product_sums(vectors, keys).toPandas()  # d x d for each key
-    out: dict[int | None, Sums] = {}
+    cells = dz.product_sums(vectors, keys).toPandas()  # d x d for each key, d as checked
     d = int(cells["i"].max()) + 1 if len(cells) else 1
+    out = {}
     for key, part in cells.groupby(keys):
         m = np.zeros((d, d))
         m[part["i"], part["j"]] = part["value"]
-        fold = None if by is None else int(key[0])
-        got = out.setdefault(fold, Sums(np.zeros((d, d)), np.zeros(d), np.zeros(d), 0.0, 0.0))
+        out[None if by is None else int(key[0]), 1 if key[-1] == 1 else -1] = m
+    return out
+
+
+def class_sums(vectors: DataFrame, by: str | None = None) -> dict[int | None, Sums]:
+    """Sums of each value of ``by``, a few, or of all rows."""
+    out: dict[int | None, Sums] = {}
+    for (key, label), m in class_products(vectors, by).items():
+        d = len(m)
+        got = out.setdefault(key, Sums(np.zeros((d, d)), np.zeros(d), np.zeros(d), 0.0, 0.0))
         got.xx += m
-        if key[-1] == 1:
+        if label == 1:
             got.pos, got.n_pos = m[-1].copy(), m[-1, -1]
         else:
             got.neg, got.n_neg = m[-1].copy(), m[-1, -1]
@@ -149,18 +166,33 @@ def best_gaps(n: int) -> Callable[[Sums], list[int]]:
     return select
 
 
-def cross_evaluate(vectors: DataFrame, folds: DataFrame, grid: Grid, select: Callable[[Sums], list[int]] | None = None, fits: dict[str, Fit] = FITS) -> DataFrame:
+def weight_scores(rows: DataFrame, weights: list[tuple], by: str) -> DataFrame:
+    """(model, params, by, subject, label, score) of rows with ``by`` under weights (model, params, by, w), a row for each fit."""
+    table = rows.sparkSession.createDataFrame(weights, f"model string, params string, {by} long, w array<double>")
+    one = F.concat("vector", F.array(F.lit(1.0)))
+    return rows.withColumn(by, F.col(by).cast("long")).join(F.broadcast(table), by).select("model", "params", by, "subject", "label", _dot(one, F.col("w")).alias("score"))
+
+
+def chosen_columns(chosen: DataFrame) -> dict[int, list[int]]:
+    """Features by fold, of (fold, feature_id); as many as vectors have entries, at most."""
+    return {r["fold"]: sorted(r["f"]) for r in chosen.groupBy(F.col("fold").cast("long").alias("fold")).agg(F.collect_set(F.col("feature_id").cast("int")).alias("f")).collect()}
+
+
+def cross_evaluate(
+    vectors: DataFrame, folds: DataFrame, grid: Grid, select: Callable[[Sums], list[int]] | None = None, fits: dict[str, Fit] = FITS, chosen: DataFrame | None = None
+) -> DataFrame:
     """(model, params, fold, subject, label, score): every classifier of ``grid`` fitted outside each fold, scored inside.
 
-    ``select`` picks features from the sums outside the fold. Weights, one row for each fit, are broadcast.
+    ``select`` picks features from the sums outside the fold; ``chosen`` (fold, feature_id) names them, as
+    ``fold_selection`` does. Weights, one row for each fit, are broadcast.
     """
     rows = vectors.join(folds.select("subject", "fold"), "subject")
     sums = class_sums(rows, "fold")
     every = total(sums)
-    weights = [(m, _name(p, v), k, [float(x) for x in _fitted(fits[m], every.less(s), v, select)]) for m, p, v in grid for k, s in sorted(sums.items())]
-    table = vectors.sparkSession.createDataFrame(weights, "model string, params string, fold long, w array<double>")
-    one = F.concat("vector", F.array(F.lit(1.0)))
-    return rows.withColumn("fold", F.col("fold").cast("long")).join(F.broadcast(table), "fold").select("model", "params", "fold", "subject", "label", _dot(one, F.col("w")).alias("score"))
+    named = chosen_columns(chosen) if chosen is not None else {}
+    of = lambda k: select if chosen is None else (lambda _: named.get(k, []))
+    weights = [(m, _name(p, v), k, [float(x) for x in _fitted(fits[m], every.less(s), v, of(k))]) for m, p, v in grid for k, s in sorted(sums.items())]
+    return weight_scores(rows, weights, "fold")
 
 
 def fold_scores(predicted: DataFrame, measure: Callable[[DataFrame, list[str]], DataFrame] = ev.auc) -> DataFrame:
@@ -170,19 +202,27 @@ def fold_scores(predicted: DataFrame, measure: Callable[[DataFrame, list[str]],
     return scored.withColumnRenamed(next(c for c in scored.columns if c not in by), "score")
 
 
+def _batched(sums: Sums, x: np.ndarray, y: np.ndarray, grid: Grid, fits: dict[str, Fit]) -> Iterator[tuple[str, str, np.ndarray]]:
+    """(model, params, weights of every set) with the rows ``x`` (R, m, d), labels ``y``, left out."""
+    own = {m: f for m, f in fits.items() if f is not FITS.get(m) or m not in lo.BATCHES}
+    for m, p, v in grid:
+        yield m, _name(p, v), lo.weights(sums, x, y, m, v, own)
+
+
+def _with_one(vectors: pd.Series) -> np.ndarray:
+    return np.c_[np.stack(vectors.tolist()), np.ones(len(vectors))]
+
+
 def leave_one_out(vectors: DataFrame, grid: Grid, fits: dict[str, Fit] = FITS) -> DataFrame:
-    """(model, params, subject, label, score): each row scored by a fit on all others."""
-    every = total(class_sums(vectors))
-    sent = vectors.sparkSession.sparkContext.broadcast(every)
+    """(model, params, subject, label, score): each row scored by a fit on all others, from sums lowered by the row."""
+    sent = vectors.sparkSession.sparkContext.broadcast(total(class_sums(vectors)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for subject, label, vector in zip(b["subject"], b["label"], b["vector"]):
-                x = np.append(vector, 1.0)
-                rest = sent.value.less_row(x, label)
-                out += [(m, _name(p, v), subject, label, float(fits[m](rest, v) @ x)) for m, p, v in grid]
-            yield pd.DataFrame(out, columns=["model", "params", "subject", "label", "score"])
+            if len(b):
+                x, y = _with_one(b["vector"]), b["label"].to_numpy()
+                for m, p, w in _batched(sent.value, x[:, None], np.where(y == 1, 1, -1)[:, None], grid, fits):
+                    yield pd.DataFrame({"model": m, "params": p, "subject": b["subject"], "label": y, "score": (w * x).sum(axis=1)})
 
     return vectors.select("subject", "label", "vector").mapInPandas(run, "model string, params string, subject long, label int, score double")
 
@@ -195,14 +235,11 @@ def pair_refits(vectors: DataFrame, pairs: DataFrame, grid: Grid, fits: dict[str
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for pos, neg, x, y in zip(b["pos"], b["neg"], b["x"], b["y"]):
-                x, y = np.append(x, 1.0), np.append(y, 1.0)
-                rest = sent.value.less_row(x, 1).less_row(y, -1)
-                for m, p, v in grid:
-                    w = fits[m](rest, v)
-                    out.append((m, _name(p, v), pos, neg, float(w @ x), float(w @ y)))
-            yield pd.DataFrame(out, columns=["model", "params", "pos", "neg", "s_pos", "s_neg"])
+            if len(b):
+                x = np.stack((_with_one(b["x"]), _with_one(b["y"])), axis=1)
+                for m, p, w in _batched(sent.value, x, np.tile([1, -1], (len(b), 1)), grid, fits):
+                    s = np.einsum("rmd,rd->rm", x, w)
+                    yield pd.DataFrame({"model": m, "params": p, "pos": b["pos"], "neg": b["neg"], "s_pos": s[:, 0], "s_neg": s[:, 1]})
 
     return met.mapInPandas(run, "model string, params string, pos long, neg long, s_pos double, s_neg double")
 

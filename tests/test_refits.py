@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from motionmill.operators import density as dn, design as dz, dictionary as dc, evaluate as ev, models as md, refits as rf
+from motionmill.operators import density as dn, design as dz, dictionary as dc, evaluate as ev, leave_out as lo, models as md, refits as rf
 
 GRID = [("ridge", "gamma", 0.5), ("pursuit", "m", 3.0), ("lasso", "gamma", 0.05), ("elimination", "keep", 2.0), ("least_squares", "gamma", 0.0)]
 
@@ -195,3 +195,45 @@ def test_binned_densities_are_near_exact_ones(spark):
     exact = {(r["subject"], r["feature_id"]): r["density"] for r in dn.density_at_points(design).collect()}
     binned = {(r["subject"], r["feature_id"]): r["density"] for r in dn.density_binned(design).collect()}
     assert exact.keys() == binned.keys() and all(abs(exact[k] - binned[k]) < 1e-3 * max(exact.values()) for k in exact)
+
+
+WIDE = [("ridge", "gamma", 0.5), ("pursuit", "m", 3.0), ("lasso", "gamma", 0.05), ("elimination", "keep", 4.0), ("least_squares", "gamma", 0.0), ("sparse", "gamma", 0.05)]
+
+
+@pytest.mark.parametrize("m", [1, 2, 3])
+def test_batches_of_sets_left_out_equal_fits_one_by_one(m):
+    rng = np.random.default_rng(m)
+    y = rng.choice([1, -1], 80)
+    x = rng.normal(size=(80, 12)) + np.outer(y, [1, 0.7] + [0] * 10)
+    every = sums(x, y)
+    sets = np.array([rng.choice(80, m, replace=False) for _ in range(30)])
+    out_x, out_y = np.c_[x, np.ones(80)][sets], y[sets].copy()
+    out_y[5, -1] = 0  # one set has a row less
+    for name, _, value in WIDE:
+        w = lo.weights(every, out_x, out_y, name, value, {})
+        for r, s in enumerate(sets):
+            keep = np.ones(80, bool)
+            keep[s[out_y[r] != 0]] = False
+            assert np.allclose(w[r], rf.FITS[name](sums(x[keep], y[keep]), value), atol=1e-6), (name, r)
+
+
+def test_a_row_that_alone_fills_a_direction_can_be_left_out():
+    x = np.zeros((12, 3))
+    x[:, 0] = np.arange(12)
+    x[0, 2] = 1.0  # the only row with this feature
+    y = np.array([1, -1] * 6)
+    w = lo.weights(sums(x, y), np.c_[x, np.ones(12)][:, None], y[:, None], "least_squares", 0.0, {})
+    for r in range(12):
+        keep = np.arange(12) != r
+        assert np.allclose(w[r], rf.least_squares(sums(x[keep], y[keep]), 0.0), atol=1e-7)
+
+
+def test_callers_fits_are_used(spark, vectors):
+    flat = {**rf.FITS, "flat": lambda s, v: np.full(len(s.pos), v), "ridge": lambda s, v: np.zeros(len(s.pos))}
+    got = {r["model"]: r["score"] for r in rf.leave_one_out(vectors.where("subject = 0"), [("flat", "v", 2.0), ("ridge", "gamma", 1.0)], flat).collect()}
+    assert got["ridge"] == 0 and got["flat"] != 0
+
+
+def test_too_wide_vectors_raise(vectors):
+    with pytest.raises(ValueError, match="choose features"):
+        md.check_width(vectors, 4)
