@@ -333,13 +333,14 @@ def detect_pairs(densities: DataFrame, pairs: DataFrame, phi: Callable[[Column],
     return met.withColumn("weight", weight).groupBy("pos", "neg").agg(F.avg(psi(F.col("a")) * F.col("weight")).alias("s_pos"), F.avg(psi(F.col("b")) * F.col("weight")).alias("s_neg"))
 
 
-def model_sweep(vectors: DataFrame, folds: DataFrame, pairs: DataFrame, grid: Grid, keep: float = 0.8) -> DataFrame:
-    """(model, params, auc, accuracy, ties, score): of each model the parameters with the best score whose mean fold area exceeds ``keep``.
+def best_settings(predicted: DataFrame, pairs: DataFrame, keep: float = 0.8) -> DataFrame:
+    """(model, params, auc, accuracy, ties, score) of predictions by fold and of pairs: each model's setting with the best score.
 
-    Score: accuracy over the pairs without ties, times the share of pairs without ties, plus the mean area.
+    Settings need a mean fold area above ``keep``. Score: accuracy over the pairs without ties, times the share of pairs
+    without ties, plus the mean area; ties to the first name.
     """
-    means = fold_scores(cross_evaluate(vectors, folds, grid)).groupBy("model", "params").agg(F.avg("score").alias("auc"))
-    told = ev.pair_results(pair_refits(vectors, pairs, grid), ["model", "params"])
+    means = fold_scores(predicted).groupBy("model", "params").agg(F.avg("score").alias("auc"))
+    told = ev.pair_results(pairs, ["model", "params"])
     score = F.col("accuracy") * (1 - F.col("ties")) + F.col("auc")
     both = means.where(F.col("auc") > keep).join(told, ["model", "params"]).withColumn("score", score)
     order = W.partitionBy("model").orderBy(F.desc("score"), "params")

@@ -98,7 +98,7 @@ def test_leaving_out_rows_and_pairs(vectors, data):
         value = next(v for m, _, v in GRID if m == r["model"])
         w = rf.FITS[r["model"]](sums(x[rest], y[rest]), value)
         assert y[r["pos"]] == 1 and y[r["neg"]] == -1 and np.isclose(r["s_pos"], x[r["pos"]] @ w[:-1] + w[-1]) and np.isclose(r["s_neg"], x[r["neg"]] @ w[:-1] + w[-1])
-    swept = rf.model_sweep(vectors, ev.stratified_folds(vectors.select("subject", "label"), 4), pairs, GRID, keep=0.5).collect()
+    swept = rf.best_settings(rf.cross_evaluate(vectors, ev.stratified_folds(vectors.select("subject", "label"), 4), GRID), rf.pair_refits(vectors, pairs, GRID), keep=0.5).collect()
     assert len(swept) == len(GRID) and all(np.isclose(r["score"], r["accuracy"] * (1 - r["ties"]) + r["auc"]) for r in swept)
 
 
