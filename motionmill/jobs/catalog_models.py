@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 from motionmill import schema
 from motionmill.functions import kernels
 from motionmill.jobs.catalog import BIN, BINS_SQL, GAUSS, KDE, NUDGE, SCALE, _conv_sql, _kernel_sql, bins, cut, filled, ids, long, nudged, pair_ctes, purity, query, r, regular, rounded, scratch, stored, with_channels
-from motionmill.operators import density, design as dz, dictionary as dc, evaluate as ev, frames as fr, layers as ly, models as md, motion, refits as rf
+from motionmill.operators import density, design as dz, dictionary as dc, evaluate as ev, frames as fr, layers as ly, models as md, motion, refits as rf, sweep as sw
 from motionmill.sources import adapters as ad, tables
 
 BANK = [("gaussian", 8.0), ("derivative", 8.0), ("gaussian", 40.0)]
@@ -450,67 +450,133 @@ def purity_tree(spark, d):
 
 # ---------------------------------------------------------------- evaluation by refits
 
+#: Linear classifiers, and settings of the seven families of the sweep.
 GRID = [("ridge", "gamma", 0.1), ("ridge", "gamma", 10.0), ("pursuit", "m", 8.0), ("lasso", "gamma", 0.01), ("elimination", "keep", 20.0), ("least_squares", "gamma", 0.0)]
+FAMILIES = [
+    ("sparse", "gamma", 0.005), ("sparse", "gamma", 0.02), ("pursuit", "m", 8.0), ("elimination", "keep", 20.0), ("svm", "gamma", 0.1), ("svm", "gamma", 1.0),
+    ("knn", "k", 2.0), ("knn", "k", 8.0), ("generative", "thres", 0.1), ("generative", "thres", 0.2), ("detection", "top", 16.0),
+]
 
 
 def folds(spark, d, k: int = 4) -> DataFrame:
     return ev.stratified_folds(ids(spark, d), k)
 
 
-def folded(spark, d) -> DataFrame:
-    """All classifiers of the grid and the nearest neighbours, by fold."""
-    v = ad.vectors(spark, d)
-    return rf.cross_evaluate(v, folds(spark, d), GRID).unionByName(rf.neighbours_in_folds(v, folds(spark, d), [2, 8]))
+def cohort(spark, d) -> sw.Cohort:
+    return sw.Cohort(ad.vectors(spark, d), ad.design(spark, d), densities(spark, d))
 
 
 @query("cross_evaluate")
 def cross_evaluate(spark, d):
-    return rounded(rf.fold_scores(folded(spark, d)), "score")
+    """Mean areas of every setting of the seven families, by fold."""
+    return rounded(rf.fold_scores(sw.fold_predictions(cohort(spark, d), stored(spark, lambda: folds(spark, d)), FAMILIES)), "score")
+
+
+FOLD_SQL = """SELECT subject, label, CAST((SELECT max(j) FROM range(4) g(j) WHERE floor(j * n / 4.0) <= rn) AS INT) AS fold FROM (
+  SELECT *, row_number() OVER (PARTITION BY label ORDER BY subject * 7919 % 10007, subject) - 1 AS rn, count(*) OVER (PARTITION BY label) AS n FROM ids)"""
+PURE_CTES = (
+    ("fold_t", FOLD_SQL), ("outside", "SELECT d.*, CAST(k AS BIGINT) AS k FROM design d JOIN fold_t f USING (subject), range(4) g(k) WHERE k <> fold"),
+    ("fold_pure", """SELECT k AS fold, feature_id, greatest(avg(CASE WHEN rn <= tenth THEN CAST(label = 1 AS DOUBLE) END), avg(CASE WHEN rn > n - tenth THEN CAST(label = 1 AS DOUBLE) END)) AS score
+      FROM (SELECT *, greatest(n // 10, 1) AS tenth FROM (SELECT *, row_number() OVER (PARTITION BY k, feature_id ORDER BY value, subject) AS rn, count(*) OVER (PARTITION BY k, feature_id) AS n FROM outside)) GROUP BY k, feature_id"""),
+)
+
+
+@query("fold_purity", f"SELECT fold, feature_id, {r('score')} FROM fold_pure", *PURE_CTES)
+def fold_purity(spark, d):
+    return long_ids(rounded(sw.fold_purity(ad.design(spark, d), folds(spark, d)), "score"), "feature_id")
+
+
+@query(
+    "fold_selection",
+    "SELECT fold, feature_id FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY off DESC, feature_id) AS place FROM (SELECT fold, feature_id, abs(score - median(score) OVER (PARTITION BY fold)) AS off FROM fold_pure)) WHERE off >= 0.06 OR place = 1",
+    *PURE_CTES,
+)
+def fold_selection(spark, d):
+    """Features chosen anew outside each fold."""
+    return long_ids(sw.fold_selection(sw.fold_purity(ad.design(spark, d), folds(spark, d)), 0.06), "feature_id")
 
 
 @query("grid_search")
 def grid_search(spark, d):
-    return rounded(ev.best_parameter(rf.fold_scores(folded(spark, d))), "mean")
+    """The best setting of each linear classifier, on the features that are pure outside each fold."""
+    return rounded(sw.grid_search(ad.vectors(spark, d), ad.design(spark, d), stored(spark, lambda: folds(spark, d)), GRID, 0.06), "mean")
+
+
+FOLD_GM_CTES = (
+    *PURE_CTES[:2],
+    ("fg_grid", "SELECT feature_id, k, lo - (hi - lo) / 2 AS x0, 2 * (hi - lo) / 49 AS dx FROM (SELECT feature_id, k, min(value) AS lo, max(value) AS hi FROM outside GROUP BY feature_id, k) WHERE hi > lo"),
+    ("fg_width", "SELECT feature_id, k, label, greatest(var_pop(value), 1e-12) * pow(CAST(count(*) AS DOUBLE), -0.2::DOUBLE) AS h, count(*) AS n FROM outside GROUP BY feature_id, k, label"),
+    ("fg_p", """SELECT feature_id, k, label, point, max(dx) AS dx, sum(exp(-0.5 * pow((x0 + point * dx - value) / h, 2))) / (max(h) * max(n) * sqrt(2 * pi())) AS p
+      FROM outside JOIN fg_width USING (feature_id, k, label) JOIN fg_grid USING (feature_id, k), range(50) g(point) GROUP BY feature_id, k, label, point"""),
+    ("fg_both", "SELECT feature_id, k, point, max(dx) AS dx, coalesce(sum(p) FILTER (label = 1), 0) AS p1, coalesce(sum(p) FILTER (label <> 1), 0) AS p0 FROM fg_p GROUP BY feature_id, k, point"),
+    ("fg_gap", "SELECT feature_id, k, sum(dx * abs(p1 - p0)) FILTER (point > 0) AS gap FROM fg_both GROUP BY feature_id, k"),
+    ("fg_score", """SELECT thres, fold, subject, max(d.label) AS label, coalesce(sum(ln((p1 + 1e-9) / (p0 + 1e-9))) FILTER (gap > thres), 0) AS score
+      FROM design d JOIN fold_t f USING (subject) JOIN fg_grid g ON g.feature_id = d.feature_id AND g.k = fold
+      JOIN fg_both b ON b.feature_id = d.feature_id AND b.k = fold AND b.point = greatest(least(CAST(ceil((value - x0) / g.dx) AS BIGINT) - 1, 49), 0)
+      JOIN fg_gap w ON w.feature_id = d.feature_id AND w.k = fold, (VALUES (0.1::DOUBLE), (0.2::DOUBLE)) AS t(thres) GROUP BY thres, fold, subject"""),
+    ("fg_auc", """SELECT 'generative' AS model, CASE WHEN thres < 0.15 THEN 'thres=0.1' ELSE 'thres=0.2' END AS params, CAST(fold AS BIGINT) AS fold, sum(CASE WHEN label <> 1 THEN tp END) / max(n_pos * n_neg) AS score FROM (
+      SELECT *, sum(CAST(label = 1 AS INT)) OVER (PARTITION BY thres, fold ORDER BY score DESC, subject DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tp,
+      count(*) FILTER (label = 1) OVER (PARTITION BY thres, fold) AS n_pos, count(*) FILTER (label <> 1) OVER (PARTITION BY thres, fold) AS n_neg FROM fg_score) GROUP BY thres, fold"""),
+)
+
+
+def generative_outside(spark, d) -> DataFrame:
+    outs = folds(spark, d).select("subject", F.col("fold").cast("long").alias("out"))
+    return sw.generative_scores(ad.design(spark, d), stored(spark, lambda: outs), "thres", [0.1, 0.2], 50).withColumnRenamed("out", "fold")
+
+
+def generative_results(spark, d) -> DataFrame:
+    """(model, params, fold, score): area of the generative model's settings in each fold."""
+    return rf.fold_scores(generative_outside(spark, d))
 
 
-RESULTS = "SELECT lang AS model, source AS params, doc_id % 4 AS fold, CAST(count(*) AS DOUBLE) AS score FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY ALL"
+@query("generative_in_folds", f"SELECT thres, CAST(fold AS BIGINT) AS fold, subject, label, {r('score')} FROM fg_score", *FOLD_GM_CTES)
+def generative_in_folds(spark, d):
+    """Every row scored by the generative model of all rows outside its fold, with two thresholds."""
+    told = generative_outside(spark, d)
+    return rounded(told.select(F.substring_index("params", "=", -1).cast("double").alias("thres"), "fold", "subject", "label", "score"), "score")
 
 
-def results(spark, d) -> DataFrame:
-    """Documents counted by language, source and fold, in the shape of fold scores."""
-    docs = spark.read.parquet(f"{d}/documents.parquet").where("lang is not null and source is not null")
-    return docs.groupBy(F.col("lang").alias("model"), F.col("source").alias("params"), (F.col("doc_id") % 4).alias("fold")).agg(F.count(F.lit(1)).cast("double").alias("score"))
+@query("generative_cross_evaluate", f"SELECT model, params, fold, {r('score')} FROM fg_auc", *FOLD_GM_CTES)
+def generative_cross_evaluate(spark, d):
+    return rounded(generative_results(spark, d), "score")
 
 
-@query("best_parameter", "SELECT model, params, round(mean, 6) + 0.0 AS mean FROM (SELECT model, params, avg(score) AS mean FROM results GROUP BY model, params) QUALIFY row_number() OVER (PARTITION BY model ORDER BY mean DESC, params) = 1", ("results", RESULTS))
+@query(
+    "best_parameter",
+    "SELECT model, params, round(mean, 6) + 0.0 AS mean FROM (SELECT model, params, avg(score) AS mean FROM fg_auc GROUP BY model, params) QUALIFY row_number() OVER (PARTITION BY model ORDER BY mean DESC, params) = 1",
+    *FOLD_GM_CTES,
+)
 def best_parameter(spark, d):
-    return rounded(ev.best_parameter(results(spark, d)), "mean")
+    return rounded(ev.best_parameter(generative_results(spark, d)), "mean")
 
 
 @query("loso_score")
 def loso_score(spark, d):
-    one = rf.leave_one_out(ad.vectors(spark, d), GRID[:1]).select("subject", "label", "score")
-    return rounded(ev.auc(one), "auc")
+    """Area of every linear classifier over rows scored by fits on all others."""
+    return rounded(ev.auc(rf.leave_one_out(ad.vectors(spark, d), GRID), ["model", "params"]), "auc")
 
 
 @query("pair_refits")
 def pair_refits(spark, d):
-    """Two rows left out, 50 times, for every classifier of the grid."""
-    told = rf.pair_refits(ad.vectors(spark, d), ev.opposite_pairs(ids(spark, d), 50), GRID)
+    """Two rows left out, 50 times, for every setting of the seven families."""
+    told = sw.pair_predictions(cohort(spark, d), stored(spark, lambda: ev.opposite_pairs(ids(spark, d), 50)), FAMILIES)
     return rounded(ev.pair_results(told, ["model", "params"]), "accuracy", "ties")
 
 
 @query("model_sweep")
 def model_sweep(spark, d):
-    path = scratch(spark)
-    tables.write_results(rf.model_sweep(ad.vectors(spark, d), folds(spark, d), ev.opposite_pairs(ids(spark, d), 50), GRID, keep=0.4), path)
+    path, of = scratch(spark), stored(spark, lambda: folds(spark, d))
+    pairs = stored(spark, lambda: ev.opposite_pairs(ids(spark, d), 50))
+    tables.write_results(sw.model_sweep(cohort(spark, d), of, pairs, FAMILIES, keep=0.4), path)
     return rounded(spark.read.parquet(path), "auc", "accuracy", "ties", "score")
 
 
-@query("write_results", "SELECT model, params, round(avg(score), 6) + 0.0 AS mean FROM results GROUP BY model, params", ("results", RESULTS))
+@query("write_results", "SELECT model, params, round(avg(score), 6) + 0.0 AS mean FROM fg_auc GROUP BY model, params", *FOLD_GM_CTES)
 def write_results(spark, d):
+    """Areas by fold of the generative model's settings, stored and read again."""
     path = scratch(spark)
-    tables.write_results(results(spark, d), path)
+    tables.write_results(generative_results(spark, d), path)
     return rounded(spark.read.parquet(path).groupBy("model", "params").agg(F.avg("score").alias("mean")), "mean")
 
 
@@ -523,8 +589,6 @@ def densities(spark, d) -> DataFrame:
     return stored(spark, lambda: density.density_at_points(ad.design(spark, d))).join(ids(spark, d), "subject")
 
 
-FOLD_SQL = """SELECT subject, label, CAST((SELECT max(j) FROM range(4) g(j) WHERE floor(j * n / 4.0) <= rn) AS INT) AS fold FROM (
-  SELECT *, row_number() OVER (PARTITION BY label ORDER BY subject * 7919 % 10007, subject) - 1 AS rn, count(*) OVER (PARTITION BY label) AS n FROM ids)"""
 REST = "sum(n1) OVER f - n1 AS n1, sum(n0) OVER f - n0 AS n0, sum(s1) OVER f - s1 AS s1, sum(s0) OVER f - s0 AS s0"
 DETECT_CTES = (
     ("dens", KDE), ("fold_t", FOLD_SQL),
