@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from motionmill.llm._shared import kept, small_batches, table
 
 SAMPLE = 400
+SPARE = 4.0
 DICTIONARY = 1 << 15
 WORDS = 8192
 PIECE = 2048
@@ -60,12 +61,33 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS
 
 
-def training_rows(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, lang, text): at most ``sample`` texts of each language outside the held-out fold."""
-    usable = documents.where((fold(F.col("doc_id")) != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    first = F.row_number().over(W.partitionBy("lang").orderBy("hash", "doc_id"))
-    ids = usable.select("lang", "doc_id", F.xxhash64("doc_id").alias("hash")).withColumn("place", first).where(F.col("place") <= sample)
-    picked = ids.select("lang", "doc_id").distinct()
+def usable_rows(documents: DataFrame) -> DataFrame:
+    return documents.where((fold(F.col("doc_id")) != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+
+
+def text_counts(documents: DataFrame) -> list[tuple[str, int]]:
+    """(lang, usable rows), most rows first; at most ``MAX_LANGUAGES``."""
+    counts = usable_rows(documents).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages; name fewer or raise MAX_LANGUAGES")
+    return [(r["lang"], r["count"]) for r in counts]
+
+
+def _by_language(values: dict[str, float]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[F.col("lang")]
+
+
+def training_rows(documents: DataFrame, counts: list[tuple[str, int]], sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, lang, text): at most ``sample`` texts of each language outside the held-out fold, the least by a hash of the id.
+
+    Only ids whose hash lies in a language's lowest part, made for some ``SPARE`` times as many as are wanted, are ranked.
+    """
+    usable = usable_rows(documents)
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    few = usable.where(place < _by_language({lang: SPARE * sample / n for lang, n in counts}))
+    ids = few.select("lang", "doc_id", F.xxhash64("doc_id").alias("hash")).distinct()
+    first = F.row_number().over(W.partitionBy("lang").orderBy(F.pmod("hash", F.lit(1 << 40)), "doc_id"))
+    picked = ids.withColumn("place", first).where(F.col("place") <= sample).select("lang", "doc_id")
     return usable.select("lang", "doc_id", "text").join(F.broadcast(picked), ["lang", "doc_id"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
 
@@ -106,16 +128,12 @@ class Model:
 def train(documents: DataFrame, sample: int = SAMPLE) -> dict[str, bytes]:
     """A dictionary for each language, the language with most texts first."""
     small_batches(documents.sparkSession)
-    usable = documents.where((fold(F.col("doc_id")) != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES + 1).collect()
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages; name fewer or raise MAX_LANGUAGES")
-    held = training_rows(documents, sample).mapInPandas(_words, "lang string, word string").groupBy("lang", "word").agg(F.count("*").alias("n"))
-    texts = F.create_map(*[F.lit(x) for r in counts for x in (str(r["lang"]), float(min(r["count"], sample)))]) if counts else None
-    out = {str(r["lang"]): b"" for r in counts}
+    counts = text_counts(documents)
+    out = {str(lang): b"" for lang, _ in counts}
     if not out:
         return out
-    share = F.col("n") / texts[F.col("lang")]
+    held = training_rows(documents, counts, sample).mapInPandas(_words, "lang string, word string").groupBy("lang", "word").agg(F.count("*").alias("n"))
+    share = F.col("n") / _by_language({str(lang): float(min(n, sample)) for lang, n in counts})
     own = held.withColumn("share", share).withColumn("all", F.sum("share").over(W.partitionBy("word"))).where("share >= 0.5 * all")
     often = own.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("place") <= WORDS)
     words: dict[str, list[tuple[int, str]]] = defaultdict(list)
