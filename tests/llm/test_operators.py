@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from motionmill.llm import bpe, chat, decontaminate as dec, jpeg, media, pii, repair, sharding, simhash, toxicity, urls
+from motionmill.llm import bpe, chat, decontaminate as dec, jpeg, langid, media, pii, repair, sharding, simhash, toxicity, trie, urls, whiten
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "the of and to in is it that was for on are with as his they be at one have this from or had by hot word but what some".split()
@@ -668,3 +668,169 @@ def test_the_query_levels_the_bytes(spark, tmp_path):
     grown, level = (out.groupby(c)["size"].sum() for c in ("grown_shard", "level_shard"))
     assert len(out) == 3000 and level.max() < grown.max() and level.std() < 0.5 * grown.std()
     assert out.groupby("shard")["slot"].apply(lambda s: sorted(s) == list(range(len(s)))).all()
+
+
+# ---------------------------------------------------------------- 11
+
+
+GERMAN = "der die das und ist nicht ein eine mit von zu auf sich auch werden haben über können müssen wieder noch schon jetzt".split()
+
+
+def german(rng, n):
+    return " ".join(rng.choice(GERMAN) + rng.choice(["", "en", "er", "."]) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def spoken(spark):
+    rng = random.Random(21)
+    rows = [(i, prose(rng, 60) if i % 3 else german(rng, 60), "en" if i % 3 else "de") for i in range(150)]
+    rows += [(900, None, "en"), (901, "nameless", None), (None, "no id at all", "xx"), (5, rows[5][1], rows[5][2])]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"nearest": F.lit("clash"), "score": F.lit("clash"), "row": F.lit(1), "said": F.lit(1), "word": F.lit("x"), "place": F.lit(0), "hash": F.lit(0)})
+
+
+def test_languages_are_told_apart(spark, spoken):
+    said = langid.train(spoken)
+    assert list(said) == ["en", "de"]  # the one with more texts first; rows without an id don't teach
+    model, rng = langid.Model(said), random.Random(22)
+    for k in range(30):
+        assert model.answer(prose(rng, 30).upper() + " 12 !!")[0] == "en" and model.answer(german(rng, 30))[0] == "de"
+    long = " ".join([german(rng, 3000), prose(rng, 500)])
+    assert model.answer(long)[0] == "de" and model.answer(prose(rng, 500) + " " + german(rng, 3000))[0] == "de"  # whole texts count
+    for text in (None, "", " \n", "12 34!", "\u00b2\u2460 \u00bd"):
+        assert model.answer(text) == ("und", 0.0, True)
+
+
+def test_equal_sizes_go_to_the_commoner_language_and_are_rejected(spoken):
+    model = langid.Model(langid.train(spoken))
+    assert model.answer("q") == ("en", 0.5, True)
+    kept = {r["doc_id"] for r in langid.keep_languages(spoken, langid.train(spoken), ["de"]).collect()}
+    assert kept == {i for i in range(0, 150, 3)}
+    assert langid.keep_languages(spoken, langid.train(spoken), ["de"]).columns == spoken.columns
+
+
+def test_pieces_cover_the_text_and_letters_are_composed():
+    model = langid.Model({"a": b"        abc abd ", "b": b"        xyz "})
+    text = "abc abd " * 3000
+    raw = langid.letters(text).encode()
+    assert model.sizes(text)[0] == sum(len(model.compress[0](raw[i : i + langid.PIECE])) for i in range(0, len(raw), langid.PIECE))
+    assert langid.letters("E\u0301te\u0301 99") == "\u00e9t\u00e9" and langid.letters("\u4e2d\u6587") == "\u4e2d\u6587"
+
+
+def test_nothing_or_one_language_to_learn_from(spark, spoken):
+    assert langid.train(spoken.where("false")) == {} and langid.Model({}).answer("words") == ("und", 0.0, True)
+    one = langid.train(spoken.where("lang = 'de'"))
+    assert langid.Model(one).answer("any words") == ("de", 1.0, False)
+    few = langid.training_rows(spoken, langid.text_counts(spoken), 7)
+    assert {(r["lang"], r["count"]) for r in few.groupBy("lang").count().collect()} == {("de", 7), ("en", 7)}
+    assert spoken.select(langid.identify(spoken, {}).alias("s")).where("s.nearest <> 'und'").count() == 0
+
+
+def test_held_out_rows_do_not_teach(spark, spoken):
+    moved = spoken.withColumn("lang", F.when(langid.fold(F.col("doc_id")) == 2, "zz").otherwise(F.col("lang")))
+    assert langid.train(moved) == langid.train(spoken)
+
+
+# ---------------------------------------------------------------- 12
+
+
+@pytest.mark.parametrize("d", [1, 2, 3, 8, 33])
+def test_rotations_equal_a_library(d):
+    rng = np.random.default_rng(d)
+    a = rng.normal(size=(d, d))
+    a = a @ a.T
+    e, v = whiten.jacobi(a)
+    assert np.allclose(e, np.linalg.eigvalsh(a)[::-1]) and np.allclose(v.T @ v, np.eye(d)) and np.allclose(v * e @ v.T, a)
+
+
+def test_small_eigenvalues_keep_their_digits():
+    scale = 10.0 ** -np.arange(8)
+    core = 0.9 * np.eye(8) + 0.1
+    e, _ = whiten.jacobi(scale[:, None] * core * scale)
+    # the determinant is 0.9^7 (0.9 + 0.8) times the squared scales
+    assert abs(np.prod(e * 10.0 ** (2 * np.arange(8))) / (0.9**7 * 1.7) - 1) < 1e-9
+    assert whiten.jacobi(np.zeros((3, 3)))[0].tolist() == [0, 0, 0]
+
+
+def vectors_of(spark, rows):
+    return spark.createDataFrame([(i, v) for i, v in rows], "vec_id long, embedding array<float>").withColumns({"x": F.lit("clash"), "c": F.lit("clash"), "d": F.lit(1), "y": F.lit(1)})
+
+
+def test_whitened_rows(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(200, 5)) @ rng.normal(size=(5, 5)) + 7
+    rows = [(i, [float(c) for c in r]) for i, r in enumerate(x)]
+    bad = [(900, None), (901, [1.0, None, 1.0, 1.0, 1.0]), (902, [float("nan")] * 5), (903, [float("inf"), 0.0, 0.0, 0.0, 0.0]), (904, []), (905, [1.0, 2.0])]
+    extra = [(None, rows[0][1]), (3, rows[3][1])]
+    whole = whiten.whole_vectors(vectors_of(spark, rows + bad + extra))
+    model = whiten.fit(whole)
+    assert model.n == 202 and len(model.e) == 5
+    out = whiten.whiten(whole, model).collect()
+    y = np.array([r["y"] for r in out])
+    assert len(out) == 202 and np.abs(y.T @ y / 202 - np.eye(5)).max() < 1e-9 and whiten.identity_error(whole, model) < 1e-9
+    big = [[int(np.floor(64 * float(np.float32(c)))) + 1_000_000 for c in v] for _, v in rows + extra]
+    sums = [sum(c) for c in zip(*big)]
+    assert sorted(r["deviation"] for r in out) == sorted(sum((202 * a - s) ** 2 for a, s in zip(v, sums)) for v in big)
+
+
+def test_axes_without_variance_and_nothing(spark):
+    flat = whiten.whole_vectors(vectors_of(spark, [(i, [float(i), 2.0 * i, 1.0]) for i in range(10)]))
+    assert len(whiten.fit(flat).e) == 1
+    same = whiten.whole_vectors(vectors_of(spark, [(i, [1.0, 2.0]) for i in range(4)]))
+    assert len(whiten.fit(same).e) == 0
+    assert whiten.fit(whiten.whole_vectors(vectors_of(spark, [(1, None)]))) is None
+    huge = whiten.whole_vectors(vectors_of(spark, [(0, [3e38, 0.0]), (1, [-3e38, 1.0]), (2, [0.0, 5.0])]))
+    model = whiten.fit(huge)
+    assert model.n == 3 and None in [r["deviation"] for r in whiten.whiten(huge, model).collect()]  # beyond a long
+
+
+# ---------------------------------------------------------------- 13
+
+
+def conversation_rows(spark, convs):
+    rows = [(c, None if d == 0 else d, *turn) for c, turns in convs.items() for d, turn in enumerate(turns)]
+    clash = {n: F.lit("clash") for n in ("place", "k1", "h1", "n", "depth", "path", "block", "at", "part")}
+    return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns(clash)
+
+
+def nodes_of(turns, sizes):
+    names = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+    return sorted(tuple(-1 if r[c] is None else r[c] for c in names) for r in trie.prefix_trie(turns, sizes).collect())
+
+
+@pytest.mark.parametrize("hot,block", [(10_000, 4096), (2, 3)])
+def test_trees_equal_plain_prefixes(spark, monkeypatch, hot, block):
+    from test_queries import trie as plain
+
+    monkeypatch.setattr(trie, "HOT", hot)
+    monkeypatch.setattr(trie.running, "__defaults__", (block,))
+    monkeypatch.setattr(trie, "CHUNK", 2)
+    rng = random.Random(31)
+    convs = {}
+    for c in range(-20, 60):
+        n = rng.randrange(0, 9) if c else 40
+        convs[c] = [("user" if d % 2 == 0 else "bot", rng.choice(["a", "bb", "", "É漢"]) if d else "hello") for d in range(n)]
+    convs[60] = convs[59] = convs[0][:]  # copies of the longest
+    rows = conversation_rows(spark, convs)
+    turns, sizes = trie.ordered_turns(rows)
+    known = {c: [(r or "", t or "") for r, t in ts] for c, ts in convs.items() if ts}
+    assert nodes_of(turns.withColumnRenamed("place", "depth"), sizes.withColumnRenamed("n", "total")) == plain(known)
+
+
+def test_shared_openings_and_turnless_conversations(spark):
+    from test_queries import rebuilt, trie as plain
+
+    rng = random.Random(32)
+    rows = [(c, d, rng.choice(["user", None]), rng.choice(["x", "yy", None])) for c in [*range(100, 140), 205, 7, -103, -100] for d in range(rng.randrange(1, 8))]
+    rows += [(None, 1, "user", "lost"), (101, None, "user", "first"), (102, 0, "a", "tie"), (102, 0, "a", "tie")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = nodes_of(*trie.share_openings(*trie.ordered_turns(df)))
+    plain_rows = rebuilt([r for r in rows if r[0] is not None and r[0] >= 0])
+    only = nodes_of(*trie.share_openings(*trie.ordered_turns(df.where("conv_id >= 0"))))
+    assert only == plain(plain_rows) and got[0][0] == -103
+    assert nodes_of(*trie.share_openings(*trie.ordered_turns(df.where("false")))) == []
+
+
+def test_only_turnless_conversations_are_one_root(spark):
+    sizes = spark.createDataFrame([(4, 0), (3, 0)], "conv_id long, total long")
+    turns = spark.createDataFrame([], "conv_id long, depth long, h1 long, h2 long, chars long")
+    assert nodes_of(turns, sizes) == [(3, 0, -1, 2, 0, 1, 0, hashlib.sha256(b"3,4").hexdigest())]

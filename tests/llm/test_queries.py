@@ -168,3 +168,85 @@ def test_op10(spark, documents):
     for k in range(16):
         assert sorted(r["slot"] for r in rows if r["shard"] == k) == list(range(sum(r["shard"] == k for r in rows)))
     assert any(r["grown_shard"] == 16 for r in rows)
+
+
+def test_op11(spark, documents):
+    from motionmill.llm import langid
+
+    rows = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text", "lang").collect()
+    dictionaries = langid.train(spark.read.parquet(f"{DIR}/documents.parquet"))
+    assert set(dictionaries) == {r["lang"] for r in rows if r["lang"] and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2}
+    import zstandard
+
+    def size(raw, dictionary):
+        content = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        how = zstandard.ZstdCompressionParameters.from_level(langid.LEVEL, source_size=langid.PIECE, dict_size=len(dictionary), write_content_size=False)
+        content.precompute_compress(compression_params=how)
+        return sum(len(zstandard.ZstdCompressor(compression_params=how, dict_data=content).compress(raw[i : i + langid.PIECE])) for i in range(0, len(raw), langid.PIECE))
+
+    got = {r["doc_id"]: r for r in result(spark, "op11_langid")}
+    right = []
+    for r in rows[:60]:
+        raw = re.sub(r"[\W\d_]+", " ", (r["text"] or "").lower()).strip().encode()
+        sizes = {lang: size(raw, d) for lang, d in dictionaries.items()}
+        assert got[r["doc_id"]]["lang_pred"] == min(dictionaries, key=lambda lang: sizes[lang])
+    for r in rows:
+        g = got[r["doc_id"]]
+        assert g["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and 0 <= g["score"] <= 1
+        if g["held_out"]:
+            right.append(g["lang_pred"] == r["lang"])
+    assert len(got) == len(rows) and np.mean(right) >= 0.95
+
+
+def test_op12(spark):
+    vectors = {r["vec_id"]: r["embedding"] for r in spark.read.parquet(f"{DIR}/embeddings.parquet").collect()}
+    usable = {k: v for k, v in vectors.items() if v is not None and all(c is not None and np.isfinite(c) for c in v)}
+    ids = list(usable)
+    x = np.floor(64 * np.array([usable[k] for k in ids], float)).astype(np.int64) + 1_000_000
+    n, s = len(x), x.sum(axis=0)
+    centred = (n * x - s) / n
+    v = centred.T @ centred / n
+    e, axes = np.linalg.eigh(v)
+    e, axes = e[::-1], axes[:, ::-1]
+    got = {(r["vec_id"], r["component"]): r for r in result(spark, "op12_whitening")}
+    assert len(got) == n * 32
+    for i, k in enumerate(ids):
+        assert {got[k, c]["deviation"] for c in range(1, 33)} == {int(((n * x[i] - s) ** 2).sum())}
+    for c in range(1, 33):
+        mine, want = np.array([got[k, c]["whitened"] for k in ids]), centred @ axes[:, c - 1] / np.sqrt(e[c - 1])
+        assert np.allclose(mine, want * np.sign(mine @ want), atol=1e-7)
+        assert abs(got[ids[0], c]["explained"] / (e[c - 1] / np.trace(v)) - 1) < 1e-9 and got[ids[0], c]["identity_error"] < 1e-9
+
+
+def rebuilt(rows):
+    own: dict = {}
+    for conv, turn, role, text in rows:
+        own.setdefault(conv, []).append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [t[2:] for t in sorted(ts)] for c, ts in own.items() if c is not None}
+    h = {c: zlib.crc32(str(c).encode()) % 6 for c in own}
+    return {c: own.get(c - c % 100, [])[: h[c]] + ts[h[c] :] for c, ts in own.items()}
+
+
+def trie(convs):
+    """Every node of the tree, by plain recursion over prefixes."""
+    members, ends, kids = {}, {}, {}
+    for c in sorted(convs):
+        turns = tuple(convs[c])
+        ends.setdefault(turns, []).append(c)
+        for d in range(len(turns) + 1):
+            members.setdefault(turns[:d], []).append(c)
+            kids.setdefault(turns[:d], set()).update({turns[: d + 1]} if d < len(turns) else ())
+    leaves, saved = {}, {}
+    for p in sorted(members, key=len, reverse=True):
+        leaves[p] = sum(leaves[k] for k in kids[p]) or 1
+        saved[p] = (len(members[p]) - 1) * (len(p[-1][1]) if p else 0) + sum(saved[k] for k in kids[p])
+    return sorted(
+        (members[p][0], len(p), members[p[:-1]][0] if p else -1, len(members[p]), len(kids[p]), leaves[p], saved[p], sha(",".join(map(str, ends.get(p, ()))))) for p in members
+    )
+
+
+def test_op13(spark):
+    rows = spark.read.parquet(f"{DIR}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()
+    names = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+    got = sorted(tuple(-1 if r[c] is None else r[c] for c in names) for r in result(spark, "op13_prefix_trie"))
+    assert got == trie(rebuilt(rows))
