@@ -416,7 +416,7 @@ def word_bpe(path: str) -> WordBpe:
 
 
 def encode_texts(df: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """Adds ``ids`` (array of int) of each whole text; null texts count as empty, other columns and rows stay."""
+    """Adds ``ids`` (array of int) of each whole text; null texts count as empty, other columns and rows stay, a column ``ids`` is replaced."""
     small_batches(df.sparkSession)
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
@@ -428,7 +428,7 @@ def encode_texts(df: DataFrame, path: str, text: str = "text") -> DataFrame:
 
 
 def decode_ids(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
-    """Adds ``decoded``, the text of ``ids``."""
+    """Adds ``decoded``, the text of ``ids``; a column of that name is replaced."""
     small_batches(df.sparkSession)
 
     @F.pandas_udf(T.StringType())
@@ -440,7 +440,10 @@ def decode_ids(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
 
 
 def round_trip(df: DataFrame, path: str, text: str = "text", keep_ids: bool = False) -> DataFrame:
-    """``df`` without ``text`` and with n_tokens, ids_sha256, decoded_sha256 and, if asked, ids; all from one pass."""
+    """``df`` without ``text`` and with n_tokens, ids_sha256, decoded_sha256 and, if asked, ids; all from one pass.
+
+    Columns of these names are replaced; all others stay.
+    """
     small_batches(df.sparkSession)
     names = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids
     kinds = [T.LongType(), T.StringType(), T.StringType(), T.ArrayType(T.IntegerType())]
@@ -454,7 +457,9 @@ def round_trip(df: DataFrame, path: str, text: str = "text", keep_ids: bool = Fa
             rows.append((*row, ids) if keep_ids else row)
         return pd.DataFrame(rows, columns=names)
 
-    return df.withColumn("_bpe", digest(F.col(text))).drop(text).select("*", "_bpe.*").drop("_bpe")
+    stay = [F.col(f"`{c}`") for c in df.columns if c not in {text, *names}]
+    told = df.select(digest(F.col(text)).alias("told"), *([F.struct(*stay).alias("row")] if stay else []))
+    return told.select(*(["row.*"] if stay else []), "told.*")
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,7 +97,7 @@ def payload_digests(texts: list[str | None]) -> list[tuple]:
 
 
 def store_payload(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``media``, the file that holds the text's padded bytes."""
+    """Adds ``media``, the file that holds the text's padded bytes; a column of that name is replaced."""
     small_batches(df.sparkSession)
 
     @F.pandas_udf(T.BinaryType())
@@ -109,7 +109,7 @@ def store_payload(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def decode_media(df: DataFrame, media: str = "media") -> DataFrame:
-    """Adds ``tensor``: height, width and the RGB bytes of each file."""
+    """Adds ``tensor``: height, width and the RGB bytes of each file; a column of that name is replaced."""
     small_batches(df.sparkSession)
 
     @F.pandas_udf(TENSOR)

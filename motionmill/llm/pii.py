@@ -204,9 +204,10 @@ def sanitise(df: DataFrame, doc_id: str = "doc_id", text: str = "text", support:
     """``df`` with base spans and disclosing terms of ``text`` replaced; all other columns and rows as they are."""
     _, terms = find_spans(df, doc_id, text, support, disclosure)
     terms = written(terms, "pii-spans").withColumnsRenamed({"key": "pii_key", "terms": "pii_terms"})
-    named = with_base_spans(df, text)
-    joined = named.withColumn("pii_key", _digest(F.col(text))).join(terms, "pii_key", "left")
-    body = F.col(text)
+    held = f"row.`{text}`"  # rows are one struct, so that no column meets a name of ours
+    named = with_base_spans(df.select(F.struct("*").alias("row")), held)
+    joined = named.withColumn("pii_key", _digest(F.col(held))).join(terms, "pii_key", "left")
+    body = F.col(held)
     shown = F.transform("pii_base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("label")))
     named_term = lambda s: F.when(F.substr(body, s["start"] + 1, F.lit(1)).rlike(r"^\p{Lu}"), F.lit("[NAME]")).otherwise(F.lit(""))
     hidden = F.transform(F.coalesce("pii_terms", F.expr("cast(array() as array<struct<start:int,end:int>>)")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), named_term(s).alias("label")))
@@ -221,7 +222,7 @@ def sanitise(df: DataFrame, doc_id: str = "doc_id", text: str = "text", support:
         lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(body, acc["at"] + 1)),
     )
     clean = F.when(F.size(spans) > 0, folded).otherwise(body)
-    return joined.withColumn(text, clean).select(*df.columns)
+    return joined.select(*[(clean if c == text else F.col("row").getField(c)).alias(c) for c in df.columns])
 
 
 def _listed(spans: Column, kind: str | None = None) -> Column:

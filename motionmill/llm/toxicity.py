@@ -323,8 +323,8 @@ def score_texts(df: DataFrame, net: Network | None, text: str = "text") -> Colum
 
 
 def drop_toxic(df: DataFrame, net: Network | None, text: str = "text", cutoff: float = CUTOFF) -> DataFrame:
-    """``df`` without the rows that score ``cutoff`` or more."""
-    return df.withColumn("_toxic", score_texts(df, net, text)).where(F.col("_toxic") < cutoff).drop("_toxic")
+    """``df`` without the rows that score ``cutoff`` or more; all columns, whatever their names, as they were."""
+    return df.select(F.struct("*").alias("row"), score_texts(df, net, text).alias("score")).where(F.col("score") < cutoff).select("row.*")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -834,3 +834,59 @@ def test_only_turnless_conversations_are_one_root(spark):
     sizes = spark.createDataFrame([(4, 0), (3, 0)], "conv_id long, total long")
     turns = spark.createDataFrame([], "conv_id long, depth long, h1 long, h2 long, chars long")
     assert nodes_of(turns, sizes) == [(3, 0, -1, 2, 0, 1, 0, hashlib.sha256(b"3,4").hexdigest())]
+
+
+# ---------------------------------------------------------------- columns that have the operators' own names
+
+OWN = ["pii_email", "pii_ip", "pii_card", "pii_phone", "pii_base", "pii_key", "pii_terms", "pii_text", "row", "said", "told", "score", "_bpe", "_toxic", "body", "at", "out", "hits", "base", "spans"]
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    rng = random.Random(41)
+    rows = [(i, prose(rng, 30) + f" Jane Roe a{i}@b.org 10.0.0.{i} +1 (555) 010-99{i:02d} paid 4111 1111 1111 1111") for i in range(8)]
+    rows += [(20, None), (21, ""), (22, prose(rng, 120_000) + " z@y.org")]  # one very long text
+    return spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(f"own {c}") for c in OWN})
+
+
+def same_columns(before, after, but=("text",)):
+    assert [c for c in after.columns if c not in but] == [c for c in before.columns if c not in but]
+    for r in after.collect():
+        assert all(r[c] == f"own {c}" for c in OWN)
+    assert after.count() == before.count()
+
+
+def test_sanitise_keeps_columns_of_any_name(clashing):
+    out = pii.sanitise(clashing)
+    same_columns(clashing, out)
+    shown = {r["doc_id"]: r["text"] for r in out.select("doc_id", "text").collect()}
+    assert shown[20] is None and shown[21] == "" and all(f"[{k}]" in shown[3] for k in ("EMAIL", "IP", "CARD", "PHONE")) and shown[22].endswith("[EMAIL]")
+
+
+def test_tokens_and_scores_keep_columns_of_any_name(spark, clashing):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    twice = clashing.withColumns({"n_tokens": F.lit("old"), "ids": F.lit("old")})
+    out = bpe.round_trip(twice, path, keep_ids=True)
+    assert out.columns == ["doc_id", *OWN, "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+    lib = library_tokens(path)
+    for r in out.collect():
+        text = next(t for i, t in clashing.select("doc_id", "text").collect() if i == r["doc_id"]) or ""
+        assert r["ids"] == lib.encode(text, add_special_tokens=False).ids and r["row"] == "own row" and r["n_tokens"] == len(r["ids"])
+    assert bpe.round_trip(clashing.select("text"), path).columns == ["n_tokens", "ids_sha256", "decoded_sha256"]
+    net = toxicity.fit(["bad awful words"] * 4 + ["good plain words"] * 4, [1] * 4 + [0] * 4, rounds=1)
+    same_columns(clashing, toxicity.drop_toxic(clashing, net, cutoff=1.1), but=())
+    assert toxicity.drop_toxic(clashing, None).count() == clashing.count()
+
+
+def library_tokens(path):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def test_media_replaces_columns_of_its_names(clashing):
+    short = clashing.where("doc_id < 3").withColumns({"media": F.lit("old"), "tensor": F.lit("old")})
+    out = media.decode_media(media.store_payload(short))
+    assert out.columns == short.columns
+    for r in out.collect():
+        assert r["tensor"]["height"] > 0 and r["said"] == "own said" and bytes(r["media"])[:2] == b"\xff\xd8"

@@ -109,3 +109,25 @@ def test_stages_take_nulls_and_empty_tables(spark, kept):
 
 def test_run_gives_the_last_stage(spark, kept):
     assert ids(entry.queries()["pipeline"](spark, DIR)) == ids(kept[-1][1])
+
+
+def test_stages_keep_columns_of_any_name_and_long_texts(spark, monkeypatch):
+    """Nulls, a text of over 100,000 words and columns with the operators' own names go through all stages whole.
+
+    No label is learned, since random letters are like nothing that the network has seen.
+    """
+    monkeypatch.setattr(toxicity, "train", lambda *_: None)
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9))) for _ in range(4000)]
+    rows = [(10**9 + i, " ".join(rng.choice(words) for _ in range(n)), "en", "s", 0) for i, n in enumerate([120_000, 40, 60, 80])]
+    rows += [(10**9 + 50, None, None, None, None)]
+    own = {c: F.lit(f"own {c}") for c in ("pii_ip", "pii_base", "pii_key", "row", "said", "told", "score", "fp", "_bpe", "_toxic", "ids", "n_tokens", "key", "item_id")}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns(own)
+    before = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, DIR), name)
+        assert docs.columns == before.columns, name
+    left = {r["doc_id"]: r for r in docs.collect()}
+    assert set(left) == {r[0] for r in rows} and all(r[c] == f"own {c}" for r in left.values() for c in own)
+    assert left[10**9]["text"] == rows[0][1]
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, DIR).count() == len(rows)
