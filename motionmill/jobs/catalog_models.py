@@ -225,6 +225,37 @@ def dictionary_transform(spark, d):
     return rounded(dc.dictionary_transform(filled(spark, d), ad.CHANNELS, ["gaussian"], SCALES, ad.FPS), "value")
 
 
+MASKED = ("masked", f"""SELECT a.subject, a.stimulus, a.channel, atom, scale_idx, scale, a.frame, coalesce(sum(b.value * w), 0) AS v, coalesce(sum(w) FILTER (b.value IS NOT NULL), 0) AS k, count(b.value) AS m
+  FROM gaps a CROSS JOIN atoms JOIN gaps b ON {SAME} AND b.frame = a.frame + o GROUP BY ALL""")
+
+
+@query(
+    "dictionary_transform_masked",
+    f"""SELECT subject, stimulus, channel, mode, scale_idx, frame, {r('value')} FROM (
+      SELECT *, 'weight' AS mode, v / CASE WHEN k < 0.01 THEN 1 ELSE k END AS value FROM masked UNION ALL SELECT *, 'receptive', v / CASE WHEN m < 0.01 THEN 1 ELSE m END FROM masked)""",
+    SPACE_CTES[0], MASKED,
+)
+def dictionary_transform_masked(spark, d):
+    """Series with gaps: sums over known frames, by their weights or by their number."""
+    gaps, out = stored(spark, lambda: with_channels(regular(spark, d))), None
+    for mode in ("weight", "receptive"):
+        one = dc.dictionary_transform(gaps, ad.CHANNELS, ["gaussian"], SCALES, ad.FPS, mode).select("subject", "stimulus", "channel", F.lit(mode).alias("mode"), "scale_idx", "frame", "value")
+        out = one if out is None else out.unionByName(one)
+    return rounded(out, "value")
+
+
+@query("pursuit_masked")
+def pursuit_masked(spark, d):
+    """Atoms of series with gaps, fitted to the known frames."""
+    return rounded(dc.pursuit(with_channels(regular(spark, d)), ad.CHANNELS, ["gaussian"], SCALES, ad.FPS, rounds=4, mode="weight"), "amp")
+
+
+@query("mine_patterns_masked")
+def mine_patterns_masked(spark, d):
+    out = dc.mine_patterns(with_channels(regular(spark, d)), ad.CHANNELS, "gaussian", SCALES, ad.FPS, 0.5, mode="weight")
+    return rounded(out.withColumn("pattern", F.transform("pattern", lambda x: F.round(x, 6) + 0.0)), "amp")
+
+
 @query(
     "convolve_reflected",
     f"""SELECT a.subject, a.stimulus, a.channel, a.frame, round(sum(b.value * w), 6) + 0.0 AS value FROM long a CROSS JOIN kern JOIN padded b ON {SAME} AND b.place - 4 = a.frame - o GROUP BY a.subject, a.stimulus, a.channel, a.frame""",
@@ -297,6 +328,27 @@ def rebuild_signal(spark, d):
     return rounded(dc.rebuild_signal(placed(spark, d), lengths(spark), ad.FPS), "value")
 
 
+#: Words of 16 numbers: a hump, a step and a wave.
+WORDS = [[round(float(x), 6) for x in w] for w in (np.exp(-np.linspace(-2, 2, 16) ** 2), np.where(np.arange(16) < 7, -0.5, 1.0), np.sin(np.arange(16) / 2.0))]
+WORD_CTES = (
+    ("word_t", " UNION ALL ".join(f"SELECT {k} AS cluster, {w!r}::DOUBLE[] AS word" for k, w in enumerate(WORDS))),
+    ("word_k", " UNION ALL ".join(f"""SELECT cluster, CAST({s} AS DOUBLE) AS scale, o, word[CAST(floor(p) AS INT) + 1] + (word[CAST(least(floor(p) + 1, 15) AS INT) + 1] - word[CAST(floor(p) AS INT) + 1]) * (p - floor(p)) AS w
+      FROM (SELECT *, (o + {kernels.half_width(s, ad.FPS)}) * 15 / (2.0::DOUBLE * {kernels.half_width(s, ad.FPS)}) AS p FROM word_t, range(-{kernels.half_width(s, ad.FPS)}, {kernels.half_width(s, ad.FPS)} + 1) g(o))""" for s in SCALES)),
+)
+
+
+@query(
+    "rebuild_from_words",
+    f"SELECT subject, stimulus, channel, CAST(frame AS INT) AS frame, {r(f'sum(amp * w) + {NUDGE} AS value')} FROM (SELECT p.*, pos + o AS frame, w FROM (SELECT *, (pos + stimulus) % 3 AS cluster FROM spots) p JOIN word_k USING (cluster, scale)) JOIN stimuli USING (stimulus) WHERE frame >= 0 AND frame < n_frames GROUP BY subject, stimulus, channel, frame",
+    *PLACED_CTES[:2], *WORD_CTES,
+)
+def rebuild_from_words(spark, d):
+    """A word of three at each local maximum, its scale and word dealt by the frame."""
+    found = placed(spark, d).withColumn("cluster", ((F.col("pos") + F.col("stimulus")) % 3).cast("int"))
+    words = spark.createDataFrame([(k, w) for k, w in enumerate(WORDS)], "cluster int, word array<double>")
+    return nudged(dc.rebuild_from_words(found, words, lengths(spark), SCALES, ad.FPS), "value")
+
+
 @query("mine_patterns")
 def mine_patterns(spark, d):
     return rounded(dc.mine_patterns(filled(spark, d), ad.CHANNELS, "gaussian", SCALES, ad.FPS, 0.5), "amp")

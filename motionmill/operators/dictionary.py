@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from motionmill.functions.kernels import fft_convolve, fft_convolve_all, weights
+from motionmill.functions.kernels import fft_convolve, fft_convolve_all, half_width, weights
 from motionmill.operators.layers import cube_extractor, found_extractor, series_extractor
 
 R3, R2 = np.sqrt(3.0), np.sqrt(2.0)
@@ -133,10 +133,32 @@ def scale_space(x: np.ndarray, atoms: list[str], scales: list[float], fps: float
     return {a: np.stack(fft_convolve_all(x, [weights(a, s, fps, p=2.0)[::-1] for s in scales])) for a in atoms}
 
 
-def dictionary_transform(frames: DataFrame, channels: list[str], atoms: list[str], scales: list[float], fps: float) -> DataFrame:
+#: Weights of known frames that add up to less than this don't divide.
+LEAST_WEIGHT = 0.01
+
+
+def responses(x: np.ndarray, kernels: list[np.ndarray], mode: str = "same") -> list[np.ndarray]:
+    """Convolutions of series along the last axis with each kernel.
+
+    ``same``: as they are. ``weight`` and ``receptive`` pass over missing places: the sum over known ones is divided by
+    their weights' sum, or by how many there are within the kernel; where that is below ``LEAST_WEIGHT``, by nothing.
+    """
+    if mode == "same":
+        return fft_convolve_all(x, kernels)
+    if mode not in ("weight", "receptive"):
+        raise ValueError(mode)
+    known = ~np.isnan(x)
+    over = kernels if mode == "weight" else [np.ones(len(k)) for k in kernels]
+    parts = zip(fft_convolve_all(np.where(known, x, 0.0), kernels), fft_convolve_all(known.astype(float), over))
+    return [v / np.where(w < LEAST_WEIGHT, 1.0, w) for v, w in parts]
+
+
+def dictionary_transform(frames: DataFrame, channels: list[str], atoms: list[str], scales: list[float], fps: float, mode: str = "same") -> DataFrame:
+    """(.., channel, atom, scale_idx, scale, frame, value); ``mode`` as for ``responses``."""
+
     def extract(cube: np.ndarray) -> Iterator[tuple]:
         for atom in atoms:
-            for k, out in enumerate(fft_convolve_all(cube, [weights(atom, s, fps, p=2.0)[::-1] for s in scales])):
+            for k, out in enumerate(responses(cube, [weights(atom, s, fps, p=2.0)[::-1] for s in scales], mode)):
                 yield atom, k, float(scales[k]), np.arange(cube.shape[2]), out
 
     return cube_extractor(frames, channels, extract, "atom string, scale_idx int, scale double, frame int, value double")
@@ -174,14 +196,14 @@ def separate(mask: np.ndarray, table: np.ndarray, scales: list[float], fps: floa
     return kept
 
 
-def _tables(cube: np.ndarray, atom: str, scales: list[float], fps: float) -> np.ndarray:
+def _tables(cube: np.ndarray, atom: str, scales: list[float], fps: float, mode: str = "same") -> np.ndarray:
     """(series, channels, scales, frames)."""
-    return np.stack(fft_convolve_all(cube, [weights(atom, s, fps, p=2.0)[::-1] for s in scales]), axis=2)
+    return np.stack(responses(cube, [weights(atom, s, fps, p=2.0)[::-1] for s in scales], mode), axis=2)
 
 
-def scale_space_maxima(frames: DataFrame, channels: list[str], atom: str, scales: list[float], fps: float, thres: float, apart: bool = False) -> DataFrame:
+def scale_space_maxima(frames: DataFrame, channels: list[str], atom: str, scales: list[float], fps: float, thres: float, apart: bool = False, mode: str = "same") -> DataFrame:
     def extract(cube: np.ndarray) -> tuple:
-        table = _tables(cube, atom, scales, fps)
+        table = _tables(cube, atom, scales, fps, mode)
         mask = maxima(table, thres)
         if apart:
             for i in np.ndindex(mask.shape[:2]):
@@ -210,12 +232,14 @@ def atom_at(name: str, scale: float, pos: int, n: int, fps: float) -> np.ndarray
     return out
 
 
-def pursue(rows: np.ndarray, atoms: list[str], scales: list[float], fps: float, tol: float = 0.1, rounds: int = 10, method: str = "max", thres: float = 0.8) -> list[list[tuple[str, int, int, float]]]:
+def pursue(rows: np.ndarray, atoms: list[str], scales: list[float], fps: float, tol: float = 0.1, rounds: int = 10, method: str = "max", thres: float = 0.8, mode: str = "same") -> list[list[tuple[str, int, int, float]]]:
     """Matching pursuit of each row: each round adds the atoms at the maximum, or at all (separated) maxima, and refits all by least squares.
 
-    The rest of all rows that are not done is transformed at once.
+    The rest of all rows that are not done is transformed at once. Missing places take no part: responses pass over
+    them as ``mode`` says, and fits and rests are those of the known places.
     """
-    n = rows.shape[1]
+    n, known = rows.shape[1], ~np.isnan(rows)
+    rows = np.where(known, rows, 0.0)
     chosen: list[dict[tuple[str, int, int], np.ndarray]] = [{} for _ in rows]
     coef: list[np.ndarray] = [np.empty(0) for _ in rows]
     rest, open_rows = rows.astype(float), np.arange(len(rows))
@@ -224,7 +248,8 @@ def pursue(rows: np.ndarray, atoms: list[str], scales: list[float], fps: float,
         open_rows = open_rows[np.linalg.norm(rest[open_rows], axis=1) > tol * size[open_rows]]
         if not open_rows.size:
             break
-        tables = np.stack([_tables(rest[open_rows][:, None], a, scales, fps)[:, 0] for a in atoms], axis=1)  # rows, atoms, scales, frames
+        seen = rest[open_rows] if mode == "same" else np.where(known[open_rows], rest[open_rows], np.nan)
+        tables = np.stack([_tables(seen[:, None], a, scales, fps, mode)[:, 0] for a in atoms], axis=1)  # rows, atoms, scales, frames
         if method == "max":
             flat = np.abs(tables).reshape(len(open_rows), -1).argmax(axis=1)
             new = [[np.unravel_index(k, tables.shape[1:])] for k in flat]
@@ -240,7 +265,7 @@ def pursue(rows: np.ndarray, atoms: list[str], scales: list[float], fps: float,
             if not fresh:
                 continue
             chosen[row].update({k: atom_at(k[0], scales[k[1]], k[2], n, fps) for k in fresh})
-            basis = np.stack(list(chosen[row].values()), axis=1)
+            basis = np.stack(list(chosen[row].values()), axis=1) * known[row][:, None]
             coef[row] = np.linalg.lstsq(basis, rows[row], rcond=None)[0]
             rest[row] = rows[row] - basis @ coef[row]
             going.append(row)
@@ -277,11 +302,43 @@ def rebuild_signal(chosen: DataFrame, lengths: DataFrame, fps: float) -> DataFra
     return inside.groupBy("subject", "stimulus", "channel", "frame").agg(F.sum("part").alias("value"))
 
 
-def mine_patterns(frames: DataFrame, channels: list[str], atom: str, scales: list[float], fps: float, thres: float, length: int = 16) -> DataFrame:
-    """(.., channel, scale, pos, amp, pattern): the signal around each scale-space maximum, over its coefficient, at one length."""
+#: Rows of a kernel table up to which it is broadcast.
+KERNEL_ROWS = 200_000
+
+
+def word_kernels(words: DataFrame, scales: list[float], fps: float) -> DataFrame:
+    """(cluster, scale, offset, weight): each word (cluster, word) stretched to the width of each scale, by linear interpolation."""
+    widths = F.explode(F.array(*[F.struct(F.lit(float(s)).alias("scale"), F.lit(half_width(s, fps)).alias("half")) for s in scales])).alias("s")
+    placed = words.select("cluster", "word", widths).select("cluster", "word", "s.*").select("*", F.explode(F.sequence(-F.col("half"), F.col("half"))).alias("offset"))
+    place = F.when(F.col("half") > 0, (F.col("offset") + F.col("half")) * (F.size("word") - 1) / (2.0 * F.col("half"))).otherwise(0.0)
+    left = F.floor("place").cast("int")
+    low, high = F.get("word", left), F.get("word", F.least(left + 1, F.size("word") - 1))
+    return placed.withColumn("place", place).select("cluster", "scale", "offset", (low + (high - low) * (F.col("place") - left)).alias("weight"))
+
+
+def rebuild_from_words(found: DataFrame, words: DataFrame, lengths: DataFrame, scales: list[float], fps: float) -> DataFrame:
+    """(subject, stimulus, channel, frame, value): each pattern's word at its scale, place and amplitude, summed, cut to the series.
+
+    ``found``: subject, stimulus, channel, scale, pos, amp, cluster; ``words``: cluster, word, as many numbers as one likes.
+    The words' kernels are a table made from data: it is broadcast up to ``KERNEL_ROWS`` rows and exchanged beyond.
+    """
+    kernel = word_kernels(words, scales, fps)
+    few = kernel.limit(KERNEL_ROWS + 1).count() <= KERNEL_ROWS
+    spread = found.join(F.broadcast(kernel) if few else kernel, ["cluster", "scale"]).select(
+        "subject", "stimulus", "channel", (F.col("pos") + F.col("offset")).alias("frame"), (F.col("amp") * F.col("weight")).alias("part")
+    )
+    inside = spread.join(F.broadcast(lengths), "stimulus").where((F.col("frame") >= 0) & (F.col("frame") < F.col("n_frames")))  # the calendar
+    return inside.groupBy("subject", "stimulus", "channel", "frame").agg(F.sum("part").alias("value"))
+
+
+def mine_patterns(frames: DataFrame, channels: list[str], atom: str, scales: list[float], fps: float, thres: float, length: int = 16, mode: str = "same") -> DataFrame:
+    """(.., channel, scale, pos, amp, pattern): the signal around each scale-space maximum, over its coefficient, at one length.
+
+    Missing places are passed over, in responses as ``mode`` says, in patterns by interpolation.
+    """
 
     def extract(cube: np.ndarray) -> tuple:
-        table, n = _tables(cube, atom, scales, fps), cube.shape[2]
+        table, n = _tables(cube, atom, scales, fps, mode), cube.shape[2]
         out: list[tuple] = []
         for i, c, s, t in np.argwhere(maxima(table, thres)).tolist():
             h, amp = len(weights(atom, scales[s], fps)) // 2, table[i, c, s, t]
