@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from motionmill import schema
 from motionmill.functions import kernels
@@ -143,15 +143,33 @@ def cluster_occupancy(spark, d):
     return rounded(ly.cluster_occupancy(assigned(spark, d), ["subject", "event"], len(CENTRES)), "share")
 
 
-@query("kmeans")
+KMEANS_ROUNDS = 4
+START_SQL = "(frame * 7919 + subject * 31 + t * 104729) % 10007"
+
+
+def kmeans_ctes() -> tuple:
+    """Four rounds of three tries for each event, then the distortion of each try."""
+    points = ("points", "SELECT subject, event, frame, max(value) FILTER (channel = 'c1') AS x, max(value) FILTER (channel = 'c2') AS y FROM ez GROUP BY subject, event, frame")
+    out = [points, ("km0", f"SELECT event, t, row_number() OVER (PARTITION BY event, t ORDER BY {START_SQL}, subject, frame) - 1 AS k, x, y FROM points, range(3) g(t) QUALIFY k < 3")]
+    near = "SELECT p.event, t, p.subject, p.frame, p.x, p.y, k, (p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y) AS d FROM points p JOIN km{i} c ON p.event = c.event QUALIFY row_number() OVER (PARTITION BY p.event, t, p.subject, p.frame ORDER BY d, k) = 1"
+    for i in range(KMEANS_ROUNDS):
+        out.append((f"km{i + 1}", f"SELECT event, t, row_number() OVER (PARTITION BY event, t ORDER BY k) - 1 AS k, x, y FROM (SELECT event, t, k, avg(x) AS x, avg(y) AS y FROM ({near.format(i=i)}) GROUP BY event, t, k)"))
+    last = KMEANS_ROUNDS
+    out.append(("km_cost", f"SELECT event, t, sum(d) AS cost FROM ({near.format(i=last)}) GROUP BY event, t"))
+    out.append(("km_best", f"SELECT event, k, x, y FROM km{last} JOIN (SELECT event, t FROM km_cost QUALIFY row_number() OVER (PARTITION BY event ORDER BY cost, t) = 1) USING (event, t)"))
+    return tuple(out)
+
+
+@query("kmeans", "SELECT event, CAST(k AS INT) AS cluster, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y FROM km_best", *kmeans_ctes())
 def kmeans(spark, d):
-    v = event_vectors(spark, d).persist()
-    parts = None
-    for event in sorted({e for _, e, _, _ in ad.EVENTS}):
-        one = md.kmeans(v.where(F.col("event") == event), 3).withColumn("event", F.lit(event))
-        parts = one if parts is None else parts.unionByName(one)
-    v.unpersist()
-    return parts.select("event", "cluster", F.transform("centre", lambda x: F.round(x, 6)).alias("centre"))
+    """Three tries of all events in one loop, from given starts."""
+    v = stored(spark, lambda: event_vectors(spark, d))
+    draws = v.select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("t"))
+    place = (F.col("frame") * 7919 + F.col("subject") * 31 + F.col("t") * 104729) % 10007
+    first = F.row_number().over(W.partitionBy("event", "t").orderBy(place, "subject", "frame"))
+    starts = draws.withColumn("rn", first).where("rn <= 3").select("event", "t", "rn", "vector")
+    c = md.kmeans(v, 3, rounds=KMEANS_ROUNDS, tol=-1.0, by=["event"], starts=starts)
+    return rounded(c.select("event", "cluster", F.col("centre")[0].alias("x"), F.col("centre")[1].alias("y")), "x", "y")
 
 
 # ---------------------------------------------------------------- dictionary
@@ -450,10 +468,21 @@ def pca(spark, d):
     return shown.select("subject", F.transform("projected", lambda x: F.round(x, 4) + 0.0).alias("projected"))
 
 
-@query("select_independent")
+INDEPENDENT_CTES = (
+    ("ranked_f", "SELECT feature_id, row_number() OVER (ORDER BY score DESC, feature_id) AS place FROM purity"),
+    ("corr_t", """SELECT a.place AS p, list(round(c, 12) ORDER BY b.place) AS line FROM (SELECT x.feature_id AS f, y.feature_id AS g, corr(x.value, y.value) AS c FROM design x JOIN design y USING (subject) GROUP BY x.feature_id, y.feature_id)
+      JOIN ranked_f a ON a.feature_id = f JOIN ranked_f b ON b.feature_id = g GROUP BY a.place"""),
+    ("lines", "SELECT list(line ORDER BY p) AS lines FROM corr_t"),
+    ("taken", """SELECT list_reduce(list_prepend(CAST([] AS BIGINT[]), list_transform(range(1, len(lines) + 1), lambda p: [p])),
+      lambda kept, f: CASE WHEN len(list_filter(kept, lambda q: abs(lines[f[1]][q]) > 0.08)) > 0 THEN kept ELSE list_concat(kept, f) END) AS kept FROM lines"""),
+)
+
+
+@query("select_independent", "SELECT feature_id, CAST(list_position(kept, place) - 1 AS INT) AS place FROM ranked_f, taken WHERE list_contains(kept, place)", *INDEPENDENT_CTES)
 def select_independent(spark, d):
-    order = [x["feature_id"] for x in dz.top_features(purity(spark, d), 1000).collect()]  # at most 1000 ids
-    kept = md.select_independent(ad.vectors(spark, d), order)
+    """All features, the purest first, each kept if it correlates at most 0.08 with those kept; eight at a time."""
+    order = [x["feature_id"] for x in dz.rank_features(purity(spark, d)).collect()]  # as many as a vector has entries
+    kept = md.select_independent(ad.vectors(spark, d), order, 0.08, batch=8)
     return spark.createDataFrame([(int(f), i) for i, f in enumerate(kept)], "feature_id long, place int")
 
 

@@ -8,10 +8,9 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LinearSVC
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from motionmill.operators import density as dn, design as dz, evaluate as ev
 
@@ -162,30 +161,66 @@ def pca(vectors: DataFrame, dims: int) -> tuple[np.ndarray, DataFrame]:
     return axes, vectors.select("subject", shown.alias("projected"))
 
 
-def select_independent(vectors: DataFrame, order: list[int], thres: float = 0.5, least: float = 1e-4) -> list[int]:
+def _products_of(vectors: DataFrame, left: list[int], right: list[int]) -> np.ndarray:
+    """Sums of products of the entries ``left`` and a constant with the entries ``right`` and a constant, in one pass."""
+
+    def partial(batches):
+        total = np.zeros((len(left) + 1, len(right) + 1))
+        for b in batches:
+            if len(b):
+                x = np.c_[np.stack(b["vector"].tolist()), np.ones(len(b))]
+                total += x[:, [*left, -1]].T @ x[:, [*right, -1]]
+        yield pd.DataFrame({"at": np.arange(total.size), "v": total.ravel()})
+
+    cells = vectors.select("vector").mapInPandas(partial, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()
+    out = np.zeros((len(left) + 1) * (len(right) + 1))
+    for r in cells:
+        out[r["at"]] = r["v"]
+    return out.reshape(len(left) + 1, -1)
+
+
+def select_independent(vectors: DataFrame, order: list[int], thres: float = 0.5, least: float = 1e-4, batch: int = 512) -> list[int]:
     """Features in ``order`` that correlate at most ``thres`` with those kept and aren't spanned by them.
 
-    Works on the K x K Gram matrix of the listed columns, centred, so ``order`` should be the best few thousand.
+    Taken a batch at a time: one pass gives the products of the batch with itself and with what is kept, so no matrix of
+    all candidates is made. A triangular factor of the kept features' correlations grows by a row for each; its size, that
+    of what is kept, is bounded by ``MAX_WIDTH``.
     """
-    listed = list(dict.fromkeys(order))
-    one = pick(vectors, listed).select(F.concat("vector", F.array(F.lit(1.0))).alias("vector"))
-    xx, _, n = gram(one)
-    mean = xx[-1, :-1] / n
-    c = xx[:-1, :-1] - n * np.outer(mean, mean)
-    size = np.sqrt(np.maximum(np.diag(c), 0))
-    kept: list[int] = []
-    for f in range(len(listed)):
-        if size[f] <= 0:
-            continue
-        r = c[f, kept] / (size[f] * size[kept]) if kept else np.empty(0)
-        if kept and np.abs(r).max() > thres:
-            continue
-        if kept:
-            g = c[np.ix_(kept, kept)] / np.outer(size[kept], size[kept])
-            if 1 - r @ np.linalg.lstsq(g, r, rcond=None)[0] < least**2:
+    listed, kept = list(dict.fromkeys(order)), []
+    factor = np.zeros((0, 0))
+    mean_kept, size_kept = np.empty(0), np.empty(0)
+    for i in range(0, len(listed), batch):
+        new = listed[i : i + batch]
+        m = _products_of(vectors, new, [*new, *kept])
+        n = m[-1, -1]
+        mean = m[:-1, -1] / n
+        size = np.sqrt(np.maximum(np.diag(m[: len(new), : len(new)]) - n * mean * mean, 0))
+        means, sizes = np.concatenate((mean, mean_kept)), np.concatenate((size, size_kept))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            r = (m[:-1, :-1] - n * np.outer(mean, means)) / np.outer(size, sizes)
+        chosen: list[int] = []  # places in the batch
+        for f in range(len(new)):
+            if size[f] ** 2 <= 1e-12 * max(m[f, f], 1e-300):
+                continue
+            own = np.concatenate((r[f, len(new) :], r[f, chosen]))
+            if own.size and np.abs(own).max() > thres:
+                continue
+            line = _lower_solve(factor, own)
+            rest = 1 - line @ line
+            if rest < least**2:
                 continue
-        kept.append(f)
-    return [listed[f] for f in kept]
+            factor = np.block([[factor, np.zeros((len(factor), 1))], [line[None], np.array([[np.sqrt(rest)]])]])
+            chosen.append(f)
+            if len(factor) > MAX_WIDTH:
+                raise ValueError(f"more than {MAX_WIDTH} independent features; lower thres or list fewer")
+        kept += [new[f] for f in chosen]
+        mean_kept, size_kept = np.concatenate((mean_kept, mean[chosen])), np.concatenate((size_kept, size[chosen]))
+    return kept
+
+
+def _lower_solve(lower: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The solution of a lower triangular system."""
+    return np.linalg.solve(lower, b) if len(b) else b
 
 
 def eliminate_features(fit: Callable[[list[int]], np.ndarray], features: list[int], keep: int) -> list[int]:
@@ -225,12 +260,89 @@ def sparse_classifier(vectors: DataFrame, select: Callable[[DataFrame], np.ndarr
     return features, refit(pick(vectors, features))
 
 
-def kmeans(vectors: DataFrame, k: int, tries: int = 3, rounds: int = 20, tol: float = 1e-5, seed: int = 1) -> DataFrame:
-    """(cluster, centre) of the best of several starts by distortion."""
-    ready = vectors.select(array_to_vector("vector").alias("features"))
-    fits = [KMeans(k=k, maxIter=rounds, tol=tol, seed=seed + i).fit(ready) for i in range(tries)]
-    best = min(fits, key=lambda m: m.summary.trainingCost)
-    return vectors.sparkSession.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(best.clusterCenters())], "cluster int, centre array<double>")
+#: Centres of all groups and tries that are sent to every task.
+MAX_CENTRES = 100_000
+
+
+def _numbered(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    """``rows`` with ``name``, the number of their group from 0 in the order of ``by``."""
+    groups = rows.select(*by).distinct().orderBy(*by).limit(MAX_CENTRES + 1).collect()  # one for each event, say
+    table = rows.sparkSession.createDataFrame([(i, *g) for i, g in enumerate(groups)], T.StructType([T.StructField(name, T.IntegerType()), *[rows.schema[c] for c in by]]))
+    return rows.join(F.broadcast(table), by)
+
+
+def _centre_sums(rows: DataFrame, centres: dict[tuple[int, int], np.ndarray]) -> dict[tuple[int, int, int], tuple[float, float, np.ndarray]]:
+    """{(group, try, cluster): (rows, squared distances, sum of vectors)} of every row's nearest centre, the lowest of equals, in each try."""
+    sent = rows.sparkSession.sparkContext.broadcast(centres)
+
+    def partial(batches):
+        total: dict[tuple[int, int], np.ndarray] = {}
+        tries: dict[int, list[int]] = {}
+        for g, t in sent.value:
+            tries.setdefault(g, []).append(t)
+        for b in batches:
+            for g, part in b.groupby("_group"):
+                x = np.stack(part["vector"].tolist())
+                for t in tries.get(g, []):
+                    c = sent.value[g, t]
+                    d = ((x[:, None] - c[None]) ** 2).sum(axis=2)
+                    near = d.argmin(axis=1)
+                    m = total.setdefault((g, t), np.zeros((len(c), x.shape[1] + 2)))
+                    np.add.at(m, near, np.c_[np.ones(len(x)), d[np.arange(len(x)), near], x])
+        for (g, t), m in total.items():
+            for k, line in enumerate(m):
+                if line[0]:
+                    yield pd.DataFrame([[g, t, k, line.tolist()]], columns=["g", "t", "k", "m"])
+
+    parts = rows.select("_group", "vector").mapInPandas(partial, "g int, t int, k int, m array<double>")
+    cells = parts.select("g", "t", "k", F.posexplode("m").alias("at", "v")).groupBy("g", "t", "k", "at").agg(F.sum("v").alias("v"))
+    whole = cells.groupBy("g", "t", "k").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias("m")).collect()  # a row a centre
+    return {(r["g"], r["t"], r["k"]): (r["m"][0], r["m"][1], np.array(r["m"][2:])) for r in whole}
+
+
+def kmeans(vectors: DataFrame, k: int, tries: int = 3, rounds: int = 20, tol: float = 1e-5, seed: int = 1, by: list[str] = (), starts: DataFrame | None = None) -> DataFrame:
+    """(by, cluster, centre): of each group the best of several tries by distortion; all groups and tries go on together.
+
+    ``starts`` (by, t, rn, vector) gives the centres that try t begins with; without it, try t begins with the k rows that
+    come first by a hash of (seed + t, vector). A round is one pass in which every row finds its nearest centre in each try
+    of its group. Tries that move by no more than ``tol`` leave the rounds; centres without rows are dropped. Of equal
+    distortions the first try wins. The centres, ``MAX_CENTRES`` at most, are what is sent.
+    """
+    rows = vectors if by else vectors.withColumn("_one", F.lit(0))
+    keys = list(by) or ["_one"]
+    ready = _numbered(rows, keys, "_group").select("_group", "vector").persist()
+    if starts is None:
+        drawn = ready.distinct().select("_group", "vector", F.explode(F.array(*[F.lit(t) for t in range(tries)])).alias("t"))
+        first = F.row_number().over(W.partitionBy("_group", "t").orderBy(F.xxhash64(F.col("t") + seed, "vector"), "vector"))
+        begun = drawn.withColumn("rn", first).where(F.col("rn") <= k)
+    else:
+        begun = (starts if by else starts.withColumn("_one", F.lit(0))).join(F.broadcast(_numbered(rows.select(*keys).distinct(), keys, "_group")), keys)
+    found = begun.select("_group", "t", "rn", "vector").limit(MAX_CENTRES + 1).collect()  # k for each group and try
+    if len(found) > MAX_CENTRES:
+        raise ValueError(f"more than {MAX_CENTRES} centres of all groups and tries")
+    centres: dict[tuple[int, int], np.ndarray] = {}
+    for r in sorted(found, key=lambda r: (r["_group"], r["t"], r["rn"])):
+        key = r["_group"], r["t"]
+        centres[key] = np.array([*centres.get(key, []), r["vector"]])
+    live = dict(centres)
+    for _ in range(rounds):
+        if not live:
+            break
+        sums = _centre_sums(ready, live)
+        for key, old in list(live.items()):
+            new = np.array([sums[(*key, i)][2] / sums[(*key, i)][0] for i in range(len(old)) if (*key, i) in sums])
+            centres[key] = live[key] = new
+            if len(new) == len(old) and np.abs(new - old).max() <= tol:
+                del live[key]
+    cost: dict[tuple[int, int], float] = {}
+    for (g, t, _), (_, d, _) in _centre_sums(ready, centres).items():
+        cost[g, t] = cost.get((g, t), 0.0) + d
+    best = {g: min(t for (h, t), c in cost.items() if h == g and c <= min(x for (h2, _), x in cost.items() if h2 == g)) for g in {g for g, _ in cost}}
+    out = [(g, i, [float(v) for v in c]) for g, t in best.items() for i, c in enumerate(centres[g, t])]
+    table = rows.sparkSession.createDataFrame(out, "_group int, cluster int, centre array<double>")
+    groups = _numbered(rows.select(*keys).distinct(), keys, "_group")
+    ready.unpersist()
+    return groups.join(F.broadcast(table), "_group").select(*by, "cluster", "centre")
 
 
 def generative_model(design: DataFrame, points: int = 100, thres: float = 0.1) -> DataFrame:

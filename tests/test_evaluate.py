@@ -122,3 +122,44 @@ def test_learned_metric_tells_classes_apart(spark):
     s, losses = md.metric_learning(v, v, rounds=6)
     out = {r["query"]: r["score"] for r in md.metric_score(v, v, s).collect()}
     assert losses[-1] < losses[0] and np.mean([(out[i] > 0.5) == (y[i] == 1) for i in range(60)]) > 0.8
+
+
+@pytest.mark.parametrize("batch", [1, 3, 100])
+def test_independent_features_in_batches_equal_one_by_one(spark, batch):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(80, 12))
+    x[:, 4] = x[:, 0] * 2 + 1  # a copy
+    x[:, 7] = x[:, 1] + x[:, 2] + x[:, 3]  # spanned, with correlations of about 0.58
+    x[:, 9] = 5.0  # constant
+    v = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(x)], "subject long, vector array<double>").repartition(3)
+    order = [int(f) for f in rng.permutation(12)] + [0, 3]
+    for thres in (0.2, 0.5, 0.95):
+        kept: list[int] = []
+        for f in dict.fromkeys(order):
+            if x[:, f].std() < 1e-9:
+                continue
+            z = lambda g: (x[:, g] - x[:, g].mean()) / x[:, g].std()
+            if kept and max(abs(z(f) @ z(g)) / 80 for g in kept) > thres:
+                continue
+            if kept and np.linalg.norm(z(f) - np.stack([z(g) for g in kept], axis=1) @ np.linalg.lstsq(np.stack([z(g) for g in kept], axis=1), z(f), rcond=None)[0]) < 1e-4 * np.sqrt(80):
+                continue
+            kept.append(f)
+        assert md.select_independent(v, order, thres, batch=batch) == kept
+
+
+def test_kmeans_of_all_groups_at_once(spark):
+    rng = np.random.default_rng(10)
+    rows = [(g, [float(a) for a in rng.normal(0, 0.1, 2) + 10 * np.array([g, i % 3])]) for g in range(4) for i in range(30)]
+    v = spark.createDataFrame(rows, "event long, vector array<double>").repartition(3)
+    got = {}
+    for r in md.kmeans(v, 3, tries=4, by=["event"]).collect():
+        got.setdefault(r["event"], []).append(r["centre"])
+    for g in range(4):
+        want = [np.mean([x for (h, x), i in zip(rows, list(range(30)) * 4) if h == g and i % 3 == k], axis=0) for k in range(3)]
+        assert np.allclose(sorted(got[g], key=lambda c: c[1]), want)
+    one = md.kmeans(v.where("event = 0").drop("event"), 3, tries=4).collect()
+    assert np.allclose(sorted((r["centre"] for r in one), key=lambda c: c[1]), sorted(got[0], key=lambda c: c[1]))
+    few = md.kmeans(v.where("event = 0").limit(2), 3, by=["event"]).collect()
+    assert len(few) == 2 and md.kmeans(v.where("false"), 3, by=["event"]).count() == 0
+    starts = spark.createDataFrame([(0, 0, k, [0.0, float(100 * k)]) for k in range(3)], "event long, t int, rn int, vector array<double>")
+    assert md.kmeans(v.where("event = 0"), 3, by=["event"], starts=starts, rounds=1).count() < 3  # centres without rows go
