@@ -751,3 +751,31 @@ def density_on_plane(spark, d):
     pairs = spark.createDataFrame(PLANE, "first int, second int")
     out = rounded(density.density_on_plane(ad.design(spark, d), pairs), "x", "y", "density")
     return out.withColumns({"i": F.col("i").cast("long"), "j": F.col("j").cast("long")})
+
+
+SOLID = [[0, 1, 2], [5, 3, 9]]
+SOLID_CTES = (
+    ("solid_g", "SELECT * FROM (VALUES " + ", ".join(f"({i}, {k}, {f})" for i, g in enumerate(SOLID) for k, f in enumerate(g)) + ") AS s(g, axis, f)"),
+    ("solid_v", "SELECT g, axis, subject, value FROM design JOIN solid_g ON f = feature_id"),
+    ("solid_q", """SELECT g, axis, quantile_disc(value, 0.05) AS x0, (quantile_disc(value, 0.95) - quantile_disc(value, 0.05)) / 5.0::DOUBLE AS dx,
+      var_pop(value) * pow(CAST(count(*) AS DOUBLE), -1 / 7.0::DOUBLE) AS h, count(*) AS n FROM solid_v GROUP BY g, axis"""),
+    ("solid_k", "SELECT g, axis, subject, p, exp(-0.5 * pow((x0 + p * dx - value) / h, 2)) / (h * sqrt(2 * pi())) AS k, x0 + p * dx AS x, n FROM solid_v JOIN solid_q USING (g, axis), range(6) r(p)"),
+)
+
+
+@query(
+    "density_on_axes",
+    """SELECT a.g AS "group", CAST(a.p * 36 + b.p * 6 + c.p AS INT) AS cell, round(max(a.x), 6) + 0.0 AS x, round(max(b.x), 6) + 0.0 AS y, round(max(c.x), 6) + 0.0 AS z, round(sum(a.k * b.k * c.k) / max(a.n), 6) + 0.0 AS density
+    FROM solid_k a JOIN solid_k b ON a.g = b.g AND a.subject = b.subject AND a.axis = 0 AND b.axis = 1 JOIN solid_k c ON a.g = c.g AND a.subject = c.subject AND c.axis = 2 GROUP BY a.g, a.p, b.p, c.p""",
+    *SOLID_CTES,
+)
+def density_on_axes(spark, d):
+    """Two groups of three features, on their own axes."""
+    out = density.density_on_axes(ad.design(spark, d), SOLID, 6, turn=False)
+    return rounded(out.select("group", "cell", *[F.col("x")[i].alias(n) for i, n in enumerate("xyz")], "density"), "x", "y", "z", "density")
+
+
+@query("density_on_principal_axes")
+def density_on_principal_axes(spark, d):
+    out = density.density_on_axes(ad.design(spark, d), SOLID, 6)
+    return rounded(out.select("group", "cell", *[F.col("x")[i].alias(n) for i, n in enumerate("xyz")], "density"), "x", "y", "z", "density")

@@ -529,6 +529,13 @@ def purity_tree(spark, d):
     return rounded(md.tree_score(ad.vectors(spark, d), md.purity_tree(ad.design(spark, d))), "score")
 
 
+@query("linear_tree")
+def linear_tree(spark, d):
+    """A tree whose nodes split by the sign of a linear fit on their best features."""
+    design = stored(spark, lambda: ad.design(spark, d))
+    return rounded(md.tree_score(ad.vectors(spark, d), md.purity_tree(design, split=md.linear_split(16))), "score")
+
+
 # ---------------------------------------------------------------- evaluation by refits
 
 #: Linear classifiers, and settings of the seven families of the sweep.

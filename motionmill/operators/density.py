@@ -170,6 +170,79 @@ def density_on_plane(design: DataFrame, pairs: DataFrame, points: int = 10, tail
     )
 
 
+#: Grid cells of one group of features.
+MAX_CELLS = 1_000_000
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _solid_sums(values: pd.Series, x0: pd.Series, dx: pd.Series, points: pd.Series, h: pd.Series) -> pd.Series:
+    """For each point of an even grid of k axes, first axis first, the sum of products of Gaussian kernels.
+
+    All axes but the last multiply up by rows of values, the last one by a matrix product that sums them.
+    """
+    out = []
+    for v, a, d, n, w in zip(values, x0, dx, points, h):
+        flat = np.array([list(x) for x in v])
+        sides = []
+        for i in range(flat.shape[1]):
+            z = (a[i] + d[i] * np.arange(n)[:, None] - flat[None, :, i]) / w[i]
+            sides.append(np.exp(-z * z / 2) / (w[i] * np.sqrt(2 * np.pi)))
+        solid = np.ones((1, len(flat)))
+        for side in sides[:-1]:
+            solid = (solid[:, None] * side[None]).reshape(-1, len(flat))
+        out.append((solid @ sides[-1].T).ravel())
+    return pd.Series(out)
+
+
+def principal_axes(products: np.ndarray) -> np.ndarray:
+    """Axes as rows, the largest uncentred second moment first, each with its largest entry positive."""
+    values, axes = np.linalg.eigh(products)
+    axes = axes[:, np.argsort(-values, kind="stable")].T
+    return axes * np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(axis=1)])[:, None]
+
+
+def density_on_axes(design: DataFrame, groups: list[list[int]], points: int = 6, tail: float = 0.05, turn: bool = True) -> DataFrame:
+    """(group, cell, x, density): Gaussian density of each group of k features on an even grid of its k principal axes.
+
+    ``groups``: a short list of lists of features that are looked at together. Values are turned to the eigenvectors of
+    their uncentred products (or, without ``turn``, stay on the features' own axes). Each axis has its own bandwidth, its
+    variance times n^(-1 / (k + 4)), and runs between its ``tail`` quantiles. ``x`` is the point on each axis, ``cell`` its
+    number, the last axis running fastest. ``points`` ** k cells of a group are at most ``MAX_CELLS``; more raise.
+    Subjects without a value of each feature, and groups with an axis that doesn't vary, are left out.
+    """
+    for g in groups:
+        if points ** len(g) > MAX_CELLS:
+            raise ValueError(f"{points} points on {len(g)} axes are more than {MAX_CELLS} cells")
+    spark = design.sparkSession
+    listed = spark.createDataFrame([(i, k, int(f)) for i, g in enumerate(groups) for k, f in enumerate(g)], "group int, axis int, feature_id long")
+    width = spark.createDataFrame([(i, len(g)) for i, g in enumerate(groups)], "group int, k int")
+    met = design.join(F.broadcast(listed), "feature_id").groupBy("group", "subject").agg(F.array_sort(F.collect_list(F.struct("axis", "value"))).alias("v"))
+    rows = met.join(F.broadcast(width), "group").where(F.size("v") == F.col("k")).select("group", "subject", F.col("v.value").alias("vector"))
+    if turn:
+        pair = rows.select("group", F.posexplode("vector").alias("i", "a"), "vector").select("group", "i", "a", F.posexplode("vector").alias("j", "b"))
+        products = {i: np.zeros((len(g), len(g))) for i, g in enumerate(groups)}
+        for r in pair.groupBy("group", "i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("s")).collect():  # k x k numbers a group
+            products[r["group"]][r["i"], r["j"]] = r["s"]
+        table = spark.createDataFrame([(i, [[float(x) for x in a] for a in principal_axes(m)]) for i, m in products.items()], "group int, axes array<array<double>>")
+        dot = lambda a: F.aggregate(F.zip_with(a, F.col("vector"), lambda x, y: x * y), F.lit(0.0), lambda x, y: x + y)
+        rows = rows.join(F.broadcast(table), "group").select("group", "subject", F.transform("axes", dot).alias("vector"))
+    one = rows.select("group", "subject", F.posexplode("vector").alias("axis", "value"))
+    by = ["group", "axis"]
+    n = F.count(F.lit(1))
+    stats = one.groupBy(*by).agg(n.alias("n"), F.var_pop("value").alias("var"))
+    q = exact_quantiles(one, by, [tail, 1 - tail], "subject").join(stats, by).join(F.broadcast(width), "group")
+    h = F.col("var") * F.pow(F.col("n").cast("double"), -1 / (F.col("k") + 4.0))
+    sides = q.select("group", F.struct("axis", F.col("q")[0].alias("x0"), ((F.col("q")[1] - F.col("q")[0]) / (points - 1)).alias("dx"), h.alias("h")).alias("s"), "n")
+    grids = sides.groupBy("group").agg(F.array_sort(F.collect_list("s")).alias("s"), F.max("n").alias("n"))
+    grids = grids.where(F.forall("s", lambda a: a["h"] > 0)).select("group", "n", F.col("s.x0").alias("x0"), F.col("s.dx").alias("dx"), F.col("s.h").alias("h"))
+    block = F.pmod(F.xxhash64("subject"), F.ceil(F.col("n") / BLOCK)).cast("int")
+    blocks = rows.join(F.broadcast(grids.select("group", "n")), "group").groupBy("group", block.alias("block")).agg(F.collect_list("vector").alias("values"))
+    sums = blocks.join(F.broadcast(grids), "group").select("group", _solid_sums("values", "x0", "dx", F.lit(points), "h").alias("sums"))
+    total = sums.select("group", F.posexplode("sums").alias("cell", "part")).groupBy("group", "cell").agg(F.sum("part").alias("total")).join(F.broadcast(grids), "group")
+    place = lambda a, i: a + F.get("dx", i) * F.pmod(F.floor(F.col("cell") / F.pow(F.lit(float(points)), (F.size("dx") - 1 - i).cast("double"))), F.lit(points))
+    return total.select("group", "cell", F.transform("x0", place).alias("x"), (F.col("total") / F.col("n")).alias("density"))
+
+
 def density_lookup(design: DataFrame, grid: DataFrame, points: int) -> DataFrame:
     """(subject, feature_id, density): the density at the last grid point below each value, at the first for lower ones."""
     ends = grid.groupBy("feature_id").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))

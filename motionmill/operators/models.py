@@ -441,12 +441,62 @@ def purest_gap(rows: DataFrame, thres: float) -> DataFrame:
     return dz.gap_cuts(ranked.join(F.broadcast(best), by), by, thres)
 
 
+def linear_split(features: int = 32, gamma: float = 0.1) -> Callable[[DataFrame, float], DataFrame]:
+    """A split of each node by the sign of a ridge fit on its ``features`` features with the furthest class means.
+
+    (node, feature_id, weight), the constant as feature -1: sums by node, feature and class choose the features, sums of
+    products by node and class, one pass for all nodes, give the fits. ``features`` squared numbers a node reach the driver.
+    """
+
+    def split(rows: DataFrame, _: float) -> DataFrame:
+        pos = F.col("label") == 1
+        means = [F.avg(F.when(pos, F.col("value"))), F.avg(F.when(~pos, F.col("value")))]
+        gap = F.round(F.abs(F.coalesce(means[0] - means[1], F.lit(0.0))) / F.greatest(F.stddev_pop("value"), F.lit(1e-12)), 9)
+        order = W.partitionBy("node").orderBy(F.desc("gap"), "feature_id")
+        best = rows.groupBy("node", "feature_id").agg(gap.alias("gap")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= features).select("node", "feature_id", "place")
+        met = rows.join(F.broadcast(best), ["node", "feature_id"]).groupBy("node", "subject").agg(F.first("label").alias("label"), F.map_from_entries(F.collect_list(F.struct("place", "value"))).alias("values"))
+        wide = F.transform(F.sequence(F.lit(1), F.lit(features)), lambda k: F.coalesce(F.col("values")[k], F.lit(0.0)))
+        cells = dz.product_sums(met.select("node", "label", wide.alias("vector")), ["node", "label"]).toPandas()  # a node's classes, features squared each
+        named = {(r["node"], r["place"]): r["feature_id"] for r in best.collect()}
+        out = []
+        for node, own in cells.groupby("node"):
+            xx, xy = np.zeros((features + 1, features + 1)), np.zeros(features + 1)
+            n = {label: part["value"][(part["i"] == features) & (part["j"] == features)].sum() for label, part in own.groupby("label")}
+            for label, part in own.groupby("label"):
+                m = np.zeros_like(xx)
+                m[part["i"], part["j"]] = part["value"]
+                xx += m / n[label]  # classes count alike
+                xy += (1 if label == 1 else -1) * m[-1] / n[label]
+            w = np.linalg.solve(xx + gamma * np.diag([*[1.0] * features, 0.0]) * np.trace(xx) / len(xx) + 1e-12 * np.eye(len(xx)), xy)
+            out += [(int(node), int(named[node, k + 1]), float(w[k])) for k in range(features) if (node, k + 1) in named]
+            out.append((int(node), -1, float(w[-1])))
+        return rows.sparkSession.createDataFrame(out, "node int, feature_id long, weight double")
+
+    return split
+
+
+def _small_fits(batch: pd.DataFrame) -> pd.DataFrame:
+    """The linear fit of one small node: at most four features by pursuit."""
+    x = batch.pivot_table(index="subject", columns="feature_id", values="value", aggfunc="first").fillna(0.0)
+    y = batch.groupby("subject")["label"].first().loc[x.index].to_numpy(float)
+    a = np.c_[x.to_numpy(), np.ones(len(x))]
+    chosen, w = [], np.empty(0)
+    for _ in range(min(4, len(y))):  # products with what is left, never all features squared
+        rest = np.abs(a.T @ (y - a[:, chosen] @ w))
+        rest[chosen] = -1
+        chosen.append(int(rest.argmax()))
+        w = np.linalg.lstsq(a[:, chosen], y, rcond=None)[0]
+    ids = [*x.columns.tolist(), -1]
+    return pd.DataFrame({"node": int(batch["node"].iloc[0]), "feature_id": [int(ids[c]) for c in chosen], "weight": w})
+
+
 def purity_tree(design: DataFrame, depth: int = 3, thres: float = 0.2, least: int = 8, split: Callable[[DataFrame, float], DataFrame] = purest_gap) -> list[dict]:
     """Nodes of a tree, level by level; all nodes of a level are split in one pass.
 
     A node is {node, feature_id, cut}, a linear one {node, w} or a leaf {node, side}. Pure nodes are leaves, nodes of fewer
-    than ``least`` rows are told apart by a linear fit, the others by ``split(rows, thres)``, which gives (node,
-    feature_id, cut). Nodes of the last level, and such that no cut parts, are leaves of their majority.
+    than ``least`` rows are told apart by a linear fit, a task for each, the others by ``split(rows, thres)``, which gives
+    (node, feature_id, cut), or (node, feature_id, weight) for a linear split with the constant as feature -1. Nodes of the
+    last level, and such that no split parts, are leaves of their majority. Only nodes reach the driver.
     """
     spark, rows, nodes = design.sparkSession, design.withColumn("node", F.lit(1)), []
     for level in range(depth + 1):
@@ -460,26 +510,43 @@ def purity_tree(design: DataFrame, depth: int = 3, thres: float = 0.2, least: in
         wide = [k for k in sizes if k not in pure and k not in small]
         nodes += [{"node": k, "side": v} for k, v in sorted(pure.items())]
         if small:
-            few = rows.where(F.col("node").isin(small)).select("node", "subject", "feature_id", "value", "label").toPandas()  # fewer than ``least`` subjects each
-            for k, part in few.groupby("node"):
-                x = part.pivot(index="subject", columns="feature_id", values="value").fillna(0.0)
-                y = part.groupby("subject")["label"].first().loc[x.index].to_numpy(float)
-                a = np.c_[x.to_numpy(), np.ones(len(x))]
-                chosen, w = gram_pursuit(a.T @ a, a.T @ y, min(4, len(y)))
-                nodes.append({"node": int(k), "w": {(int(x.columns[c]) if c < x.shape[1] else -1): float(v) for c, v in zip(chosen, w)}})
+            few = rows.where(F.col("node").isin(small)).select("node", "subject", "feature_id", "value", "label")
+            nodes += _linear_nodes(few.groupBy("node").applyInPandas(_small_fits, "node int, feature_id long, weight double"))
         if not wide:
             break
-        found = {r["node"]: (int(r["feature_id"]), float(r["cut"])) for r in split(rows.where(F.col("node").isin(wide)), thres).collect()}  # a row per node
-        nodes += [{"node": k, "feature_id": found[k][0], "cut": found[k][1]} for k in wide if k in found]
-        nodes += [{"node": k, "side": 1 if sizes[k][1] >= 0.5 else -1} for k in wide if k not in found]
-        if not found:
+        found = split(rows.where(F.col("node").isin(wide)), thres)
+        if "weight" in found.columns:
+            made = _linear_nodes(found)
+            table = spark.createDataFrame([(n["node"], f, v) for n in made for f, v in n["w"].items()], "node int, feature_id long, weight double")
+            base = table.where("feature_id = -1").select("node", F.col("weight").alias("base"))
+            parts = rows.join(F.broadcast(base), "node").join(F.broadcast(table), ["node", "feature_id"], "left")
+            goes = parts.groupBy("subject", "node").agg((F.coalesce(F.sum(F.col("value") * F.col("weight")), F.lit(0.0)) + F.first("base") >= 0).cast("int").alias("up"))
+        else:
+            made = [{"node": int(r["node"]), "feature_id": int(r["feature_id"]), "cut": float(r["cut"])} for r in found.collect()]  # a row per node
+            side = spark.createDataFrame([(n["node"], n["feature_id"], n["cut"]) for n in made], "node int, best long, cut double")
+            goes = rows.join(F.broadcast(side), "node").where("feature_id = best").select("subject", "node", (F.col("value") >= F.col("cut")).cast("int").alias("up"))
+        parted = {n["node"] for n in made}
+        nodes += made + [{"node": k, "side": 1 if sizes[k][1] >= 0.5 else -1} for k in wide if k not in parted]
+        if not made:
             break
-        side = spark.createDataFrame([(k, f, c) for k, (f, c) in found.items()], "node int, best int, cut double")
-        goes = rows.join(F.broadcast(side), "node").where("feature_id = best").select("subject", "node", (F.col("value") >= F.col("cut")).cast("int").alias("up"))
         rows = rows.join(goes, ["subject", "node"]).withColumn("node", F.col("node") * 2 + F.col("up")).drop("up")
         if level + 1 < depth:
             rows = rows.checkpoint() if spark.sparkContext.getCheckpointDir() else rows
-    return nodes
+    return _leaves_below(nodes)
+
+
+def _linear_nodes(weights: DataFrame) -> list[dict]:
+    """{node, w} of (node, feature_id, weight); a few weights a node."""
+    out: dict[int, dict] = {}
+    for r in weights.collect():
+        out.setdefault(int(r["node"]), {})[int(r["feature_id"])] = float(r["weight"])
+    return [{"node": k, "w": w} for k, w in sorted(out.items())]
+
+
+def _leaves_below(nodes: list[dict]) -> list[dict]:
+    """``nodes`` where every split by a linear fit has its children: rows that no training row went with end on the fit's side."""
+    known = {n["node"] for n in nodes}
+    return nodes + [{"node": 2 * n["node"] + up, "side": 1 if up else -1} for n in nodes if "w" in n and not {2 * n["node"], 2 * n["node"] + 1} <= known for up in (0, 1) if 2 * n["node"] + up not in known]
 
 
 def tree_score(vectors: DataFrame, nodes: list[dict]) -> DataFrame:
@@ -493,7 +560,6 @@ def tree_score(vectors: DataFrame, nodes: list[dict]) -> DataFrame:
             total = F.lit(0.0)
             for f, v in n["w"].items():
                 total = total + (F.get("vector", F.lit(f)) if f >= 0 else F.lit(1.0)) * v
-            leaves[2 * n["node"]], leaves[2 * n["node"] + 1] = F.lit(-1), F.lit(1)
             n["up"] = (total >= 0).cast("int")
     cuts = {n["node"]: n["up"] if "w" in n else (F.get("vector", F.lit(n["feature_id"])) >= n["cut"]).cast("int") for n in nodes if "side" not in n}
     node, depth = F.lit(1), max((k.bit_length() for k in leaves), default=1)

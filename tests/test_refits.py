@@ -237,3 +237,58 @@ def test_callers_fits_are_used(spark, vectors):
 def test_too_wide_vectors_raise(vectors):
     with pytest.raises(ValueError, match="choose features"):
         md.check_width(vectors, 4)
+
+
+def test_oblique_classes_are_told_apart_by_linear_splits(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(120, 6))
+    y = np.where(x[:, 1] + x[:, 4] > 0, 1, -1)
+    y[(x[:, 1] + x[:, 4] > 0) & (x[:, 1] - x[:, 4] > 1)] = -1  # two oblique cuts
+    design = spark.createDataFrame([(s, f, float(x[s, f]), int(y[s])) for s in range(120) for f in range(6)], "subject long, feature_id long, value double, label int")
+    vectors = spark.createDataFrame([(s, [float(a) for a in x[s]], int(y[s])) for s in range(120)], "subject long, vector array<double>, label int")
+    nodes = md.purity_tree(design, depth=5, split=md.linear_split(4))
+    assert "w" in nodes[0] and len(nodes[0]["w"]) == 5 and {1, 4} <= set(nodes[0]["w"])
+    told = {r["subject"]: r["score"] for r in md.tree_score(vectors, nodes).collect()}
+    assert np.mean([np.sign(told[s]) == y[s] for s in range(120)]) >= 0.9
+    by_gap = {r["subject"]: r["score"] for r in md.tree_score(vectors, md.purity_tree(design, depth=5)).collect()}
+    assert np.mean([np.sign(told[s]) == y[s] for s in told]) >= np.mean([np.sign(by_gap[s] or 0) == y[s] for s in by_gap])
+
+
+def test_linear_split_equals_a_fit_on_rows(spark):
+    rng = np.random.default_rng(12)
+    x, y = rng.normal(size=(50, 3)), rng.choice([1, -1], 50)
+    design = spark.createDataFrame([(s, f, float(x[s, f]), int(y[s])) for s in range(50) for f in range(3)], "subject long, feature_id long, value double, label int").withColumn("node", F.lit(1))
+    got = {r["feature_id"]: r["weight"] for r in md.linear_split(3)(design, 0).collect()}
+    gap = np.round(np.abs(x[y == 1].mean(axis=0) - x[y == -1].mean(axis=0)) / x.std(axis=0), 9)
+    order = np.lexsort((np.arange(3), -gap))
+    one, c = np.c_[x[:, order], np.ones(50)], np.where(y == 1, 1 / (y == 1).sum(), 1 / (y == -1).sum())
+    xx = (one.T * c) @ one
+    w = np.linalg.solve(xx + 0.1 * np.diag([1.0, 1, 1, 0]) * np.trace(xx) / 4, one.T @ (c * y))
+    assert np.allclose([got[int(f)] for f in order] + [got[-1]], w)
+
+
+@pytest.mark.parametrize("k", [2, 3])
+def test_densities_on_axes_equal_plain_products(spark, k):
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(90, 5)) @ rng.normal(size=(5, 5))
+    design = spark.createDataFrame([(s, f, float(x[s, f]), 1) for s in range(90) for f in range(5)], "subject long, feature_id long, value double, label int")
+    group, points = sorted([3, 0, 4][:k], key=lambda f: -(x[:, f] ** 2).sum()), 5  # the larger first, so that signs are those of the plane
+    got = {r["cell"]: (r["x"], r["density"]) for r in dn.density_on_axes(design, [group], points).collect()}
+    v = x[:, group]
+    axes = dn.principal_axes(v.T @ v)
+    turned = v @ axes.T
+    assert np.allclose(axes @ axes.T, np.eye(k)) and len(got) == points**k
+    h, lines = turned.var(axis=0) * 90 ** (-1 / (k + 4)), []
+    for i in range(k):
+        s = np.sort(turned[:, i])
+        lines.append(np.linspace(s[int(np.ceil(0.05 * 90)) - 1], s[int(np.ceil(round(0.95 * 90, 9))) - 1], points))
+    for cell, place in enumerate(np.ndindex(*[points] * k)):
+        at = np.array([lines[i][p] for i, p in enumerate(place)])
+        want = (np.exp(-0.5 * ((at - turned) / h) ** 2) / (h * np.sqrt(2 * np.pi))).prod(axis=1).mean()
+        assert np.allclose(got[cell][0], at) and np.isclose(got[cell][1], want)
+    if k == 2:
+        pairs = spark.createDataFrame([tuple(group)], "first long, second long")
+        plane = dn.density_on_plane(design, pairs, points).collect()
+        assert len(plane) == points**2 and all(np.allclose([r["x"], r["y"], r["density"]], [*got[r["i"] * points + r["j"]][0], got[r["i"] * points + r["j"]][1]]) for r in plane)
+    with pytest.raises(ValueError, match="cells"):
+        dn.density_on_axes(design, [[0, 1, 2, 3, 4]], 50)
