@@ -430,19 +430,6 @@ def targets(v: DataFrame) -> DataFrame:
     return v.join(dz.weight_labels(v.select("subject", "label")).select("subject", "target"), "subject")
 
 
-@query("least_squares")
-def least_squares(spark, d):
-    v = targets(constant(ad.vectors(spark, d)))
-    return rounded(md.linear_score(v, md.least_squares(v, "target", 0.1)), "score")
-
-
-@query("matching_pursuit")
-def matching_pursuit(spark, d):
-    v = targets(ad.vectors(spark, d))
-    features, w = md.matching_pursuit(v, "target", 8)
-    return rounded(md.linear_score(md.pick(v, features), w), "score")
-
-
 @query("linear_svm")
 def linear_svm(spark, d):
     v = constant(ad.vectors(spark, d))
@@ -450,18 +437,6 @@ def linear_svm(spark, d):
     return md.linear_score(v, w).select("subject", "label", F.round("score", 3).alias("score"))
 
 
-@query("lasso")
-def lasso(spark, d):
-    return md.linear_score(constant(ad.vectors(spark, d)), md.lasso(ad.vectors(spark, d), 0.001)).select("subject", "label", F.round("score", 3).alias("score"))
-
-
-@query("sparse_classifier")
-def sparse_classifier(spark, d):
-    v = ad.vectors(spark, d)
-    features, w = md.sparse_classifier(v, lambda x: md.lasso(x, 0.005), lambda x: md.least_squares(targets(x), "target", 0.1), 0.1)
-    return rounded(md.linear_score(md.pick(v, features), w), "score")
-
-
 @query("pca")
 def pca(spark, d):
     _, shown = md.pca(ad.vectors(spark, d), 3)
@@ -486,15 +461,6 @@ def select_independent(spark, d):
     return spark.createDataFrame([(int(f), i) for i, f in enumerate(kept)], "feature_id long, place int")
 
 
-@query("eliminate_features")
-def eliminate_features(spark, d):
-    v = targets(ad.vectors(spark, d))
-    xx, xy, _ = md.gram(v, ["target"])
-    fit = lambda f: np.linalg.lstsq(xx[np.ix_(f, f)] + 0.1 * np.eye(len(f)), xy[f, 0], rcond=None)[0]
-    kept = md.eliminate_features(fit, list(range(len(xx))), 20)
-    return spark.createDataFrame([(int(f),) for f in kept], "feature_id long")
-
-
 GENERATIVE_CTES = (
     ("gm_grid", "SELECT feature_id, lo - (hi - lo) / 2 + point * 2 * (hi - lo) / 49 AS x, 2 * (hi - lo) / 49 AS dx, point FROM (SELECT feature_id, min(value) AS lo, max(value) AS hi FROM design GROUP BY feature_id), range(50) g(point) WHERE hi > lo"),
     ("gm_width", "SELECT feature_id, label, greatest(var_pop(value), 1e-12) * pow(CAST(count(*) AS DOUBLE), -0.2::DOUBLE) AS h, count(*) AS n FROM design GROUP BY feature_id, label"),

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from motionmill.operators import design as dz, evaluate as ev, models as md
+from motionmill.operators import design as dz, evaluate as ev, models as md, refits as rf
 
 SCORES = "subject long, score double, label int"
 
@@ -163,3 +163,13 @@ def test_kmeans_of_all_groups_at_once(spark):
     assert len(few) == 2 and md.kmeans(v.where("false"), 3, by=["event"]).count() == 0
     starts = spark.createDataFrame([(0, 0, k, [0.0, float(100 * k)]) for k in range(3)], "event long, t int, rn int, vector array<double>")
     assert md.kmeans(v.where("event = 0"), 3, by=["event"], starts=starts, rounds=1).count() < 3  # centres without rows go
+
+
+def test_lasso_of_rows_equals_lasso_of_sums(spark):
+    rng = np.random.default_rng(14)
+    y = rng.choice([1, -1], 90)
+    x = rng.normal(size=(90, 5)) + np.outer(y, [1, 0.4, 0, 0, 0])
+    v = spark.createDataFrame([(i, [float(a) for a in r], int(c)) for i, (r, c) in enumerate(zip(x, y))], "subject long, vector array<double>, label int")
+    assert np.allclose(md.lasso(v, 0.05), rf.lasso(rf.total(rf.class_sums(v)), 0.05), atol=1e-3)
+    features, w = md.sparse_classifier(v, lambda rows: md.lasso(rows, 0.05), lambda rows: md.lasso(rows, 0.0), 0.1)
+    assert features[0] == 0 and len(w) == len(features) + 1
