@@ -598,7 +598,7 @@ def generative_cross_evaluate(spark, d):
 
 @query(
     "best_parameter",
-    "SELECT model, params, round(mean, 6) + 0.0 AS mean FROM (SELECT model, params, avg(score) AS mean FROM fg_auc GROUP BY model, params) QUALIFY row_number() OVER (PARTITION BY model ORDER BY mean DESC, params) = 1",
+    "SELECT model, params, round(mean, 6) + 0.0 AS mean FROM (SELECT model, params, avg(score) AS mean FROM fg_auc GROUP BY model, params) QUALIFY row_number() OVER (PARTITION BY model ORDER BY round(mean, 9) DESC, params) = 1",
     *FOLD_GM_CTES,
 )
 def best_parameter(spark, d):

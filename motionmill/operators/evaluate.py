@@ -150,7 +150,7 @@ def pair_results(pairs: DataFrame, by: list[str] = ()) -> DataFrame:
 
 
 def best_parameter(results: DataFrame) -> DataFrame:
-    """(model, params, mean): the parameters of each model with the best mean fold score, ties to the first name."""
+    """(model, params, mean): the parameters of each model with the best mean fold score, to nine decimals, ties to the first name."""
     means = results.groupBy("model", "params").agg(F.avg("score").alias("mean"))
-    order = W.partitionBy("model").orderBy(F.desc("mean"), "params")
+    order = W.partitionBy("model").orderBy(F.desc(F.round("mean", 9)), "params")
     return means.withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn")

@@ -343,5 +343,5 @@ def best_settings(predicted: DataFrame, pairs: DataFrame, keep: float = 0.8) ->
     told = ev.pair_results(pairs, ["model", "params"])
     score = F.col("accuracy") * (1 - F.col("ties")) + F.col("auc")
     both = means.where(F.col("auc") > keep).join(told, ["model", "params"]).withColumn("score", score)
-    order = W.partitionBy("model").orderBy(F.desc("score"), "params")
+    order = W.partitionBy("model").orderBy(F.desc(F.round("score", 9)), "params")
     return both.withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn")
