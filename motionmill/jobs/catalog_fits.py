@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from motionmill.jobs.catalog import ids, query, r, rounded, stored
 from motionmill.jobs.catalog_models import FOLD_SQL, folds, targets
-from motionmill.operators import evaluate as ev, models as md, refits as rf
+from motionmill.operators import models as md, refits as rf, sweep as sw
 from motionmill.sources import adapters as ad
 
 D = 64  # entries of a vector
@@ -189,3 +189,28 @@ def ridge_pair_refits(spark, d):
     pairs = pos.join(rows.where("label <> 1").select(F.col("subject").alias("neg")), "neg").select("pos", "neg")
     out = rf.pair_refits(ad.vectors(spark, d), pairs, [("ridge", "gamma", 0.1)])
     return rounded(out.select("pos", "neg", "s_pos", "s_neg"), "s_pos", "s_neg")
+
+
+GAMMA = 1.0
+#: The products of each class weighted by its size bound the curvature; steps with its inverse, for each fold.
+BOUND = f"""SELECT k, list(line ORDER BY i) AS m FROM (SELECT k, i, list(v ORDER BY j) AS line FROM (SELECT k, i, j, sum(z[i] * z[j] / n) + CASE WHEN i = j AND i <= {D} THEN {GAMMA}::DOUBLE ELSE 0 END AS v
+  FROM (SELECT *, count(*) OVER (PARTITION BY k, label) AS n FROM kept_f), range(1, {D + 2}) x(i), range(1, {D + 2}) y(j) GROUP BY k, i, j) GROUP BY k, i) GROUP BY k"""
+ROWS_F = """SELECT k, list(z ORDER BY subject) AS zs, list(CAST(label AS DOUBLE) ORDER BY subject) AS ys, list(1.0::DOUBLE / n ORDER BY subject) AS cs FROM (SELECT *, count(*) OVER (PARTITION BY k, label) AS n FROM kept_f) GROUP BY k"""
+COLUMNS_F = f"SELECT k, zs, ys, cs, inv, list_transform(range(1, {D + 2}), lambda j: list_transform(zs, lambda z: z[j])) AS columns FROM rows_f JOIN (SELECT k, {inverse(D + 1)} AS inv FROM bound_f) USING (k)"
+SHORT = f"list_transform(zs, lambda z, i: ys[i] * cs[i] * greatest(1 - ys[i] * {dot('z', 'w')}, 0))"
+SLOPE = f"list_transform([{SHORT}], lambda s: list_transform(columns, lambda c, j: CASE WHEN j <= {D} THEN {GAMMA} * w[j] ELSE 0 END - {dot('c', 's')}))[1]"
+MACHINE = f"""SELECT k, list_reduce(list_prepend(list_transform(columns, lambda c: 0.0::DOUBLE), list_transform(range(300), lambda q: [0.0::DOUBLE])), lambda w, q: list_transform([{SLOPE}], lambda g: list_transform(w, lambda x, i: x - {dot('inv[i]', 'g')}))[1]) AS w FROM columns_f"""
+
+
+@query(
+    "svm_in_folds",
+    f"SELECT CAST(k AS BIGINT) AS fold, v.subject, v.label, round({dot('w', 'z')}, 5) + 0.0 AS score FROM vec v JOIN fold_t f ON f.subject = v.subject JOIN machine_f s ON s.k = f.fold",
+    VEC, ("fold_t", FOLD_SQL), OUTSIDE, ("bound_f", BOUND), ("rows_f", ROWS_F), ("columns_f", COLUMNS_F), ("machine_f", MACHINE),
+)
+def svm_in_folds(spark, d):
+    """Rows scored by the machine of all rows outside their fold."""
+    v, of = ad.vectors(spark, d), stored(spark, lambda: folds(spark, d).select("subject", F.col("fold").cast("long").alias("out")))
+    fitted = sw.svm_weights(v, of, [GAMMA], tol=1e-9)
+    table = [("svm", "gamma", o, [float(x) for x in w]) for (o, _), w in fitted.items()]
+    out = rf.weight_scores(v.join(of, "subject"), table, "out").select(F.col("out").alias("fold"), "subject", "label", F.round("score", 5).alias("score"))
+    return out.withColumn("score", F.col("score") + 0.0)

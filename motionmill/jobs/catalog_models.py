@@ -311,7 +311,19 @@ def scale_space_maxima(spark, d):
     return rounded(dc.scale_space_maxima(filled(spark, d), ad.CHANNELS, "gaussian", SCALES, ad.FPS, 0.3), "value")
 
 
-@query("separate_maxima")
+MAXIMA = """SELECT * FROM around WHERE a > 0 AND a >= {thres} * top AND coalesce(a > l, true) AND coalesce(a >= r, true) AND coalesce(a > up, true) AND coalesce(a >= down, true)
+    AND coalesce(a > up_l, true) AND coalesce(a >= down_r, true) AND coalesce(a > down_l, true) AND coalesce(a >= up_r, true)"""
+#: Maxima of a series as (scale, frame, value), then kept ones with where their run began; a near one joins the last run.
+RUNS = f"""SELECT subject, stimulus, channel, unnest(list_reduce(list_prepend(CAST([] AS DOUBLE[][]), list([[CAST(scale_idx AS DOUBLE), CAST(frame AS DOUBLE), value, scale]] ORDER BY scale_idx, frame)), lambda acc, m:
+    CASE WHEN len(acc) > 0 AND abs(m[1][2] - acc[-1][5]) < m[1][4] * {ad.FPS} THEN CASE WHEN abs(m[1][3]) > abs(acc[-1][3]) THEN list_append(acc[:-2], list_append(m[1], acc[-1][5])) ELSE acc END
+    ELSE list_append(acc, list_append(m[1], m[1][2])) END)) AS kept FROM found GROUP BY subject, stimulus, channel"""
+
+
+@query(
+    "separate_maxima",
+    f"SELECT subject, stimulus, channel, CAST(kept[1] AS INT) AS scale_idx, kept[4] AS scale, CAST(kept[2] AS INT) AS frame, {r('kept[3] AS value')} FROM runs",
+    *SPACE_CTES, ("around", AROUND), ("found", MAXIMA.format(thres=0.3)), ("runs", RUNS),
+)
 def separate_maxima(spark, d):
     return rounded(dc.scale_space_maxima(filled(spark, d), ad.CHANNELS, "gaussian", SCALES, ad.FPS, 0.3, apart=True), "value")
 
@@ -367,9 +379,23 @@ def rebuild_from_words(spark, d):
     return nudged(dc.rebuild_from_words(found, words, lengths(spark), SCALES, ad.FPS), "value")
 
 
-@query("mine_patterns")
+#: Sixteen places across the window of each maximum, held inside the series, and the line between the frames around each.
+PATTERN_CTES = (
+    ("found", MAXIMA.format(thres=0.5)),
+    ("spans", """SELECT subject, stimulus, channel, scale, frame AS pos, value AS amp, k, greatest(least(frame - h + k * 2 * h / 15.0::DOUBLE, n_frames - 1), 0) AS p
+      FROM (SELECT *, CAST(floor(scale / 2) AS INT) AS h FROM found) JOIN stimuli USING (stimulus), range(16) g(k)"""),
+    ("mined", """SELECT s.subject, s.stimulus, s.channel, scale, pos, amp, CAST(k AS INT) AS place, (a.value + coalesce(b.value - a.value, 0) * (p - floor(p))) / amp AS value FROM spans s
+      JOIN long a ON a.subject = s.subject AND a.stimulus = s.stimulus AND a.channel = s.channel AND a.frame = CAST(floor(p) AS INT)
+      LEFT JOIN long b ON b.subject = s.subject AND b.stimulus = s.stimulus AND b.channel = s.channel AND b.frame = CAST(floor(p) AS INT) + 1"""),
+)
+
+
+@query("mine_patterns", f"SELECT subject, stimulus, channel, scale, pos, {r('amp')}, place, round(value, 5) + 0.0 AS value FROM mined", *SPACE_CTES, ("around", AROUND), *PATTERN_CTES)
 def mine_patterns(spark, d):
-    return rounded(dc.mine_patterns(filled(spark, d), ad.CHANNELS, "gaussian", SCALES, ad.FPS, 0.5), "amp")
+    """The signal around each scale-space maximum, a row for each of its sixteen places."""
+    found = dc.mine_patterns(filled(spark, d), ad.CHANNELS, "gaussian", SCALES, ad.FPS, 0.5)
+    out = found.select("subject", "stimulus", "channel", "scale", "pos", "amp", F.posexplode("pattern").alias("place", "value"))
+    return rounded(out, "amp").withColumn("value", F.round("value", 5) + 0.0)
 
 
 @query("cluster_patterns")
