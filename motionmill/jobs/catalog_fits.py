@@ -191,6 +191,32 @@ def ridge_pair_refits(spark, d):
     return rounded(out.select("pos", "neg", "s_pos", "s_neg"), "s_pos", "s_neg")
 
 
+#: A matrix squared again and again, over its trace, is left with its largest axis alone; taken away, the next one is the largest.
+SQUARED = "list_reduce(list_prepend(m, list_transform(range(18), lambda q: [[0.0::DOUBLE]])), lambda a, q: list_transform([list_sum(list_transform(a, lambda line, i: line[i]))], lambda t: list_transform(a, lambda x: list_transform(a, lambda y: list_inner_product(x, y) / (t * t))))[1])"
+
+
+def axis_ctes() -> tuple:
+    out, source = [], "sums_64"
+    for k in range(1, 4):
+        longest = "list_transform([list_transform(s, lambda line, i: line[i])], lambda d: s[list_position(d, list_max(d))])[1]"
+        signed = "list_transform(v, lambda x: x / sqrt(list_inner_product(v, v)) * sign(v[list_position(list_transform(v, lambda y: abs(y)), list_max(list_transform(v, lambda y: abs(y))))]))"
+        out.append((f"axis{k}", f"SELECT m, {signed} AS v FROM (SELECT m, {longest} AS v FROM (SELECT m, {SQUARED} AS s FROM {source}))"))
+        value = "list_inner_product(v, list_transform(m, lambda line: list_inner_product(line, v)))"
+        out.append((f"rest{k}", f"SELECT list_transform(m, lambda line, i: list_transform(line, lambda x, j: x - {value} * v[i] * v[j])) AS m FROM axis{k}"))
+        source = f"rest{k}"
+    return tuple(out[:-1])
+
+
+@query(
+    "pca",
+    "SELECT subject, " + ", ".join(f"round({dot(f'axis{k}.v', f'z[1:{D}]')}, 5) + 0.0 AS p{k}" for k in (1, 2, 3)) + " FROM vec, axis1, axis2, axis3",
+    VEC, ("sums_64", products_sql("vec", d=D)), *axis_ctes(),
+)
+def pca(spark, d):
+    _, shown = md.pca(ad.vectors(spark, d), 3)
+    return shown.select("subject", *[(F.round(F.col("projected")[k - 1], 5) + 0.0).alias(f"p{k}") for k in (1, 2, 3)])
+
+
 GAMMA = 1.0
 #: The products of each class weighted by its size bound the curvature; steps with its inverse, for each fold.
 BOUND = f"""SELECT k, list(line ORDER BY i) AS m FROM (SELECT k, i, list(v ORDER BY j) AS line FROM (SELECT k, i, j, sum(z[i] * z[j] / n) + CASE WHEN i = j AND i <= {D} THEN {GAMMA}::DOUBLE ELSE 0 END AS v

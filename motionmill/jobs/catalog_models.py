@@ -463,30 +463,6 @@ def linear_svm(spark, d):
     return md.linear_score(v, w).select("subject", "label", F.round("score", 3).alias("score"))
 
 
-@query("pca")
-def pca(spark, d):
-    _, shown = md.pca(ad.vectors(spark, d), 3)
-    return shown.select("subject", F.transform("projected", lambda x: F.round(x, 4) + 0.0).alias("projected"))
-
-
-INDEPENDENT_CTES = (
-    ("ranked_f", "SELECT feature_id, row_number() OVER (ORDER BY score DESC, feature_id) AS place FROM purity"),
-    ("corr_t", """SELECT a.place AS p, list(round(c, 12) ORDER BY b.place) AS line FROM (SELECT x.feature_id AS f, y.feature_id AS g, corr(x.value, y.value) AS c FROM design x JOIN design y USING (subject) GROUP BY x.feature_id, y.feature_id)
-      JOIN ranked_f a ON a.feature_id = f JOIN ranked_f b ON b.feature_id = g GROUP BY a.place"""),
-    ("lines", "SELECT list(line ORDER BY p) AS lines FROM corr_t"),
-    ("taken", """SELECT list_reduce(list_prepend(CAST([] AS BIGINT[]), list_transform(range(1, len(lines) + 1), lambda p: [p])),
-      lambda kept, f: CASE WHEN len(list_filter(kept, lambda q: abs(lines[f[1]][q]) > 0.08)) > 0 THEN kept ELSE list_concat(kept, f) END) AS kept FROM lines"""),
-)
-
-
-@query("select_independent", "SELECT feature_id, CAST(list_position(kept, place) - 1 AS INT) AS place FROM ranked_f, taken WHERE list_contains(kept, place)", *INDEPENDENT_CTES)
-def select_independent(spark, d):
-    """All features, the purest first, each kept if it correlates at most 0.08 with those kept; eight at a time."""
-    order = [x["feature_id"] for x in dz.rank_features(purity(spark, d)).collect()]  # as many as a vector has entries
-    kept = md.select_independent(ad.vectors(spark, d), order, 0.08, batch=8)
-    return spark.createDataFrame([(int(f), i) for i, f in enumerate(kept)], "feature_id long, place int")
-
-
 GENERATIVE_CTES = (
     ("gm_grid", "SELECT feature_id, lo - (hi - lo) / 2 + point * 2 * (hi - lo) / 49 AS x, 2 * (hi - lo) / 49 AS dx, point FROM (SELECT feature_id, min(value) AS lo, max(value) AS hi FROM design GROUP BY feature_id), range(50) g(point) WHERE hi > lo"),
     ("gm_width", "SELECT feature_id, label, greatest(var_pop(value), 1e-12) * pow(CAST(count(*) AS DOUBLE), -0.2::DOUBLE) AS h, count(*) AS n FROM design GROUP BY feature_id, label"),
