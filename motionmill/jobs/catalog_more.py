@@ -6,9 +6,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from motionmill.functions import geometry, kernels
-from motionmill.jobs.catalog import FLAT, GAUSS, SCALE, SOFT, _dist, _proj, filled, long, query, r, rounded
+from motionmill.jobs.catalog import FLAT, GAUSS, SCALE, SOFT, _dist, _proj, filled, long, query, r, rounded, stored
 from motionmill.jobs.catalog_models import BANK, BANK_SQL, BANKED, PADDED, PLACED_CTES, SECOND, lengths, placed, second_ctes
-from motionmill.operators import dictionary as dc, layers as ly, motion
+from motionmill.operators import design as dz, dictionary as dc, layers as ly, motion
 from motionmill.sources import adapters as ad
 
 CHAN = "subject, stimulus, channel"
@@ -87,10 +87,16 @@ def atom_at(spark, d):
     return rounded(dc.rebuild_signal(alone, lengths(spark), ad.FPS).groupBy(*kernels.CHAN).agg(F.sum(F.col("value") * F.col("value")).alias("energy")), "energy")
 
 
-@query("feature_names", "SELECT DISTINCT stimulus, channel, frame // 10 AS block, 'stimulus ' || CAST(stimulus AS VARCHAR) || ' channel ' || channel || ' block ' || CAST(frame // 10 AS VARCHAR) AS name FROM long")
+@query(
+    "feature_names",
+    """SELECT row_number() OVER (ORDER BY stimulus, channel, block) - 1 AS feature_id, concat_ws(' ', stimulus, channel, block) AS name
+    FROM (SELECT DISTINCT stimulus FROM long), (SELECT DISTINCT channel FROM long), (SELECT DISTINCT frame // 10 AS block FROM long)""",
+)
 def feature_names(spark, d):
-    named = long(spark, d).select("stimulus", "channel", F.floor(F.col("frame") / 10).cast("int").alias("block")).distinct()
-    return named.withColumn("name", F.format_string("stimulus %d channel %s block %d", "stimulus", "channel", "block"))
+    """Names of all combinations of the stimuli, channels and blocks of ten frames that are met."""
+    met = stored(spark, lambda: long(spark, d).select("stimulus", "channel", F.floor(F.col("frame") / 10).alias("block")).distinct())
+    values = {c: sorted(r[0] for r in met.select(c).distinct().collect()) for c in met.columns}  # the calendar's
+    return dz.feature_names(spark, **values)
 
 
 @query(

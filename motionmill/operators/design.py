@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from motionmill.operators.evaluate import running
 
@@ -43,6 +43,25 @@ def feature_names(spark, **dimensions: list) -> DataFrame:
     return out
 
 
+#: Rows of a table of features up to which it is broadcast.
+FEATURE_ROWS = 200_000
+
+
+def number_features(rows: DataFrame, parts: list[str]) -> DataFrame:
+    """(feature_id, parts): every combination of ``parts`` that is met, numbered from 0 in their order.
+
+    The table of dimensions of a layer: it has a row for each feature, however many subjects there are.
+    """
+    return rows.select(*parts).distinct().withColumn("feature_id", F.row_number().over(W.orderBy(*parts)).cast("long") - 1).select("feature_id", *parts)
+
+
+def design_form(rows: DataFrame, features: DataFrame, parts: list[str]) -> DataFrame:
+    """(subject, feature_id, value) of a layer's rows; ids come from the table of features, values are finite."""
+    table = F.broadcast(features) if features.limit(FEATURE_ROWS + 1).count() <= FEATURE_ROWS else features
+    clean = F.when(F.isnan("value") | F.isnull("value") | (F.abs("value") == float("inf")), 0.0).otherwise(F.col("value").cast("double"))
+    return rows.join(table, parts).select("subject", "feature_id", clean.alias("value"))
+
+
 def zscore_features(design: DataFrame) -> DataFrame:
     """Standardised by feature, missing values as 0; constant features go."""
     clean = design.withColumn("value", F.coalesce(F.nanvl("value", F.lit(0.0)), F.lit(0.0)))

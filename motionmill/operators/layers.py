@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from motionmill.functions.kernels import fft_convolve_all, pool_last, weights, window_bounds
+from motionmill.operators import frames as fr, motion
 
 SERIES = ["subject", "stimulus"]
 KEY = "subject long, stimulus int, "
@@ -153,14 +154,6 @@ def local_histogram(frames: DataFrame, channels: list[str], bins: dict[str, list
     return cube_extractor(frames, channels, extract, "bin int, wide double, window int, value double")
 
 
-REGISTRY: dict[str, Callable[..., DataFrame]] = {"first_layer": filter_bank, "second_layer": second_layer, "histogram": local_histogram}
-
-
-def layer(name: str, frames: DataFrame, *args, **kwargs) -> DataFrame:
-    """The named extractor on a cohort."""
-    return REGISTRY[name](frames, *args, **kwargs)
-
-
 def pattern_response(long: DataFrame, model: DataFrame) -> DataFrame:
     """(subject, stimulus, event, cluster, frame, value): mean over channels of the standardised signal times the centre.
 
@@ -185,3 +178,33 @@ def cluster_occupancy(assigned: DataFrame, keys: list[str], k: int) -> DataFrame
     total = counts.groupBy(*keys).agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("cluster", "n"))).alias("by"))
     full = total.select(*keys, "total", "by", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("cluster"))
     return full.select(*keys, "cluster", (F.coalesce(F.col("by")[F.col("cluster")], F.lit(0)) / F.col("total")).alias("share"))
+
+
+def assignation(binned: DataFrame, n: int) -> DataFrame:
+    """(.., frame, bin, value): for each frame and each of ``n`` bins, whether the frame lies in the bin."""
+    each = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k")
+    return binned.select(*SERIES, "channel", "frame", "bin", each).select(*SERIES, "channel", "frame", F.col("k").alias("bin"), (F.col("bin") == F.col("k")).cast("double").alias("value"))
+
+
+def occupancy(assigned: DataFrame, k: int) -> DataFrame:
+    """(subject, event, cluster, value): the share of an event that a subject spends nearest to each centre."""
+    return cluster_occupancy(assigned, ["subject", "event"], k).withColumnRenamed("share", "value")
+
+
+#: Every layer: its extractor, and the columns that tell its features apart.
+REGISTRY: dict[str, Callable[..., DataFrame]] = {
+    "face_parameterization": fr.long_frames, "preprocess": lambda frames, channels, **how: fr.long_frames(fr.fill_gaps(frames, **how), channels),
+    "event": occupancy, "video_response": occupancy, "pattern_response": pattern_response, "patterns_response": pattern_response,
+    "first_layer": filter_bank, "second_layer": second_layer, "assignation": assignation, "histogram": local_histogram, "motor_behaviors": motion.motor_behaviors,
+}
+FEATURES: dict[str, list[str]] = {
+    "face_parameterization": ["stimulus", "channel", "frame"], "preprocess": ["stimulus", "channel", "frame"], "event": ["event", "cluster"], "video_response": ["event", "cluster"],
+    "pattern_response": ["stimulus", "cluster", "frame"], "patterns_response": ["stimulus", "event", "cluster", "frame"], "first_layer": ["stimulus", "channel", "filter", "scale", "frame"],
+    "second_layer": ["stimulus", "channel", "filter", "scale", "stat", "wide", "window"], "assignation": ["stimulus", "channel", "frame", "bin"],
+    "histogram": ["stimulus", "channel", "bin", "wide", "window"], "motor_behaviors": ["stimulus", "feature"],
+}
+
+
+def layer(name: str, rows: DataFrame, *args, **kwargs) -> DataFrame:
+    """The named layer of a cohort."""
+    return REGISTRY[name](rows, *args, **kwargs)
