@@ -38,9 +38,11 @@ def density_at_points(design: DataFrame, bandwidth: str = "variance") -> DataFra
     """
     blocks = _blocks(design)
     width = (F.col("var") if bandwidth == "variance" else F.sqrt("var")) * F.pow(F.col("n").cast("double"), F.lit(-0.2))
-    points = blocks.where("var > 0").select("feature_id", "block", "rows", "n", width.alias("h"))
+    # a block of points is sent to each block of values, so a feature is spread over as many tasks as it has blocks
+    others = F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / BLOCK).cast("int") - 1)).alias("other")
+    points = blocks.where("var > 0").select("feature_id", "rows", "n", width.alias("h"), others)
     values = blocks.select("feature_id", F.col("block").alias("other"), F.col("rows.value").alias("values"))
-    met = points.join(values, "feature_id").withColumn("sums", _kernel_sums(F.col("rows.value"), F.col("values"), F.col("h")))
+    met = points.join(values, ["feature_id", "other"]).withColumn("sums", _kernel_sums(F.col("rows.value"), F.col("values"), F.col("h")))
     each = met.select("feature_id", "n", F.inline(F.arrays_zip(F.col("rows.subject").alias("subject"), F.col("sums").alias("part"))))
     return each.groupBy("subject", "feature_id").agg((F.sum("part") / F.first("n")).alias("density"))
 

@@ -266,18 +266,104 @@ def _nearest_of_blocks(k: int):
     return nearest
 
 
+#: Cells of the space at most, rings that a cell is cut into, and numbers of the sample that bounds every search.
+MAX_PIVOTS, RINGS, SAMPLE_NUMBERS = 1024, 8, 1 << 18
+
+
+@dataclass
+class Cells:
+    """Pivots, and of each pivot's cell the edges of its rings (distances to the pivot) and the parts that a ring is dealt into."""
+
+    pivots: np.ndarray
+    edges: dict[int, np.ndarray]
+    parts: dict[int, int]
+
+    def distances(self, x: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ self.pivots.T + (self.pivots * self.pivots).sum(axis=1), 0))
+
+    def needed(self, d: np.ndarray, reach: float) -> list[tuple[int, int, int]]:
+        """(cell, ring, parts) that may hold a row within ``reach`` of a point at distances ``d`` from the pivots."""
+        out = []
+        for c, edges in self.edges.items():  # |d - r| bounds the distance to a row at r from the pivot
+            near = np.flatnonzero((d[c] - edges[1:] <= reach) & (edges[:-1] - d[c] <= reach))
+            out += [(c, int(i), self.parts[c]) for i in near]
+        return out
+
+
+def _in_cells(rows: DataFrame, n: int) -> tuple[DataFrame, Cells]:
+    """``rows`` with cell (the nearest pivot) and r (its distance), and the cells; one pivot for about ``BLOCK`` rows."""
+    count = int(max(1, min(MAX_PIVOTS, n // BLOCK)))
+    first = rows.select("vector", F.xxhash64("subject").alias("h")).orderBy("h").limit(count).collect()
+    cells = Cells(np.array([r["vector"] for r in first], float), {}, {})
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                d = cells.distances(np.stack(b["vector"].tolist()))
+                yield b.assign(cell=d.argmin(axis=1), r=d.min(axis=1))
+
+    placed = rows.mapInPandas(place, "subject long, fold long, label int, vector array<double>, cell int, r double").persist()
+    levels = [i / RINGS for i in range(1, RINGS)]
+    told = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("lo"), F.max("r").alias("hi"), F.array_distinct(F.percentile_approx("r", levels)).alias("inner"))
+    for c in told.collect():  # a row for each pivot
+        cut = c["n"] > BLOCK
+        inner = [e for e in c["inner"] if c["lo"] < e < c["hi"]] if cut else []
+        cells.edges[c["cell"]] = np.array([c["lo"], *inner, c["hi"]])
+        cells.parts[c["cell"]] = max(1, -(-c["n"] // (BLOCK * (len(inner) + 1))))
+    return placed, cells
+
+
+def _searches(placed: DataFrame, cells: Cells, k: int) -> DataFrame:
+    """``placed`` with its ring, and ``asked``: the rings that may hold one of the k nearest rows of other folds.
+
+    The k nearest of a bounded sample are an upper bound of how far one has to look.
+    """
+    spark = placed.sparkSession
+    many = max(16, SAMPLE_NUMBERS // max(cells.pivots.shape[1], 1)) if cells.pivots.ndim == 2 else 16
+    some = placed.select("subject", "fold", "vector", F.xxhash64("subject", F.lit(1)).alias("h")).orderBy("h").limit(many).collect()
+    sent = spark.sparkContext.broadcast((np.array([r["vector"] for r in some], float), np.array([r["fold"] for r in some]), cells))
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sample, fold, cells = sent.value
+        size = (sample * sample).sum(axis=1)
+        for b in batches:
+            if not len(b):
+                continue
+            x, asked = np.stack(b["vector"].tolist()), []
+            own = cells.distances(x)
+            d = np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ sample.T + size, 0))
+            d[b["fold"].to_numpy()[:, None] == fold[None]] = np.inf
+            reach = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] >= k else np.full(len(b), np.inf)
+            for line, far in zip(own, reach):
+                asked.append([{"cell": c, "ring": i, "parts": p} for c, i, p in cells.needed(line, far * (1 + 1e-9) + 1e-6)])
+            ring = [int(np.clip(np.searchsorted(cells.edges[c], r, side="left") - 1, 0, len(cells.edges[c]) - 2)) for c, r in zip(b["cell"], b["r"])]
+            yield b.assign(ring=ring, parts=[cells.parts[c] for c in b["cell"]], asked=asked)[["subject", "fold", "label", "vector", "cell", "ring", "parts", "asked"]]
+
+    kinds = "subject long, fold long, label int, vector array<double>, cell int, ring int, parts int, asked array<struct<cell:int,ring:int,parts:int>>"
+    return placed.mapInPandas(search, kinds)
+
+
 def neighbours_in_folds(vectors: DataFrame, folds: DataFrame, ks: list[int]) -> DataFrame:
     """(model, params, fold, subject, label, score): mean label of the k nearest rows of other folds, ties to the lower id.
 
-    Every block of rows meets every other and hands on its k nearest; all rows are looked at, so the work is the square of
-    their number, spread over pairs of blocks.
+    Rows are dealt into cells around pivots, cells into rings by the distance to the pivot. By the triangle inequality a
+    row asks only the rings that may hold one of its nearest; blocks of rows meet ring by ring and hand on their k
+    nearest. Exact whatever the data; how much is spared depends on how far they cluster.
     """
     most = max(ks)
-    rows = vectors.join(folds.select("subject", F.col("fold").cast("long").alias("fold")), "subject")
-    blocks = -(-rows.count() // BLOCK) or 1
-    packed = rows.withColumn("block", F.pmod(F.xxhash64("subject"), F.lit(blocks)).cast("int")).groupBy("block").agg(F.collect_list(F.struct("subject", "fold", "label", "vector")).alias("rows"))
-    asked = packed.select(F.col("rows").alias("queries"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    near = asked.join(packed, "block").select(F.inline(_nearest_of_blocks(most)("queries", "rows")))
+    rows = vectors.join(folds.select("subject", F.col("fold").cast("long").alias("fold")), "subject").select("subject", "fold", "label", "vector").persist()
+    n = rows.count()
+    if not n:
+        return rows.select(F.lit("knn").alias("model"), F.lit("").alias("params"), "fold", "subject", "label", F.lit(0.0).alias("score"))
+    placed, cells = _in_cells(rows, n)
+    asks = _searches(placed, cells, most).persist()
+    entry = F.struct("subject", "fold", "label", "vector")
+    part = F.pmod(F.xxhash64("subject", F.lit(2)), F.col("parts")).cast("int")
+    held = asks.withColumn("part", part).groupBy("cell", "ring", "part").agg(F.collect_list(entry).alias("rows"))
+    block = F.pmod(F.xxhash64("subject"), F.lit(-(-n // BLOCK))).cast("int")
+    each = asks.select(entry.alias("e"), block.alias("block"), F.explode("asked").alias("a")).select("e", "block", "a.cell", "a.ring", F.explode(F.sequence(F.lit(0), F.col("a.parts") - 1)).alias("part"))
+    asked = each.groupBy("cell", "ring", "part", "block").agg(F.collect_list("e").alias("queries"))
+    near = asked.join(held, ["cell", "ring", "part"]).select(F.inline(_nearest_of_blocks(most)("queries", "rows")))
     ranked = near.withColumn("rn", F.row_number().over(W.partitionBy("query").orderBy("d", "subject"))).where(F.col("rn") <= most)
     means = ranked.groupBy("query").agg(*[F.avg(F.when(F.col("rn") <= k, F.col("label"))).alias(f"k{k}") for k in ks])
     each = F.explode(F.array(*[F.struct(F.lit(_name("k", k)).alias("params"), F.col(f"k{k}").alias("score")) for k in ks]))
