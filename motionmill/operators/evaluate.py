@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-#: Value ranges that a group's rows are cut into before they are ranked.
-RANGES = 64
+#: Rows of a group that one window takes; larger groups are cut into ranges of about half as many, this many ranges at most.
+ROWS, MAX_RANGES = 1_000_000, 4096
 #: A fixed shuffled order has so many places; ids that share one follow each other.
 HASHES = 10007
 
@@ -15,35 +15,64 @@ def order_hash(key: str = "subject", seed: int = 0) -> Column:
     return (F.col(key) * 7919 + seed) % HASHES
 
 
-def running(df: DataFrame, by: list[str], value: str, tie: str, sums: dict[str, Column], descending: bool = False, previous: str | None = None, ranges: int = RANGES) -> DataFrame:
+def running(df: DataFrame, by: list[str], value: str, tie: str, sums: dict[str, Column], descending: bool = False, previous: str | None = None, rows: int | None = None) -> DataFrame:
     """``df`` with running sums over each group's rows by ``value``, then ``tie``, and with the groups' totals as ``all_<name>``.
 
-    Groups are cut into ranges at approximate quantiles, a mergeable sketch; rows are summed within a range, and what
-    the ranges before add is joined on, ``ranges`` + 1 rows a group at most. So no window holds a whole group.
+    Where no group has more than ``rows`` rows, one window does it. Else groups are cut into ranges at approximate
+    quantiles, a mergeable sketch, as many as the largest group asks for; a value at which a cut falls is a range of its
+    own, and where many rows share it that range is cut by ``tie``. Rows are summed within a range, and what the ranges
+    before add is joined on. So no window holds a large group or a value that many share.
     ``previous`` names a column for the value of the row before. Null values come first, or last when descending.
     """
+    rows = ROWS if rows is None else rows
     one = df.withColumn("_one", F.lit(0)) if not by else df
     keys = list(by) or ["_one"]
-    levels = [i / ranges for i in range(1, ranges)]
-    bounds = one.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(F.col(value).cast("double"), levels, 1000)).alias("_bounds"))
-    below = F.size(F.filter(F.coalesce("_bounds", F.expr("cast(array() as array<double>)")), lambda b: b < F.col(value)))
-    placed = one.join(bounds.withColumnsRenamed({k: f"_b{k}" for k in keys}), _same(keys, "_b")).withColumn("_range", F.when(F.col(value).isNull(), -1).otherwise(below))
-    placed = placed.withColumns({f"_of_{n}": c for n, c in sums.items()}).drop("_bounds", *[f"_b{k}" for k in keys])
-    totals = placed.groupBy(*keys, "_range").agg(*[F.sum(f"_of_{n}").alias(f"_sum_{n}") for n in sums], F.max(value).alias("_last"), F.min(value).alias("_first"))
-    step = F.desc("_range") if descending else F.asc("_range")
-    upto, every = W.partitionBy(*keys).orderBy(step).rowsBetween(W.unboundedPreceding, -1), W.partitionBy(*keys)
+    most = one.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    order = [F.desc(value), F.desc(tie)] if descending else [F.asc(value), F.asc(tie)]
+    kept = [*df.columns, *sums, *([previous] if previous else []), *[f"all_{n}" for n in sums]]
+    if most <= rows:
+        group = W.partitionBy(*keys)
+        line = group.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+        placed = one.withColumns({f"_of_{n}": c for n, c in sums.items()})
+        return placed.withColumns(
+            {n: F.sum(f"_of_{n}").over(line) for n in sums} | {f"all_{n}": F.sum(f"_of_{n}").over(group) for n in sums}
+            | ({previous: F.lag(value).over(group.orderBy(*order))} if previous else {})).select(*kept)
+
+    placed = _ranged(one.withColumns({f"_of_{n}": c for n, c in sums.items()}), keys, value, tie, min(MAX_RANGES, -(-2 * most // rows)), rows)
+    cells = [*keys, "_range", "_part"]
+    totals = placed.groupBy(*cells).agg(*[F.sum(f"_of_{n}").alias(f"_sum_{n}") for n in sums], F.max(value).alias("_last"), F.min(value).alias("_first"))
+    step = [F.desc(c) if descending else F.asc(c) for c in ("_range", "_part")]
+    upto, every = W.partitionBy(*keys).orderBy(*step).rowsBetween(W.unboundedPreceding, -1), W.partitionBy(*keys)
     before = {f"_before_{n}": F.coalesce(F.sum(f"_sum_{n}").over(upto), F.lit(0)) for n in sums} | {f"all_{n}": F.sum(f"_sum_{n}").over(every) for n in sums}
-    edge = F.lag("_first" if descending else "_last").over(W.partitionBy(*keys).orderBy(step))
+    edge = F.lag("_first" if descending else "_last").over(W.partitionBy(*keys).orderBy(*step))
     table = totals.withColumns(before | {"_edge": edge}).drop("_last", "_first", *[f"_sum_{n}" for n in sums])
-    table = table.withColumnsRenamed({k: f"_b{k}" for k in [*keys, "_range"]})
-    order = W.partitionBy(*keys, "_range").orderBy(*([F.desc(value), F.desc(tie)] if descending else [F.asc(value), F.asc(tie)]))
-    inner = placed.withColumns({f"_in_{n}": F.sum(f"_of_{n}").over(order.rowsBetween(W.unboundedPreceding, 0)) for n in sums} | {"_lag": F.lag(value).over(order), "_no": F.row_number().over(order)})
-    met = inner.join(table, _same([*keys, "_range"], "_b"))
+    table = table.withColumnsRenamed({k: f"_b{k}" for k in cells})
+    line = W.partitionBy(*cells).orderBy(*order)
+    inner = placed.withColumns({f"_in_{n}": F.sum(f"_of_{n}").over(line.rowsBetween(W.unboundedPreceding, 0)) for n in sums} | {"_lag": F.lag(value).over(line), "_no": F.row_number().over(line)})
+    met = inner.join(table, _same(cells, "_b"))
     out = {n: F.col(f"_in_{n}") + F.col(f"_before_{n}") for n in sums} | ({previous: F.when(F.col("_no") == 1, F.col("_edge")).otherwise(F.col("_lag"))} if previous else {})
-    kept = [*df.columns, *out, *[f"all_{n}" for n in sums]]
     return met.withColumns(out).select(*kept)
 
 
+def _ranged(df: DataFrame, keys: list[str], value: str, tie: str, ranges: int, rows: int) -> DataFrame:
+    """``df`` with ``_range``, by value, and ``_part``, by tie where more than ``rows`` rows share a value at which a cut falls."""
+    levels = [i / ranges for i in range(1, ranges)]
+    none = F.expr("cast(array() as array<double>)")
+    sketch = F.percentile_approx(F.col(value).cast("double"), levels, max(1000, 20 * ranges))
+    bounds = df.groupBy(*keys).agg(F.array_distinct(sketch).alias("_bounds"))
+    v = F.col(value).cast("double")
+    below, upto = (F.size(F.filter(F.coalesce("_bounds", none), test)) for test in (lambda b: b < v, lambda b: b <= v))
+    placed = df.join(bounds.withColumnsRenamed({k: f"_b{k}" for k in keys}), _same(keys, "_b"))
+    placed = placed.withColumn("_range", F.when(F.col(value).isNull(), -1).otherwise(below + upto)).drop("_bounds", *[f"_b{k}" for k in keys])
+    shared = placed.where((F.col("_range") % 2 == 1) | (F.col("_range") == -1))  # of one value each
+    ties = [i / MAX_RANGES for i in range(1, MAX_RANGES, max(1, MAX_RANGES // ranges))]
+    cuts = shared.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"), F.array_distinct(F.percentile_approx(F.col(tie).cast("double"), ties, max(1000, 20 * ranges))).alias("_ties"))
+    cuts = cuts.where(F.col("_n") > rows).withColumnsRenamed({k: f"_b{k}" for k in [*keys, "_range"]}).drop("_n")
+    met = placed.join(cuts, _same([*keys, "_range"], "_b"), "left")
+    part = F.size(F.filter(F.coalesce("_ties", none), lambda b: b < F.col(tie).cast("double")))
+    return met.withColumn("_part", part).drop("_ties", *[f"_b{k}" for k in [*keys, "_range"]])
+
+
 def _same(keys: list[str], prefix: str) -> Column:
     """Equal keys, nulls included."""
     out = F.lit(True)

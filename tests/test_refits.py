@@ -103,11 +103,13 @@ def test_leaving_out_rows_and_pairs(vectors, data):
 
 
 @pytest.mark.parametrize("descending", [False, True])
-def test_running_sums_equal_a_plain_loop(spark, descending):
+@pytest.mark.parametrize("most", [1_000_000, 60, 9])
+def test_running_sums_equal_a_plain_loop(spark, descending, most):
     rng = np.random.default_rng(1)
-    rows = [(int(rng.integers(3)), int(i), None if rng.random() < 0.05 else float(rng.integers(30)), float(rng.integers(9))) for i in range(700)]
+    # a third of the rows share one value, and one row in twenty has none
+    rows = [(int(rng.integers(3)), int(i), None if rng.random() < 0.05 else 7.0 if rng.random() < 0.3 else float(rng.integers(30)), float(rng.integers(9))) for i in range(700)]
     df = spark.createDataFrame(rows, "g int, subject long, value double, w double").repartition(5)
-    out = ev.running(df, ["g"], "value", "subject", {"n": F.lit(1), "t": F.col("w")}, descending=descending, previous="before", ranges=8)
+    out = ev.running(df, ["g"], "value", "subject", {"n": F.lit(1), "t": F.col("w")}, descending=descending, previous="before", rows=most)
     got = {(r["g"], r["subject"]): (r["n"], r["t"], r["before"], r["all_n"], r["all_t"]) for r in out.collect()}
     for g in range(3):
         mine = sorted((r for r in rows if r[0] == g), key=lambda r: (-np.inf if r[2] is None else r[2], r[1]), reverse=descending)
@@ -118,6 +120,12 @@ def test_running_sums_equal_a_plain_loop(spark, descending):
     assert len(got) == 700
 
 
+def test_no_range_holds_a_value_that_many_share(spark):
+    df = spark.createDataFrame([(i, 7.0 if i % 2 else float(i % 50)) for i in range(4000)], "subject long, value double").withColumn("g", F.lit(1))
+    cells = ev._ranged(df, ["g"], "value", "subject", 40, 100).groupBy("_range", "_part").count()
+    assert cells.agg(F.max("count")).first()[0] <= 250 and cells.agg(F.sum("count")).first()[0] == 4000
+
+
 def test_exact_quantiles(spark):
     rng = np.random.default_rng(2)
     rows = [(g, float(v)) for g in (1, 2) for v in rng.integers(0, 40, 101 * g)]
