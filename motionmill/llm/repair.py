@@ -216,10 +216,37 @@ def _unpack(row: dict) -> tuple[np.ndarray, ...]:
     return get("ends"), get("tokens"), get("rules").reshape(-1, 2), get("lengths"), get("symbols")
 
 
-def decode_document(row: dict, at: int) -> np.ndarray:
-    """Ids of the document at place ``at`` of one file, from its own symbols alone."""
+def decode_document(row: dict, at: int, start: int = 0, stop: int | None = None) -> np.ndarray:
+    """Ids ``start`` to ``stop`` of the document at place ``at`` of one file; none beyond its end.
+
+    The stored lengths tell which of the document's symbols reach into the stretch, and which of a rule's two parts do;
+    no other rule is opened.
+    """
     ends, _, rules, lengths, symbols = _unpack(row)
-    return expand(symbols[ends[at - 1] if at else 0 : ends[at]], rules, lengths, row["first_id"])
+    own = symbols[ends[at - 1] if at else 0 : ends[at]]
+    first_id = row["first_id"]
+    size = np.ones(own.size, np.int64)
+    size[own >= first_id] = lengths[own[own >= first_id] - first_id]
+    close = np.cumsum(size)
+    total = int(close[-1]) if close.size else 0
+    start, stop = max(start, 0), total if stop is None else min(stop, total)
+    if start >= stop:
+        return np.empty(0, np.int64)
+    first, last = np.searchsorted(close, start, side="right"), np.searchsorted(close, stop, side="left")
+    out, place = [], int(close[first] - size[first])
+    stack = own[first : last + 1][::-1].tolist()
+    while stack:
+        symbol = stack.pop()
+        n = int(lengths[symbol - first_id]) if symbol >= first_id else 1
+        if place + n <= start or place >= stop:
+            place += n
+        elif symbol >= first_id:
+            left, right = rules[symbol - first_id].tolist()
+            stack += [right, left]
+        else:
+            out.append(symbol)
+            place += 1
+    return np.array(out, np.int64)
 
 
 def read_grammars(files: DataFrame) -> DataFrame:

@@ -307,6 +307,30 @@ def test_grammar_files(spark, docs, none, texts, library):
 # ---------------------------------------------------------------- 5
 
 
+def test_random_access_opens_no_other_rule(spark):
+    rng = random.Random(51)
+    texts = [prose(rng, n) for n in (400, 3, 0, 900, 400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    row = repair.write_grammars(df, public_tokenizers.path("byte_bpe_50k.json")).collect()[0].asDict()
+    assert len(row["doc_ids"]) == 5 and len(row["rules"]) > 80
+    lib, lengths = library_tokens(public_tokenizers.path("byte_bpe_50k.json")), np.frombuffer(row["lengths"], "<i4")
+    for at, doc in enumerate(row["doc_ids"]):
+        ids = [*lib.encode(texts[doc], add_special_tokens=False).ids, 2]
+        for a, b in [(0, None), (0, 1), (len(ids) - 1, len(ids)), (len(ids) // 3, len(ids) // 2), (5, 5), (len(ids), None), (7, 10**9), (-3, 4)]:
+            assert repair.decode_document(row, at, a, b).tolist() == ids[max(a, 0) : b]
+    # a rule that nothing of the stretch needs may be torn without harm
+    symbols, ends = np.frombuffer(row["symbols"], "<i4"), np.frombuffer(row["ends"], "<i4")
+    rules, need, todo = np.frombuffer(row["rules"], "<i4").reshape(-1, 2).copy(), set(), symbols[ends[0] : ends[1]].tolist()
+    while todo:
+        if (s := todo.pop()) >= row["first_id"] and s not in need:
+            need.add(s)
+            todo += rules[s - row["first_id"]].tolist()
+    for k in range(len(lengths)):
+        if k + row["first_id"] not in need:
+            rules[k] = -1
+    assert repair.decode_document({**row, "rules": rules.tobytes()}, 1).tolist() == [*lib.encode(texts[row["doc_ids"][1]], add_special_tokens=False).ids, 2]
+
+
 def edit_distance(a, b):
     row = [0] * (len(b) + 1)
     for i, x in enumerate(a, 1):
