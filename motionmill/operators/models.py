@@ -381,10 +381,12 @@ def in_metric(vectors: DataFrame, s: np.ndarray) -> DataFrame:
     return vectors.withColumn("vector", turned("vector"))
 
 
-def _triplet_gradient(anchors: DataFrame, rows: DataFrame, s: np.ndarray) -> tuple[np.ndarray, float]:
-    """Gradient and loss of all active triplets of the anchors: each pair counts as often as it is in one, pairs of the other class against."""
+def _triplet_gradient(anchors: DataFrame, rows: DataFrame, s: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """Gradient and loss of all active triplets of the anchors, each pair counting as often as it is in one, pairs of the other class against; and the deviation of the loss of one anchor."""
     pairs = ranked_pairs(in_metric(anchors, s), in_metric(rows, s)).where("active > 0").persist()
-    loss = pairs.agg(F.coalesce(F.sum("excess"), F.lit(0.0))).first()[0]
+    own = pairs.groupBy("query").agg(F.coalesce(F.sum("excess"), F.lit(0.0)).alias("loss"))
+    loss, square = own.agg(F.coalesce(F.sum("loss"), F.lit(0.0)), F.coalesce(F.sum(F.col("loss") * F.col("loss")), F.lit(0.0))).first()
+    n = max(anchors.count(), 1)  # anchors without an active triplet lose nothing
     vectors = pairs.join(rows.select("subject", "vector"), "subject").join(anchors.select(F.col("subject").alias("query"), F.col("vector").alias("q")), "query")
     apart = vectors.select("same", F.zip_with("vector", "q", lambda x, y: x - y).alias("gap"), F.sqrt(F.col("active").cast("double")).alias("k"))
     scaled = apart.select("same", F.transform("gap", lambda x: x * F.col("k")).alias("vector"))
@@ -393,28 +395,38 @@ def _triplet_gradient(anchors: DataFrame, rows: DataFrame, s: np.ndarray) -> tup
         cells = dz.product_sums(scaled, ["same"]).where(f"i < {len(s)} and j < {len(s)}").toPandas()  # two of d x d
         np.add.at(g, (cells["i"].to_numpy(), cells["j"].to_numpy()), np.where(cells["same"], cells["value"], -cells["value"]))
     pairs.unpersist()
-    return g, float(loss)
+    return g, float(loss), float(np.sqrt(max(square / n - (loss / n) ** 2, 0.0)))
 
 
-def metric_learning(vectors: DataFrame, anchors: DataFrame, rounds: int = 5, alpha: float | None = None, gamma: float = 1.0) -> tuple[np.ndarray, list[float]]:
+def metric_learning(
+    vectors: DataFrame, anchors: DataFrame | None = None, rounds: int = 5, alpha: float | None = None, gamma: float = 1.0, parts: int = 20, errors: list[float] | None = None
+) -> tuple[np.ndarray, list[float]]:
     """A d x d metric S by projected gradient steps: pull of pairs within a class plus gamma times the active triplets.
 
-    The pull's matrix is fixed and comes from sums of products; triplets are those of the anchors, a stated query set.
-    The step grows by 1 % when the loss fell, else halves; S stays in the positive semidefinite cone. Only d x d numbers
-    reach the driver.
+    The pull's matrix is fixed and comes from sums of products. Triplets are those of ``anchors``, a stated query set; without
+    one, those of all rows: they are dealt by a hash into ``parts``, round t takes part t mod ``parts``, so that ``parts`` rounds
+    see the triplets of every row once. A part's loss times ``parts`` estimates the loss of all rows; ``errors`` gets the
+    standard error of each estimate. The step grows by 1 % unless the loss rose by more than twice its error, else halves; S
+    stays in the positive semidefinite cone. Only d x d numbers reach the driver, d as ``check_width`` allows.
     """
+    check_width(vectors)
     cells = dz.within_class_scatter(vectors).toPandas()
     d = int(cells["i"].max()) + 1
     pull = np.zeros((d, d))
     pull[cells["i"], cells["j"]] = cells["value"]
-    pull /= max(vectors.count(), 1)
-    s, losses = np.eye(d), []
+    n = max(vectors.count(), 1)
+    pull /= n
+    s, losses, spread = np.eye(d), [], [] if errors is None else errors
     alpha = alpha or 0.1 / max(np.linalg.norm(pull), 1e-12)
     least = 1e-4 * alpha
-    for _ in range(rounds):
-        g, hinge = _triplet_gradient(anchors, vectors, s)
+    parts = 1 if anchors is not None else parts
+    for t in range(rounds):
+        asked = anchors if anchors is not None else vectors.where(F.pmod(F.xxhash64("subject", F.lit(7)), F.lit(parts)) == t % parts)
+        g, hinge, deviation = _triplet_gradient(asked, vectors, s)
+        g, hinge = g * parts, hinge * parts
         losses.append(float((pull * s).sum()) + gamma * hinge)
-        alpha = alpha * (1.01 if len(losses) < 2 or losses[-1] <= losses[-2] else 0.5)
+        spread.append(0.0 if parts == 1 else gamma * deviation * n / np.sqrt(max(n / parts, 1)))
+        alpha = alpha * (1.01 if len(losses) < 2 or losses[-1] <= losses[-2] + 2 * np.hypot(*spread[-2:]) else 0.5)
         if alpha <= least:
             break
         step = pull + gamma * g

@@ -102,7 +102,7 @@ def test_triplet_gradient_equals_the_triple_loop(spark):
     rng = np.random.default_rng(5)
     x, y, s = rng.normal(size=(12, 3)), rng.choice([1, -1], 12), np.diag([1.0, 2.0, 0.5])
     v = spark.createDataFrame([(i, [float(a) for a in r], int(l)) for i, (r, l) in enumerate(zip(x, y))], "subject long, vector array<double>, label int")
-    g, loss = md._triplet_gradient(v, v, s)
+    g, loss, _ = md._triplet_gradient(v, v, s)
     d = np.einsum("ijk,kl,ijl->ij", x[:, None] - x[None], s, x[:, None] - x[None])
     want, total = np.zeros((3, 3)), 0.0
     for i in range(12):
@@ -173,3 +173,25 @@ def test_lasso_of_rows_equals_lasso_of_sums(spark):
     assert np.allclose(md.lasso(v, 0.05), rf.lasso(rf.total(rf.class_sums(v)), 0.05), atol=1e-3)
     features, w = md.sparse_classifier(v, lambda rows: md.lasso(rows, 0.05), lambda rows: md.lasso(rows, 0.0), 0.1)
     assert features[0] == 0 and len(w) == len(features) + 1
+
+
+def test_metric_of_all_rows_takes_every_anchor_once(spark, monkeypatch):
+    rng = np.random.default_rng(16)
+    y = rng.choice([1, -1], 80)
+    x = rng.normal(size=(80, 3)) * [0.3, 3, 3] + np.outer(y, [1, 0, 0])
+    v = spark.createDataFrame([(i, [float(a) for a in r], int(c)) for i, (r, c) in enumerate(zip(x, y))], "subject long, vector array<double>, label int").cache()
+    seen, real = [], md._triplet_gradient
+
+    def watched(anchors, rows, s):
+        seen.append({r["subject"] for r in anchors.select("subject").collect()})
+        return real(anchors, rows, s)
+
+    monkeypatch.setattr(md, "_triplet_gradient", watched)
+    errors: list[float] = []
+    s, losses = md.metric_learning(v, rounds=4, parts=4, errors=errors)
+    assert sum(map(len, seen)) == 80 and set().union(*seen) == set(range(80)) and len(errors) == 4
+    whole = real(v, v, np.eye(3))[1]
+    pull = losses[0] - 4 * real(v.where(F.col("subject").isin(list(seen[0]))), v, np.eye(3))[1]
+    assert abs(losses[0] - pull - whole) < 3 * errors[0]  # the estimate of the first round
+    after = real(v, v, s)[1]
+    assert after < whole
