@@ -9,6 +9,8 @@ import public_tokenizers
 import pytest
 import xxhash
 
+from pyspark.sql import functions as F
+
 from motionmill.llm import decontaminate as dec, registry
 
 DIR = "/root/testdata/sf0.001"
@@ -158,6 +160,75 @@ def test_op9(spark):
         assert r["verdict"] == max(fits)[2] if fits else r["verdict"] in ("allow", "block")
 
 
+def test_op7_scores_equal_a_plain_loop(spark, documents):
+    from motionmill.llm import toxicity as tox
+
+    net = tox.train(spark.read.parquet(f"{DIR}/documents.parquet"), spark.read.parquet(f"{DIR}/labels.parquet"))
+    p, size = {k: v.astype(float) for k, v in net.p.items()}, tox.HIDDEN
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def logit(vectors):
+        both = []
+        for side, order in ((0, vectors), (1, vectors[::-1])):
+            h, states = np.zeros(size), []
+            for v in order:
+                x, g = v @ p["W"][side] + p["b"][side, 0], h @ p["U"][side]
+                z, reset = sig(x[:size] + g[:size]), sig(x[size : 2 * size] + g[size : 2 * size])
+                new = np.tanh(x[2 * size :] + reset * g[2 * size :])
+                h = z * h + (1 - z) * new
+                states.append(h)
+            both.append(states if side == 0 else states[::-1])
+        states = np.concatenate(both, axis=1)
+        weight = np.exp(states @ p["a"] - (states @ p["a"]).max())
+        return (weight / weight.sum()) @ states @ p["c"] + p["d"][0]
+
+    got = {r["doc_id"]: r["score"] for r in result(spark, "op7_toxicity")}
+    for d in sorted(documents, key=lambda d: len(documents[d]))[::25]:
+        words = tox.words_of(documents[d])
+        vectors = [p["word"][net.vocab.get(w, 0)] + p["gram"][tox.gram_ids([w])[0]].mean(axis=0) for w in words]
+        starts = range(0, max(-(-(len(words) - tox.SPAN) // tox.STEP), 0) * tox.STEP + 1, tox.STEP)
+        top = max(logit(np.array(vectors[s : s + tox.SPAN])) for s in starts) if words else None
+        if top is not None:
+            assert abs(got[d] - sig(top)) < 1e-3, d
+
+
+def test_op9_verdicts_without_a_rule(spark):
+    """A graph with links between hosts: ranks by plain power iteration decide where no rule fits."""
+    import random
+
+    from motionmill.llm import urls
+
+    rng = random.Random(61)
+    hosts = ["a.com", "b.com", "shop.net", "news.net", *[f"h{i}.org" for i in range(30)]]
+    link = {(s, t): rng.randrange(1, 4) for s in hosts for t in rng.sample(hosts, 4) if s != t}
+    pages, k = [], 0
+    for s in hosts:
+        path = {"shop.net": "/es/x", "news.net": "/fr/y"}.get(s, "/en/z")
+        body = " ".join(f'<a href="https://{t.upper() if rng.random() < 0.3 else t}/p?q=1">x</a>' * n for (a, t), n in link.items() if a == s)
+        pages.append((k, f"https://{s}{path}", body + '<a href="/here">own</a>'))
+        k += 1
+    pages += [(None, "https://h3.org/n", None), (900, "https://h5.org/" + "a" * 200_000, ""), (901, None, "<a href='https://a.com/'>"), (902, "no scheme", ""), (3, pages[3][1], "")]
+    rows = spark.createDataFrame(pages, "page_id long, url string, html string").withColumns({c: F.lit("clash") for c in ("host", "kind", "mass", "own", "hit")})
+    want = {}
+    for kind, edges in (("trust", link), ("distrust", {(t, s): n for (s, t), n in link.items()})):
+        seeds = dict.fromkeys(hosts, 0.0) | ({"a.com": 1, "b.com": 1} if kind == "trust" else {"shop.net": 1, "news.net": 1 + 1})
+        start = np.array([seeds[h] for h in hosts]) / sum(seeds.values())
+        m = np.zeros((len(hosts), len(hosts)))
+        for (s, t), n in edges.items():
+            m[hosts.index(t), hosts.index(s)] = n / sum(c for (a, _), c in edges.items() if a == s)
+        want[kind] = np.linalg.solve(np.eye(len(hosts)) - 0.85 * m, 0.15 * start)
+    got = {(r["page_id"], r["host"]): r for r in urls.judge(rows, urls.RULES).collect()}
+    verdicts = set()
+    for i, h in enumerate(hosts):
+        gap = want["distrust"][i] / max(want["trust"][i], 1e-300) - 1
+        if got[i, h]["rule"] is None and abs(gap) > 1e-3:
+            assert got[i, h]["verdict"] == ("block" if gap > 0 else "allow"), h
+            verdicts.add(got[i, h]["verdict"])
+    assert verdicts == {"allow", "block"}
+    assert got[None, "h3.org"]["verdict"] == got[hosts.index("h3.org"), "h3.org"]["verdict"] and len(got[900, "h5.org"]["path"]) == 200_001
+    assert (got[901, ""]["path"], got[901, ""]["verdict"], got[902, ""]["verdict"]) == ("", "allow", "allow")
+
+
 def test_op10(spark, documents):
     rows = result(spark, "op10_slots")
     assert sorted(r["doc_id"] for r in rows) == sorted(documents)
