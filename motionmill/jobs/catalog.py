@@ -705,6 +705,11 @@ def best_recall(spark, d):
     return rounded(ev.best_recall(ev.precision_recall_curve(ad.scores(spark, d)), 0.85), "best_recall")
 
 
+@query("best_precision", "SELECT round(max(CASE WHEN tp / n_pos >= 0.5 THEN tp / (tp + fp) END), 6) + 0.0 AS best_precision FROM curve")
+def best_precision(spark, d):
+    return rounded(ev.best_precision(ev.precision_recall_curve(ad.scores(spark, d)), 0.5), "best_precision")
+
+
 @query("auc", "SELECT round(sum(CASE WHEN label <> 1 THEN tp END) / max(n_pos * n_neg), 6) + 0.0 AS auc FROM curve")
 def auc(spark, d):
     return rounded(ev.auc(ad.scores(spark, d)), "auc")

@@ -483,6 +483,28 @@ def generative_model(spark, d):
     return rounded(md.generative_score(base, md.generative_model(base, 50, 0.1), 50), "score")
 
 
+SMOOTH_CTES = (
+    *GENERATIVE_CTES[:3], ("smooth_k", _kernel_sql("gaussian", 50 / density.SMOOTHING, density.SMOOTHING_FPS)),
+    ("gs_p", "SELECT a.feature_id, a.label, a.point, max(a.x) AS x, max(a.dx) AS dx, sum(b.p * w) AS p FROM gm_p a, smooth_k k JOIN gm_p b ON true WHERE b.feature_id = a.feature_id AND b.label = a.label AND b.point = a.point - o GROUP BY a.feature_id, a.label, a.point"),
+    ("gs_n", "SELECT feature_id, label, point, x, dx, p / sum(dx * p) FILTER (point > 0) OVER (PARTITION BY feature_id, label) AS p FROM gs_p"),
+    ("gs_both", GENERATIVE_CTES[3][1].replace("FROM gm_p", "FROM gs_n")), ("gs", GENERATIVE_CTES[4][1].replace("gm_both", "gs_both")),
+)
+
+
+@query("generative_model_smoothed", f"SELECT feature_id, CAST(point AS INT) AS point, {r('x', 'ratio')} FROM gs", *SMOOTH_CTES)
+def generative_model_smoothed(spark, d):
+    """The model's log ratios on its grid, from densities smoothed along it."""
+    return long_ids(rounded(md.generative_model(ad.design(spark, d), 50, 0.1, smooth=True), "x", "ratio"), "feature_id")
+
+
+@query("chi_similarity", "SELECT a.subject AS query, b.subject, round(sum(abs(a.value) * abs(b.value) / nullif(abs(a.value) + abs(b.value), 0)), 6) + 0.0 AS chi FROM design a JOIN design b USING (feature_id) WHERE a.subject % 20 = 0 GROUP BY a.subject, b.subject")
+def chi_similarity(spark, d):
+    """The chi kernel of sizes, for the stated query set."""
+    size = lambda v: v.withColumn("vector", F.transform("vector", F.abs))
+    out = md.pairwise(size(queried(spark, d)), size(ad.vectors(spark, d)), md.chi_kernel)
+    return rounded(out.select("query", "subject", F.col("value").alias("chi")), "chi")
+
+
 @query("metric_learning")
 def metric_learning(spark, d):
     """A metric learned from the triplets of all rows, a fifth in each of five rounds; the stated query set scored under it."""

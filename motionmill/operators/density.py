@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from motionmill.functions.kernels import weights
 from motionmill.operators.evaluate import running
 
 BLOCK = 1024
@@ -245,6 +246,27 @@ def density_on_axes(design: DataFrame, groups: list[list[int]], points: int = 6,
     return total.select("group", "cell", F.transform("x0", place).alias("x"), (F.col("total") / F.col("n")).alias("density"))
 
 
+#: Grid points that a smoothing kernel's scale is divided by, and frames a unit of its scale.
+SMOOTHING, SMOOTHING_FPS = 50, 30.0
+
+
+def smooth_on_grid(grid: DataFrame, by: list[str], points: int, value: str = "p") -> DataFrame:
+    """``grid`` (by, point, dx, ..) with ``value`` convolved by a Gaussian kernel of scale ``points`` / ``SMOOTHING`` and scaled to area one.
+
+    A group's ``points`` numbers make one array; the area leaves out the first point.
+    """
+    kernel = weights("gaussian", points / SMOOTHING, SMOOTHING_FPS)
+
+    @F.pandas_udf("array<double>")
+    def smoothed(values: pd.Series, dx: pd.Series) -> pd.Series:
+        out = [np.convolve(np.asarray(v), kernel)[len(kernel) // 2 : len(kernel) // 2 + len(v)] for v in values]
+        return pd.Series([o / (d * o[1:].sum()) if len(o) > 1 and o[1:].sum() > 0 else o for o, d in zip(out, dx)])
+
+    packed = grid.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("point", value))).alias("line"), F.first("dx").alias("dx"))
+    lines = packed.select(*by, F.posexplode(smoothed(F.col(f"line.{value}"), F.col("dx"))).alias("point", value))
+    return grid.drop(value).join(lines, [*by, "point"])
+
+
 def density_lookup(design: DataFrame, grid: DataFrame, points: int) -> DataFrame:
     """(subject, feature_id, density): the density at the last grid point below each value, at the first for lower ones."""
     ends = grid.groupBy("feature_id").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))

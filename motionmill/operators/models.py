@@ -345,10 +345,11 @@ def kmeans(vectors: DataFrame, k: int, tries: int = 3, rounds: int = 20, tol: fl
     return groups.join(F.broadcast(table), "_group").select(*by, "cluster", "centre")
 
 
-def generative_model(design: DataFrame, points: int = 100, thres: float = 0.1) -> DataFrame:
+def generative_model(design: DataFrame, points: int = 100, thres: float = 0.1, smooth: bool = False) -> DataFrame:
     """(feature_id, point, x, ratio): log ratio of the classes' densities on a grid, of features whose densities differ by ``thres``.
 
-    Each class has its own bandwidth, its variance times n^(-1/5); the grid goes half the range beyond the values.
+    Each class has its own bandwidth, its variance times n^(-1/5); the grid goes half the range beyond the values. With
+    ``smooth``, densities are smoothed along the grid and scaled to area one.
     """
     by = ["feature_id", "label"]
     ends = design.groupBy("feature_id").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
@@ -358,6 +359,7 @@ def generative_model(design: DataFrame, points: int = 100, thres: float = 0.1) -
     stats = design.groupBy(*by).agg((F.greatest(F.var_pop("value"), F.lit(1e-12)) * F.pow(n.cast("double"), F.lit(-0.2))).alias("h"), n.alias("n"))
     grids = stats.join(grid, "feature_id")
     p = dn.grid_sums(design, grids, by).join(grids, by).select(*by, "point", "dx", (F.col("x0") + F.col("point") * F.col("dx")).alias("x"), (F.col("total") / F.col("n")).alias("p"))
+    p = dn.smooth_on_grid(p, by, points) if smooth else p
     of = lambda c: F.coalesce(F.sum(F.when(c, F.col("p"))), F.lit(0.0))
     both = p.groupBy("feature_id", "point", "x", "dx").agg(of(F.col("label") == 1).alias("p1"), of(F.col("label") != 1).alias("p0"))
     gap = both.groupBy("feature_id").agg(F.sum(F.when(F.col("point") > 0, F.col("dx") * F.abs(F.col("p1") - F.col("p0")))).alias("gap")).where(F.col("gap") > thres)
