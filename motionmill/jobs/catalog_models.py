@@ -398,12 +398,30 @@ def mine_patterns(spark, d):
     return rounded(out, "amp").withColumn("value", F.round("value", 5) + 0.0)
 
 
-@query("cluster_patterns")
+PATTERN_KEY = "subject, stimulus, channel, scale, pos"
+
+
+def pattern_kmeans_ctes(rounds: int = 3, k: int = 4) -> tuple:
+    """Two tries on whole patterns; after the rounds, the cluster of every pattern in the better one."""
+    drawn = "(subject * 31 + pos * 7919 + stimulus * 131 + t * 104729) % 10007"
+    out = [("pat", f"SELECT {PATTERN_KEY}, list(value ORDER BY place) AS v FROM mined GROUP BY ALL"),
+           ("pk0", f"SELECT t, row_number() OVER (PARTITION BY t ORDER BY {drawn}, {PATTERN_KEY}) - 1 AS k, v AS c FROM pat, range(2) g(t) QUALIFY k < {k}")]
+    for i in range(rounds + 1):
+        out.append((f"pn{i}", f"SELECT t, {PATTERN_KEY}, v, k, list_sum(list_transform(v, lambda x, i: (x - c[i]) * (x - c[i]))) AS d FROM pat, pk{i} QUALIFY row_number() OVER (PARTITION BY t, {PATTERN_KEY} ORDER BY d, k) = 1"))
+        if i < rounds:
+            out.append((f"pk{i + 1}", f"SELECT t, row_number() OVER (PARTITION BY t ORDER BY k) - 1 AS k, list(m ORDER BY i) AS c FROM (SELECT t, k, i, avg(v[i]) AS m FROM pn{i}, range(1, 17) g(i) GROUP BY t, k, i) GROUP BY t, k"))
+    return (*out, ("pat_best", f"SELECT t FROM pn{rounds} GROUP BY t ORDER BY sum(d), t LIMIT 1"), ("pat_near", f"SELECT * FROM pn{rounds} JOIN pat_best USING (t)"))
+
+
+@query("cluster_patterns", f"SELECT {PATTERN_KEY}, CAST(k AS INT) AS cluster FROM pat_near", *SPACE_CTES, ("around", AROUND), *PATTERN_CTES, *pattern_kmeans_ctes())
 def cluster_patterns(spark, d):
-    found = dc.mine_patterns(filled(spark, d), ad.CHANNELS, "gaussian", SCALES, ad.FPS, 0.5).withColumnRenamed("pattern", "vector").persist()
-    out = ly.assign_cluster(found, md.kmeans(found, 4)).select("subject", "stimulus", "channel", "scale", "pos", "cluster")
-    found.unpersist()
-    return out
+    """The word of every mined pattern, from given starts."""
+    keys = ["subject", "stimulus", "channel", "scale", "pos"]
+    found = stored(spark, lambda: dc.mine_patterns(filled(spark, d), ad.CHANNELS, "gaussian", SCALES, ad.FPS, 0.5).withColumnRenamed("pattern", "vector"))
+    place = (F.col("subject") * 31 + F.col("pos") * 7919 + F.col("stimulus") * 131 + F.col("t") * 104729) % 10007
+    draws = found.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("t"))
+    starts = draws.withColumn("rn", F.row_number().over(W.partitionBy("t").orderBy(place, *keys))).where("rn <= 4").select("t", "rn", "vector")
+    return ly.assign_cluster(found, md.kmeans(found, 4, rounds=3, tol=-1.0, starts=starts)).select(*keys, "cluster")
 
 
 # ---------------------------------------------------------------- models
