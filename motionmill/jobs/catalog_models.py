@@ -268,12 +268,6 @@ def pursuit_masked(spark, d):
     return rounded(dc.pursuit(with_channels(regular(spark, d)), ad.CHANNELS, ["gaussian"], SCALES, ad.FPS, rounds=4, mode="weight"), "amp")
 
 
-@query("mine_patterns_masked")
-def mine_patterns_masked(spark, d):
-    out = dc.mine_patterns(with_channels(regular(spark, d)), ad.CHANNELS, "gaussian", SCALES, ad.FPS, 0.5, mode="weight")
-    return rounded(out.withColumn("pattern", F.transform("pattern", lambda x: F.round(x, 6) + 0.0)), "amp")
-
-
 @query(
     "convolve_reflected",
     f"""SELECT a.subject, a.stimulus, a.channel, a.frame, round(sum(b.value * w), 6) + 0.0 AS value FROM long a CROSS JOIN kern JOIN padded b ON {SAME} AND b.place - 4 = a.frame - o GROUP BY a.subject, a.stimulus, a.channel, a.frame""",
@@ -390,12 +384,19 @@ PATTERN_CTES = (
 )
 
 
-@query("mine_patterns", f"SELECT subject, stimulus, channel, scale, pos, {r('amp')}, place, round(value, 5) + 0.0 AS value FROM mined", *SPACE_CTES, ("around", AROUND), *PATTERN_CTES)
+@query("mine_patterns", f"SELECT subject, stimulus, channel, scale, pos, {r(f"amp + {NUDGE} AS amp")}, place, round(value + {NUDGE}, 5) + 0.0 AS value FROM mined", *SPACE_CTES, ("around", AROUND), *PATTERN_CTES)
 def mine_patterns(spark, d):
     """The signal around each scale-space maximum, a row for each of its sixteen places."""
     found = dc.mine_patterns(filled(spark, d), ad.CHANNELS, "gaussian", SCALES, ad.FPS, 0.5)
     out = found.select("subject", "stimulus", "channel", "scale", "pos", "amp", F.posexplode("pattern").alias("place", "value"))
-    return rounded(out, "amp").withColumn("value", F.round("value", 5) + 0.0)
+    return nudged(out, "amp").withColumn("value", F.round(F.col("value") + NUDGE, 5) + 0.0)
+
+
+@query("mine_patterns_masked")
+def mine_patterns_masked(spark, d):
+    found = dc.mine_patterns(with_channels(regular(spark, d)), ad.CHANNELS, "gaussian", SCALES, ad.FPS, 0.5, mode="weight")
+    out = found.select("subject", "stimulus", "channel", "scale", "pos", "amp", F.posexplode("pattern").alias("place", "value"))
+    return nudged(out, "amp").withColumn("value", F.round(F.col("value") + NUDGE, 5) + 0.0)
 
 
 PATTERN_KEY = "subject, stimulus, channel, scale, pos"
