@@ -217,7 +217,7 @@ def pca(spark, d):
     return shown.select("subject", *[(F.round(F.col("projected")[k - 1], 5) + 0.0).alias(f"p{k}") for k in (1, 2, 3)])
 
 
-GAMMA = 1.0
+GAMMA = 0.01
 #: The products of each class weighted by its size bound the curvature; steps with its inverse, for each fold.
 BOUND = f"""SELECT k, list(line ORDER BY i) AS m FROM (SELECT k, i, list(v ORDER BY j) AS line FROM (SELECT k, i, j, sum(z[i] * z[j] / n) + CASE WHEN i = j AND i <= {D} THEN {GAMMA}::DOUBLE ELSE 0 END AS v
   FROM (SELECT *, count(*) OVER (PARTITION BY k, label) AS n FROM kept_f), range(1, {D + 2}) x(i), range(1, {D + 2}) y(j) GROUP BY k, i, j) GROUP BY k, i) GROUP BY k"""
