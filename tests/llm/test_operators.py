@@ -304,6 +304,43 @@ def test_grammar_files(spark, docs, none, texts, library):
     assert repair.read_grammars(repair.write_grammars(docs, public_tokenizers.path("byte_bpe_50k.json"))).count() == docs.count()
 
 
+class Counted:
+    """The library, with the number of texts that it was asked for."""
+
+    def __init__(self, library):
+        self.library, self.n = library, 0
+
+    def encode_batch_fast(self, texts, **how):
+        self.n += len(texts)
+        return self.library.encode_batch_fast(texts, **how)
+
+
+def test_few_chunks_pass_the_whole_library():
+    rng = random.Random(6)
+    encoder = repair.ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    whole = encoder.library
+    encoder.library = Counted(whole)
+    word = lambda: "".join(rng.choice(["th", "é", "er", "on", "ß", "9", "in"]) for _ in range(rng.randrange(1, 9))) + rng.choice(["", ",", "'s", ".\n", "%%%"])
+    texts = [" ".join(word() for _ in range(400)) for _ in range(20)]
+    ids, n = encoder.encode(texts)
+    wanted = [e.ids for e in whole.encode_batch_fast(texts, add_special_tokens=False)]
+    assert n.tolist() == list(map(len, wanted)) and ids.tolist() == sum(wanted, [])
+    assert encoder.library.n <= len(texts)  # the first chunks; before, every new chunk
+
+
+def test_chunks_equal_the_whole_library(monkeypatch):
+    monkeypatch.setattr(repair, "CACHE_CHUNKS", 3000)
+    rng, encoder = random.Random(7), repair.ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    signs = [*" " * 14, *"\n\n\t\r\x0b\x0c\x1c\x1f\x85\xa0\u2003\u3000\u180e\u200b'\",.!<|>\xad×÷ªºµ²¼9٣5abcdeéßŁıǅʼnĳ漢字かñ😀\x00\x01sStT", "'s", "'ll", " <|endoftext|>", "<|endoftext|>", "   ", " \n"]
+    signs += [chr(c) for c in range(0xA1, 0x250)]
+    for _ in range(20):
+        texts = ["".join(rng.choice(signs[: rng.choice([40, 80, len(signs)])]) for _ in range(rng.randrange(25))) for _ in range(300)]
+        ids, n = encoder.encode(texts)
+        wanted = [e.ids for e in encoder.library.encode_batch_fast(texts, add_special_tokens=False)]
+        assert n.tolist() == list(map(len, wanted)) and ids.tolist() == sum(wanted, [])
+        assert list(encoder.known.values()) == list(range(encoder.size.size))
+
+
 # ---------------------------------------------------------------- 5
 
 
