@@ -98,3 +98,16 @@ def test_partition_count_and_row_order_do_not_matter(spark):
     a = fr.fill_gaps(spark.createDataFrame(rows, FRAMES).repartition(1)).collect()
     b = fr.fill_gaps(spark.createDataFrame(rows[::-1], FRAMES).repartition(7)).collect()
     assert sorted(map(str, a)) == sorted(map(str, b))
+
+
+def test_correlation_of_a_series_of_one_value_is_0(spark):
+    rows = [(1, 1, c, t, v) for t in range(4) for c, v in (("a", float(t)), ("b", 5.0), ("c", -2.0 * t))]
+    found = {(r["c1"], r["c2"]): r["value"] for r in motion.channel_correlation(spark.createDataFrame(rows, LONG)).collect()}
+    assert found[("a", "b")] == found[("b", "a")] == found[("b", "c")] == 0
+    assert np.isclose(found[("a", "c")], -1) and found[("b", "b")] == 1
+
+
+def test_motor_behaviors_of_a_series_of_one_value(spark):
+    rows = [(1, 1, c, t, v) for t in range(8) for c, v in (("a", 1.0 + t), ("b", 5.0))]
+    found = {r["feature"]: r["value"] for r in motion.motor_behaviors(spark.createDataFrame(rows, LONG), 1.0, 2).collect()}
+    assert found["corr:a:b"] == 0 and found["lag:b"] is None and found["asymmetry:b"] == 5
