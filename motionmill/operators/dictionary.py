@@ -96,28 +96,37 @@ def wavelet_round_trip(frames: DataFrame, channels: list[str], t: float = 0.0, s
     return series_extractor(frames, extract, "channel string, frame int, value double")
 
 
+#: Series that are inpainted together.
+FILLED_AT_ONCE = 256
+
+
 def inpaint(x: np.ndarray, t: float, rounds: int = 25, tol: float = 1e-3) -> np.ndarray:
-    """Missing places filled by turns of shrinking wavelet coefficients and restoring what is known."""
-    known = ~np.isnan(x)
-    out = np.where(known, x, 0.0)
+    """Missing places of series along the last axis filled by turns of shrinking wavelet coefficients and restoring what is known.
+
+    Each series stops by itself, once it moves by no more than ``tol`` of its size.
+    """
+    rows = x.reshape(-1, x.shape[-1])
+    known = ~np.isnan(rows)
+    out = np.where(known, rows, 0.0)
+    live = np.arange(len(rows))
     for _ in range(rounds):
-        levels = wavelet(out)
-        new = inverse_wavelet([shrink_array(d, t) for d in levels[:-1]] + levels[-1:], len(x))
-        new = np.where(known, x, new)
-        if np.linalg.norm(new - out) <= tol * max(np.linalg.norm(out), 1e-12):
-            return new
-        out = new
-    return out
+        if not live.size:
+            break
+        old = out[live]
+        levels = wavelet(old)
+        new = inverse_wavelet([shrink_array(d, t) for d in levels[:-1]] + levels[-1:], rows.shape[1])
+        out[live] = new = np.where(known[live], rows[live], new)
+        live = live[np.linalg.norm(new - old, axis=1) > tol * np.maximum(np.linalg.norm(old, axis=1), 1e-12)]
+    return out.reshape(x.shape)
 
 
 def wavelet_inpaint(frames: DataFrame, channels: list[str], t: float) -> DataFrame:
     """Frames with null values come back filled."""
 
-    def extract(m: np.ndarray) -> Iterator[tuple]:
-        for c, row in zip(channels, m):
-            yield c, np.arange(len(row)), inpaint(row, t)
+    def extract(cube: np.ndarray) -> Iterator[tuple]:
+        yield np.arange(cube.shape[2]), inpaint(cube, t)
 
-    return series_extractor(frames, extract, "channel string, frame int, value double")
+    return cube_extractor(frames, channels, extract, "frame int, value double", FILLED_AT_ONCE)
 
 
 def time_frequency(coefs: DataFrame) -> DataFrame:

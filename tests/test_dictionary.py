@@ -110,3 +110,17 @@ def test_words_are_laid_at_their_places(spark, monkeypatch, most):
                 key = (subject, channel, pos + o)
                 want[key] = want.get(key, 0.0) + amp * line[o + h]
     assert got.keys() == want.keys() and all(np.isclose(got[k], want[k]) for k in want)
+
+
+def gapped(rows: int, n: int) -> np.ndarray:
+    rng = np.random.default_rng(n)
+    x = np.cumsum(rng.normal(size=(rows, n)), axis=1)
+    x[rng.random(x.shape) < 0.6] = np.nan
+    x[0] = np.nan
+    return x
+
+
+@pytest.mark.parametrize("n", [1, 38, 50])
+def test_series_are_inpainted_together_as_alone(n):
+    x = gapped(12, n)
+    assert np.allclose(dc.inpaint(x.reshape(3, 4, n), 0.5).reshape(12, n), [dc.inpaint(row, 0.5) for row in x])
