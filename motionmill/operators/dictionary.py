@@ -138,7 +138,7 @@ def time_frequency(coefs: DataFrame) -> DataFrame:
 
 
 def scale_space(x: np.ndarray, atoms: list[str], scales: list[float], fps: float) -> dict[str, np.ndarray]:
-    """For each atom, correlation with its unit-norm kernel: (scales, frames)."""
+    """For each atom, correlation of series along the last axis with its unit-norm kernel: (scales, .., frames)."""
     return {a: np.stack(fft_convolve_all(x, [weights(a, s, fps, p=2.0)[::-1] for s in scales])) for a in atoms}
 
 
@@ -390,29 +390,35 @@ def dictionary_inverse(frames: DataFrame, channels: list[str], atoms: list[str],
 
 
 def dictionary_fill(x: np.ndarray, atoms: list[str], scales: list[float], fps: float, t: float, rounds: int = 25, tol: float = 1e-3) -> np.ndarray:
-    """Missing places filled by coefficients that are moved along the residual of the known places and shrunk by ``t``."""
-    known = ~np.isnan(x)
-    goal = np.where(known, x, 0.0)
-    probe = np.ones(len(x))
+    """Missing places of series along the last axis filled by coefficients that are moved along the residual of the known places and shrunk by ``t``.
+
+    Each series stops by itself, once it moves by no more than ``tol`` of its size; the step is one for all of a length.
+    """
+    rows = x.reshape(-1, x.shape[-1])
+    known = ~np.isnan(rows)
+    goal = np.where(known, rows, 0.0)
+    probe = np.ones(rows.shape[1])
     for _ in range(10):  # the largest gain of transform and adjoint bounds the step
         probe = adjoint(scale_space(probe, atoms, scales, fps), scales, fps)
         gain = np.linalg.norm(probe)
         probe = probe / max(gain, 1e-12)
-    space = {a: np.zeros((len(scales), len(x))) for a in atoms}
-    out = np.zeros(len(x))
+    out, live = np.zeros(rows.shape), np.arange(len(rows))
+    space = {a: np.zeros((len(scales), *rows.shape)) for a in atoms}  # of the series that go on
     for _ in range(rounds):
-        step = scale_space(np.where(known, goal - out, 0.0), atoms, scales, fps)
+        if not live.size:
+            break
+        step = scale_space(np.where(known[live], goal[live] - out[live], 0.0), atoms, scales, fps)
         space = {a: shrink_array(space[a] + step[a] / (1.05 * gain), t) for a in atoms}
         new = adjoint(space, scales, fps)
-        moved, out = np.linalg.norm(new - out), new
-        if moved <= tol * max(np.linalg.norm(out), 1e-12):
-            break
-    return np.where(known, x, out)
+        moved = np.linalg.norm(new - out[live], axis=1)
+        out[live] = new
+        going = moved > tol * np.maximum(np.linalg.norm(new, axis=1), 1e-12)
+        live, space = live[going], {a: v[:, going] for a, v in space.items()}
+    return np.where(known, rows, out).reshape(x.shape)
 
 
 def dictionary_inpaint(frames: DataFrame, channels: list[str], atoms: list[str], scales: list[float], fps: float, t: float) -> DataFrame:
-    def extract(m: np.ndarray) -> Iterator[tuple]:
-        for c, row in zip(channels, m):
-            yield c, np.arange(len(row)), dictionary_fill(row, atoms, scales, fps, t)
+    def extract(cube: np.ndarray) -> Iterator[tuple]:
+        yield np.arange(cube.shape[2]), dictionary_fill(cube, atoms, scales, fps, t)
 
-    return series_extractor(frames, extract, "channel string, frame int, value double")
+    return cube_extractor(frames, channels, extract, "frame int, value double", FILLED_AT_ONCE)

@@ -124,3 +124,9 @@ def gapped(rows: int, n: int) -> np.ndarray:
 def test_series_are_inpainted_together_as_alone(n):
     x = gapped(12, n)
     assert np.allclose(dc.inpaint(x.reshape(3, 4, n), 0.5).reshape(12, n), [dc.inpaint(row, 0.5) for row in x])
+
+
+@pytest.mark.parametrize("n", [1, 38, 50])
+def test_series_are_filled_by_a_dictionary_together_as_alone(n):
+    x, how = gapped(12, n), (["gaussian"], [4.0, 8.0, 16.0], 1.0, 0.1)
+    assert np.allclose(dc.dictionary_fill(x.reshape(3, 4, n), *how).reshape(12, n), [dc.dictionary_fill(row, *how) for row in x])
