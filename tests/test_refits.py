@@ -300,3 +300,13 @@ def test_densities_on_axes_equal_plain_products(spark, k):
         assert len(plane) == points**2 and all(np.allclose([r["x"], r["y"], r["density"]], [*got[r["i"] * points + r["j"]][0], got[r["i"] * points + r["j"]][1]]) for r in plane)
     with pytest.raises(ValueError, match="cells"):
         dn.density_on_axes(design, [[0, 1, 2, 3, 4]], 50)
+
+
+def test_sparse_fit_without_a_weight_keeps_the_constant_alone():
+    rng = np.random.default_rng(3)
+    x, y = 0.01 * rng.normal(size=(80, 6)), np.array([1, -1] * 40)
+    w = rf.sparse(sums(x, y), 0.05)
+    assert (w[:-1] == 0).all()
+    sets = np.array([rng.choice(80, 2, replace=False) for _ in range(5)])
+    left = lo.weights(sums(x, y), np.c_[x, np.ones(80)][sets], y[sets], "sparse", 0.05, {})
+    assert (left[:, :-1] == 0).all()
