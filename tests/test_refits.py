@@ -310,3 +310,28 @@ def test_sparse_fit_without_a_weight_keeps_the_constant_alone():
     sets = np.array([rng.choice(80, 2, replace=False) for _ in range(5)])
     left = lo.weights(sums(x, y), np.c_[x, np.ones(80)][sets], y[sets], "sparse", 0.05, {})
     assert (left[:, :-1] == 0).all()
+
+
+@pytest.mark.parametrize("bandwidth", ["variance", "std"])
+def test_densities_by_boxes_equal_sums_over_all_pairs(spark, monkeypatch, bandwidth):
+    rng = np.random.default_rng(21)
+    columns = {0: rng.normal(0, 0.1, 900), 1: np.r_[rng.normal(3, 1, 899), 40.0], 2: rng.choice([0.0, 0.5, 2.0], 900), 3: 1e7 + rng.normal(0, 0.3, 900), 4: np.ones(900)}
+    monkeypatch.setattr(dn, "_density_by_blocks", None)  # no pairs are made
+    design = spark.createDataFrame([(i, f, float(v), 1) for f, x in columns.items() for i, v in enumerate(x)], "subject long, feature_id long, value double, label int")
+    found = {(r["subject"], r["feature_id"]): r["density"] for r in dn.density_at_points(design, bandwidth).collect()}
+    assert len(found) == 4 * 900
+    for f in range(4):
+        x = columns[f]
+        h = (x.var() if bandwidth == "variance" else x.std()) * 900**-0.2
+        z = (x[:, None] - x[None]) / h
+        assert np.allclose([found[i, f] for i in range(900)], np.exp(-z * z / 2).mean(axis=1) / (h * np.sqrt(2 * np.pi)), rtol=1e-6 if f == 3 else 1e-11, atol=0)
+
+
+def test_density_of_values_far_apart_for_their_bandwidth(spark):
+    x = np.random.default_rng(2).normal(0, 1e-9, 60)
+    design = spark.createDataFrame([(i, 0, float(v), 1) for i, v in enumerate(np.r_[x, x[:5]])] + [(i, 1, float(i % 7), 1) for i in range(65)], "subject long, feature_id long, value double, label int")
+    found = {(r["subject"], r["feature_id"]): r["density"] for r in dn.density_at_points(design).collect()}
+    x = np.r_[x, x[:5]]
+    h = x.var() * 65**-0.2
+    z = (x[:, None] - x[None]) / h
+    assert len(found) == 130 and np.allclose([found[i, 0] for i in range(65)], np.exp(-z * z / 2).mean(axis=1) / (h * np.sqrt(2 * np.pi)), rtol=1e-9)
