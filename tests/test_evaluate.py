@@ -195,3 +195,30 @@ def test_metric_of_all_rows_takes_every_anchor_once(spark, monkeypatch):
     assert abs(losses[0] - pull - whole) < 3 * errors[0]  # the estimate of the first round
     after = real(v, v, s)[1]
     assert after < whole
+
+
+def test_triplets_at_the_margin_are_not_active(spark):
+    rows = [(0, [0.0], 1), (1, [1.0], 1), (2, [2.0], 1), (3, [1.0], -1), (4, [-2.0], -1), (5, [3.0], -1)]
+    v = spark.createDataFrame(rows, "subject long, vector array<double>, label int")
+    d = lambda i, j: (rows[i][1][0] - rows[j][1][0]) ** 2
+    for found in (md.margin_triplets(v, v), md.ranked_pairs(v, v).where("same").groupBy("query").agg(F.sum("active").alias("n"), F.sum("excess").alias("loss"))):
+        for r in found.collect():
+            i = r["query"]
+            terms = [1 + d(i, j) - d(i, k) for j in range(6) for k in range(6) if j != i and rows[j][2] == rows[i][2] != rows[k][2]]
+            assert r["n"] == sum(t > 0 for t in terms) and np.isclose(r["loss"], sum(t for t in terms if t > 0))
+
+
+def test_distances_and_neighbours_of_blocks_equal_loops(spark, monkeypatch):
+    rng = np.random.default_rng(31)
+    x = np.round(1000 + rng.normal(size=(90, 4)), 1)  # far from the origin, with ties
+    v = spark.createDataFrame([(i, [float(a) for a in r], 1 if i % 3 else -1) for i, r in enumerate(x)], "subject long, vector array<double>, label int").repartition(3)
+    asked = v.where("subject % 4 = 0")
+    monkeypatch.setattr(md, "QUERY_NUMBERS", 40)  # several parts
+    monkeypatch.setattr(md, "ROW_BLOCK", 16)
+    d = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    both = md.measures(asked, v, {"a": md.squared_distance, "b": md.poly_kernel}).collect()
+    assert len(both) == 23 * 90 and all(np.isclose(r["a"], d[r["query"], r["subject"]]) and np.isclose(r["b"], (1 + x[r["query"]] @ x[r["subject"]]) ** 2) for r in both)
+    found = {r["query"]: r["score"] for r in md.knn_score(asked, v, 5).collect()}
+    for i in range(0, 90, 4):
+        near = [j for j in np.lexsort((np.arange(90), np.round(d[i], 9))) if j != i][:5]
+        assert np.isclose(found[i], np.mean([1 if j % 3 else -1 for j in near])) or len(set(np.round(d[i], 9)[near])) < len(near)
