@@ -335,3 +335,14 @@ def test_density_of_values_far_apart_for_their_bandwidth(spark):
     h = x.var() * 65**-0.2
     z = (x[:, None] - x[None]) / h
     assert len(found) == 130 and np.allclose([found[i, 0] for i in range(65)], np.exp(-z * z / 2).mean(axis=1) / (h * np.sqrt(2 * np.pi)), rtol=1e-9)
+
+
+def test_quantiles_of_large_groups_without_sorting_them(spark, monkeypatch):
+    monkeypatch.setattr(ev, "ROWS", 100)
+    monkeypatch.setattr(dn, "running", None)  # no group is ranked whole
+    rng = np.random.default_rng(8)
+    groups = {"a": rng.normal(size=30_000).round(3), "b": np.r_[np.zeros(900), rng.normal(size=100)], "c": np.array([2.0, 1.0, 3.0]), None: np.arange(700.0)}
+    rows = [(k, float(v)) for k, x in groups.items() for v in x] + [("a", None)]
+    levels = [0.0, 0.05, 0.2, 0.5, 0.95, 1.0]
+    found = {r["k"]: r["q"] for r in dn.exact_quantiles(spark.createDataFrame(rows, "k string, value double").repartition(4), ["k"], levels).collect()}
+    assert found == {k: [np.sort(x)[max(int(np.ceil(round(p * len(x), 9))), 1) - 1] for p in levels] for k, x in groups.items()}
